@@ -113,18 +113,21 @@ def _compiles(spark: SparkSession, pattern: str) -> bool:
         return False
 
 
-def compile_rules(rules: DataFrame) -> CompiledRules:
-    """Check the patterns, drop the ones that do not compile, and classify the rest."""
+def compile_rules(rules: DataFrame, max_inline: int = INLINE_RULES) -> CompiledRules:
+    """Check the patterns, drop the ones that do not compile, and choose a strategy.
+
+    Up to ``max_inline`` rules become constants of the plan.
+    """
     spark = rules.sparkSession
     shaped = _with_shape(rules.filter(F.col("regex").isNotNull() & F.col("context").isNotNull()))
     instants = ("creation_time", "valid_from", "valid_until")
     first = (
         _checked(shaped)
         .withColumns({c: F.unix_micros(c) for c in instants})
-        .limit(INLINE_RULES + 1)
+        .limit(max_inline + 1)
         .collect()
     )
-    if len(first) <= INLINE_RULES:
+    if len(first) <= max_inline:
         return _inline(spark, shaped, first)
     return _joined(spark, shaped)
 

@@ -338,14 +338,6 @@ def acls(spark: SparkSession, sf_dir: str) -> DataFrame:
              "_r.pattern_type", "_r.operations", "_r.operation")
 
 
-def current_topic_rules(spark: SparkSession, sf_dir: str, generated: DataFrame) -> DataFrame:
-    """What is already published: some rules as they are, some outdated, some missing."""
-    n = F.crc32(F.col("rule_id").cast("binary")) % 3
-    return generated.filter(n != 0).withColumn(
-        "regex", F.when(n == 1, F.col("regex")).otherwise(F.concat("regex", F.lit("_old")))
-    )
-
-
 def schema_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.element_at(
         F.array(F.lit("-key"), F.lit("-value"), F.lit(""), F.lit("-value-key")),

@@ -15,7 +15,8 @@ from tallyspark.session import scratch_path
 
 UNKNOWN_TARGET = "unknown"
 WINDOW_KEY = ["start_time", "end_time", "entity_type", "initial_metric_name", "name"]
-_STORED = f"{FACTS}, version BIGINT, start_date DATE"
+_STORED = f"{FACTS}, version BIGINT, chunk_start DATE"
+CHUNK_DAYS = 7
 
 
 def with_target(df: DataFrame) -> DataFrame:
@@ -69,6 +70,22 @@ def to_table_friendly(windowed: DataFrame) -> DataFrame:
     )
 
 
+def windowed_records(windowed: DataFrame) -> DataFrame:
+    """(key, value) JSON records of the result stream; the key leaves the context out.
+
+    Ready for ``write.format("kafka")`` where that package is installed, or for any file sink.
+    """
+    fields = ["startTime", "endTime", "entityType", "initialMetricName", "name"]
+    columns = [F.col(c).alias(f) for c, f in zip(WINDOW_KEY, fields)]
+    key = F.struct(*columns)
+    value = F.struct(*columns, "value", "cost", "tags", "context")
+    return windowed.select(F.to_json(key).alias("key"), F.to_json(value).alias("value"))
+
+
+def write_windowed(windowed: DataFrame, path: str, mode: str = "append") -> None:
+    windowed_records(windowed).write.mode(mode).parquet(path)
+
+
 def olap_view(facts: DataFrame) -> DataFrame:
     """The exchange shape: no cost, maps as text."""
     return facts.select(
@@ -87,10 +104,14 @@ def olap_view(facts: DataFrame) -> DataFrame:
 
 def from_olap_view(rows: DataFrame) -> DataFrame:
     context = json_to_map(F.col("context"))
-    windowed = rows.withColumn("context", context).withColumn("context_json", canonical_json(context))
-    return windowed.withColumn("cost", F.lit(None).cast("double")).select(
-        *[F.col("id").alias("row_id") if c == "row_id" else F.col(c) for c in _names(FACTS)]
-    )
+    rebuilt = {
+        "context": context,
+        "context_json": canonical_json(context),
+        "cost": F.lit(None).cast("double"),
+        "row_id": F.col("id"),
+        "name": F.coalesce("name", F.lit("")),  # CSV reads an empty text as null
+    }
+    return rows.select(*[rebuilt.get(c, F.col(c)).alias(c) for c in _names(FACTS)])
 
 
 def _names(ddl: str) -> list[str]:
@@ -116,18 +137,28 @@ def latest_by_row_id(versions: DataFrame, version: str = "version") -> DataFrame
     return latest_by_key(versions, ["row_id"], [version])
 
 
+def chunk_start(moment: Column, days: int) -> Column:
+    """First day of the chunk of ``days`` days that holds ``moment``, counted from 1970-01-01."""
+    day = F.unix_date(F.to_date(moment))
+    return F.date_from_unix_date(day - F.pmod(day, F.lit(days)))
+
+
+def with_chunk(facts: DataFrame, days: int) -> DataFrame:
+    return facts.withColumn("chunk_start", chunk_start(F.col("start_time"), days))
+
+
 class FactTable:
     """Upsert by row id on plain files.
 
-    ``base`` holds one row per id, partitioned by ``start_date`` and sorted by name. Each
+    ``base`` holds one row per id, in one folder per chunk of days, clustered by name. Each
     upsert adds one folder below ``delta``; writing the same version again replaces that
     folder, so a replayed micro-batch changes nothing. Readers take the base without the
     ids that the deltas replace, which leaves the large base unshuffled while the deltas
     are small, plus the newest delta row per id.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, chunk_days: int = CHUNK_DAYS):
+        self.spark, self.path, self.chunk_days = spark, path.rstrip("/"), chunk_days
         self.base, self.delta = f"{self.path}/base", f"{self.path}/delta"
 
     def _fs(self, path: str):
@@ -148,45 +179,43 @@ class FactTable:
             int(n.split("=")[1]) for n in self._children(self.delta) if n.startswith("version=")
         )
 
-    def _read(self, path: str, start, end) -> DataFrame:
-        if not self._exists(path):
+    def _read(self, path: str, start=None, end=None) -> DataFrame:
+        if not self._children(path):
             return self.spark.createDataFrame([], _STORED)
         df = self.spark.read.schema(_STORED).parquet(path)
-        # start_date prunes folders; start_time and end_time prune row groups
+        # chunk_start prunes folders; start_time and end_time prune row groups
         if start is not None:
-            df = df.filter(F.col("start_date") >= F.to_date(instant(start)))
+            df = df.filter(F.col("chunk_start") >= chunk_start(instant(start), self.chunk_days))
         if end is not None:
-            df = df.filter(F.col("start_date") <= F.to_date(instant(end)))
+            df = df.filter(F.col("chunk_start") <= F.to_date(instant(end)))
         return df.filter(contained(start, end))
 
     def upsert(self, facts: DataFrame, version: int | None = None) -> int:
         """Add rows (unique by id, as windows are) as one version, which replaces older ones."""
         if version is None:
             version = max(self.versions(), default=0) + 1
-        rows = facts.select(*_names(FACTS)).withColumn("start_date", F.to_date("start_time"))
-        # rebalance: few files per day, and a large day is split over several tasks
+        rows = with_chunk(facts.select(*_names(FACTS)), self.chunk_days)
+        # rebalance: few files per chunk, and a large chunk is split over several tasks
         (
-            rows.hint("rebalance", "start_date")
-            .sortWithinPartitions("start_date", "name")
+            rows.hint("rebalance", "chunk_start")
+            .sortWithinPartitions("chunk_start", "name")
             .write.mode("overwrite")
-            .partitionBy("start_date")
+            .partitionBy("chunk_start")
             .parquet(f"{self.delta}/version={version}")
         )
         return version
 
     def read(self, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
-        delta = self._read(self.delta, start, end)
+        """Current rows; a range reads only the chunks and row groups that may hold it."""
         base = self._read(self.base, start, end)
-        if not self._exists(self.delta):
-            current = base
-        else:
-            newest = latest_by_row_id(delta)
-            kept = base.join(delta.select("row_id"), "row_id", "left_anti")
-            current = kept.unionByName(newest)
-        return current.select(*_names(FACTS))
+        if not self.versions():
+            return base.select(*_names(FACTS))
+        delta = self._read(self.delta, start, end)
+        kept = base.join(delta.select("row_id"), "row_id", "left_anti")
+        return kept.unionByName(latest_by_row_id(delta)).select(*_names(FACTS))
 
     def compact(self) -> None:
-        """Fold the deltas into the base, rewriting only the days they touch.
+        """Fold the deltas into the base, rewriting only the chunks they touch.
 
         Staged first: the plan never overwrites what it reads, and a failure at any point
         leaves base and deltas that still read right, so the job can be run again.
@@ -194,58 +223,51 @@ class FactTable:
         versions = self.versions()
         if not versions:
             return
-        delta = self._read(self.delta, None, None).filter(F.col("version") <= versions[-1])
-        days = delta.select("start_date").distinct()
+        delta = self._read(self.delta).filter(F.col("version") <= versions[-1])
+        touched = delta.select("chunk_start").distinct()
         newest = latest_by_row_id(delta)
         kept = (
-            self._read(self.base, None, None)
-            .join(days, "start_date", "left_semi")
+            self._read(self.base)
+            .join(touched, "chunk_start", "left_semi")
             .join(delta.select("row_id"), "row_id", "left_anti")
         )
         staging = scratch_path(self.spark, "compaction")
-        kept.select(*newest.columns).unionByName(newest).write.partitionBy("start_date").parquet(
-            staging
-        )
-        write_facts(
-            self.spark.read.schema(_STORED).parquet(staging), self.base, mode="overwrite"
-        )
+        merged = newest.unionByName(kept.select(*newest.columns))
+        merged.write.parquet(staging)
+        write_facts(self.spark.read.schema(_STORED).parquet(staging), self.base, "overwrite")
         for v in versions:
             fs, p = self._fs(f"{self.delta}/version={v}")
             fs.delete(p, True)
 
     def apply_retention(self, cut_off: datetime) -> list[str]:
-        """Drop the folders of days that ended before ``cut_off``; returns their names."""
-        last = (cut_off - timedelta(days=1)).date().isoformat()
+        """Drop the chunks that ended at or before ``cut_off``; returns their names."""
+        last = (cut_off - timedelta(days=self.chunk_days)).date().isoformat()
         dropped = []
         roots = [self.base] + [f"{self.delta}/version={v}" for v in self.versions()]
         for root in roots:
             for name in self._children(root):
-                if name.startswith("start_date=") and name.split("=")[1] <= last:
+                if name.startswith("chunk_start=") and name.split("=")[1] <= last:
                     fs, p = self._fs(f"{root}/{name}")
                     fs.delete(p, True)
                     dropped.append(name)
         return sorted(set(dropped))
 
 
-def retention_filter(cut_off: datetime) -> Column:
-    """The rows :meth:`FactTable.apply_retention` keeps."""
-    return F.to_date("start_time") >= F.to_date(instant(cut_off))
-
-
-def write_facts(facts: DataFrame, path: str, mode: str = "append") -> None:
-    """Day folders, clustered by name so that row-group ranges on it are narrow.
+def write_facts(
+    facts: DataFrame, path: str, mode: str = "append", chunk_days: int = CHUNK_DAYS
+) -> None:
+    """Chunk folders, clustered by name so that row-group ranges on it are narrow.
 
-    The range partitioning splits a day or a name that is too large for one task.
+    The range partitioning splits a chunk or a name that is too large for one task.
     """
-    df = facts if "start_date" in facts.columns else facts.withColumn(
-        "start_date", F.to_date("start_time")
-    )
+    df = facts if "chunk_start" in facts.columns else with_chunk(facts, chunk_days)
+    order = ["chunk_start", "name", "start_time"]
     (
-        df.repartitionByRange("start_date", "name", "start_time")
-        .sortWithinPartitions("start_date", "name", "start_time")
+        df.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
         .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("start_date")
+        .partitionBy("chunk_start")
         .parquet(path)
     )
 

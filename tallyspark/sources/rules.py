@@ -73,12 +73,15 @@ class Changelog:
         return list_rules(rows) if self.kind == "rules" else list_prices(rows)
 
 
-def load_rules_json(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of rules, context given as a list of key and value; later keys win."""
+def load_rules_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Rules from a JSON array, or from JSON lines, which Spark can split and read in parallel.
+
+    The context is a list of key and value; later keys win.
+    """
     raw = spark.read.schema(
         "id STRING, entityType STRING, regex STRING, validFrom STRING, validUntil STRING, "
         "context ARRAY<STRUCT<key: STRING, value: STRING>>"
-    ).json(path, multiLine=True)
+    ).json(path, multiLine=not lines)
     entries = F.aggregate(
         "context",
         literal_map({}),
@@ -97,9 +100,9 @@ def load_rules_json(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def load_prices_json(spark: SparkSession, path: str) -> DataFrame:
+def load_prices_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     raw = spark.read.schema("metricName STRING, baseCost DOUBLE, costFactor DOUBLE").json(
-        path, multiLine=True
+        path, multiLine=not lines
     )
     return raw.select(
         F.col("metricName").alias("metric_name"),
