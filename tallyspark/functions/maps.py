@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -39,3 +39,12 @@ def put(m: Column, key: str | Column, value: Column) -> Column:
 
 def pick(m: Column, keys) -> Column:
     return F.map_filter(m, lambda k, _: k.isin(list(keys)))
+
+
+def explode_non_null(df: DataFrame, array: Column, alias: str, keep=()) -> DataFrame:
+    """One row per non-null element.
+
+    A plain explode lets the optimizer derive a "has elements" filter and push it, with the
+    whole expression behind ``array``, down to the scan. The outer form does not.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(alias)).filter(F.col(alias).isNotNull())

@@ -81,56 +81,66 @@ def _topic_rules(users: DataFrame, acls: DataFrame) -> DataFrame:
 _FLAGS = ("allow_read", "deny_read", "allow_write", "deny_write")
 
 
-def topic_access(topics: DataFrame, users: DataFrame, acls: DataFrame) -> DataFrame:
-    """(topic, user, can_read, can_write): allowed by some rule and denied by none.
+def _can(allow: str, deny: str) -> Column:
+    return F.col(allow) & ~F.col(deny)
 
-    A user with rules for every topic has one row with topic ``*``, its answer wherever no
-    row of that user names the topic; so users are never multiplied with all topics. Prefix
-    rules meet the prefixes of the topic names in an equi-join.
-    """
+
+def _resolve(topics: DataFrame, users: DataFrame, acls: DataFrame):
+    """(by_topic, everywhere): answers for pairs some rule names, and per user the answer for
+    all other topics. ``by_topic`` also carries the user's answer elsewhere (any_*)."""
     rules = _topic_rules(users, acls)
-    any_flags = [F.bool_or(f).alias(f) for f in _FLAGS]
-    merged = rules.groupBy("user", "scope", "resource_name").agg(*any_flags)
+    flags = [F.bool_or(f).alias(f) for f in _FLAGS]
+    merged = rules.groupBy("user", "scope", "resource_name").agg(*flags)
     names = topics.select("topic").distinct()
 
-    literal = merged.filter("scope = 'literal'")
-    by_name = names.join(literal, F.col("topic") == F.col("resource_name"))
-    prefixes = names.select(
-        "topic",
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(1), F.least(F.length("topic"), F.lit(MAX_TOPIC_NAME))),
-                lambda n: F.substring(F.col("topic"), F.lit(1), n),
-            )
-        ).alias("_prefix"),
-    )
-    prefix = merged.filter("scope = 'prefix'")
-    by_prefix = prefixes.join(prefix, F.col("_prefix") == F.col("resource_name")).drop("_prefix")
     # an empty prefix covers every topic, as the wildcard does
-    everywhere = merged.filter("scope = 'any' or (scope = 'prefix' and resource_name = '')")
-    general = everywhere.groupBy("user").agg(*any_flags)
-
-    flags = list(_FLAGS)
-    special = by_name.select("topic", "user", *flags).unionByName(
-        by_prefix.select("topic", "user", *flags)
+    is_general = "scope = 'any' or (scope = 'prefix' and resource_name = '')"
+    general = merged.filter(is_general).groupBy("user").agg(*flags)
+    # literal rules meet the names, prefix rules the prefixes of the names, in one equi-join
+    cuts = F.transform(
+        F.sequence(F.lit(1), F.least(F.length("topic"), F.lit(MAX_TOPIC_NAME))),
+        lambda n: F.struct(
+            F.lit("prefix").alias("scope"),
+            F.substring(F.col("topic"), F.lit(1), n).alias("resource_name"),
+        ),
     )
-    special = special.groupBy("topic", "user").agg(*any_flags)
-    own = general.select(
-        F.col("user").alias("_user"), *[F.col(f).alias(f"g_{f}") for f in _FLAGS]
-    )
-    combined = special.join(own, F.col("user") == F.col("_user"), "left").select(
-        "topic",
-        "user",
-        *[(F.col(f) | F.coalesce(F.col(f"g_{f}"), F.lit(False))).alias(f) for f in _FLAGS],
+    whole = F.struct(F.lit("literal").alias("scope"), F.col("topic").alias("resource_name"))
+    keys = names.select("topic", F.inline(F.array_append(cuts, whole)))
+    special = keys.join(merged.filter(f"not ({is_general})"), ["scope", "resource_name"])
+    special = special.groupBy("topic", "user").agg(*flags)
+
+    other = general.select(F.col("user").alias("_user"), *[F.col(f).alias(f"_{f}") for f in _FLAGS])
+    no = F.lit(False)
+    by_topic = (
+        special.join(other, F.col("user") == F.col("_user"), "left")
+        .withColumns({f"_{f}": F.coalesce(f"_{f}", no) for f in _FLAGS})
+        .withColumns({f: F.col(f) | F.col(f"_{f}") for f in _FLAGS})
+        .select(
+            "topic",
+            "user",
+            _can("allow_read", "deny_read").alias("can_read"),
+            _can("allow_write", "deny_write").alias("can_write"),
+            _can("_allow_read", "_deny_read").alias("any_read"),
+            _can("_allow_write", "_deny_write").alias("any_write"),
+        )
     )
-    return combined.unionByName(
-        general.select(F.lit(EVERY_TOPIC).alias("topic"), "user", *flags)
-    ).select(
-        "topic",
+    everywhere = general.select(
         "user",
-        (F.col("allow_read") & ~F.col("deny_read")).alias("can_read"),
-        (F.col("allow_write") & ~F.col("deny_write")).alias("can_write"),
+        _can("allow_read", "deny_read").alias("can_read"),
+        _can("allow_write", "deny_write").alias("can_write"),
     )
+    return by_topic, everywhere
+
+
+def topic_access(topics: DataFrame, users: DataFrame, acls: DataFrame) -> DataFrame:
+    """(topic, user, can_read, can_write): allowed by some rule and denied by none.
+
+    A user with rules for every topic has one row with topic ``*``, its answer wherever no
+    row of that user names the topic; so users are never multiplied with all topics.
+    """
+    by_topic, everywhere = _resolve(topics, users, acls)
+    general = everywhere.select(F.lit(EVERY_TOPIC).alias("topic"), *everywhere.columns)
+    return by_topic.drop("any_read", "any_write").unionByName(general)
 
 
 def user_groups(users: DataFrame, config: AccessConfig) -> DataFrame:
@@ -139,46 +149,52 @@ def user_groups(users: DataFrame, config: AccessConfig) -> DataFrame:
     return users.select("user", group.alias("group"))
 
 
-def _group_lists(topics: DataFrame, access: DataFrame, groups: DataFrame, can: str) -> DataFrame:
-    """(topic, members): distinct groups with access, sorted, comma-joined.
+def _group_lists(topics: DataFrame, users: DataFrame, acls: DataFrame, config) -> DataFrame:
+    """(topic, readers, writers): distinct groups with access, sorted, comma-joined.
 
-    Per topic and group: members allowed by name, plus members allowed everywhere less
-    those the topic itself turns away.
+    A group is in when a member is allowed by name, or when more members are allowed
+    everywhere than the topic turns away.
     """
-    owned = access.join(groups, "user")
-    general = owned.filter((F.col("topic") == EVERY_TOPIC) & F.col(can))
-    general_size = general.groupBy("group").agg(F.count("*").alias("_everywhere"))
-    special = (
-        owned.filter(F.col("topic") != EVERY_TOPIC)
-        .join(general.select("user", F.lit(True).alias("_is_general")), "user", "left")
+    groups = user_groups(users, config)
+    by_topic, everywhere = _resolve(topics, users, acls)
+    sizes = (
+        everywhere.join(groups, "user")
+        .groupBy("group")
+        .agg(*[F.count_if(f"can_{op}").alias(f"{op}_everywhere") for op in ("read", "write")])
+    )
+    counted = (
+        by_topic.join(groups, "user")
         .groupBy("topic", "group")
         .agg(
-            F.count_if(can).alias("_allowed"),
-            F.count_if(~F.col(can) & F.col("_is_general")).alias("_refused"),
+            *[F.count_if(f"can_{op}").alias(f"{op}_in") for op in ("read", "write")],
+            *[
+                F.count_if(~F.col(f"can_{op}") & F.col(f"any_{op}")).alias(f"{op}_refused")
+                for op in ("read", "write")
+            ],
         )
+        .join(sizes, "group", "left")
     )
-    sized = special.join(general_size, "group", "left").withColumn(
-        "_everywhere", F.coalesce("_everywhere", F.lit(0))
-    )
-    named = sized.groupBy("topic").agg(
-        F.collect_set(F.when(F.col("_allowed") > 0, F.col("group"))).alias("_in"),
-        F.collect_set(
-            F.when(
-                (F.col("_allowed") == 0) & (F.col("_everywhere") <= F.col("_refused")), F.col("group")
-            )
-        ).alias("_out"),
-    )
-    # one row, the groups with access to everything
-    default = general_size.agg(F.array_sort(F.collect_set("group"))).scalar()
     empty = F.array().cast("array<string>")
-    members = F.array_except(
-        F.array_union(F.coalesce("_in", empty), F.col("_default")), F.coalesce("_out", empty)
-    )
+    lists, members = [], {}
+    for op in ("read", "write"):
+        inside = F.col(f"{op}_in") > 0
+        outside = ~inside & (F.coalesce(f"{op}_everywhere", F.lit(0)) <= F.col(f"{op}_refused"))
+        lists.append(F.collect_set(F.when(inside, F.col("group"))).alias(f"_{op}_in"))
+        lists.append(F.collect_set(F.when(outside, F.col("group"))).alias(f"_{op}_out"))
+        default = F.collect_set(F.when(F.col(f"{op}_everywhere") > 0, F.col("group")))
+        # one row: the groups with access to everything
+        members[op] = F.array_except(
+            F.array_union(
+                F.coalesce(f"_{op}_in", empty), sizes.agg(default.alias("d")).scalar()
+            ),
+            F.coalesce(f"_{op}_out", empty),
+        )
+    named = counted.groupBy("topic").agg(*lists)
+    text = {op: F.array_join(F.sort_array(m), ",") for op, m in members.items()}
     return (
         topics.select("topic")
         .join(named, "topic", "left")
-        .withColumn("_default", default)
-        .select("topic", F.array_join(F.array_sort(members), ",").alias("members"))
+        .select("topic", text["read"].alias("readers"), text["write"].alias("writers"))
     )
 
 
@@ -186,15 +202,12 @@ def topic_context(
     topics: DataFrame, users: DataFrame, acls: DataFrame, config: AccessConfig = AccessConfig()
 ) -> DataFrame:
     """(topic, context): the topic's own annotations plus its reader and writer groups."""
-    access = topic_access(topics, users, acls)
-    groups = user_groups(users, config)
-    readers = _group_lists(topics, access, groups, "can_read").withColumnRenamed("members", "_r")
-    writers = _group_lists(topics, access, groups, "can_write").withColumnRenamed("members", "_w")
+    lists = _group_lists(topics, users, acls, config)
     own = annotation_context(F.col("annotations"), config.annotation_prefix)
-    context = put(put(own, config.readers_key, F.col("_r")), config.writers_key, F.col("_w"))
-    return (
-        topics.join(readers, "topic").join(writers, "topic").select("topic", context.alias("context"))
+    context = put(
+        put(own, config.readers_key, F.col("readers")), config.writers_key, F.col("writers")
     )
+    return topics.join(lists, "topic").select("topic", context.alias("context"))
 
 
 def generate_rules(

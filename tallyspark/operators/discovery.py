@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.config import MeteringConfig
-from tallyspark.functions.maps import json_to_map, pick
+from tallyspark.functions.maps import explode_non_null, json_to_map, pick
 
 
 def metric_names(facts: DataFrame, config: MeteringConfig) -> DataFrame:
@@ -39,7 +39,7 @@ def distinct_metrics(facts: DataFrame) -> DataFrame:
 def map_keys_of(df: DataFrame, m: Column, alias: str) -> DataFrame:
     # one key set per distinct combination first, so the explode sees few rows
     sets = df.select(F.array_sort(F.map_keys(m)).alias("_keys")).distinct()
-    return sets.select(F.explode("_keys").alias(alias)).distinct()
+    return explode_non_null(sets, F.col("_keys"), alias).distinct()
 
 
 def context_keys(facts: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.functions.maps import literal_map, pick
+from tallyspark.functions.maps import explode_non_null, literal_map, pick
 from tallyspark.functions.normalize import (
     is_topic_subject,
     normalize_metric_name,
@@ -73,9 +73,9 @@ def flatten_pages(pages: DataFrame) -> DataFrame:
     query grouped by another field is skipped.
     """
     known = pages.filter(F.col("group_by").isin(list(GROUP_TAGS)))
-    point = F.explode(F.from_json("body", "data ARRAY<MAP<STRING, STRING>>")["data"])
+    points = F.from_json("body", "data ARRAY<MAP<STRING, STRING>>")["data"]
     owner_tag = literal_map(GROUP_TAGS)[F.col("group_by")]
-    rows = known.withColumn("_p", point).select(
+    rows = explode_non_null(known, points, "_p", ["metric_name", "group_by", "cluster_id"]).select(
         parse_instant(F.col("_p")["timestamp"]).alias("timestamp"),
         normalize_metric_name(F.col("metric_name")).alias("name"),
         F.create_map(F.lit("value"), F.col("_p")["value"]).alias("fields"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.config import MeteringConfig
-from tallyspark.functions.maps import canonical_json, json_to_map, put
+from tallyspark.functions.maps import canonical_json, explode_non_null, json_to_map, put
 
 
 def gauge_samples(facts: DataFrame, prefix: str = "") -> DataFrame:
@@ -25,10 +25,11 @@ def gauge_snapshot(samples: DataFrame) -> DataFrame:
     """Last value by event time per series. All series of one name carry the same tag keys,
     missing ones as empty text."""
     last = _last_value(samples.withColumn("tags_json", canonical_json(F.col("tags"))))
+    key_sets = last.select(
+        "name", F.array_sort(F.map_keys(json_to_map(F.col("tags_json")))).alias("_k")
+    ).distinct()
     keys = (
-        last.select("name", F.array_sort(F.map_keys(json_to_map(F.col("tags_json")))).alias("_k"))
-        .distinct()
-        .select("name", F.explode("_k").alias("_k"))
+        explode_non_null(key_sets, F.col("_k"), "_k", ["name"])
         .groupBy(F.col("name").alias("_name"))
         .agg(F.array_sort(F.collect_set("_k")).alias("_keys"))
     )

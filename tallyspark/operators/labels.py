@@ -26,7 +26,7 @@ from tallyspark.operators.latest import latest_by_key
 # An unbounded validity; both ends are inside what Spark and Parquet can hold.
 EARLIEST, LATEST = "0001-01-01 00:00:00", "9999-12-31 00:00:00"
 
-INLINE_RULES = 64  # up to here rules are constants of the plan
+INLINE_RULES = 60  # up to here rules are constants of the plan, one bit each in a BIGINT
 INLINE_PATTERNS = 128  # same for the open patterns of a larger rule set
 MAX_HEAD = 64  # longest text used as a join key
 BLOCK_RULES = 256  # open rules per block beyond INLINE_PATTERNS
@@ -234,12 +234,17 @@ def _covers(at: Column, rule) -> Column:
 
 
 def context_column(hits: Column, name: Column, compiled: CompiledRules) -> Column:
-    """The context map from the match flags of the inline rules: per key the newest match."""
+    """The context map from the match bits of the inline rules: per key the newest match.
+
+    Bits in a number, because the optimizer would copy the elements of an array, and with
+    them the pattern tests, into every use.
+    """
     by_key: dict[str, list[Column]] = {}
     for i, rule in reversed(list(enumerate(compiled.inline))):
         for e in rule.entries:
             filled = F.regexp_replace(name, rule.find_rx, F.lit(e.value)) if e.ok else F.lit(e.value)
-            by_key.setdefault(e.key, []).append(F.when(hits[i], filled))
+            is_hit = hits.bitwiseAND(F.lit(1 << i).cast("bigint")) != 0
+            by_key.setdefault(e.key, []).append(F.when(is_hit, filled))
     if not by_key:
         return empty_map()
     found = F.array(
@@ -253,14 +258,17 @@ def context_column(hits: Column, name: Column, compiled: CompiledRules) -> Colum
 
 def _label_inline(metrics: DataFrame, compiled: CompiledRules, at: str) -> DataFrame:
     name, kind = F.col("name"), F.col("entity_type")
-    flags = [
-        (kind == r.entity_type) & _covers(F.col(at), r) & name.rlike(r.full_rx)
-        for r in compiled.inline
+    bits = [
+        F.when(
+            (kind == r.entity_type) & _covers(F.col(at), r) & name.rlike(r.full_rx),
+            F.lit(1 << i).cast("bigint"),
+        ).otherwise(F.lit(0).cast("bigint"))
+        for i, r in enumerate(compiled.inline)
     ]
-    if not flags:
+    if not bits:
         return metrics.withColumn("context", empty_map())
     return (
-        metrics.withColumn("_hits", F.array(*flags))
+        metrics.withColumn("_hits", functools.reduce(Column.bitwiseOR, bits))
         .withColumn("context", context_column(F.col("_hits"), name, compiled))
         .drop("_hits")
     )
@@ -307,7 +315,8 @@ def _match_open(names: DataFrame, compiled: CompiledRules) -> DataFrame:
                 for kind, rx in compiled.open_patterns
             ]
         )
-        hit = names.withColumn("full_rx", F.explode(F.array_compact(hits)))
+        # outer: no filter that would test every pattern once more below
+        hit = names.withColumn("full_rx", F.explode_outer(F.array_compact(hits)))
         # at most INLINE_PATTERNS distinct patterns were counted above
         return hit.join(rules, ["entity_type", "full_rx"])
     # Blocks of bounded size on the rule side, slices on the name side: each task gets one

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.config import MeteringConfig, MissingKey
-from tallyspark.functions.maps import literal_map, put
+from tallyspark.functions.maps import explode_non_null, literal_map, put
 from tallyspark.operators.labels import CompiledRules, label
 
 
@@ -21,9 +21,8 @@ def split_member_names(labelled: DataFrame, config: MeteringConfig) -> DataFrame
     """Every principal a split could produce, from labelled topics (rows or label segments)."""
     keys = sorted(set(config.split_keys.values()))
     lists = F.array_compact(F.array(*[list_members(F.col("context")[k]) for k in keys]))
-    members = labelled.filter(F.col("entity_type") == "TOPIC").select(
-        F.explode(F.flatten(lists)).alias("name")
-    )
+    topics = labelled.filter(F.col("entity_type") == "TOPIC")
+    members = explode_non_null(topics, F.flatten(lists), "name")
     fallback = labelled.sparkSession.range(1).select(F.lit(config.fallback_principal).alias("name"))
     return members.union(fallback).distinct().select(F.lit("PRINCIPAL").alias("entity_type"), "name")
 
@@ -48,10 +47,11 @@ def split_among_principals(
     policies = {m: config.policy_of(m).value for m in config.split_keys}
     policy = literal_map(policies)[metric]
 
+    nobody = F.array().cast("array<string>")
     untouched = F.array(F.lit(None).cast("string"))
     missing = (
         F.when(policy == MissingKey.PASS_THROUGH.value, untouched)
-        .when(policy == MissingKey.DROP.value, F.array().cast("array<string>"))
+        .when(policy == MissingKey.DROP.value, nobody)
         .otherwise(F.array(F.lit(config.fallback_principal)))
     )
     listed = context[split_key]
@@ -61,10 +61,17 @@ def split_among_principals(
         .otherwise(list_members(listed))
     )
 
+    # The outer form keeps the optimizer from deriving a "has members" filter, which it would
+    # push, with all of the labelling in it, down to the scan. A row without members shows as
+    # a null struct and goes here.
     exploded = (
         metrics.withColumn("_members", members)
         .withColumn("_n", F.size("_members"))
-        .withColumn("_member", F.explode("_members"))
+        .withColumn(
+            "_m", F.explode_outer(F.transform("_members", lambda m: F.struct(m.alias("name"))))
+        )
+        .filter(F.col("_m").isNotNull())
+        .withColumn("_member", F.col("_m")["name"])
     )
     is_share = F.col("_member").isNotNull()
     shares = exploded.withColumns(
@@ -89,4 +96,4 @@ def split_among_principals(
         F.when(is_share, put(F.col("context"), "topic", F.col("_topic"))).otherwise(
             F.col("_old_context")
         ),
-    ).drop("_members", "_n", "_member", "_topic", "_old_context")
+    ).drop("_members", "_n", "_m", "_member", "_topic", "_old_context")

@@ -40,6 +40,25 @@ def rows_of(columns, rows):
     return Counter(tuple(plain(r[i]) for i in order) for r in rows)
 
 
+TYPES = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "boolean": "BOOLEAN",
+    "timestamp_ntz": "TIMESTAMP",
+}
+
+
+def type_gaps(df, con, sql: str) -> list[str]:
+    sql_types = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    return [
+        f"{c}: {t} / {sql_types.get(c)}"
+        for c, t in df.dtypes
+        if TYPES.get(t, t) != sql_types.get(c)
+    ]
+
+
 def compare(df, con, sql: str):
     """(matches, message)"""
     got = df.collect()
@@ -48,6 +67,9 @@ def compare(df, con, sql: str):
     want = cur.fetchall()
     if sorted(df.columns) != sorted(names):
         return False, f"columns {sorted(df.columns)} != {sorted(names)}"
+    gaps = type_gaps(df, con, sql)
+    if gaps:
+        return False, f"types differ: {gaps}"
     a, b = rows_of(df.columns, got), rows_of(names, want)
     if a == b:
         return True, f"{len(got)} rows"
