@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from tallyspark.functions.maps import empty_map, sorted_map
 from tallyspark.operators.latest import latest_by_key
 
-# An unbounded validity; both ends are inside what Spark and Parquet can hold.
-EARLIEST, LATEST = "0001-01-01 00:00:00", "9999-12-31 00:00:00"
+# An unbounded validity: outside any usage, inside what Spark, Parquet and Python can hold.
+EARLIEST, LATEST = "1000-01-01 00:00:00", "9999-12-31 00:00:00"
 
 INLINE_RULES = 60  # up to here rules are constants of the plan, one bit each in a BIGINT
 INLINE_PATTERNS = 128  # same for the open patterns of a larger rule set
@@ -33,7 +33,7 @@ BLOCK_RULES = 256  # open rules per block beyond INLINE_PATTERNS
 NAME_SALTS = 64  # parallel slices of the names per block
 MAX_BOUNDARIES = 256  # validity boundaries that fit into a constant array
 
-_OPEN_LOW, _OPEN_HIGH = -62135596800000000, 253402214400000000  # the same in microseconds
+_OPEN_LOW, _OPEN_HIGH = -30610224000000000, 253402214400000000  # the same in microseconds
 
 _ESCAPED_DOT = "\u0001"
 _META = r"[\\^$.|?*+()\[\]{}]"

@@ -316,7 +316,7 @@ SELECT entity_type, context_json, count(*) AS n, round(sum(value), 6) AS value F
 ORACLES["context_ranges"] = f"""
 WITH {EV},{RULES},
 nm AS (SELECT DISTINCT entity_type, name FROM ev),
-m AS (SELECT nm.*, coalesce(vf, TIMESTAMP '0001-01-01') AS lo, coalesce(vu, TIMESTAMP '9999-12-31') AS hi
+m AS (SELECT nm.*, coalesce(vf, TIMESTAMP '1000-01-01') AS lo, coalesce(vu, TIMESTAMP '9999-12-31') AS hi
   FROM nm JOIN rules ON etype = entity_type AND regexp_full_match(name, rx, 'i')),
 b AS (SELECT entity_type, name, lo AS b FROM m UNION SELECT entity_type, name, hi FROM m),
 sg AS (SELECT row_number() OVER () AS sid, * FROM (
