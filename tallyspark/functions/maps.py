@@ -19,7 +19,7 @@ def literal_map(entries: Mapping[str, str]) -> Column:
 
 
 def sorted_map(m: Column) -> Column:
-    return F.map_from_entries(F.array_sort(F.map_entries(m)))
+    return F.map_from_entries(F.sort_array(F.map_entries(m)))
 
 
 def canonical_json(m: Column) -> Column:
@@ -48,3 +48,14 @@ def explode_non_null(df: DataFrame, array: Column, alias: str, keep=()) -> DataF
     whole expression behind ``array``, down to the scan. The outer form does not.
     """
     return df.select(*keep, F.explode_outer(array).alias(alias)).filter(F.col(alias).isNotNull())
+
+
+def compute_once(df: DataFrame, columns: Mapping[str, Column], keep=()) -> DataFrame:
+    """``keep`` plus the given columns, each evaluated once per row.
+
+    A filter on a projected column is pushed below the projection with a copy of its
+    expression, so that JSON would be parsed and patterns tested again for every condition.
+    A filter does not pass a generator.
+    """
+    row = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select(*keep, F.inline_outer(F.array(row)))

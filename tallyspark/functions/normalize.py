@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.functions.maps import compute_once
+
 # Field names that carry the value, in order of preference.
 VALUE_FIELDS = ("gauge", "counter")
 TOPIC_TAG = "topic"
@@ -37,16 +39,17 @@ def entity_name(tags: Column, principal_tags: Sequence[str] = ("principal_id",))
 def normalize(raw: DataFrame, principal_tags: Sequence[str] = ("principal_id",)) -> DataFrame:
     """Raw records to metric rows. Tags do not survive aggregation, so they end here."""
     tags = F.col("tags")
-    return drop_invalid(
-        raw.select(
-            "event_time",
-            "timestamp",
-            entity_type(tags, principal_tags).alias("entity_type"),
-            entity_name(tags, principal_tags).alias("name"),
-            F.col("name").alias("initial_metric_name"),
-            metric_value(F.col("fields")).alias("value"),
-        )
+    computed = compute_once(
+        raw,
+        {
+            "entity_type": entity_type(tags, principal_tags),
+            "name": entity_name(tags, principal_tags),
+            "initial_metric_name": F.col("name"),
+            "value": metric_value(F.col("fields")),
+        },
+        ["event_time", "timestamp"],
     )
+    return drop_invalid(computed)
 
 
 def drop_invalid(metrics: DataFrame) -> DataFrame:

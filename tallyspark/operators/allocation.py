@@ -100,9 +100,16 @@ def allocate_bill(facts: DataFrame, bills: DataFrame, keys: Sequence[str]) -> Da
     usage = facts.groupBy(
         F.col("initial_metric_name").alias("metric"), "start_time", "end_time", *labels
     ).agg(F.sum("value").alias("value"))
+    # one row per bill line and day makes the range an equi-join: usage meets only the bills
+    # of its own day, not every bill of its metric
+    days = F.sequence(F.to_date("period_from"), F.to_date("period_to"))
+    lines = lines.filter(F.col("period_from") <= F.col("period_to")).withColumn(
+        "_day", F.explode(days)
+    )
     inside = (F.col("start_time") >= F.col("period_from")) & (F.col("end_time") <= F.col("period_to"))
+    same_day = (F.col("metric") == F.col("_metric")) & (F.to_date("start_time") == F.col("_day"))
     grouped = (
-        usage.join(lines, (F.col("metric") == F.col("_metric")) & inside)
+        usage.join(lines, same_day & inside)
         .groupBy("bill_id", "metric", "cents", *keys)
         .agg(F.sum("value").alias("total"))
     )

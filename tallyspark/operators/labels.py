@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyspark.functions.maps import empty_map, sorted_map
+from tallyspark.functions.maps import compute_once, empty_map, sorted_map
 from tallyspark.operators.latest import latest_by_key
 
 # An unbounded validity: outside any usage, inside what Spark, Parquet and Python can hold.
@@ -57,6 +57,11 @@ class CompiledRules:
     n_open: int = 0
     open_patterns: tuple[tuple[str, str], ...] | None = None  # None: too many
 
+    @property
+    def always_valid(self) -> bool:
+        """No rule ever starts or ends, so an entity keeps one label."""
+        return self.boundaries is not None and set(self.boundaries) <= {_OPEN_LOW, _OPEN_HIGH}
+
 
 def _with_shape(rules: DataFrame) -> DataFrame:
     regex = F.col("regex")
@@ -267,11 +272,10 @@ def _label_inline(metrics: DataFrame, compiled: CompiledRules, at: str) -> DataF
     ]
     if not bits:
         return metrics.withColumn("context", empty_map())
-    return (
-        metrics.withColumn("_hits", functools.reduce(Column.bitwiseOR, bits))
-        .withColumn("context", context_column(F.col("_hits"), name, compiled))
-        .drop("_hits")
-    )
+    matched = metrics.withColumn("_hits", functools.reduce(Column.bitwiseOR, bits))
+    context = context_column(F.col("_hits"), name, compiled)
+    kept = [c for c in metrics.columns if c != "context"]
+    return compute_once(matched, {"context": context}, kept)
 
 
 def match_rules(names: DataFrame, compiled: CompiledRules) -> DataFrame:
@@ -355,7 +359,7 @@ def context_segments(names: DataFrame, compiled: CompiledRules) -> DataFrame:
     matches = match_rules(names, compiled)
     entity = ["entity_type", "name"]
     entries = expand_templates(matches)
-    if compiled.boundaries is not None and len(compiled.boundaries) == 2:
+    if compiled.always_valid:
         pieces = entries.withColumnsRenamed({"valid_from": "seg_from", "valid_until": "seg_until"})
     else:
         edge = Window.partitionBy(*entity).orderBy("seg_from")

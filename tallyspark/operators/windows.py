@@ -64,6 +64,22 @@ def window_columns(windowed: DataFrame) -> DataFrame:
     )
 
 
+def as_windows(labelled: DataFrame, config: MeteringConfig) -> DataFrame:
+    """Pre-aggregated rows with one label per entity are windows already."""
+    size = F.expr(f"INTERVAL {duration_seconds(config.window)} SECONDS")
+    return labelled.select(
+        F.col("event_time").alias("start_time"),
+        (F.col("event_time") + size).alias("end_time"),
+        "entity_type",
+        "name",
+        "initial_metric_name",
+        "value",
+        F.lit("{}").alias("tags"),
+        "context",
+        canonical_json(F.col("context")).alias("context_json"),
+    )
+
+
 def window_aggregate(metrics: DataFrame, config: MeteringConfig) -> DataFrame:
     """Windowed rows per (entity, metric, context), aligned to the epoch."""
     keyed = metrics.withColumn("context_json", canonical_json(F.col("context"))).drop("context")

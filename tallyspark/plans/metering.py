@@ -20,7 +20,7 @@ from tallyspark.operators.labels import (
 )
 from tallyspark.operators.pricing import price
 from tallyspark.operators.split import split_among_principals
-from tallyspark.operators.windows import pre_aggregate, window_aggregate
+from tallyspark.operators.windows import as_windows, pre_aggregate, window_aggregate
 from tallyspark.session import cut_lineage
 from tallyspark.sources.facts import to_facts
 
@@ -50,6 +50,8 @@ def windowed_usage(
         labelled = split_among_principals(
             enrich(small, segments), config, compiled, topic_segments=segments
         )
+    if not config.split_keys and compiled.always_valid:
+        return as_windows(labelled, config)  # one label per entity: nothing left to merge
     return window_aggregate(labelled, config)
 
 

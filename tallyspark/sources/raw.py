@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspark.functions.maps import compute_once
 from tallyspark.functions.normalize import epoch_to_instant, parse_instant
 from tallyspark.schemas import RAW_JSON
 
@@ -29,11 +30,12 @@ def parse_raw(
         f"{RAW_JSON}, {CORRUPT} STRING",
         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT},
     )
+    arrival = {} if event_time is None else {"event_time": event_time}
+    parsed = compute_once(records, {"_r": body, **arrival})
     text = F.col("_r.timestamp")
     moment = F.coalesce(epoch_to_instant(text, time_unit), parse_instant(text))
-    parsed = records.withColumn("_r", body).withColumn("_at", moment)
-    return parsed.select(
-        (F.col("_at") if event_time is None else event_time).alias("event_time"),
+    return parsed.withColumn("_at", moment).select(
+        F.col("event_time" if arrival else "_at").alias("event_time"),
         F.col("_at").alias("timestamp"),
         "_r.name",
         "_r.fields",
