@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.buckets import bucket_seconds, bucket_start, range_or_default
@@ -52,8 +52,6 @@ def history_series(
 def _chunk_of(points: DataFrame, max_points: int) -> DataFrame:
     """Cut series into runs of whole days with at most ``max_points`` rows, where days allow it."""
     day = F.to_date("start_time")
-    from pyspark.sql import Window
-
     per_day = points.groupBy("name", day.alias("_day")).agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(
         Window.partitionBy("name").orderBy("_day").rowsBetween(Window.unboundedPreceding, 0)

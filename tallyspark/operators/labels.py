@@ -44,7 +44,7 @@ def fold(text: Column) -> Column:
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class CompiledRules:
     """Checked rules plus the few facts about them that choose the join strategy."""
 
@@ -261,7 +261,10 @@ def context_column(hits: Column, name: Column, compiled: CompiledRules) -> Colum
     return F.map_from_entries(F.filter(found, lambda e: e["value"].isNotNull()))
 
 
-def _label_inline(metrics: DataFrame, compiled: CompiledRules, at: str) -> DataFrame:
+@functools.lru_cache(maxsize=64)
+def _inline_columns(compiled: CompiledRules, at: str) -> tuple[Column, Column]:
+    """(match bits, context). They name columns only, so they serve any DataFrame, and making
+    them takes longer than most plans do."""
     name, kind = F.col("name"), F.col("entity_type")
     bits = [
         F.when(
@@ -270,12 +273,15 @@ def _label_inline(metrics: DataFrame, compiled: CompiledRules, at: str) -> DataF
         ).otherwise(F.lit(0).cast("bigint"))
         for i, r in enumerate(compiled.inline)
     ]
-    if not bits:
+    return functools.reduce(Column.bitwiseOR, bits), context_column(F.col("_hits"), name, compiled)
+
+
+def _label_inline(metrics: DataFrame, compiled: CompiledRules, at: str) -> DataFrame:
+    if not compiled.inline:
         return metrics.withColumn("context", empty_map())
-    matched = metrics.withColumn("_hits", functools.reduce(Column.bitwiseOR, bits))
-    context = context_column(F.col("_hits"), name, compiled)
+    hits, context = _inline_columns(compiled, at)
     kept = [c for c in metrics.columns if c != "context"]
-    return compute_once(matched, {"context": context}, kept)
+    return compute_once(metrics.withColumn("_hits", hits), {"context": context}, kept)
 
 
 def match_rules(names: DataFrame, compiled: CompiledRules) -> DataFrame:

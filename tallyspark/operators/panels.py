@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.config import duration_seconds
 from tallyspark.functions.buckets import instant
+from tallyspark.functions.maps import canonical_json
 from tallyspark.operators.shares import with_group_total
 
 UNKNOWN_PRINCIPAL = "unknown"
@@ -68,7 +69,7 @@ def panel_by(
             (F.col("event_time") <= instant(at)) & (F.col("event_time") > F.timestamp_seconds(start))
         )
     label = F.coalesce(F.col("tags")[by], F.lit("")).alias(by)
-    series = samples.groupBy(label, F.to_json("tags").alias("_series")).agg(
+    series = samples.groupBy(label, canonical_json(F.col("tags")).alias("_series")).agg(
         F.max("value").alias("value")
     )
     reduce = {"sum": F.sum, "max": F.max}[agg]
@@ -98,8 +99,6 @@ def label_values(gauges: DataFrame, key: str) -> DataFrame:
 
 def fill_gaps(hist: DataFrame, step: str = "1 hour") -> DataFrame:
     """Every step between the first and last time of a series; gaps repeat the value before."""
-    from pyspark.sql import Window
-
     bounds = hist.groupBy("name").agg(F.min("time").alias("_lo"), F.max("time").alias("_hi"))
     grid = bounds.select(
         "name", F.explode(F.sequence("_lo", "_hi", F.expr(f"INTERVAL {step}"))).alias("time")
