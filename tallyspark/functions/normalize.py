@@ -84,8 +84,8 @@ def subject_topic(subject: Column) -> Column:
 
 
 def parse_instant(text: Column) -> Column:
-    """ISO-8601 UTC text (``...Z``) to an instant; anything else is null."""
-    iso = text.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?Z$")
+    """ISO-8601 text in UTC (``...Z``) or with an offset (``+01:00``) to an instant; else null."""
+    iso = text.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}:\d{2})$")
     return F.when(iso, F.try_to_timestamp(text))
 
 

@@ -23,7 +23,6 @@ ACL_OPERATIONS = (
     "IdempotentWrite",
     "All",
 )
-MAX_TOPIC_NAME = 249
 EVERY_TOPIC = "*"
 
 
@@ -43,7 +42,7 @@ def annotation_context(annotations: Column, prefix: str) -> Column:
     owned = F.map_filter(
         annotations, lambda k, _: k.startswith(prefix) & (F.length(k) > len(prefix))
     )
-    return F.transform_keys(owned, lambda k, _: F.substring(k, len(prefix) + 1, 1_000_000))
+    return F.transform_keys(owned, lambda k, _: F.substring(k, F.lit(len(prefix) + 1), F.length(k)))
 
 
 def acl_operations(operations: Column, legacy: Column) -> Column:
@@ -96,9 +95,12 @@ def _resolve(topics: DataFrame, users: DataFrame, acls: DataFrame):
     # an empty prefix covers every topic, as the wildcard does
     is_general = "scope = 'any' or (scope = 'prefix' and resource_name = '')"
     general = merged.filter(is_general).groupBy("user").agg(*flags)
-    # literal rules meet the names, prefix rules the prefixes of the names, in one equi-join
+    # Literal rules meet the names, prefix rules the prefixes of the names, in one equi-join;
+    # only the lengths that some prefix rule has are cut, and they are few.
+    prefixes = merged.filter("scope = 'prefix' and resource_name <> ''")
+    lengths = sorted(r.n for r in prefixes.select(F.length("resource_name").alias("n")).distinct().collect())
     cuts = F.transform(
-        F.sequence(F.lit(1), F.least(F.length("topic"), F.lit(MAX_TOPIC_NAME))),
+        F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("topic")),
         lambda n: F.struct(
             F.lit("prefix").alias("scope"),
             F.substring(F.col("topic"), F.lit(1), n).alias("resource_name"),

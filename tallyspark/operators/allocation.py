@@ -237,8 +237,6 @@ def weighted_share(
         facts.filter(metric.isin(write_metric, read_metric))
         .groupBy(F.coalesce(F.col("context")[key], F.lit("unknown")).alias("name"))
         .agg(F.sum(F.col("value") * weight).alias("weighted"))
-        .withColumn("_all", F.lit(1))
-    )
-    return with_group_total(grouped, ["_all"], "weighted").select(
-        "name", "weighted", F.try_divide("weighted", "group_total").alias("share")
     )
+    total = grouped.agg(F.sum("weighted").alias("t")).scalar()
+    return grouped.select("name", "weighted", F.try_divide("weighted", total).alias("share"))

@@ -49,14 +49,14 @@ def gauge_snapshot(samples: DataFrame) -> DataFrame:
     )
     # padding can make two series equal: an explicit empty tag and a missing one
     merged = wide.groupBy("name", "tags_json").agg(
-        F.max_by("value", "last_seen").alias("value"), F.max("last_seen").alias("last_seen")
+        F.max_by("value", F.struct("last_seen", "value")).alias("value"), F.max("last_seen").alias("last_seen")
     )
     return merged.withColumn("tags", json_to_map(F.col("tags_json")))
 
 
 def _last_value(samples: DataFrame) -> DataFrame:
     return samples.groupBy("name", "tags_json").agg(
-        F.max_by("value", "event_time").alias("value"), F.max("event_time").alias("last_seen")
+        F.max_by("value", F.struct("event_time", "value")).alias("value"), F.max("event_time").alias("last_seen")
     )
 
 

@@ -14,14 +14,17 @@ metric rows. Its rules fall in three classes, so that there may be as many as en
 from __future__ import annotations
 
 import functools
+import re
 import string
 from dataclasses import dataclass
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.maps import compute_once, empty_map, sorted_map
 from tallyspark.operators.latest import latest_by_key
+from tallyspark.session import written
 
 # An unbounded validity: outside any usage, inside what Spark, Parquet and Python can hold.
 EARLIEST, LATEST = "1000-01-01 00:00:00", "9999-12-31 00:00:00"
@@ -68,9 +71,10 @@ def _with_shape(rules: DataFrame) -> DataFrame:
     masked = F.regexp_replace(regex, r"\[\.\]|\\\.", _ESCAPED_DOT)
     run = F.regexp_extract(masked, r"^\^?([^\\^$.|?*+()\[\]{}]*)", 1)
     after = F.regexp_extract(masked, r"^\^?[^\\^$.|?*+()\[\]{}]*(.?)", 1)
-    literal = ~masked.rlike(_META) & ~regex.contains(_ESCAPED_DOT)
+    quoted = regex.contains(_ESCAPED_DOT) | regex.contains("\\Q")
+    literal = ~masked.rlike(_META) & ~quoted
     head = (
-        F.when(masked.contains("|") | regex.contains(_ESCAPED_DOT), "")
+        F.when(masked.contains("|") | quoted, "")
         .when(after.isin("?", "*", "{"), F.substring(run, F.lit(1), F.length(run) - 1))
         .otherwise(run)
     )
@@ -92,99 +96,108 @@ def _with_shape(rules: DataFrame) -> DataFrame:
     )
 
 
-def _group_count(regex: Column) -> Column:
-    bare = F.regexp_replace(F.regexp_replace(regex, r"\\.", ""), r"\[[^\]]*\]", "")
-    return F.regexp_count(bare, F.lit(r"\((?!\?)|\(\?<[a-zA-Z]"))
-
-
-def _template_ok(template: Column, regex: Column, n_groups: Column) -> Column:
+def _template_ok(template: Column, names: Column, n_groups: Column) -> Column:
     """Every group the template names exists; otherwise the template is kept as text."""
     named = r"\$\{([a-zA-Z][a-zA-Z0-9]*)\}"
     bare = F.regexp_replace(template, r"\\.", "")
     names_exist = F.forall(
-        F.regexp_extract_all(bare, F.lit(named), 1),
-        lambda n: regex.contains(F.concat(F.lit("(?<"), n, F.lit(">"))),
+        F.regexp_extract_all(bare, F.lit(named), 1), lambda n: F.array_contains(names, n)
     )
     rest = F.regexp_replace(bare, named, "")
     digits = F.concat(F.lit(r"\$(?![0-"), F.least(n_groups, F.lit(9)).cast("string"), F.lit("])"))
     return names_exist & ~rest.endswith("\\") & ~F.regexp_like(rest, digits)
 
 
-def _compiles(spark: SparkSession, pattern: str) -> bool:
+def _compiled(spark: SparkSession, pattern: str):
+    """The compiled pattern; None where the syntax is wrong. Any other error is raised."""
     try:
-        spark._jvm.java.util.regex.Pattern.compile(pattern)
-        return True
-    except Exception:
-        return False
+        return spark._jvm.java.util.regex.Pattern.compile(pattern)
+    except IllegalArgumentException:  # what a PatternSyntaxException is, and all it can be here
+        return None
+
+
+def _group_names(spark: SparkSession, pattern: str) -> list[str]:
+    """Names of groups, each confirmed by a reference to it. Quoted text may hide one, so a
+    pattern with ``\\Q`` is taken to have none, and its templates with names stay text."""
+    if "\\Q" in pattern:
+        return []
+    found = sorted(set(re.findall(r"\(\?<([a-zA-Z][a-zA-Z0-9]*)>", pattern)))
+    return [n for n in found if _compiled(spark, rf"(?:{pattern})\k<{n}>") is not None]
+
+
+def _shape_facts(spark: SparkSession, shapes) -> DataFrame:
+    """(_shape, good, n_groups, names) of each distinct shape, from the compiled pattern."""
+    rows = []
+    for shape in shapes:
+        pattern = _compiled(spark, shape)
+        groups = pattern.matcher("").groupCount() if pattern is not None else 0
+        rows.append((shape, pattern is not None, groups, _group_names(spark, shape) if pattern is not None else []))
+    return spark.createDataFrame(rows, "_shape STRING, good BOOLEAN, n_groups INT, names ARRAY<STRING>")
 
 
 def compile_rules(rules: DataFrame, max_inline: int = INLINE_RULES) -> CompiledRules:
     """Check the patterns, drop the ones that do not compile, and choose a strategy.
 
-    Up to ``max_inline`` rules become constants of the plan.
+    Up to ``max_inline`` rules become constants of the plan; a BIGINT has bits for 63. Entries
+    with a null value are no entries. Among rules of equal creation time the greater id is
+    newer; a null time or id is the oldest.
     """
+    if not 0 <= max_inline <= 63:
+        raise ValueError("max_inline must be from 0 to 63")
     spark = rules.sparkSession
     shaped = _with_shape(rules.filter(F.col("regex").isNotNull() & F.col("context").isNotNull()))
     instants = ("creation_time", "valid_from", "valid_until")
-    first = (
-        _checked(shaped)
-        .withColumns({c: F.unix_micros(c) for c in instants})
-        .limit(max_inline + 1)
-        .collect()
-    )
+    first = shaped.limit(max_inline + 1).collect()
     if len(first) <= max_inline:
-        return _inline(spark, shaped, first)
+        facts = _shape_facts(spark, sorted({r._shape for r in first if r.kind != "literal"}))
+        good, rejected = _checked(shaped, facts)
+        rows = good.withColumns({c: F.unix_micros(c) for c in instants}).collect()
+        rows.sort(key=_age)
+        bounds = {t for r in rows for t in (r.valid_from, r.valid_until)}
+        return CompiledRules(good, rejected, tuple(rows), tuple(sorted(bounds)))
     return _joined(spark, shaped)
 
 
-def _checked(shaped: DataFrame) -> DataFrame:
-    """The columns matching needs, with templates checked against the groups of the regex."""
-    regex, n_groups = F.col("regex"), F.col("n_groups")
-    return (
-        shaped.withColumn("n_groups", _group_count(regex))
-        .select(
-            "rule_id",
-            "creation_time",
-            F.coalesce("valid_from", F.lit(EARLIEST).cast("timestamp")).alias("valid_from"),
-            F.coalesce("valid_until", F.lit(LATEST).cast("timestamp")).alias("valid_until"),
-            "entity_type",
-            F.concat(F.lit("(?i)"), regex).alias("find_rx"),
-            F.concat(F.lit(r"(?i)\A(?:"), regex, F.lit(r")\z")).alias("full_rx"),
-            F.transform(
-                F.map_entries("context"),
-                lambda e: F.struct(
-                    e["key"].alias("key"),
-                    e["value"].alias("value"),
-                    _template_ok(e["value"], regex, n_groups).alias("ok"),
-                ),
-            ).alias("entries"),
-            "kind",
-            "match_key",
-            "_shape",
-        )
-    )
-
+def _age(rule) -> tuple:
+    """The order of a ``max_by`` over (creation_time, rule_id): nulls first."""
+    at, rule_id = rule.creation_time, rule.rule_id
+    return at is not None, at or 0, rule_id is not None, rule_id or ""
 
-def _reject(shaped: DataFrame, bad: list[str]):
-    """(kept, rejected) by shape; a literal always compiles."""
-    is_bad = F.col("_shape").isin(bad) & (F.col("kind") != "literal") if bad else F.lit(False)
-    kept = _checked(shaped.filter(~is_bad)).drop("_shape")
-    return kept, shaped.filter(is_bad).select("rule_id", "regex")
 
-
-def _inline(spark: SparkSession, shaped: DataFrame, rows: list) -> CompiledRules:
-    bad = sorted({r._shape for r in rows if r.kind != "literal" and not _compiles(spark, r._shape)})
-    good, rejected = _reject(shaped, bad)
-    kept = [r for r in rows if r.kind == "literal" or r._shape not in bad]
-    kept.sort(key=lambda r: (_OPEN_LOW if r.creation_time is None else r.creation_time, r.rule_id))
-    bounds = {t for r in kept for t in (r.valid_from, r.valid_until)}
-    return CompiledRules(good, rejected, tuple(kept), tuple(sorted(bounds)))
+def _checked(shaped: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rules with the columns matching needs, rejected ones). A literal always compiles."""
+    joined = shaped.join(facts, "_shape", "left")
+    is_good = (F.col("kind") == "literal") | F.coalesce("good", F.lit(False))
+    names = F.coalesce("names", F.array().cast("array<string>"))
+    n_groups = F.coalesce("n_groups", F.lit(0))
+    regex = F.col("regex")
+    good = joined.filter(is_good).select(
+        "rule_id",
+        "creation_time",
+        F.coalesce("valid_from", F.lit(EARLIEST).cast("timestamp")).alias("valid_from"),
+        F.coalesce("valid_until", F.lit(LATEST).cast("timestamp")).alias("valid_until"),
+        "entity_type",
+        F.concat(F.lit("(?i)"), regex).alias("find_rx"),
+        F.concat(F.lit(r"(?i)\A(?:"), regex, F.lit(r")\z")).alias("full_rx"),
+        F.transform(
+            F.filter(F.map_entries("context"), lambda e: e["value"].isNotNull()),
+            lambda e: F.struct(
+                e["key"].alias("key"),
+                e["value"].alias("value"),
+                _template_ok(e["value"], names, n_groups).alias("ok"),
+            ),
+        ).alias("entries"),
+        "kind",
+        "match_key",
+    )
+    return good, joined.filter(~is_good).select("rule_id", "regex")
 
 
 def _joined(spark: SparkSession, shaped: DataFrame) -> CompiledRules:
+    shaped = written(shaped, "rules")  # one snapshot: counts and rows belong together
     shapes = shaped.filter(F.col("kind") != "literal").select("_shape").distinct()
-    bad = [r._shape for r in shapes.toLocalIterator() if not _compiles(spark, r._shape)]
-    good, rejected = _reject(shaped, bad)
+    facts = _shape_facts(spark, (r._shape for r in shapes.toLocalIterator()))
+    good, rejected = _checked(shaped, facts)
     head_len = F.when(F.col("kind") == "head", F.length("match_key"))
     summary = good.agg(
         F.count_if(F.col("kind") == "literal").alias("n_literal"),
@@ -261,7 +274,6 @@ def context_column(hits: Column, name: Column, compiled: CompiledRules) -> Colum
     return F.map_from_entries(F.filter(found, lambda e: e["value"].isNotNull()))
 
 
-@functools.lru_cache(maxsize=64)
 def _inline_columns(compiled: CompiledRules, at: str) -> tuple[Column, Column]:
     """(match bits, context). They name columns only, so they serve any DataFrame, and making
     them takes longer than most plans do."""

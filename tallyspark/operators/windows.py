@@ -94,7 +94,7 @@ def series_max(df: DataFrame, period: str) -> DataFrame:
 def series_diff(df: DataFrame, window: str) -> DataFrame:
     """Last minus first sample of a counter per series and sixth of the window."""
     period = f"{max(1, duration_seconds(window) // 6)} seconds"
-    at = F.col("event_time")
+    at = F.struct("event_time", "value")  # of samples at one instant the larger is the later
     diff = F.max_by("value", at) - F.min_by("value", at)
     return _per_series(df, period).agg(diff.alias("value"))
 

@@ -8,7 +8,6 @@ tables give one rule per topic. ``orders`` serve as changelogs and as bills, ``p
 
 from __future__ import annotations
 
-import functools
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -82,8 +81,8 @@ def to_raw_events(events: DataFrame) -> DataFrame:
 
 EVENT_RULES = r"""
 SELECT * FROM VALUES
- ('r1', TIMESTAMP'2023-12-01', NULL, NULL, 'TOPIC', '^(stage\\d+)\\.(app\\d+)\\.(subject\\d+)\\.v(\\d+)$',
-  map('stage', '$1', 'app', '$2', 'subject', '$3', 'version', 'v$4')),
+ ('r1', TIMESTAMP'2023-12-01', NULL, NULL, 'TOPIC', 'stage(?<n>[01])\\.(app[0-9]+)\\..+',
+  map('stage', 'tier ${n}', 'app', '$2')),
  ('r2', TIMESTAMP'2023-12-05', NULL, NULL, 'TOPIC', '.*\\.app1\\..*', map('app', 'billing')),
  ('r3', TIMESTAMP'2023-12-02', NULL, TIMESTAMP'2024-01-15', 'TOPIC', 'stage0\\..*', map('cost-unit', 'alpha')),
  ('r4', TIMESTAMP'2023-12-02', TIMESTAMP'2024-01-15', NULL, 'TOPIC', 'stage0\\..*', map('cost-unit', 'beta')),
@@ -100,7 +99,6 @@ def event_rules(spark: SparkSession) -> DataFrame:
     return prepare(spark).sql(EVENT_RULES)
 
 
-@functools.lru_cache(maxsize=4)
 def compiled_event_rules(spark: SparkSession):
     return compile_rules(event_rules(spark))
 
@@ -163,7 +161,6 @@ def line_prices(spark: SparkSession) -> DataFrame:
     )
 
 
-@functools.lru_cache(maxsize=8)
 def compiled_supplier_rules(spark: SparkSession, sf_dir: str):
     return compile_rules(supplier_rules(spark, sf_dir))
 

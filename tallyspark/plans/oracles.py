@@ -25,7 +25,7 @@ ev AS (
 
 RULES = r"""
 rules(rule_id, rk, vf, vu, etype, rx) AS (VALUES
-  ('r1', 1, NULL::TIMESTAMP, NULL::TIMESTAMP, 'TOPIC', '^(stage\d+)\.(app\d+)\.(subject\d+)\.v(\d+)$'),
+  ('r1', 1, NULL::TIMESTAMP, NULL::TIMESTAMP, 'TOPIC', 'stage([01])\.(app[0-9]+)\..+'),
   ('r3', 2, NULL, TIMESTAMP '2024-01-15', 'TOPIC', 'stage0\..*'),
   ('r4', 3, TIMESTAMP '2024-01-15', NULL, 'TOPIC', 'stage0\..*'),
   ('r5', 4, NULL, NULL, 'PRINCIPAL', 'sa-(\d+)'),
@@ -34,8 +34,7 @@ rules(rule_id, rk, vf, vu, etype, rx) AS (VALUES
   ('r8', 7, NULL, NULL, 'TOPIC', '(STAGE1)\..*'),
   ('r2', 8, NULL, NULL, 'TOPIC', '.*\.app1\..*')),
 entries(rule_id, key, tmpl, is_text) AS (VALUES
-  ('r1', 'stage', '\1', false), ('r1', 'app', '\2', false), ('r1', 'subject', '\3', false),
-  ('r1', 'version', 'v\4', false),
+  ('r1', 'stage', 'tier \1', false), ('r1', 'app', '\2', false),
   ('r2', 'app', 'billing', true), ('r3', 'cost-unit', 'alpha', true), ('r4', 'cost-unit', 'beta', true),
   ('r5', 'team', 'team-\1', false), ('r5', 'app', 'svc', true),
   ('r6', 'readers', 'sa-1,,sa-4', true), ('r6', 'writers', 'sa-7,sa-10,,', true),
@@ -252,7 +251,32 @@ SELECT date_trunc('second', ts)::TIMESTAMP AS "timestamp", 'svc_' || event_type
 FROM events WHERE event_id % 10 <> 7"""
 
 ORACLES["corrupt_records"] = """
-SELECT 'corrupt' AS kind, count(*) AS n FROM events WHERE event_id % 3 <> 0"""
+SELECT 'events/' || event_type AS source, count(*) AS n FROM events WHERE event_id % 3 <> 0 GROUP BY ALL"""
+
+ORACLES["raw_balance"] = """
+SELECT event_type AS source, CASE WHEN event_id % 5 < 3 THEN 'valid' ELSE 'corrupt' END AS side, count(*) AS n,
+  max(CASE event_id % 5 WHEN 1 THEN date_trunc('second', ts) - INTERVAL 2 HOUR
+    WHEN 3 THEN NULL WHEN 4 THEN NULL ELSE date_trunc('second', ts) END)::TIMESTAMP AS newest
+FROM events GROUP BY ALL"""
+
+ORACLES["labelled_equal_paths"] = f"""
+WITH {EV},
+r AS (SELECT i, CASE WHEN i <> 5 THEN 'm' || lpad(i::VARCHAR, 2, '0') ELSE '' END AS id, i % 7 AS age,
+  'k' || (i % 3) AS key, 'v' || i AS value FROM range(62) t(i) WHERE i % 4 <> 0),
+e AS (SELECT DISTINCT entity_type, name, event_time FROM ev),
+best AS (SELECT entity_type, name, key, arg_max(value, lpad(age::VARCHAR, 2, '0') || id) AS value
+  FROM (SELECT DISTINCT entity_type, name FROM e WHERE entity_type = 'TOPIC') n
+  JOIN r ON n.name LIKE '%.app' || (r.i % 5) || '.%' GROUP BY ALL),
+maps AS (SELECT entity_type, name, '{{' || string_agg('"' || key || '":"' || value || '"', ',' ORDER BY key) || '}}' AS context_json
+  FROM best GROUP BY ALL)
+SELECT path, entity_type, name, coalesce(context_json, '{{}}') AS context_json, count(*) AS n
+FROM e LEFT JOIN maps USING (entity_type, name), (VALUES ('inline'), ('joined')) p(path) GROUP BY ALL"""
+
+ORACLES["odd_templates"] = f"""
+WITH {EV},
+e AS (SELECT DISTINCT name, event_time, substr(name, 4) AS digits FROM ev WHERE entity_type = 'PRINCIPAL')
+SELECT path, name, '{{"class":"${{x}}","hidden":"<$1>","nested":"$1;$2","quoted":"<' || digits || '>"}}' AS context_json, count(*) AS n
+FROM e, (VALUES ('inline'), ('joined')) p(path) GROUP BY ALL"""
 
 ORACLES["normalized_metrics"] = f"""
 WITH {EV} SELECT event_time, entity_type, name, metric AS initial_metric_name, value FROM ev"""
@@ -370,13 +394,19 @@ ser AS (SELECT event_time, metric AS name, value,
 
 ORACLES["selected_series"] = f"{SERIES} SELECT event_time, name, tags_json, value FROM ser"
 
-ORACLES["series_max"] = f"""{SERIES}
+ALL_SERIES = f"""
+WITH {EV},
+ser AS (SELECT event_time, metric AS name, value, '{{"env":"dev"' || coalesce(',"k":"' || (props->>'$.k') || '"', '')
+  || CASE entity_type WHEN 'TOPIC' THEN ',"topic":"' || name || '"' WHEN 'PRINCIPAL' THEN ',"principal_id":"' || name || '"'
+    ELSE '' END || '}}' AS tags_json FROM ev)"""
+
+ORACLES["series_max"] = f"""{ALL_SERIES}
 SELECT date_trunc('hour', event_time)::TIMESTAMP AS period_start, name, tags_json, max(value) AS value
 FROM ser GROUP BY ALL"""
 
-ORACLES["series_diff"] = f"""{SERIES}
+ORACLES["series_diff"] = f"""{ALL_SERIES}
 SELECT date_trunc('hour', event_time)::TIMESTAMP AS period_start, name, tags_json,
-  round(arg_max(value, event_time) - arg_min(value, event_time), 6) AS value FROM ser GROUP BY ALL"""
+  round(arg_max(value, (event_time, value)) - arg_min(value, (event_time, value)), 6) AS value FROM ser GROUP BY ALL"""
 
 ORACLES["priced_lines"] = f"""{LF}
 SELECT start_time, end_time, name, initial_metric_name, context_json, round(value, 6) AS value,
@@ -418,6 +448,14 @@ QUALIFY row_number() OVER (PARTITION BY start_time, end_time, name ORDER BY vers
 ORACLES["stored_facts"] = f"""{LF}
 SELECT start_time, name, initial_metric_name, round(value, 6) AS value FROM lf"""
 
+ORACLES["stored_facts_range"] = f"""{LF}
+SELECT initial_metric_name, count(*) AS n, min(start_time) AS oldest, round(sum(value), 6) AS value FROM lf
+WHERE start_time >= TIMESTAMP '1996-01-01' AND end_time <= TIMESTAMP '1997-01-01' GROUP BY ALL"""
+
+ORACLES["stored_by_window_key"] = f"""{LF}
+SELECT initial_metric_name, initial_metric_name <> 'line_A_bytes' AS before, count(*) AS n,
+  round(sum(CASE WHEN initial_metric_name = 'line_A_bytes' THEN value ELSE 0 END), 6) AS value FROM lf GROUP BY ALL"""
+
 ORACLES["retention_kept"] = f"""{LF}
 SELECT initial_metric_name, count(*) AS n, min(start_time) AS oldest, round(sum(value), 6) AS value
 FROM lf WHERE epoch_ms(start_time) // 2419200000 >= epoch_ms(TIMESTAMP '1998-06-15') // 2419200000 GROUP BY ALL"""
@@ -481,7 +519,7 @@ SELECT start_time, end_time, name, initial_metric_name, row_id, round(value, 6)
 WHERE {E_RANGE} AND initial_metric_name IN ('svc_click_bytes', 'svc_error_bytes')"""
 
 ORACLES["history_series"] = f"""{LF}
-SELECT name, string_agg(strftime(start_time, '%Y%m%d'), ',' ORDER BY start_time) AS times,
+SELECT name, 0::BIGINT AS chunk, string_agg(strftime(start_time, '%Y%m%d'), ',' ORDER BY start_time) AS times,
   string_agg(CAST(value::BIGINT AS VARCHAR), ',' ORDER BY start_time) AS "values"
 FROM lf WHERE {S_RANGE} AND initial_metric_name = 'line_R_bytes' GROUP BY name"""
 
@@ -585,8 +623,15 @@ SELECT DISTINCT principal AS label FROM pg WHERE principal <> ''"""
 ORACLES["topic_access"] = f"""
 WITH {ACL},
 g AS (SELECT usr, bool_or(ar) AS can_read, bool_or(aw) AS can_write FROM a WHERE scope = '*' GROUP BY usr)
-SELECT topic, usr AS "user", can_read, can_write FROM pairs WHERE special AND (can_read OR can_write) UNION ALL
-SELECT '*', usr, can_read, can_write FROM g WHERE can_read OR can_write"""
+SELECT topic, usr AS "user", can_read, can_write FROM pairs WHERE special UNION ALL
+SELECT '*', usr, can_read, can_write FROM g"""
+
+ORACLES["access_long_prefix"] = """
+WITH t AS (SELECT DISTINCT p_brand || '.' || repeat('x', 300) || '.' || p_size AS topic, p_brand FROM part)
+SELECT 'user-' || s_suppkey AS "user", length(topic)::INTEGER AS topic_length, md5(topic) AS topic_md5, true AS can_read, false AS can_write
+FROM t JOIN supplier ON p_brand = 'Brand#' || (s_suppkey % 25 + 1) WHERE s_suppkey % 13 <> 0"""
+
+ORACLES["recalculated_rules"] = f"WITH {ACL} SELECT rule_id, regex FROM gen WHERE size % 3 <> 1"
 
 ORACLES["generated_rules"] = f"WITH {ACL} SELECT rule_id, entity_type, regex, context_json FROM gen"
 
@@ -653,7 +698,7 @@ FROM cr WHERE m IN ('retained', 'lag') GROUP BY ALL"""
 
 ORACLES["gap_filled"] = f"""{FACTS},
 h AS (SELECT coalesce({j('app')}, 'unknown') AS name, start_time AS time, sum(value) AS value FROM facts
-  WHERE {E_RANGE} AND initial_metric_name = 'svc_purchase_bytes' GROUP BY ALL),
+  WHERE {E_RANGE} GROUP BY ALL),
 g AS (SELECT name, unnest(generate_series(min(time), max(time), INTERVAL 1 HOUR)) AS time FROM h GROUP BY name)
 SELECT g.name, g.time, round(last_value(h.value IGNORE NULLS) OVER (PARTITION BY g.name ORDER BY g.time
   ROWS UNBOUNDED PRECEDING), 6) AS value, h.value IS NULL AS is_filled

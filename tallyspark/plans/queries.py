@@ -27,6 +27,7 @@ from tallyspark.operators import (
 )
 from tallyspark.plans import mapping as M
 from tallyspark.plans import metering
+from tallyspark.schemas import RULES
 from tallyspark.session import scratch_path
 from tallyspark.sources import facts as S
 from tallyspark.sources import raw as R
@@ -86,12 +87,29 @@ def corrupt_records(spark, sf):
     events = M.table(spark, sf, "events")
     head = F.concat(F.lit('{"timestamp":"'), F.unix_seconds("ts"), F.lit('","name":"x","fields":{},"tags":{}'))
     whole = F.when(F.col("event_id") % 3 == 0, F.concat(head, F.lit("}"))).otherwise(head)
-    parsed = R.parse_raw(events.select("event_type", whole.alias("value")))
-    return (
-        R.corrupt_raw(parsed)
-        .groupBy(F.lit("corrupt").alias("kind"))
-        .agg(F.count("*").alias("n"))
+    kinds = whole.alias("value"), F.concat(F.lit("events/"), "event_type").alias("source")
+    parsed = R.parse_raw(events.select(*kinds), source="source")
+    return R.corrupt_raw(parsed).groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query
+def raw_balance(spark, sf):
+    """Valid and corrupt records are all records: epoch and offset times, garbage and none at all."""
+    events = M.table(spark, sf, "events")
+    kind = F.col("event_id") % 5
+    at = (
+        F.when(kind == 0, F.unix_seconds("ts").cast("string"))
+        .when(kind == 1, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'+02:00'"))
+        .when(kind == 2, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+        .when(kind == 3, "soon")
     )
+    fields = F.create_map(F.lit("gauge"), F.col("value").cast("string"))
+    record = F.to_json(F.struct(at.alias("timestamp"), F.lit("m").alias("name"), fields.alias("fields")))
+    parsed = R.parse_raw(events.select(record.alias("value"), F.col("event_type")), source="event_type")
+    sides = R.valid_raw(parsed).withColumn("side", F.lit("valid")).unionByName(
+        R.corrupt_raw(parsed).withColumn("side", F.lit("corrupt")), allowMissingColumns=True
+    )
+    return sides.groupBy("source", "side").agg(F.count("*").alias("n"), F.max("timestamp").alias("newest"))
 
 
 @query
@@ -280,6 +298,58 @@ def labelled_at_scale(spark, sf):
     )
 
 
+def _many_rules(spark):
+    """62 rules of seven ages; every fourth entry is null, and one rule has no id."""
+    i = F.col("id")
+    no_time = F.lit(None).cast("timestamp")
+    value = F.when(i % 4 != 0, F.concat(F.lit("v"), i))
+    return spark.range(62).select(
+        F.when(i != 5, F.concat(F.lit("m"), F.lpad(i.cast("string"), 2, "0"))).alias("rule_id"),
+        F.expr("timestamp'2023-01-01' + make_interval(0, 0, 0, cast(id % 7 as int))").alias("creation_time"),
+        no_time.alias("valid_from"),
+        no_time.alias("valid_until"),
+        F.lit("TOPIC").alias("entity_type"),
+        F.concat(F.lit(".*\\.app"), i % 5, F.lit("\\..*[^a-z]")).alias("regex"),
+        F.create_map(F.concat(F.lit("k"), i % 3), value).alias("context"),
+    )
+
+
+@query
+def labelled_equal_paths(spark, sf):
+    """Many rules with null entries and ids: the inline and the joined path label alike."""
+    metrics = N.normalize(M.raw_events(spark, sf)).select("entity_type", "name", "timestamp").distinct()
+    parts = []
+    for path, most in (("inline", 63), ("joined", 0)):
+        labelled = labels.label(metrics, labels.compile_rules(_many_rules(spark), max_inline=most))
+        parts.append(labelled.withColumn("path", F.lit(path)))
+    return parts[0].unionByName(parts[1]).groupBy(
+        "path", "entity_type", "name", canonical_json(F.col("context")).alias("context_json")
+    ).agg(F.count("*").alias("n"))
+
+
+@query
+def odd_templates(spark, sf):
+    """Patterns that hide brackets in quotes or nested classes, on both paths: a template that
+    names a group the pattern lacks stays text."""
+    rows = [
+        ("q", r"\Qsa-\E([0-9]+)", "quoted", "<$1>"),
+        ("h", r"\Qsa-(\E.*|sa-.*", "hidden", "<$1>"),
+        ("n", "[s[a]]+-(.*)", "nested", "$1;$2"),
+        ("c", "[(?<x>]*sa-.*", "class", "${x}"),
+    ]
+    made = [(i, datetime(2023, 1, 1), None, None, "PRINCIPAL", rx, {k: t}) for i, rx, k, t in rows]
+    rules = spark.createDataFrame(made, RULES)
+    metrics = N.normalize(M.raw_events(spark, sf)).filter("entity_type = 'PRINCIPAL'")
+    names = metrics.select("entity_type", "name", "timestamp").distinct()
+    parts = [
+        labels.label(names, labels.compile_rules(rules, max_inline=most)).withColumn("path", F.lit(path))
+        for path, most in (("inline", 63), ("joined", 0))
+    ]
+    return parts[0].unionByName(parts[1]).groupBy(
+        "path", "name", canonical_json(F.col("context")).alias("context_json")
+    ).agg(F.count("*").alias("n"))
+
+
 @query
 def rejected_rules(spark, sf):
     """Rules whose pattern does not compile: every seventh supplier's has an open bracket."""
@@ -393,6 +463,10 @@ def _owned(spark, sf):
     return raw.withColumn("value", N.metric_value(F.col("fields")))
 
 
+def _all_series(spark, sf):
+    return M.raw_events(spark, sf).withColumn("value", N.metric_value(F.col("fields")))
+
+
 @query
 def selected_series(spark, sf):
     return _owned(spark, sf).select(
@@ -402,12 +476,12 @@ def selected_series(spark, sf):
 
 @query
 def series_max(spark, sf):
-    return windows.series_max(_owned(spark, sf), "1 hour")
+    return windows.series_max(_all_series(spark, sf), "1 hour")
 
 
 @query
 def series_diff(spark, sf):
-    rows = windows.series_diff(_owned(spark, sf), "6 hours")
+    rows = windows.series_diff(_all_series(spark, sf), "6 hours")
     return rows.withColumn("value", r6("value"))
 
 
@@ -511,6 +585,35 @@ def stored_facts(spark, sf):
     return store.read().select("start_time", "name", "initial_metric_name", r6("value").alias("value"))
 
 
+@query
+def stored_facts_range(spark, sf):
+    """A table with wide chunks, read over a range by a reader that wasn't told the width."""
+    path = scratch_path(spark, "facts")
+    store = S.FactTable(spark, path, chunk_days=56)
+    store.upsert(M.line_facts(spark, sf))
+    store.compact()
+    rows = S.FactTable(spark, path).read(datetime(1996, 1, 1), datetime(1997, 1, 1))
+    return rows.groupBy("initial_metric_name").agg(
+        F.count("*").alias("n"), F.min("start_time").alias("oldest"), r6(F.sum("value")).alias("value")
+    )
+
+
+@query
+def stored_by_window_key(spark, sf):
+    """The table keyed by window: of two versions that differ in context the later one stays."""
+    path = scratch_path(spark, "windows")
+    facts = M.line_facts(spark, sf)
+    store = S.FactTable(spark, path, key=S.WINDOW_KEY)
+    other = F.create_map(F.lit("was"), F.lit("before"))
+    store.upsert(S.to_facts(facts.withColumn("context", other).drop("context_json").withColumn("value", F.lit(0.0))))
+    store.compact()
+    store.upsert(facts.filter("initial_metric_name = 'line_A_bytes'"))
+    rows = S.FactTable(spark, path).read()
+    return rows.groupBy("initial_metric_name", F.col("context_json").contains("before").alias("before")).agg(
+        F.count("*").alias("n"), r6(F.sum("value")).alias("value")
+    )
+
+
 @query
 def retention_kept(spark, sf):
     """What remains after the chunks that ended before a cut-off are dropped."""
@@ -662,6 +765,7 @@ def history_series(spark, sf):
     day = lambda t: F.date_format(t, "yyyyMMdd")
     return series.select(
         "name",
+        "chunk",
         F.array_join(F.transform("times", day), ",").alias("times"),
         F.array_join(F.transform("values", lambda v: v.cast("bigint").cast("string")), ",").alias("values"),
     )
@@ -890,7 +994,45 @@ def _access(spark, sf):
 
 @query
 def topic_access(spark, sf):
-    return access.topic_access(*_access(spark, sf)).filter("can_read or can_write")
+    return access.topic_access(*_access(spark, sf))
+
+
+@query
+def access_long_prefix(spark, sf):
+    """Topic names and prefix rules longer than a broker would take."""
+    long = F.concat("p_brand", F.lit("."), F.repeat(F.lit("x"), F.lit(300)))
+    topics = M.table(spark, sf, "part").select(
+        F.concat(long, F.lit("."), "p_size").alias("topic")
+    ).distinct()
+    brand = F.concat(F.lit("Brand#"), F.col("s_suppkey") % 25 + 1)
+    acls = M.table(spark, sf, "supplier").select(
+        F.concat(F.lit("user-"), "s_suppkey").alias("user"),
+        F.lit("ALLOW").alias("rule_type"),
+        F.lit("topic").alias("resource_type"),
+        F.concat(brand, F.lit("."), F.repeat(F.lit("x"), F.lit(280))).alias("resource_name"),
+        F.lit("PREFIX").alias("pattern_type"),
+        F.array(F.lit("READ")).alias("operations"),
+        F.lit(None).cast("string").alias("operation"),
+    )
+    rows = access.topic_access(topics, M.users(spark, sf), acls)
+    return rows.select("user", F.length("topic").alias("topic_length"), F.md5("topic").alias("topic_md5"), "can_read", "can_write")
+
+
+@query
+def recalculated_rules(spark, sf):
+    """Rules anew from the access lists, where two of three current ones differ."""
+    config = access.AccessConfig(
+        annotation_prefix=M.ANNOTATION_PREFIX, regex_prefix="(eu-1[.])?", regex_suffix="([.]copy)?"
+    )
+    created = F.lit("2024-01-02").cast("timestamp")
+    contexts = access.topic_context(*_access(spark, sf), config)
+    current = access.generate_rules(contexts, created, config)
+    size = ctx("size").cast("int")
+    stale = current.filter(size % 3 != 2).withColumn(
+        "regex", F.when(size % 3 == 0, F.concat("regex", F.lit("?"))).otherwise(F.col("regex"))
+    )
+    rows = access.recalculate(*_access(spark, sf), stale, created, config)
+    return rows.select("rule_id", "regex")
 
 
 def _generated(spark, sf):
@@ -1021,7 +1163,7 @@ def usage_by_cluster_topic(spark, sf):
 @query
 def gap_filled(spark, sf):
     hist = history.history_grouped(
-        M.event_facts(spark, sf), M.EVENTS_FROM, M.EVENTS_TO, ["svc_purchase_bytes"], "app", 1
+        M.event_facts(spark, sf), M.EVENTS_FROM, M.EVENTS_TO, [], "app", 1
     )
     rows = panels.fill_gaps(hist, "1 hour")
     return rows.withColumn("value", r6("value"))

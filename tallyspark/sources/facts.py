@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+import functools
+import json
+from collections.abc import Sequence
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +14,6 @@ from tallyspark.functions.buckets import instant, range_or_default
 from tallyspark.functions.maps import canonical_json, json_to_map
 from tallyspark.operators.latest import latest_by_key
 from tallyspark.schemas import EXPORT, FACTS
-from tallyspark.session import scratch_path
 
 UNKNOWN_TARGET = "unknown"
 WINDOW_KEY = ["start_time", "end_time", "entity_type", "initial_metric_name", "name"]
@@ -148,18 +150,31 @@ def with_chunk(facts: DataFrame, days: int) -> DataFrame:
 
 
 class FactTable:
-    """Upsert by row id on plain files.
-
-    ``base`` holds one row per id, in one folder per chunk of days, clustered by name. Each
-    upsert adds one folder below ``delta``; writing the same version again replaces that
-    folder, so a replayed micro-batch changes nothing. Readers take the base without the
-    ids that the deltas replace, which leaves the large base unshuffled while the deltas
-    are small, plus the newest delta row per id.
+    """Upsert by key on plain files: by row id, or with ``key=WINDOW_KEY`` by window key.
+
+    A numbered manifest names the chunk width, the key and, for each chunk of days, the
+    generation of the base that holds it; the newest manifest counts. ``base`` has one row per
+    key, clustered by name. Each upsert adds one folder below ``delta``, which counts once it is
+    complete; writing the same version again replaces that folder, so a replayed micro-batch
+    changes nothing. Readers take the base without the keys that the deltas replace, which
+    leaves the large base unshuffled while the deltas are small, plus the newest delta row per
+    key. Nothing that a manifest names is ever overwritten.
     """
 
-    def __init__(self, spark: SparkSession, path: str, chunk_days: int = CHUNK_DAYS):
-        self.spark, self.path, self.chunk_days = spark, path.rstrip("/"), chunk_days
+    def __init__(
+        self,
+        spark: SparkSession,
+        path: str,
+        chunk_days: int | None = None,
+        key: Sequence[str] | None = None,
+    ):
+        self.spark, self.path = spark, path.rstrip("/")
         self.base, self.delta = f"{self.path}/base", f"{self.path}/delta"
+        stored = self._manifest()
+        self.chunk_days = stored["chunk_days"] if stored else chunk_days or CHUNK_DAYS
+        self.key = list(stored["key"] if stored else key or ["row_id"])
+        if chunk_days not in (None, self.chunk_days) or list(key or self.key) != self.key:
+            raise ValueError(f"{path} has chunks of {self.chunk_days} days and the key {self.key}")
 
     def _fs(self, path: str):
         jvm = self.spark._jvm
@@ -174,24 +189,87 @@ class FactTable:
         fs, p = self._fs(path)
         return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
+    def _delete(self, path: str) -> None:
+        fs, p = self._fs(path)
+        fs.delete(p, True)
+
+    def _manifests(self) -> list[int]:
+        names = self._children(f"{self.path}/manifest")
+        return sorted(int(n.split(".")[0]) for n in names if n.endswith(".json"))
+
+    def _manifest(self, back: int = 0) -> dict | None:
+        """The newest manifest, or the one ``back`` steps before it."""
+        numbers = self._manifests()
+        if len(numbers) <= back:
+            return None
+        fs, p = self._fs(f"{self.path}/manifest/{numbers[-1 - back]}.json")
+        stream = fs.open(p)
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def _switch(self, chunks: dict[str, int]) -> None:
+        """A new manifest; its number exists once, so of two writers the later one fails."""
+        content = {"chunk_days": self.chunk_days, "key": self.key, "chunks": chunks}
+        number = max(self._manifests(), default=0) + 1
+        fs, p = self._fs(f"{self.path}/manifest/{number}.json")
+        stream = fs.create(p, False)
+        try:
+            stream.write(bytearray(json.dumps(content, sort_keys=True).encode()))
+        finally:
+            stream.close()
+
+    def _chunks(self, back: int = 0) -> dict[str, int]:
+        """Generation of each chunk of the base."""
+        return (self._manifest(back) or {"chunks": {}})["chunks"]
+
     def versions(self) -> list[int]:
-        return sorted(
-            int(n.split("=")[1]) for n in self._children(self.delta) if n.startswith("version=")
-        )
+        """Versions whose folder is complete."""
+        names = [n for n in self._children(self.delta) if n.startswith("version=")]
+        done = [n for n in names if self._exists(f"{self.delta}/{n}/_SUCCESS")]
+        return sorted(int(n.split("=")[1]) for n in done)
+
+    def _empty(self) -> DataFrame:
+        return self.spark.createDataFrame([], _STORED)
 
-    def _read(self, path: str, start=None, end=None) -> DataFrame:
-        if not self._children(path):
-            return self.spark.createDataFrame([], _STORED)
-        df = self.spark.read.schema(_STORED).parquet(path)
+    def _base(self, start=None, end=None) -> DataFrame:
+        chunks = self._chunks()
+        if start is not None:
+            first = self._first_day(start)
+            chunks = {c: g for c, g in chunks.items() if c >= first}
+        if end is not None:
+            last = end.date().isoformat()
+            chunks = {c: g for c, g in chunks.items() if c <= last}
+        return self._base_of(chunks).filter(contained(start, end))
+
+    def _base_of(self, chunks: dict[str, int]) -> DataFrame:
+        if not chunks:
+            return self._empty()
+        paths = [f"{self.base}/generation={g}/chunk_start={c}" for c, g in sorted(chunks.items())]
+        rows = self.spark.read.schema(_STORED).option("basePath", self.base).parquet(*paths)
+        return rows.select(*_names(_STORED))
+
+    def _deltas(self, start=None, end=None) -> DataFrame:
+        paths = [f"{self.delta}/version={v}" for v in self.versions()]
+        if not paths:
+            return self._empty()
+        df = self.spark.read.schema(_STORED).option("basePath", self.delta).parquet(*paths)
         # chunk_start prunes folders; start_time and end_time prune row groups
         if start is not None:
-            df = df.filter(F.col("chunk_start") >= chunk_start(instant(start), self.chunk_days))
+            df = df.filter(F.col("chunk_start") >= F.lit(self._first_day(start)).cast("date"))
         if end is not None:
             df = df.filter(F.col("chunk_start") <= F.to_date(instant(end)))
-        return df.filter(contained(start, end))
+        return df.select(*_names(_STORED)).filter(contained(start, end))
+
+    def _first_day(self, moment: datetime) -> str:
+        day = (moment.date() - date(1970, 1, 1)).days
+        return (date(1970, 1, 1) + timedelta(days=day - day % self.chunk_days)).isoformat()
 
     def upsert(self, facts: DataFrame, version: int | None = None) -> int:
-        """Add rows (unique by id, as windows are) as one version, which replaces older ones."""
+        """Add rows (unique by key, as windows are) as one version, which replaces older ones."""
+        if not self._manifests():
+            self._switch({})
         if version is None:
             version = max(self.versions(), default=0) + 1
         rows = with_chunk(facts.select(*_names(FACTS)), self.chunk_days)
@@ -205,52 +283,84 @@ class FactTable:
         )
         return version
 
+    def _newest(self, delta: DataFrame) -> DataFrame:
+        """The newest delta row per key: a hash aggregate of versions, then an equi-join."""
+        newest = delta.groupBy(*self.key).agg(F.max("version").alias("version"))
+        return _matching(delta, newest, [*self.key, "version"], "left_semi")
+
     def read(self, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
         """Current rows; a range reads only the chunks and row groups that may hold it."""
-        base = self._read(self.base, start, end)
+        base = self._base(start, end)
         if not self.versions():
             return base.select(*_names(FACTS))
-        delta = self._read(self.delta, start, end)
-        kept = base.join(delta.select("row_id"), "row_id", "left_anti")
-        return kept.unionByName(latest_by_row_id(delta)).select(*_names(FACTS))
+        delta = self._deltas(start, end)
+        kept = _matching(base, delta, self.key, "left_anti")
+        return kept.unionByName(self._newest(delta)).select(*_names(FACTS))
 
     def compact(self) -> None:
-        """Fold the deltas into the base, rewriting only the chunks they touch.
+        """Fold the deltas into a new generation of the chunks they touch, then switch over.
 
-        Staged first: the plan never overwrites what it reads, and a failure at any point
-        leaves base and deltas that still read right, so the job can be run again.
+        Until the manifest is there, readers see base and deltas as before; after it, deltas
+        that are left over say the same as the base. So the job may fail anywhere and run again.
+        The generations of the manifest before stay for readers that have begun.
         """
         versions = self.versions()
         if not versions:
             return
-        delta = self._read(self.delta).filter(F.col("version") <= versions[-1])
-        touched = delta.select("chunk_start").distinct()
-        newest = latest_by_row_id(delta)
-        kept = (
-            self._read(self.base)
-            .join(touched, "chunk_start", "left_semi")
-            .join(delta.select("row_id"), "row_id", "left_anti")
-        )
-        staging = scratch_path(self.spark, "compaction")
-        merged = newest.unionByName(kept.select(*newest.columns))
-        merged.write.parquet(staging)
-        write_facts(self.spark.read.schema(_STORED).parquet(staging), self.base, "overwrite")
+        old = self._chunks()
+        delta = self._deltas().filter(F.col("version") <= versions[-1])
+        touched = [r[0].isoformat() for r in delta.select("chunk_start").distinct().collect()]
+        base = self._base_of({c: g for c, g in old.items() if c in touched})
+        kept = _matching(base, delta, self.key, "left_anti")
+        merged = self._newest(delta)
+        merged = merged.unionByName(kept.select(*merged.columns))
+        generation = max([*old.values(), *self._generations()], default=0) + 1
+        write_facts(merged, f"{self.base}/generation={generation}", "overwrite")
+        self._switch(old | dict.fromkeys(touched, generation))
         for v in versions:
-            fs, p = self._fs(f"{self.delta}/version={v}")
-            fs.delete(p, True)
+            self._delete(f"{self.delta}/version={v}")
+        self._sweep()
+
+    def _generations(self) -> list[int]:
+        names = [n for n in self._children(self.base) if n.startswith("generation=")]
+        return [int(n.split("=")[1]) for n in names]
+
+    def _sweep(self) -> None:
+        """Delete the chunks that neither the newest manifest nor the one before names."""
+        live = set()
+        for back in (0, 1):
+            live |= {(g, c) for c, g in self._chunks(back).items()}
+        for g in self._generations():
+            for name in self._children(f"{self.base}/generation={g}"):
+                if name.startswith("chunk_start=") and (g, name.split("=")[1]) not in live:
+                    self._delete(f"{self.base}/generation={g}/{name}")
+            if g not in {x for x, _ in live}:
+                self._delete(f"{self.base}/generation={g}")
 
     def apply_retention(self, cut_off: datetime) -> list[str]:
         """Drop the chunks that ended at or before ``cut_off``; returns their names."""
         last = (cut_off - timedelta(days=self.chunk_days)).date().isoformat()
-        dropped = []
-        roots = [self.base] + [f"{self.delta}/version={v}" for v in self.versions()]
-        for root in roots:
+        chunks = self._chunks()
+        dropped = {f"chunk_start={c}" for c in chunks if c <= last}
+        if dropped:
+            self._switch({c: g for c, g in chunks.items() if c > last})
+            for c, g in chunks.items():
+                if c <= last:
+                    self._delete(f"{self.base}/generation={g}/chunk_start={c}")
+        for v in self.versions():
+            root = f"{self.delta}/version={v}"
             for name in self._children(root):
                 if name.startswith("chunk_start=") and name.split("=")[1] <= last:
-                    fs, p = self._fs(f"{root}/{name}")
-                    fs.delete(p, True)
-                    dropped.append(name)
-        return sorted(set(dropped))
+                    self._delete(f"{root}/{name}")
+                    dropped.add(name)
+        return sorted(dropped)
+
+
+def _matching(rows: DataFrame, others: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Rows with (``left_semi``) or without (``left_anti``) a partner; a null equals a null."""
+    named = others.select(*[F.col(k).alias(f"_other_{k}") for k in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_other_{k}")) for k in keys]
+    return rows.join(named, functools.reduce(Column.__and__, same), how)
 
 
 def write_facts(

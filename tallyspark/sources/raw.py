@@ -19,10 +19,12 @@ def parse_raw(
     json_column: str = "value",
     time_unit: str = "seconds",
     event_time: Column | None = None,
+    source: str | None = None,
 ) -> DataFrame:
     """JSON text to raw rows. Unparseable records stay, with their text in ``_corrupt``, so
     that :func:`valid_raw` and :func:`corrupt_raw` can part them.
 
+    ``source`` names a column that says where a record came from; it becomes ``source``.
     ``event_time`` is the arrival time that windows use; without one it is the payload time.
     """
     body = F.from_json(
@@ -31,7 +33,8 @@ def parse_raw(
         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT},
     )
     arrival = {} if event_time is None else {"event_time": event_time}
-    parsed = compute_once(records, {"_r": body, **arrival})
+    origin = {} if source is None else {"source": F.col(source)}
+    parsed = compute_once(records, {"_r": body, **arrival, **origin})
     text = F.col("_r.timestamp")
     moment = F.coalesce(epoch_to_instant(text, time_unit), parse_instant(text))
     return parsed.withColumn("_at", moment).select(
@@ -41,15 +44,22 @@ def parse_raw(
         "_r.fields",
         "_r.tags",
         f"_r.{CORRUPT}",
+        *origin,
     )
 
 
+def _is_valid() -> Column:
+    """Whole records with a name and both instants; windows could not place any other."""
+    return F.col(CORRUPT).isNull() & F.col("name").isNotNull() & F.col("event_time").isNotNull() & F.col("timestamp").isNotNull()
+
+
 def valid_raw(parsed: DataFrame) -> DataFrame:
-    return parsed.filter(F.col(CORRUPT).isNull() & F.col("name").isNotNull()).drop(CORRUPT)
+    return parsed.filter(_is_valid()).drop(CORRUPT)
 
 
 def corrupt_raw(parsed: DataFrame) -> DataFrame:
-    return parsed.filter(F.col(CORRUPT).isNotNull() | F.col("name").isNull())
+    """Every record that :func:`valid_raw` leaves out."""
+    return parsed.filter(~_is_valid())
 
 
 def read_raw(
@@ -60,27 +70,31 @@ def read_raw(
     broker_options: dict | None = None,
     time_unit: str = "seconds",
     streaming: bool = False,
+    corrupt: bool = False,
 ) -> DataFrame:
     """Raw rows of JSON-lines files (``paths``) or of broker topics (``topics``).
 
+    With ``corrupt`` the records that are not valid instead, for a side output or a count.
+
     Several paths or topics form one stream. The broker source needs Spark's Kafka package;
     its record time becomes the event time.
     """
+    side = corrupt_raw if corrupt else valid_raw
     reader = spark.readStream if streaming else spark.read
     if topics:
         source = reader.format("kafka").option("subscribe", ",".join(topics))
         for key, value in (broker_options or {}).items():
             source = source.option(key, value)
-        return valid_raw(parse_raw(source.load(), "value", time_unit, F.col("timestamp")))
+        return side(parse_raw(source.load(), "value", time_unit, F.col("timestamp")))
     paths = [paths] if isinstance(paths, str) else list(paths or ())
     if not paths:
         raise ValueError("read_raw needs paths or topics")
     if not streaming:
-        return valid_raw(parse_raw(reader.text(paths), "value", time_unit))
+        return side(parse_raw(reader.text(paths), "value", time_unit))
     lines = reader.format("text").load(paths[0])
     for path in paths[1:]:
         lines = lines.union(spark.readStream.format("text").load(path))
-    return valid_raw(parse_raw(lines, "value", time_unit))
+    return side(parse_raw(lines, "value", time_unit))
 
 
 def read_pages(spark: SparkSession, path: str, metric_name: str, group_by: str, cluster_id: str):

@@ -20,8 +20,8 @@ from tallyspark.operators.labels import compile_rules, label
 from tallyspark.operators.pricing import price
 from tallyspark.operators.split import split_among_principals
 from tallyspark.operators.windows import window_columns, window_groups
-from tallyspark.session import prepare
-from tallyspark.sources.facts import FactTable, to_facts
+from tallyspark.session import prepare, written
+from tallyspark.sources.facts import FactTable, to_facts, to_table_friendly, write_windowed
 
 Loader = Callable[[SparkSession], DataFrame]
 
@@ -105,9 +105,15 @@ def start_windows(
     trigger: dict | None = None,
     first_version: int = 1,
     max_files: int | None = None,
+    compact_every: int = 40,
+    sinks: bool = False,
 ) -> StreamingQuery:
     """Each update of a window is priced by the newest rule and upserted into ``base/facts``.
 
+    Every ``compact_every`` batches the table is compacted. With ``sinks`` each batch also
+    writes the result stream (``base/windowed``) and its table-friendly twin
+    (``base/table_friendly``), one folder a batch, so that a replay replaces its own.
+
     The version of an upsert follows from the batch number, so a replay replaces its own
     rows. A new checkpoint needs a ``first_version`` above all versions written before.
     """
@@ -121,7 +127,14 @@ def start_windows(
     def upsert(updates: DataFrame, batch_id: int) -> None:
         session = updates.sparkSession
         priced = price(window_columns(updates), load_prices(session))
-        FactTable(session, f"{base}/facts").upsert(to_facts(priced), first_version + batch_id)
+        if sinks:
+            priced = written(priced, "windows")
+            write_windowed(priced, f"{base}/windowed/batch_id={batch_id}", "overwrite")
+            to_table_friendly(priced).write.mode("overwrite").parquet(f"{base}/table_friendly/batch_id={batch_id}")
+        table = FactTable(session, f"{base}/facts")
+        table.upsert(to_facts(priced), first_version + batch_id)
+        if batch_id % compact_every == compact_every - 1:
+            table.compact()
 
     return (
         windowed_stream(labelled, config)

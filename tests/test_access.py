@@ -32,29 +32,41 @@ def user(name, group, rs):
     return (name, {GROUP: group} if group else {}, "simple", rs)
 
 
-TOPIC = "my.topic"
+LEDGER, MENU = "bank.ledger", "bistro.menu"
 USERS = [
-    user("my-reader", "reader", allow_deny(TOPIC, "LITERAL", ["READ", "DESCRIBE"], ["WRITE", "ALTER"])),
-    user("my-writer", "writer", allow_deny(TOPIC, "LITERAL", ["WRITE", "DESCRIBE"], ["READ", "ALTER"])),
-    user("my-writer2", "writer", allow_deny(TOPIC, "LITERAL", ["WRITE"], ["READ"])),
-    user("my-describer", "describer", allow_deny(TOPIC, "PREFIX", ["DESCRIBE"], ["DELETE"])),
-    user("my-admin", "admin", allow_deny("*", "PREFIX", ["ALL"], [])),
-    user("dummy", "dummy", allow_deny("my", "PREFIX", ["READ"], ["ALL"])),
-    user("dummy2", "dummy", allow_deny("my", "PREFIX", ["READ"], ["READ"])),
-    user("dummy3", "dummy", []),
-    ("no-simple", {GROUP: "opa"}, "opa", [("ALLOW", "*", "LITERAL", ["ALL"], None)]),
+    user("ann", "tellers", [("ALLOW", "bank.", "PREFIX", ["WRITE"], None), ("DENY", LEDGER, "LITERAL", ["DELETE"], None)]),
+    user("bob", "tellers", [("DENY", LEDGER, "LITERAL", ["ALL"], None), ("ALLOW", "b", "PREFIX", ["READ"], None)]),
+    user("cat", "cooks", [("ALLOW", MENU, "LITERAL", ["ALL"], None)]),
+    user("dan", "audit", [("ALLOW", "*", "LITERAL", ["READ"], None), ("DENY", "bistro", "PREFIX", ["READ", "WRITE"], None)]),
+    user("eve", "audit", allow_deny("bank", "PREFIX", ["READ", "WRITE"], ["WRITE"])),
+    user("fay", "idle", [("ALLOW", LEDGER, "LITERAL", ["DESCRIBE"], None)]),
+    ("gus", {GROUP: "guests"}, "token", [("ALLOW", "*", "LITERAL", ["ALL"], None)]),
 ]
 
 
 def test_access_matrix(spark):
-    args = tables(spark, {TOPIC: {"metering-context/app": "shop", "x": "y"}, "hidden": {}}, USERS)
+    args = tables(spark, {LEDGER: {"metering-context/app": "books", "note": "n"}, MENU: {}, "cellar": {}}, USERS)
     got = {r.topic: r.context for r in A.topic_context(*args).collect()}
     assert got == {
-        TOPIC: {"app": "shop", "readers": "admin,reader", "writers": "admin,writer"},
-        "hidden": {"readers": "admin", "writers": "admin"},
+        LEDGER: {"app": "books", "readers": "audit", "writers": "tellers"},
+        MENU: {"readers": "cooks,tellers", "writers": "cooks"},
+        "cellar": {"readers": "audit", "writers": ""},
     }
 
 
+def test_denials_stay_beside_the_general_grant(spark):
+    topics, users, acls = tables(spark, {LEDGER: {}, MENU: {}}, USERS)
+    rows = {(r.topic, r.user): r.can_read for r in A.topic_access(topics, users, acls).collect()}
+    assert rows[("*", "dan")] is True and rows[(MENU, "dan")] is False and (LEDGER, "dan") not in rows
+
+
+def test_prefixes_of_any_length(spark):
+    long = "n" * 400
+    people = [user("ida", "g", [("ALLOW", long, "PREFIX", ["READ"], None)])]
+    topics, users, acls = tables(spark, {long + "x": {}, long[1:]: {}}, people)
+    assert [(r.topic, r.can_read) for r in A.topic_access(topics, users, acls).collect()] == [(long + "x", True)]
+
+
 def test_group_stays_while_one_member_is_not_refused(spark):
     general = [("ALLOW", "*", "LITERAL", ["READ"], None)]
     refused = [*general, ("DENY", "secret", "PREFIX", ["READ"], None)]
@@ -116,15 +128,15 @@ def test_annotations(spark):
 
 
 def test_generated_rule_and_changes(spark):
-    contexts = spark.createDataFrame([(TOPIC, {"a": "1", "b": "2"})], f"topic STRING, context {S.MAP}")
+    contexts = spark.createDataFrame([(LEDGER, {"a": "1", "b": "2"})], f"topic STRING, context {S.MAP}")
     config = A.AccessConfig(regex_prefix="(eu[.])?", regex_suffix="x?")
     rule = A.generate_rules(contexts, F.lit("2024-01-01").cast("timestamp"), config)
     row = rule.first()
-    assert (row.rule_id, row.entity_type, row.regex) == (TOPIC, "TOPIC", "(eu[.])?my[.]topicx?")
+    assert (row.rule_id, row.entity_type, row.regex) == (LEDGER, "TOPIC", "(eu[.])?bank[.]ledgerx?")
 
     def current(regex, context):
         at = "2020-01-01T00:00:00"
-        return rules(spark, [(TOPIC, at, None, None, "TOPIC", regex, context)])
+        return rules(spark, [(LEDGER, at, None, None, "TOPIC", regex, context)])
 
     same, none = current(row.regex, {"b": "2", "a": "1"}), current("z", {}).filter("false")
     assert A.changed_rules(rule, same).count() == 0
@@ -134,7 +146,7 @@ def test_generated_rule_and_changes(spark):
 
 
 def test_recalculation_publishes_once(spark):
-    args = tables(spark, {TOPIC: {}, "hidden": {}}, USERS)
+    args = tables(spark, {LEDGER: {}, "hidden": {}}, USERS)
     at = F.lit("2024-01-01").cast("timestamp")
     none = rules(spark, [("none", "2020-01-01T00:00:00", None, None, "TOPIC", "z", {})])
     first = A.recalculate(*args, none, at)

@@ -57,14 +57,52 @@ def test_compaction_leaves_other_chunks_alone(spark, tmp_path):
     rows = [(f"2024-01-0{d}T00:00:00", f"2024-01-0{d}T01:00:00", "m", d, {}, "t", "TOPIC") for d in (1, 2, 3)]
     store.upsert(facts(spark, rows))
     store.compact()
-    before = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "f/base/chunk_start=2024-01-01").iterdir()}
+    before = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "f/base/generation=1/chunk_start=2024-01-01").iterdir()}
     store.upsert(facts(spark, rows[1:]).withColumn("value", F.lit(9.0)))
     store.compact()
-    after = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "f/base/chunk_start=2024-01-01").iterdir()}
+    after = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "f/base/generation=1/chunk_start=2024-01-01").iterdir()}
     assert before == after
     assert sorted(r.value for r in store.read().collect()) == [1.0, 9.0, 9.0]
-    plan = store.read(datetime(2024, 1, 2), datetime(2024, 1, 3))._jdf.queryExecution().toString()
-    assert "PartitionFilters: [isnotnull(chunk_start" in plan
+    files = store.read(datetime(2024, 1, 2), datetime(2024, 1, 3)).inputFiles()
+    assert files and all("chunk_start=2024-01-02" in f or "chunk_start=2024-01-03" in f for f in files)
+
+
+def test_readers_know_the_width_of_the_chunks(spark, tmp_path):
+    path = str(tmp_path / "f")
+    rows = [(f"2024-01-{d:02}T00:00:00", f"2024-01-{d:02}T01:00:00", "m", d, {}, "t", "TOPIC") for d in range(1, 29)]
+    store = S.FactTable(spark, path, chunk_days=20)
+    store.upsert(facts(spark, rows))
+    store.compact()
+    assert S.FactTable(spark, path).read(datetime(2024, 1, 9), datetime(2024, 1, 20)).count() == 11
+    with pytest.raises(ValueError):
+        S.FactTable(spark, path, chunk_days=7)
+
+
+def test_a_half_written_version_does_not_count(spark, tmp_path):
+    store = S.FactTable(spark, str(tmp_path / "f"))
+    store.upsert(sample(spark, 1.0), version=1)
+    store.upsert(sample(spark, 5.0), version=2)
+    (tmp_path / "f/delta/version=2/_SUCCESS").unlink()
+    assert store.versions() == [1] and {r.value for r in store.read().collect()} == {r.value for r in sample(spark, 1.0).collect()}
+
+
+def test_compaction_that_stops_before_or_after_the_switch(spark, tmp_path, monkeypatch):
+    def stop(*_):
+        raise RuntimeError
+
+    store = S.FactTable(spark, str(tmp_path / "f"))
+    store.upsert(sample(spark, 1.0))
+    store.compact()
+    store.upsert(sample(spark, 2.0))
+    before = sorted(map(str, store.read().collect()))
+    for step in ("_switch", "_delete"):
+        with monkeypatch.context() as m:
+            m.setattr(S.FactTable, step, stop)
+            with pytest.raises(RuntimeError):
+                store.compact()
+        assert sorted(map(str, store.read().collect())) == before
+    store.compact()
+    assert sorted(map(str, store.read().collect())) == before and store.versions() == []
 
 
 def test_retention_drops_whole_chunks(spark, tmp_path):

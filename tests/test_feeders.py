@@ -17,11 +17,11 @@ def at():
 
 def test_schema_counts(spark):
     subjects = spark.createDataFrame(
-        [("t-value", 1), ("t-key", 1), ("t-value", 2), ("t-value", 2), ("u-key", 1), ("EntityType", 1)],
+        [("pears-key", 4), ("pears-value", 7), ("pears-key", 5), ("pears-key", 4), ("figs-value", 2), ("Grove", 9)],
         "subject STRING, version INT",
     )
     got = FE.schema_counts(subjects, at(), {"kafka_id": "c"}).collect()
-    assert {r.tags["topic"]: r.fields["gauge"] for r in got} == {"t": "3", "u": "1"}
+    assert {r.tags["topic"]: r.fields["gauge"] for r in got} == {"pears": "3", "figs": "1"}
     assert {r.tags["kafka_id"] for r in got} == {"c"} and got[0].name == "kafka.topic.schema.count"
 
 
@@ -32,19 +32,19 @@ def test_partition_counts(spark):
 
 
 def test_pages(spark, tmp_path):
-    point = lambda v, owner: {"timestamp": "2025-09-02T00:00:00Z", "value": v, "metric.principal_id": owner}
+    point = lambda v, owner: {"timestamp": "2021-03-14T15:00:00Z", "value": v, "metric.principal_id": owner}
     pages = [
-        {"data": [point(232623, "sa-1"), point(265531, "sa-2")], "meta": {"pagination": {"next_page_token": "x"}}},
-        {"data": [point(1, "sa-3")]},
         {"data": []},
+        {"data": [point(n * n, f"mill-{n}") for n in (3, 4)], "meta": {"pagination": {"next_page_token": "more"}}},
+        {"data": [point(0.5, "mill-9")]},
     ]
     for i, page in enumerate(pages):
         (tmp_path / f"page-{i}.json").write_text(json.dumps(page, indent=1))
     read = lambda by: read_pages(spark, str(tmp_path), "io.vendor.server/sent_bytes", by, "lkc-1")
     got = {r.tags["principal"]: r for r in FE.flatten_pages(read("metric.principal_id")).collect()}
-    assert {k: r.fields["value"] for k, r in got.items()} == {"sa-1": "232623", "sa-2": "265531", "sa-3": "1"}
-    assert got["sa-1"].name == "vendor_server_sent_bytes" and got["sa-1"].timestamp == datetime(2025, 9, 2)
-    assert got["sa-1"].tags["cluster_id"] == "lkc-1"
+    assert {k: r.fields["value"] for k, r in got.items()} == {"mill-3": "9", "mill-4": "16", "mill-9": "0.5"}
+    assert got["mill-4"].name == "vendor_server_sent_bytes" and got["mill-4"].timestamp == datetime(2021, 3, 14, 15)
+    assert got["mill-9"].tags["cluster_id"] == "lkc-1"
     assert FE.flatten_pages(read("metric.other")).count() == 0
 
 

@@ -24,32 +24,49 @@ def contexts(spark, rule_rows, names, max_inline, kind="TOPIC"):
 
 
 @both
-def test_contexts_of_all_matching_rules_merge(spark, max_inline):
-    got = contexts(
-        spark,
-        [
-            ("a", OLD, None, None, "TOPIC", "prod_.*", {"cost-unit": "my-cost-unit"}),
-            ("b", OLD, None, None, "TOPIC", ".*_v1", {"version": "v1"}),
-        ],
-        ["prod_topic_v1", "prod_topic_v2", "other"],
-        max_inline,
-    )
-    assert got == [{"cost-unit": "my-cost-unit", "version": "v1"}, {"cost-unit": "my-cost-unit"}, {}]
+def test_rules_with_different_keys_add_up(spark, max_inline):
+    floors = [(f"floor{n}", OLD, None, None, "TOPIC", f"hall{n}/.*", {"floor": str(n)}) for n in (1, 2)]
+    lamps = [("lamps", OLD, None, None, "TOPIC", ".*/lamp[0-9]", {"device": "lamp", "watts": "9"})]
+    got = contexts(spark, floors + lamps, ["hall1/lamp3", "hall2/door", "yard/lamp1", "yard/gate"], max_inline)
+    assert got == [
+        {"floor": "1", "device": "lamp", "watts": "9"},
+        {"floor": "2"},
+        {"device": "lamp", "watts": "9"},
+        {},
+    ]
 
 
 @both
-def test_newest_rule_wins_per_key(spark, max_inline):
-    older = [
-        (f"old{i:03}", f"2022-01-01T00:{i // 60:02}:{i % 60:02}", None, None, "TOPIC", "prod_.*",
-         {"cost-unit": f"u{i}", "version": f"v{i}"})
-        for i in range(50)
+def test_each_key_has_its_own_newest_rule(spark, max_inline):
+    """Rule number i sets the keys that divide i, and was made in hour i."""
+    numbers = range(2, 31)
+    rows = [
+        (f"r{i:02}", f"2023-04-{1 + i // 24:02}T{i % 24:02}:00:00", None, None, "TOPIC", f"bell({'|' if i % 2 else ''}tower)?",
+         {f"by{k}": str(i) for k in (2, 3, 5, 7) if i % k == 0})
+        for i in numbers
     ]
-    newer = [
-        ("n1", NEW, None, None, "TOPIC", "prod_.*", {"cost-unit": "new"}),
-        ("n2", NEW, None, None, "TOPIC", "prod_top.*", {"version": "newest"}),
+    last = lambda k, odd: str(max(i for i in numbers if i % k == 0 and (odd or i % 2 == 0)))
+    got = contexts(spark, rows, ["bell", "belltower"], max_inline)
+    assert got[0] == {f"by{k}": last(k, True) for k in (2, 3, 5, 7)}
+    assert got[1]["by2"] == "30" and got[1]["by5"] == "30"
+
+
+@both
+def test_null_entries_and_null_ids(spark, max_inline):
+    rows = [
+        ("a", OLD, None, None, "TOPIC", "p.*", {"k": "old", "only": None}),
+        ("b", NEW, None, None, "TOPIC", "pq", {"k": None}),
+        (None, NEW, None, None, "TOPIC", "p.*", {"j": "nameless"}),
+        ("c", NEW, None, None, "TOPIC", "pq", {"j": "named"}),
+        ("d", None, None, None, "TOPIC", "p.*", {"k": "ageless", "z": "ageless"}),
     ]
-    got = contexts(spark, older + newer, ["prod_topic", "prod_x"], max_inline)
-    assert got == [{"cost-unit": "new", "version": "newest"}, {"cost-unit": "new", "version": "v49"}]
+    got = contexts(spark, rows, ["pq", "pz"], max_inline)
+    assert got == [{"k": "old", "j": "named", "z": "ageless"}, {"k": "old", "j": "nameless", "z": "ageless"}]
+
+
+def test_inline_rules_need_a_bit_each(spark):
+    with pytest.raises(ValueError):
+        L.compile_rules(rules(spark, []), 64)
 
 
 @both
@@ -100,34 +117,46 @@ def test_match_is_full_and_ignores_ascii_case(spark, max_inline):
 
 @both
 def test_templates(spark, max_inline):
-    name = "stage_name.app_name.subject-name.v1"
-    regex = r"^([a-z0-9-_]+)\.([a-z0-9-_]+)\.([a-z0-9-_]+)\.([a-z0-9-_]+)$"
+    flight = r"([A-Z]{2})(\d+)@(?<gate>[A-F]\d)"
     got = contexts(
         spark,
         [
-            ("1", OLD, None, None, "TOPIC", regex,
-             {"stage": "$1", "app": "$2", "all": "$4-$3;$0", "none": "$5", "cash": r"\$1", "odd": "$x"}),
-            ("2", NEW, None, None, "TOPIC", r"(?<head>[^.]+)\..*", {"named": "<${head}>", "lost": "${tail}"}),
-            ("3", NEW, None, None, "TOPIC", ".*", {"twice": "x"}),
+            ("f", OLD, None, None, "TOPIC", flight,
+             {"line": "$1", "no": "#$2", "both": "$2/$1", "whole": "[$0]", "ninth": "$9", "price": r"\$2", "end": "5$"}),
+            ("g", NEW, None, None, "TOPIC", "..\\d+@(?<gate>.+)", {"at": "gate ${gate}", "who": "${pilot}"}),
+            ("t", NEW, None, None, "TOPIC", "[^#]*", {"copies": "y"}),
         ],
-        [name],
+        ["LX318@B7"],
         max_inline,
     )
     assert got == [
         {
-            "stage": "stage_name",
-            "app": "app_name",
-            "all": f"v1-subject-name;{name}",
-            "none": "$5",
-            "cash": "$1",
-            "odd": "$x",
-            "named": "<stage_name>",
-            "lost": "${tail}",
-            "twice": "xx",
+            "line": "LX",
+            "no": "#318",
+            "both": "318/LX",
+            "whole": "[LX318@B7]",
+            "ninth": "$9",
+            "price": "$2",
+            "end": "5$",
+            "at": "gate B7",
+            "who": "${pilot}",
+            "copies": "yy",
         }
     ]
 
 
+@both
+def test_brackets_that_are_no_groups(spark, max_inline):
+    """Quoted text and nested classes hold brackets; their templates stay text or fill in right."""
+    rows = [
+        ("q", OLD, None, None, "TOPIC", r"\Q(\E(.*)\Q)\E", {"inner": "<$1>", "second": "$2"}),
+        ("n", OLD, None, None, "TOPIC", r"[([x)]](.+)[)]", {"nested": "$1", "missing": "$2"}),
+        ("c", OLD, None, None, "TOPIC", r"[(?<deep>].*", {"class": "${deep}"}),
+    ]
+    (got,) = contexts(spark, rows, ["(oak)"], max_inline)
+    assert got == {"inner": "<oak>", "second": "$2", "nested": "oak", "missing": "$2", "class": "${deep}"}
+
+
 @both
 def test_bad_patterns_are_skipped_and_reported(spark, max_inline):
     table = rules(
@@ -172,11 +201,22 @@ def test_many_open_rules_join_in_blocks(spark):
 
 def test_probe_answers_for_both_types(spark):
     compiled = L.compile_rules(
-        rules(spark, [("1", OLD, None, None, "TOPIC", "(.*)-(.*)-(.*)", {"k": "$1;$2;$3"})])
+        rules(
+            spark,
+            [
+                ("1", OLD, None, None, "TOPIC", "(\\w)\\w*_(\\w+)", {"short": "$1.$2"}),
+                ("2", OLD, None, None, "PRINCIPAL", ".*_clerk", {"role": "clerk"}),
+            ],
+        )
     )
-    strings = spark.createDataFrame([("test-topic-name",)], "s STRING")
+    strings = spark.createDataFrame([("bank_clerk",), ("desk",)], "s STRING")
     got = L.probe_context(strings, compiled, F.current_timestamp()).collect()
-    assert {r.entity_type: r.context for r in got} == {"TOPIC": {"k": "test;topic;name"}, "PRINCIPAL": {}}
+    assert {(r.name, r.entity_type): r.context for r in got} == {
+        ("bank_clerk", "TOPIC"): {"short": "b.clerk"},
+        ("bank_clerk", "PRINCIPAL"): {"role": "clerk"},
+        ("desk", "TOPIC"): {},
+        ("desk", "PRINCIPAL"): {},
+    }
 
 
 def test_slots_keep_validity(spark):

@@ -24,25 +24,24 @@ def run(spark, rows, rule_rows=(), config=MeteringConfig(), price_rows=(), max_i
 
 
 def test_sum_by_default_max_when_configured(spark):
-    rows = [topic(T0, 15), topic("2024-01-01T00:10:00", 33)]
-    assert run(spark, rows)[0].value == 48
-    assert run(spark, rows, config=MeteringConfig(aggregations={"m": "max"}))[0].value == 33
+    values = [6.5, 2.0, 11.0]
+    rows = [topic(f"2024-01-01T00:{20 * i:02}:00", v) for i, v in enumerate(values)]
+    assert run(spark, rows)[0].value == sum(values)
+    assert run(spark, rows, config=MeteringConfig(aggregations={"m": "max"}))[0].value == max(values)
 
 
 def test_price_is_linear_on_the_window(spark):
-    rows = [topic(T0, 5), topic("2024-01-01T00:10:00", 5), topic(T0, 1, metric="free")]
-    got = {r.initial_metric_name: r for r in run(spark, rows, price_rows=[("m", 0.1, 0.05)])}
-    assert got["m"].cost == pytest.approx(0.6) and got["free"].cost is None
+    rows = [topic(T0, 40), topic("2024-01-01T00:59:59", 2), topic(T0, 7, metric="gift")]
+    got = {r.initial_metric_name: r for r in run(spark, rows, price_rows=[("m", 2.5, 0.25)])}
+    assert got["m"].cost == pytest.approx(2.5 + 42 * 0.25) and got["gift"].cost is None
     assert got["m"].tags == "{}"
 
 
 def test_tumbling_windows(spark):
-    rows = [topic(f"2024-01-01T{m // 60:02}:{m % 60:02}:00", i + 1) for i, m in enumerate(range(0, 90, 15))]
-    got = sorted((r.start_time, r.end_time, r.value) for r in run(spark, rows))
-    assert got == [
-        (datetime(2024, 1, 1, 0), datetime(2024, 1, 1, 1), 10.0),
-        (datetime(2024, 1, 1, 1), datetime(2024, 1, 1, 2), 11.0),
-    ]
+    minutes = [0, 59, 60, 119, 121, 300]
+    rows = [topic(f"2024-01-01T{m // 60:02}:{m % 60:02}:00", 2**i) for i, m in enumerate(minutes)]
+    got = sorted((r.start_time.hour, r.end_time.hour, r.value) for r in run(spark, rows))
+    assert got == [(0, 1, 3.0), (1, 2, 12.0), (2, 3, 16.0), (5, 6, 32.0)]
 
 
 def test_two_minute_windows(spark):

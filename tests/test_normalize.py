@@ -15,10 +15,10 @@ from tallyspark.sources.raw import corrupt_raw, parse_raw, read_pages, read_raw,
 @pytest.mark.parametrize(
     "fields, expected",
     [
-        ({"gauge": "15", "ten_min_average": "10"}, 15.0),
-        ({"counter": "15", "ten_min_average": "10"}, 15.0),
-        ({"counter": "15", "gauge": "10"}, 10.0),
-        ({"last_minute_variance": "1", "last_minute_mean": "15"}, 15.0),
+        ({"gauge": "7.25", "a_first": "80"}, 7.25),
+        ({"counter": "-3", "a_first": "80"}, -3.0),
+        ({"counter": "41", "gauge": "0.5"}, 0.5),
+        ({"z_spread": "2", "a_centre": "64"}, 64.0),
         ({}, 0.0),
         ({"gauge": "many"}, 0.0),
         ({"gauge": None, "a": "3"}, 0.0),
@@ -55,37 +55,41 @@ def test_names_and_subjects(spark):
     row = spark.range(1).select(
         N.normalize_metric_name(F.lit("io.vendor.server/sent_bytes")).alias("a"),
         N.normalize_metric_name(F.lit("a_ratio_b")).alias("b"),
-        N.subject_topic(F.lit("some-topic-name-value-key")).alias("c"),
-        N.subject_topic(F.lit("some-topic-key-value")).alias("d"),
-        N.is_topic_subject(F.lit("EntityType")).alias("e"),
+        N.subject_topic(F.lit("plum-value-key")).alias("c"),
+        N.subject_topic(F.lit("plum-key-value")).alias("d"),
+        N.is_topic_subject(F.lit("Orchard")).alias("e"),
         N.price_per_gb(F.lit("x_bytes"), F.lit(0.00000000010058284)).alias("f"),
         N.price_per_gb(F.lit("x_count"), F.lit(1.0)).alias("g"),
     ).first()
-    assert tuple(row) == ("vendor_server_sent_bytes", "a_ratb", "some-topic-name-value", "some-topic", False, 0.108, None)
+    assert tuple(row) == ("vendor_server_sent_bytes", "a_ratb", "plum-value", "plum", False, 0.108, None)
 
 
 def test_instants(spark):
     row = spark.range(1).select(
-        N.parse_instant(F.lit("2020-01-01T00:00:00Z")).alias("a"),
-        N.parse_instant(F.lit("2020-01-01 00:00")).alias("b"),
-        N.epoch_to_instant(F.lit("1704710280"), "seconds").alias("c"),
-        N.epoch_to_instant(F.lit("1630000000000"), "millis").alias("d"),
-        N.last_full_hour(F.lit("2025-09-02 01:59:59").cast("timestamp"))[0].alias("e"),
+        N.parse_instant(F.lit("1999-12-31T23:30:05.25Z")).alias("a"),
+        N.parse_instant(F.lit("1999/12/31 23:30")).alias("b"),
+        N.parse_instant(F.lit("2000-01-01T01:00:00+05:30")).alias("o"),
+        N.epoch_to_instant(F.lit("86400.5"), "seconds").alias("c"),
+        N.epoch_to_instant(F.lit("86400007"), "millis").alias("d"),
+        N.last_full_hour(F.lit("1984-02-29 13:00:00").cast("timestamp"))[0].alias("e"),
     ).first()
-    assert row.a == datetime(2020, 1, 1) and row.b is None
-    assert row.c == datetime(2024, 1, 8, 10, 38) and row.d == datetime(2021, 8, 26, 17, 46, 40)
-    assert row.e == datetime(2025, 9, 2)
+    assert row.a == datetime(1999, 12, 31, 23, 30, 5, 250000) and row.b is None
+    assert row.o == datetime(1999, 12, 31, 19, 30)
+    assert row.c == datetime(1970, 1, 2, 0, 0, 0, 500000) and row.d == datetime(1970, 1, 2, 0, 0, 0, 7000)
+    assert row.e == datetime(1984, 2, 29, 12)
 
 
 def test_raw_json(spark, tmp_path):
-    good = '{"fields":{"gauge":7794},"name":"m","tags":{"topic":"t"},"timestamp":1704710280}'
+    good = '{"timestamp":951782400,"tags":{"topic":"leap"},"name":"m","fields":{"gauge":12.5}}'
     (tmp_path / "a").write_text(f"{good}\n{{broken\n")
     (tmp_path / "b").write_text('{"fields":{},"name":"n","tags":{},"timestamp":"2024-01-01T00:00:00Z"}\n')
     rows = {r.name: r for r in read_raw(spark, [str(tmp_path / "a"), str(tmp_path / "b")]).collect()}
-    assert rows["m"].fields == {"gauge": "7794"} and rows["m"].event_time == datetime(2024, 1, 8, 10, 38)
+    assert rows["m"].fields == {"gauge": "12.5"} and rows["m"].event_time == datetime(2000, 2, 29)
     assert rows["n"].timestamp == datetime(2024, 1, 1)
     parsed = parse_raw(spark.read.text(str(tmp_path)))
     assert corrupt_raw(parsed).count() == 1 and valid_raw(parsed).count() == 2
+    (tmp_path / "b").write_text('{"name":"n","timestamp":"yesterday"}\n{"name":"n"}\n')
+    assert read_raw(spark, str(tmp_path), corrupt=True).count() == 3 and read_raw(spark, str(tmp_path)).count() == 1
     with pytest.raises(ValueError):
         read_raw(spark)
 

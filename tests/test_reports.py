@@ -14,49 +14,59 @@ from tallyspark.operators import panels as P
 T = [f"2024-01-01T{h:02}:00:00" for h in range(24)]
 
 
+# (hour, crop, field or None, tons)
+HARVEST = [
+    (0, "rye", "north", 3.0), (0, "oats", "north", 2.0), (0, "oats", None, 0.5),
+    (1, "rye", "south", 4.0), (1, "rye", None, 1.5),
+    (2, "oats", "south", 5.0),
+]
+
+
 @pytest.fixture(scope="module")
 def usage(spark):
     rows = []
-    for h, entries in {
-        0: [("web", "eu-west"), ("kafka", "eu-west"), ("kafka", None)],
-        1: [("kafka", "eu-west"), ("web", "us-east"), ("kafka", "us-east")],
-    }.items():
-        for i, (app, region) in enumerate(entries):
-            context = {"app": app, **({"region": region} if region else {})}
-            rows.append((T[h], T[h + 1], "m", 1, context, f"t{i}", "TOPIC"))
-    rows.append((T[2], T[3], "other", 4, {}, "t9", "TOPIC"))
+    for i, (h, crop, field, tons) in enumerate(HARVEST):
+        context = {"crop": crop, **({"field": field} if field else {})}
+        rows.append((T[h], T[h + 1], "tons", tons, context, f"cart{i % 4}", "TOPIC"))
+    rows.append((T[2], T[3], "rain", 8.0, {}, "gauge", "TOPIC"))
     return facts(spark, rows).cache()
 
 
-def grouped(usage, key, width=None, metrics=("m",)):
+def expected(column, width=1):
+    """Sums of HARVEST by crop (1) or field (2) and bucket."""
+    out = {}
+    for row in HARVEST:
+        key = (row[column] or "unknown", row[0] // width * width)
+        out[key] = out.get(key, 0) + row[3]
+    return out
+
+
+def grouped(usage, key, width=None, metrics=("tons",)):
     rows = HI.history_grouped(usage, ts(T[0]), ts(T[3]), metrics, key, width).collect()
     return {(r.name, r.time.hour): r.value for r in rows}
 
 
 def test_history_by_key_and_hour(usage):
-    assert grouped(usage, "app") == {("web", 0): 1, ("kafka", 0): 2, ("web", 1): 1, ("kafka", 1): 2}
-    assert grouped(usage, "region") == {
-        ("eu-west", 0): 2, ("unknown", 0): 1, ("eu-west", 1): 1, ("us-east", 1): 2,
-    }
+    assert grouped(usage, "crop") == expected(1) and grouped(usage, "field") == expected(2)
 
 
 def test_single_bucket(usage):
-    assert grouped(usage, "app", 3) == {("web", 0): 2, ("kafka", 0): 4}
+    assert grouped(usage, "crop", 3) == expected(1, 3)
     rows = HI.history_single_bucket(usage, ts(T[0]), ts(T[3]), [], "nothing").collect()
-    assert [(r.name, r.value) for r in rows] == [("unknown", 10.0)]
+    assert [(r.name, r.value) for r in rows] == [("unknown", 24.0)]
 
 
 def test_range_is_containment(usage):
     inside = HI.history(usage, ts(T[0]), ts(T[1]) - timedelta(seconds=1))
     assert inside.count() == 0
     assert HI.history(usage, ts(T[0]), ts(T[1])).count() == 3
-    assert HI.history(usage, ts(T[0]), ts(T[9]), ["other"]).count() == 1
+    assert HI.history(usage, ts(T[0]), ts(T[9]), ["rain"]).count() == 1
     assert HI.history(usage).count() == 0  # the last 30 days
 
 
 def test_series_arrays(usage):
-    got = {r.name: r for r in HI.history_series(usage, ts(T[0]), ts(T[9]), ["m"]).collect()}
-    assert got["t0"]["values"] == [1.0, 1.0] and [t.hour for t in got["t0"].times] == [0, 1]
+    got = {r.name: r for r in HI.history_series(usage, ts(T[0]), ts(T[9]), ["tons"]).collect()}
+    assert got["cart0"]["values"] == [3.0, 1.5] and [t.hour for t in got["cart0"].times] == [0, 1]
 
 
 def test_series_continue_in_chunks(spark):
@@ -67,23 +77,23 @@ def test_series_continue_in_chunks(spark):
 
 def test_totals_and_discovery(usage):
     totals = {r.initial_metric_name: r.total for r in HI.metric_totals(usage, ts(T[0]), ts(T[9])).collect()}
-    assert totals == {"m": 6.0, "other": 4.0}
+    assert totals == {"tons": 16.0, "rain": 8.0}
     names = {r.metric_name: (r.last_seen.hour, r.aggregation_type) for r in
-             D.metric_names(usage, MeteringConfig(aggregations={"other": "max"})).collect()}
-    assert names == {"m": (2, "SUM"), "other": (3, "MAX")}
-    assert [r[0] for r in D.context_keys(usage).collect()] == ["app", "region"]
-    assert {r[0] for r in D.context_values(usage, "region").collect()} == {"eu-west", "us-east"}
+             D.metric_names(usage, MeteringConfig(aggregations={"rain": "max"})).collect()}
+    assert names == {"tons": (3, "SUM"), "rain": (3, "MAX")}
+    assert [r[0] for r in D.context_keys(usage).collect()] == ["crop", "field"]
+    assert {r[0] for r in D.context_values(usage, "field").collect()} == {"north", "south"}
     assert D.tag_keys(usage).count() == 0 and D.tag_values(usage, "x").count() == 0
-    assert {tuple(r.context) for r in D.pick_context(usage, ["region"]).collect()} == {("region",), ()}
+    assert {tuple(r.context) for r in D.pick_context(usage, ["field"]).collect()} == {("field",), ()}
 
 
 def test_shares_sum_to_one(usage):
-    rows = A.share_table(usage, ts(T[0]), None, ["app", "region"]).collect()
+    rows = A.share_table(usage, ts(T[0]), None, ["crop", "field"]).collect()
     by_metric = {}
     for r in rows:
         by_metric[r.metric] = by_metric.get(r.metric, 0) + r.percentage
-    assert by_metric == {"m": pytest.approx(1), "other": pytest.approx(1)}
-    assert {(r.app, r.region) for r in rows if r.metric == "other"} == {("<unknown>", "<unknown>")}
+    assert by_metric == {"tons": pytest.approx(1), "rain": pytest.approx(1)}
+    assert {(r.crop, r.field) for r in rows if r.metric == "rain"} == {("<unknown>", "<unknown>")}
 
 
 BILL = "bill_id STRING, period_from TIMESTAMP, period_to TIMESTAMP, "
@@ -92,19 +102,19 @@ BILL = "bill_id STRING, period_from TIMESTAMP, period_to TIMESTAMP, "
 def test_bill_allocation(spark, usage):
     bills = spark.createDataFrame(
         [
-            ("b", ts(T[0]), ts(T[2]), "m", 600),
-            ("b", ts(T[0]), ts(T[2]), "other", 100),  # no usage in the period
-            ("c", ts(T[0]), ts(T[9]), "m", 0),
-            ("d", ts(T[0]), ts(T[1]), "m", 300),
+            ("b", ts(T[0]), ts(T[2]), "tons", 600),
+            ("b", ts(T[0]), ts(T[2]), "rain", 100),  # no usage in the period
+            ("c", ts(T[0]), ts(T[9]), "tons", 0),
+            ("d", ts(T[0]), ts(T[1]), "tons", 300),
         ],
         BILL + "metric STRING, cents BIGINT",
     )
-    rows = A.allocate_bill(usage, bills, ["app", "region"]).collect()
+    rows = A.allocate_bill(usage, bills, ["crop", "field"]).collect()
     assert sum(r.price for r in rows if r.bill_id == "b") == pytest.approx(600)
     assert sum(r.price for r in rows if r.bill_id == "d") == pytest.approx(300)
     assert {r.bill_id for r in rows} == {"b", "d"}
     names = sorted(r.name for r in rows if r.bill_id == "b")
-    assert names == ["<other>", "eu-west", "eu-west", "us-east", "us-east"]
+    assert names == ["<other>", "<other>", "north", "north", "south"]
     with pytest.raises(ValueError):
         A.allocate_bill(usage, bills, [])
 
@@ -130,9 +140,9 @@ def test_bill_defaults_edges_and_check(spark):
 
 
 def test_aggregated_export_has_null_cells(usage):
-    rows = {r["app"]: r for r in A.aggregated_export(usage, ts(T[0]), ts(T[9]), "app", ["m", "other"]).collect()}
-    assert rows["kafka"]["m [bytes]"] == 4.0 and rows["kafka"]["m [%]"] == 66.67
-    assert rows["kafka"]["other [bytes]"] is None and rows["unknown"]["other [%]"] == 100.0
+    rows = {r["crop"]: r for r in A.aggregated_export(usage, ts(T[0]), ts(T[9]), "crop", ["tons", "rain"]).collect()}
+    assert rows["oats"]["tons [bytes]"] == 7.5 and rows["oats"]["tons [%]"] == 46.88
+    assert rows["oats"]["rain [bytes]"] is None and rows["unknown"]["rain [%]"] == 100.0
 
 
 def test_series_shapes(spark):
