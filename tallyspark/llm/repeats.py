@@ -381,7 +381,8 @@ def repeat_digests(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     Null and empty texts have no bytes and keep none; texts under ``length`` bytes are kept whole.
     Rows that are equal in id and text count as copies of each other. Null ids stay null.
     """
-    joined = _joined(docs.withColumn("_id", F.col(id_column).cast("long")), id_column, text, ["_id"], length, trigger, max_phrases)
+    source = docs.select(F.col(id_column).cast("long").alias("_id"), F.col(text).alias("_body"))
+    joined = _joined(source, "_id", "_body", ["_id"], length, trigger, max_phrases)
     return joined.select("_id", "_text", "_spans").mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 

@@ -197,5 +197,8 @@ def first_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     """One row of each component, that of its smallest id; rows that share an id count as one. Rows without an id stay."""
     found = near_duplicates(docs, id_column, text, size=size, distance=distance)
     stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("_stays")).distinct()
-    named = docs.join(stay, F.col(id_column).cast("long") == F.col("_stays"), "left_semi").dropDuplicates([id_column])
-    return named.unionByName(docs.where(F.col(id_column).isNull()))
+    names = docs.columns
+    plain = docs.select(*(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(names)))
+    own = f"_c{names.index(id_column)}"
+    named = plain.join(stay, F.col(own).cast("long") == F.col("_stays"), "left_semi").dropDuplicates([own])
+    return named.union(plain.where(F.col(own).isNull())).toDF(*names)

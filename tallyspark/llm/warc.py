@@ -43,7 +43,10 @@ def planned(pages: DataFrame, id_column: str = "page_id", url: str = "url", html
 
 
 def record(page_id: int | None, url: str | None, payload: bytes | None, size: int, digest: str, refers_to: int | None, date: str) -> bytes:
-    """One record: a response with its payload, or a revisit with the headers alone."""
+    """One record: a response with its payload, or a revisit with the headers alone.
+
+    Spaces and control characters of a URL are percent-encoded; a null URL has no header.
+    """
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
     block = http + (payload or b"") if refers_to is None else http
     lines = [
@@ -55,7 +58,7 @@ def record(page_id: int | None, url: str | None, payload: bytes | None, size: in
         f"WARC-Payload-Digest: sha256:{digest}",
     ]
     if url is not None:
-        lines.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f%]", lambda m: f"%{ord(m[0]):02X}", url))
+        lines.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
     if refers_to is not None:
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to)}"]
     lines.append(f"Content-Length: {len(block)}")
@@ -188,10 +191,7 @@ def parsed(raw: bytes) -> tuple:
         problem = "the payload is not that of the headers"
     elif kind == "revisit" and "warc-refers-to" not in fields:
         problem = "it refers to nothing"
-    url = fields.get("warc-target-uri")
-    if url is not None:
-        url = re.sub(r"%([0-9A-F]{2})", lambda m: chr(int(m[1], 16)) if int(m[1], 16) < 128 else m[0], url)
-    return page_of(fields["warc-record-id"]), url, size, digest, kind, page_of(fields.get("warc-refers-to", "")), payload.decode("utf-8", "replace") if kind == "response" else None, problem
+    return page_of(fields["warc-record-id"]), fields.get("warc-target-uri"), size, digest, kind, page_of(fields.get("warc-refers-to", "")), payload.decode("utf-8", "replace") if kind == "response" else None, problem
 
 
 def read_records(archives: DataFrame, content: str = "content", *, with_payload: bool = True) -> DataFrame:
