@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.config import MeteringConfig
 from tallyspark.functions.maps import canonical_json, explode_non_null, json_to_map, put
+from tallyspark.session import written
 
 
 def gauge_samples(facts: DataFrame, prefix: str = "") -> DataFrame:
@@ -23,8 +24,13 @@ def gauge_samples(facts: DataFrame, prefix: str = "") -> DataFrame:
 
 def gauge_snapshot(samples: DataFrame) -> DataFrame:
     """Last value by event time per series. All series of one name carry the same tag keys,
-    missing ones as empty text."""
-    last = _last_value(samples.withColumn("tags_json", canonical_json(F.col("tags"))))
+    missing ones as empty text.
+
+    The last values are written, a row per series: they are used twice, and the samples are
+    then scanned once.
+    """
+    keyed = samples.withColumn("tags_json", canonical_json(F.col("tags")))
+    last = written(_last_value(keyed), "gauges")
     key_sets = last.select(
         "name", F.array_sort(F.map_keys(json_to_map(F.col("tags_json")))).alias("_k")
     ).distinct()

@@ -12,6 +12,7 @@ from tallyspark.config import duration_seconds
 from tallyspark.functions.buckets import instant
 from tallyspark.functions.maps import canonical_json
 from tallyspark.operators.shares import with_group_total
+from tallyspark.session import written
 
 UNKNOWN_PRINCIPAL = "unknown"
 
@@ -98,7 +99,11 @@ def label_values(gauges: DataFrame, key: str) -> DataFrame:
 
 
 def fill_gaps(hist: DataFrame, step: str = "1 hour") -> DataFrame:
-    """Every step between the first and last time of a series; gaps repeat the value before."""
+    """Every step between the first and last time of a series; gaps repeat the value before.
+
+    The history is aggregated already and used twice, so it is written first.
+    """
+    hist = written(hist, "history")
     bounds = hist.groupBy("name").agg(F.min("time").alias("_lo"), F.max("time").alias("_hi"))
     grid = bounds.select(
         "name", F.explode(F.sequence("_lo", "_hi", F.expr(f"INTERVAL {step}"))).alias("time")
