@@ -13,6 +13,7 @@ leaves at most its last bins half full.
 from __future__ import annotations
 
 import bisect
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import text_or_empty, written
+from tallyspark.llm.common import map_rows, written
 
 CAPACITY = 2048
 PER_SOURCE = 4
@@ -128,10 +129,13 @@ def packed(items: DataFrame, *, capacity: int = CAPACITY, per_source: int = PER_
     return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, PACKED)
 
 
+def item(doc_id: int | None, text: str | None, source: str | None) -> tuple:
+    """Words of a text, and as cluster the digest of the words with A-Z lower-cased; none without words."""
+    words = (text or "").encode().lower().split()
+    return doc_id, len(words), hashlib.md5(b" ".join(words), usedforsecurity=False).hexdigest() if words else None, source
+
+
 def text_items(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """Items of texts: their words, and as cluster the digest of the words, so that copies up to white space and case conflict."""
-    lower = F.translate(text_or_empty(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    plain = F.regexp_replace(lower, r"[\x20\x09-\x0D]+", " ")
-    trimmed = F.trim(plain)
-    size = F.when(trimmed == "", 0).otherwise(F.length(trimmed) - F.length(F.replace(trimmed, F.lit(" "), F.lit(""))) + 1)
-    return docs.select(F.col(id_column).alias("doc_id"), size.alias("size"), F.when(size > 0, F.md5(trimmed)).alias("cluster"), F.col(source).alias("source"))
+    """Items of texts: their words, and a cluster by which copies up to white space and case conflict."""
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(source).cast("string").alias("source"))
+    return map_rows(rows, item, ["doc_id", "text", "source"], "doc_id long, size long, cluster string, source string")
