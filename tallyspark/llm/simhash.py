@@ -11,12 +11,19 @@ row form a node that keeps the bits they share; eight nodes form a node above, a
 there are taken out below. A query adds up differences from the root down and drops a node with
 all below it once they exceed the distance. Links leave as a spanning forest, not as pairs.
 Groups beyond ``max_group`` fingerprints are cut into parts and every two parts meet in a cell.
+
+Four bits are a narrow test: texts of which 80 % of the five-word shingles are equal differ in
+about ten bits of a fingerprint over these shingles. ``similar_documents`` is for them. There, a
+fingerprint over distinct pairs of words, of which an edit touches fewer, proposes: tables of random
+bits take the place of blocks, and in each cell a text proposes its nearest one that the index
+finds. A sketch of 512 bits over the distinct shingles then decides on each proposed pair.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,11 +51,42 @@ def fingerprint(text: str | None, size: int = 4, seed: int = 42) -> tuple[int]:
     starts = [0, *(e + 1 for e in ends[:-1])]
     spans = zip(starts, ends[size - 1 :]) if len(words) >= size else [(0, len(joined))]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], seed) for a, b in spans], "<u8")
+    return (majority(np.array([digest(joined[a:b], seed) for a, b in spans], "<u8")),)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have, as a signed long."""
     counts = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 14):
         counts += np.unpackbits(hashes[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return (int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0]),)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0])
+
+
+def mixed(hashes: np.ndarray, salt: int) -> np.ndarray:
+    """Other hashes of what has these hashes."""
+    x = hashes + np.uint64(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+#: Longs in a sketch.
+SKETCH = 8
+
+
+def sketch(text: str | None, size: int = 5, proposing: int = 2) -> tuple[int, ...]:
+    """A hash of the words with A-Z lower-cased, the proposing fingerprint, and the sketch over distinct shingles."""
+    words = (text or "").encode().lower().split()
+    joined = b" ".join(words)
+    if not words:
+        return (0,) * (2 + SKETCH)
+    digest = xxhash.xxh64_intdigest
+
+    def distinct(n: int) -> np.ndarray:
+        return np.unique(np.array([digest(b" ".join(words[i : i + n])) for i in range(max(1, len(words) - n + 1))], np.uint64))
+
+    shingles = distinct(size)
+    return signed(digest(joined)), majority(distinct(proposing)), *(majority(mixed(shingles, k + 1)) for k in range(SKETCH))
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -124,8 +162,8 @@ def forest(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
     return label
 
 
-def _edges(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
-    """Rows (cell, fp) sorted by cell, in batches of whole cells."""
+def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of rows (cell, fp, ...) sorted by cell, in groups of whole cells, each in Gray order."""
     held, size = [], 0
     for batch in itertools.chain(batches, [None]):
         if batch is not None:
@@ -133,18 +171,40 @@ def _edges(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Reco
             size += batch.num_rows
         if not size or (batch is not None and size < 20_000):
             continue
-        cell, fp = (np.concatenate(c) for c in zip(*held))
-        cut = size if batch is None else int(np.searchsorted(cell, cell[-1]))
-        held, size = [[cell[cut:], fp[cut:]]], size - cut
-        if not cut:
-            continue
-        cell, codes = cell[:cut], fp[:cut].view(np.uint64)
-        order = np.lexsort((gray_rank(codes), cell))
-        cell, codes = cell[order], codes[order]
-        group = np.cumsum(np.concatenate([[True], cell[1:] != cell[:-1]])) - 1
-        label = forest(cut, GrayIndex(codes, group).links(group, distance))
-        linked = np.flatnonzero(label != np.arange(cut))
-        yield pa.RecordBatch.from_arrays([pa.array(codes[linked].view(np.int64)), pa.array(codes[label[linked]].view(np.int64))], names=["a", "b"])
+        columns = [np.concatenate(c) for c in zip(*held)]
+        cut = size if batch is None else int(np.searchsorted(columns[0], columns[0][-1]))
+        held, size = [[c[cut:] for c in columns]], size - cut
+        if cut:
+            order = np.lexsort((gray_rank(columns[1][:cut].view(np.uint64)), columns[0][:cut]))
+            yield [c[:cut][order] for c in columns]
+
+
+def _links_of(cell: np.ndarray, codes: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    group = np.cumsum(np.concatenate([[True], cell[1:] != cell[:-1]])) - 1
+    return GrayIndex(codes, group).links(group, distance)
+
+
+def _edges(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of the links in each cell."""
+    for cell, fp in _whole_cells(batches):
+        label = forest(len(cell), _links_of(cell, fp.view(np.uint64), distance))
+        linked = np.flatnonzero(label != np.arange(len(cell)))
+        yield pa.RecordBatch.from_arrays([pa.array(fp[linked]), pa.array(fp[label[linked]])], names=["a", "b"])
+
+
+def _nearest(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
+    """For each row of a cell the nearest other one within the distance, by fewest differing bits, then Gray order."""
+    for cell, fp, text in _whole_cells(batches):
+        codes, none = fp.view(np.uint64), np.iinfo(np.int64).max
+        best = np.full(len(cell), none)
+        for a, b in _links_of(cell, codes, distance):
+            differ = np.bitwise_count(codes[a] ^ codes[b]).astype(np.int64) << 32
+            np.minimum.at(best, a, differ | b)
+            np.minimum.at(best, b, differ | a)
+        found = np.flatnonzero(best != none)
+        other = text[best[found] & 0xFFFFFFFF]
+        own = text[found]
+        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(own, other)), pa.array(np.minimum(own, other))], names=["a", "b"])
 
 
 def tables(count: int, distance: int) -> list[int]:
@@ -157,19 +217,36 @@ def tables(count: int, distance: int) -> list[int]:
     return [sum(c) for c in itertools.combinations(parts, blocks - distance)]
 
 
+def random_tables(count: int, distance: int, recall: float, seed: int = 1) -> list[int]:
+    """Masks of random bits, as many as meet a pair at ``distance`` bits with the given probability.
+
+    A mask has about as many bits as numbers up to the count have, so a cell has few rows by chance.
+    """
+    size = min(32, max(8, math.ceil(math.log2(max(2, count)))))
+    met = math.comb(64 - size, distance) / math.comb(64, distance)
+    rng = random.Random(seed)
+    return [sum(1 << b for b in rng.sample(range(64), size)) for _ in range(math.ceil(math.log(1 - recall) / math.log(1 - met)))]
+
+
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprint_links(fps: DataFrame, distance: int = DISTANCE, max_group: int = 4096) -> DataFrame:
-    """(a, b): a spanning set of the links between distinct longs in column fp."""
-    masks = F.array(*(F.lit(signed(m)) for m in tables(fps.count(), distance)))
-    keyed = fps.select("fp", F.posexplode(masks).alias("part", "mask")).select("fp", F.col("part").cast("short"), F.col("fp").bitwiseAND(F.col("mask")).alias("bits"))
+def met_cells(rows: DataFrame, masks: list[int], max_group: int) -> DataFrame:
+    """The rows (with a long column fp) once for each cell in which they meet others, with the cell's hash."""
+    own = [c for c in rows.columns if c != "fp"]
+    keyed = rows.select(*own, "fp", F.posexplode(F.array(*(F.lit(signed(m)) for m in masks))).alias("part", "mask"))
+    keyed = keyed.select(*own, "fp", F.col("part").cast("short"), F.col("fp").bitwiseAND(F.col("mask")).alias("bits"))
     sizes = keyed.groupBy("part", "bits").count().where("count > 1")
     cut = F.ceil(F.col("count") / max_group)
-    own = F.pmod(F.xxhash64("fp"), cut)
-    met = keyed.join(sizes, ["part", "bits"]).select("fp", "part", "bits", own.alias("own"), F.explode(F.sequence(F.lit(0), cut - 1)).alias("other"))
-    cells = met.select(F.xxhash64("part", "bits", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "fp")
+    slot = F.pmod(F.xxhash64("fp", *own), cut)
+    met = keyed.join(sizes, ["part", "bits"]).select(*own, "fp", "part", "bits", slot.alias("own"), F.explode(F.sequence(F.lit(0), cut - 1)).alias("other"))
+    return met.select(F.xxhash64("part", "bits", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "fp", *own)
+
+
+def fingerprint_links(fps: DataFrame, distance: int = DISTANCE, max_group: int = 4096) -> DataFrame:
+    """(a, b): a spanning set of the links between distinct longs in column fp."""
+    cells = met_cells(fps.select("fp"), tables(fps.count(), distance), max_group)
     return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda b: _edges(b, distance), "a long, b long")
 
 
@@ -193,10 +270,41 @@ def _with_fingerprints(source: DataFrame, size: int) -> DataFrame:
     return map_rows(source, lambda doc_id, text: (doc_id, *fingerprint(text, size)), ["doc_id", "text"], "doc_id long, fp long")
 
 
-def first_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text", *, size: int = 4, distance: int = DISTANCE) -> DataFrame:
-    """One row of each component, that of its smallest id; rows that share an id count as one. Rows without an id stay."""
-    found = near_duplicates(docs, id_column, text, size=size, distance=distance)
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("_stays")).distinct()
+def similar_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "text", *, size: int = 5, similarity: float = 0.8, distance: int = 10, recall: float = 0.97, max_group: int = 4096) -> DataFrame:
+    """Per row: doc_id and component_id, the smallest id reached by pairs of texts that share ``similarity`` of their shingles.
+
+    Similarity is that of the sets of shingles of ``size`` words (Jaccard), estimated from sketches
+    of 512 bits, with a standard error of about 0.03; pairs at the limit count as similar. Pairs are
+    proposed through tables that meet one at ``distance - 2`` bits with the given recall. Texts of
+    equal words are always one. Null texts and texts without words are one class; null ids are never
+    the smallest.
+    """
+    source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    parts = [f"s{i}" for i in range(SKETCH)]
+    schema = ", ".join(f"{c} long" for c in ["doc_id", "text", "fp", *parts])
+    rows = written(map_rows(source, lambda doc_id, value: (doc_id, *sketch(value, size)), ["doc_id", "text"], schema), "sketches")
+    classes = written(rows.groupBy("text", "fp", *parts).agg(F.min("doc_id").alias("least")), "classes")
+    masks = random_tables(classes.count(), distance - 2, recall)
+    cells = met_cells(classes.select("text", "fp"), masks, max_group).select("cell", "fp", "text")
+    pairs = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda b: _nearest(b, distance), "a long, b long").distinct()
+    left = classes.select(F.col("text").alias("a"), *(F.col(c).alias(f"a_{c}") for c in parts))
+    right = classes.select(F.col("text").alias("b"), *(F.col(c).alias(f"b_{c}") for c in parts))
+    bits = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in parts), F.lit(0))
+    angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    limit = 64 * SKETCH * angle + 1.64 * math.sqrt(64 * SKETCH * angle * (1 - angle))
+    close = pairs.join(left, "a").join(right, "b").where(bits <= limit).select("a", "b")
+    roots = components(close).withColumnRenamed("node", "text")
+    placed = classes.select("text", "least").join(roots, "text", "left").withColumn("root", F.coalesce("root", "text"))
+    smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.select("doc_id", "text").join(placed.join(smallest, "root").select("text", "component_id"), "text").select("doc_id", "component_id")
+
+
+def first_of_each(docs: DataFrame, groups: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """Of ``docs`` one row for each component of ``groups`` (doc_id, component_id), that of its smallest id.
+
+    Rows that share an id count as one. Rows without an id stay.
+    """
+    stay = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_stays")).distinct()
     names = docs.columns
     plain = docs.select(*(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(names)))
     own = f"_c{names.index(id_column)}"

@@ -8,9 +8,9 @@ import __spark_entry__ as entry
 import pytest
 from test_repeats import brute as brute_repeats
 from test_secrets import HEX
-from test_simhash import brute_components
+from test_simhash import jaccard, shingles
 
-from tallyspark.llm import line_quality, secrets, simhash
+from tallyspark.llm import line_quality, secrets
 
 
 @pytest.fixture(scope="module")
@@ -44,11 +44,9 @@ def test_every_stage(spark, folder):
             good = {r.doc_id for r in before if not (len((r.text or "").split()) < 50 or line_quality.measured(r.text)[0][4] * 2 > len(r.text.split()))}
             assert {r.doc_id for r in out} == good and len(before) - len(good) == 4
         if i == 1:
-            label = brute_components([simhash.fingerprint(r.text)[0] for r in before])
-            least = {}
-            for r, k in zip(before, label):
-                least[k] = min(least.get(k, r.doc_id), r.doc_id)
-            assert {r.doc_id for r in out} == set(least.values()) and len(before) - len(out) >= 10
+            sets = {r.doc_id: shingles(r.text) for r in sorted(before)}
+            least = {i: min(j for j in sets if jaccard(sets[i], sets[j]) >= 0.8) for i in sets}
+            assert {r.doc_id for r in out} == set(least.values()) and len(before) - len(out) == 15
         if i == 2:
             want = {r.doc_id: w[0] - w[1] for r, w in zip(before, brute_repeats([r.text for r in before], 200))}
             assert {r.doc_id: len(r.text.encode()) for r in out} == want and sum(want.values()) < sum(len(r.text) for r in before)

@@ -92,7 +92,7 @@ def test_documents_equal_brute_force(spark):
     for r, k in zip(rows, label):
         least[k] = min(least.get(k, r.doc_id), r.doc_id)
     assert all(least[k] == r.component_id for r, k in zip(rows, label))
-    kept = {r.doc_id for r in simhash.first_of_each(docs).collect()}
+    kept = {r.doc_id for r in simhash.first_of_each(docs, simhash.near_duplicates(docs)).collect()}
     assert kept == set(least.values())
 
 
@@ -101,11 +101,66 @@ def test_odd_rows(odd):
     assert len(rows) == odd.count()
     empty = {r.component_id for r in rows if r.fp == 0}
     assert empty == {1}  # null, empty and blank texts are one component
-    kept = simhash.first_of_each(odd)
+    kept = simhash.first_of_each(odd, simhash.near_duplicates(odd))
     assert kept.columns == odd.columns
     ids = [r.doc_id for r in kept.collect()]
     assert sorted(i for i in ids if i is not None) == sorted(set(ids) - {None}) and ids.count(None) == 2
     assert simhash.near_duplicates(odd.limit(0)).collect() == []
+    similar = simhash.similar_documents(odd).collect()
+    assert len(similar) == len(rows) and {r.component_id for r in similar if r.doc_id in (1, 2, 5)} == {1}
+    assert simhash.similar_documents(odd.limit(0)).collect() == []
+
+
+def shingles(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def test_similar_documents_find_near_copies_and_leave_others(documents):
+    """Copies with a few words replaced; a passage in common is not similarity."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijk") for _ in range(rng.randint(3, 9)))
+    base = [[word() for _ in range(rng.randint(60, 400))] for _ in range(120)]
+    passage = [word() for _ in range(40)]
+    texts = [" ".join(w[:30] + passage + w[30:]) for w in base]
+    near = []
+    for w in base[:80]:
+        copy = w[:30] + passage + w[30:]
+        for i in range(10, len(copy), 60):
+            copy[i] = word()
+        near.append(" ".join(copy).upper() if len(copy) % 2 else " ".join(copy))
+    rows = {r.doc_id: r.component_id for r in simhash.similar_documents(documents(texts + near + texts[:5])).collect()}
+    pairs = [i for i in range(80) if jaccard(shingles(texts[i]), shingles(near[i])) >= 0.8]
+    assert len(pairs) > 60
+    assert sum(rows[120 + i] == i for i in pairs) >= 0.9 * len(pairs)
+    assert all(rows[i] == i for i in range(120)) and all(rows[200 + i] == i for i in range(5))
+
+
+def test_recall_on_the_given_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {r.doc_id: shingles(r.text) for r in docs.collect()}
+    place = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
+    holders = {}
+    for i, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    met = {(a, b) for ids in holders.values() for k, a in enumerate(ids) for b in ids[k + 1 :]}
+    close = [(a, b) for a, b in met if jaccard(sets[a], sets[b]) >= 0.8]
+    assert len(close) > 50 and sum(place[a] == place[b] for a, b in close) >= 0.95 * len(close)
+    alone = set(sets) - {i for a, b in met if jaccard(sets[a], sets[b]) >= 0.5 for i in (a, b)}
+    assert all(place[i] == i for i in alone)
+
+
+@pytest.mark.parametrize("count", [10, 10**5, 10**8])
+def test_random_tables_meet_as_many_as_they_say(count):
+    masks = simhash.random_tables(count, 8, 0.97)
+    rng = random.Random(count)
+    differ = [sum(1 << b for b in rng.sample(range(64), 8)) for _ in range(1000)]
+    assert sum(any(not m & d for m in masks) for d in differ) > 950
 
 
 def test_fingerprints_by_the_letter():
