@@ -81,8 +81,8 @@ def to_raw_events(events: DataFrame) -> DataFrame:
 
 EVENT_RULES = r"""
 SELECT * FROM VALUES
- ('r1', TIMESTAMP'2023-12-01', NULL, NULL, 'TOPIC', 'stage(?<n>[01])\\.(app[0-9]+)\\..+',
-  map('stage', 'tier ${n}', 'app', '$2')),
+ ('r1', TIMESTAMP'2023-12-01', NULL, NULL, 'TOPIC', 'stage([01])\\.(app[0-9]+)\\..+',
+  map('stage', 'tier $1', 'app', '$2')),
  ('r2', TIMESTAMP'2023-12-05', NULL, NULL, 'TOPIC', '.*\\.app1\\..*', map('app', 'billing')),
  ('r3', TIMESTAMP'2023-12-02', NULL, TIMESTAMP'2024-01-15', 'TOPIC', 'stage0\\..*', map('cost-unit', 'alpha')),
  ('r4', TIMESTAMP'2023-12-02', TIMESTAMP'2024-01-15', NULL, 'TOPIC', 'stage0\\..*', map('cost-unit', 'beta')),

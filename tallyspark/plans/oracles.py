@@ -721,3 +721,14 @@ FROM c GROUP BY GROUPING SETS ((period_start, unit, category), (period_start, un
 ORACLES["stream_equals_batch"] = f"""{FACTS}
 SELECT start_time, entity_type, name, initial_metric_name, context_json, round(value, 6) AS value,
   round(cost, 6) AS cost FROM facts"""
+
+ORACLES["stream_in_steps"] = f"""{FACTS}
+SELECT sink, initial_metric_name AS metric, count(*) AS n, round(sum(value), 6) AS value
+FROM facts, (VALUES ('facts'), ('table_friendly'), ('windowed')) s(sink) GROUP BY ALL"""
+
+ORACLES["paged_files"] = ORACLES["flattened_pages"]
+
+ORACLES["split_by_default_map"] = f"""{SPLIT_FACTS}
+SELECT entity_type, name, CASE initial_metric_name WHEN 'svc_click_bytes' THEN 'kafka_server_brokertopicmetrics_bytesout_total'
+  WHEN 'svc_view_bytes' THEN 'kafka_server_brokertopicmetrics_bytesin_total' ELSE initial_metric_name END AS initial_metric_name,
+  count(*) AS n, round(sum(value), 6) AS value FROM facts GROUP BY ALL"""

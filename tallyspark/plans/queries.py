@@ -10,6 +10,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspark.config import DEFAULT_SPLIT_KEYS
 from tallyspark.functions import normalize as N
 from tallyspark.functions.maps import canonical_json
 from tallyspark.operators import (
@@ -429,6 +430,20 @@ def split_facts(spark, sf):
     )
 
 
+@query
+def split_by_default_map(spark, sf):
+    """The shipped map of split keys, over metrics of the names it has."""
+    config = dataclasses.replace(M.EVENT_CONFIG, split_keys=DEFAULT_SPLIT_KEYS)
+    out, into = (f"kafka_server_brokertopicmetrics_bytes{way}_total" for way in ("out", "in"))
+    name = F.col("name")
+    renamed = F.when(name == "svc_click_bytes", out).when(name == "svc_view_bytes", into).otherwise(name)
+    raw = M.raw_events(spark, sf).withColumn("name", renamed)
+    facts = metering.usage_facts(raw, M.compiled_event_rules(spark), M.event_prices(spark), config)
+    return facts.groupBy("entity_type", "name", "initial_metric_name").agg(
+        F.count("*").alias("n"), r6(F.sum("value")).alias("value")
+    )
+
+
 # -- windows and prices ------------------------------------------------------------------
 
 
@@ -985,6 +1000,43 @@ def stream_equals_batch(spark, sf):
     )
 
 
+@query
+def stream_in_steps(spark, sf):
+    """Two runs of the stream: a window that both fill is updated, rows that come too late are
+    dropped, every batch is compacted; the newest rows of each sink, counted."""
+    base, source = scratch_path(spark, "stream"), scratch_path(spark, "arrivals")
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    cut, early = (F.lit(t).cast("timestamp_ntz") for t in ("2024-01-15 00:30:00", "2024-01-03 00:00:00"))
+    late = events.filter(F.col("ts") < early).withColumn("value", F.col("value") + 1000)
+    M.prepare(spark)
+    for rows in (events.filter(F.col("ts") < cut), events.filter(F.col("ts") >= cut).unionByName(late)):
+        rows.write.mode("append").parquet(source)
+        ST.run_available(
+            M.to_raw_events(spark.readStream.schema(events.schema).parquet(source)),
+            base,
+            M.EVENT_CONFIG,
+            load_rules=lambda s: M.event_rules(s),
+            load_prices=lambda s: M.event_prices(s),
+            sinks=True,
+            compact_every=1,
+        )
+    facts = S.FactTable(spark, f"{base}/facts").read()
+    key = ["start_time", "entity_type", "name", "metric", "context"]
+    friendly = spark.read.parquet(f"{base}/table_friendly").withColumnRenamed("initial_metric_name", "metric")
+    text = lambda c: F.get_json_object("value", f"$.{c}")
+    windowed = spark.read.parquet(f"{base}/windowed").select(
+        "batch_id", text("startTime").alias("start_time"), text("entityType").alias("entity_type"), text("name").alias("name"),
+        text("initialMetricName").alias("metric"), text("context").alias("context"), text("value").cast("double").alias("value"),
+    )
+    newest = lambda df: df.groupBy(*key).agg(F.max_by("value", "batch_id").alias("value"))
+    sinks = {"facts": facts.withColumnRenamed("initial_metric_name", "metric"), "table_friendly": newest(friendly), "windowed": newest(windowed)}
+    counted = [
+        df.groupBy("metric").agg(F.count("*").alias("n"), r6(F.sum("value")).alias("value")).withColumn("sink", F.lit(name))
+        for name, df in sinks.items()
+    ]
+    return functools.reduce(DataFrame.unionByName, counted)
+
+
 # -- feeders -----------------------------------------------------------------------------
 
 
@@ -1093,6 +1145,22 @@ def flattened_pages(spark, sf):
     )
 
 
+@query
+def paged_files(spark, sf):
+    """The same pages as saved files, one a page, read by query and put together again."""
+    path = scratch_path(spark, "pages")
+    pages = M.vendor_pages(spark, sf).select("body", "group_by")
+    pages.write.partitionBy("group_by").option("maxRecordsPerFile", 1).text(path)
+    read = [
+        R.read_pages(spark, f"{path}/group_by={by}", "io.vendor.server/sent_bytes", by, "lkc-1")
+        for by in ("metric.principal_id", "metric.topic", "metric.other", "metric.never")
+    ]
+    ok, _ = N.validate_metric_tags(feeders.flatten_pages(functools.reduce(DataFrame.unionByName, read)))
+    return N.normalize(ok, ["principal"]).groupBy("timestamp", "entity_type", "name", "initial_metric_name").agg(
+        F.count("*").alias("n"), F.sum("value").alias("value")
+    )
+
+
 # -- documented extensions ---------------------------------------------------------------
 
 

@@ -159,9 +159,10 @@ def run_available(
     load_rules: Loader,
     load_prices: Loader,
     max_files: int | None = None,
+    **window_options,
 ) -> None:
-    """Both streams over what is there now, one after the other."""
+    """Both streams over what is there now, one after the other; options as of ``start_windows``."""
     spark = prepare(raw.sparkSession)
     now = {"availableNow": True}
     start_labelling(raw, base, config, load_rules, now).awaitTermination()
-    start_windows(spark, base, config, load_prices, now, max_files=max_files).awaitTermination()
+    start_windows(spark, base, config, load_prices, now, max_files=max_files, **window_options).awaitTermination()
