@@ -16,6 +16,7 @@ from __future__ import annotations
 import functools
 import re
 import string
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import IllegalArgumentException
@@ -58,6 +59,7 @@ class CompiledRules:
     head_lengths: tuple[int, ...] = ()
     n_literal: int = 0
     n_open: int = 0
+    types: tuple[str, ...] = ()  # entity types that some rule is for
     open_patterns: tuple[tuple[str, str], ...] | None = None  # None: too many
 
     @property
@@ -203,6 +205,7 @@ def _joined(spark: SparkSession, shaped: DataFrame) -> CompiledRules:
         F.count_if(F.col("kind") == "literal").alias("n_literal"),
         F.count_if(F.col("kind") == "open").alias("n_open"),
         F.array_sort(F.collect_set(head_len)).alias("head_lengths"),
+        F.array_sort(F.collect_set("entity_type")).alias("types"),
     ).first()
     open_patterns = None
     if summary.n_open <= INLINE_PATTERNS:
@@ -225,6 +228,7 @@ def _joined(spark: SparkSession, shaped: DataFrame) -> CompiledRules:
         head_lengths=tuple(summary.head_lengths),
         n_literal=summary.n_literal,
         n_open=summary.n_open,
+        types=tuple(summary.types),
         open_patterns=open_patterns,
     )
 
@@ -298,7 +302,7 @@ def _label_inline(metrics: DataFrame, compiled: CompiledRules, at: str) -> DataF
 
 def match_rules(names: DataFrame, compiled: CompiledRules) -> DataFrame:
     """(entity_type, name) x rules that match it by type and full, case-insensitive regex."""
-    names = names.select("entity_type", "name").distinct()
+    names = names.select("entity_type", "name").filter(F.col("entity_type").isin(*compiled.types)).distinct()
     parts = []
     if compiled.n_literal:
         rules = compiled.rules.filter(F.col("kind") == "literal")
@@ -415,11 +419,22 @@ def _newest_always_valid(entries: DataFrame) -> DataFrame:
     )
 
 
+SPREAD = 1024  # join keys over which rows that can't match are spread
+
+
 def enrich(
-    metrics: DataFrame, segments: DataFrame, at: str = "timestamp", context: str = "context"
+    metrics: DataFrame,
+    segments: DataFrame,
+    at: str = "timestamp",
+    context: str = "context",
+    types: Sequence[str] | None = None,
 ) -> DataFrame:
     """Attach the context valid at column ``at``. At most one segment covers an instant, so
-    the row count stays the same; entities without a match get an empty map."""
+    the row count stays the same; entities without a match get an empty map.
+
+    Entities whose type is not in ``types`` have no segments. One of them may hold a third of
+    all rows, so they are spread over keys that match nothing.
+    """
     seg = segments.select(
         F.col("entity_type").alias("_type"),
         F.col("name").alias("_name"),
@@ -428,10 +443,18 @@ def enrich(
         F.col("context").alias("_context"),
     )
     covers = (F.col(at) >= F.col("seg_from")) & (F.col(at) < F.col("seg_until"))
-    joined = metrics.drop(context).join(
-        seg, (F.col("entity_type") == F.col("_type")) & (F.col("name") == F.col("_name")) & covers, "left"
+    metrics = metrics.drop(context)
+    by_type, by_name = F.col("entity_type"), F.col("name")
+    if types is not None:
+        plain = [c for c, t in metrics.dtypes if "map<" not in t]  # maps have no hash
+        slot = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*plain), F.lit(SPREAD)))
+        covered = by_type.isin(*types)
+        by_type, by_name = F.when(covered, by_type).otherwise(""), F.when(covered, by_name).otherwise(slot)
+    keyed = metrics.withColumns({"_by_type": by_type, "_by_name": by_name})
+    joined = keyed.join(
+        seg, (F.col("_by_type") == F.col("_type")) & (F.col("_by_name") == F.col("_name")) & covers, "left"
     )
-    return joined.withColumn(context, F.coalesce("_context", empty_map())).drop(*seg.columns)
+    return joined.withColumn(context, F.coalesce("_context", empty_map())).drop(*seg.columns, "_by_type", "_by_name")
 
 
 def label(
@@ -446,7 +469,8 @@ def label(
     """
     if compiled.inline is not None:
         return _label_inline(metrics, compiled, at)
-    return enrich(metrics, context_segments(metrics if names is None else names, compiled), at)
+    segments = context_segments(metrics if names is None else names, compiled)
+    return enrich(metrics, segments, at, types=compiled.types)
 
 
 def probe_context(strings: DataFrame, compiled: CompiledRules, at: Column) -> DataFrame:
