@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.operators.discovery import context_keys
 from tallyspark.operators.shares import with_group_total
 from tallyspark.sources.facts import contained
 
@@ -84,14 +85,16 @@ def default_bills(bills_wide: DataFrame, bill_metrics: dict | None = None) -> Da
     ).select("bill_id", "period_from", "period_to", "_line.metric", "_line.cents")
 
 
-def allocate_bill(facts: DataFrame, bills: DataFrame, keys: Sequence[str]) -> DataFrame:
+def allocate_bill(facts: DataFrame, bills: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Each bill line split over the key groups of its metric by their share of usage.
 
     A row is named by the last key; equal names are not merged. Lines without cents and
-    metrics without usage yield nothing.
+    metrics without usage yield nothing. No keys named means all keys of the facts, in
+    alphabetical order; their names, not their values, are collected.
     """
+    keys = list(keys) or [r.context_key for r in context_keys(facts).collect()]
     if not keys:
-        raise ValueError("allocation needs at least one context key")
+        raise ValueError("the facts have no context key to allocate by")
     lines = bills.filter(F.col("cents").isNotNull() & (F.col("cents") != 0)).withColumnRenamed(
         "metric", "_metric"
     )

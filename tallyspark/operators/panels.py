@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.config import duration_seconds
-from tallyspark.functions.buckets import instant
+from tallyspark.functions.buckets import instant, range_or_default
 from tallyspark.functions.maps import canonical_json
 from tallyspark.operators.shares import with_group_total
 from tallyspark.session import written
@@ -17,6 +17,11 @@ from tallyspark.session import written
 UNKNOWN_PRINCIPAL = "unknown"
 
 
+def panel_range(start: datetime | None = None, end: datetime | None = None):
+    """The range of a panel: open bounds mean the last seven days."""
+    return range_or_default(start, end, 7)
+
+
 def series_matrix(hist: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     """One row per time, one column per series; absent or 0 is null.
 

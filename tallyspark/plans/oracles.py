@@ -567,6 +567,8 @@ ORACLES["bill_lines"] = f"WITH {BILLS} SELECT bill_id, period_from, period_to, m
 ORACLES["bill_allocation"] = f"""{LF},{BILLS},{alloc(['nation', 'region'])}
 SELECT bill_id, metric, nation, region, name, round(price, 3) AS price FROM alloc"""
 
+ORACLES["bill_all_keys"] = ORACLES["bill_allocation"]
+
 ORACLES["bill_edges"] = f"""{LF},{BILLS},{alloc(['nation'])}
 SELECT bill_id, 'total' AS source, 'line_A_bytes' AS target, round(storage, 6) AS value FROM bills_wide UNION ALL
 SELECT bill_id, 'total', 'line_R_bytes', round(network_read, 6) FROM bills_wide UNION ALL

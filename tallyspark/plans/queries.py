@@ -877,6 +877,14 @@ def bill_allocation(spark, sf):
     return rows.withColumn("price", F.round("price", 3))
 
 
+@query
+def bill_all_keys(spark, sf):
+    """No keys named: the bills by every key that the facts have."""
+    _, bills = _bills(spark, sf)
+    rows = allocation.allocate_bill(M.line_facts(spark, sf), bills)
+    return rows.withColumn("price", F.round("price", 3))
+
+
 @query
 def bill_edges(spark, sf):
     wide, bills = _bills(spark, sf)

@@ -115,8 +115,16 @@ def test_bill_allocation(spark, usage):
     assert {r.bill_id for r in rows} == {"b", "d"}
     names = sorted(r.name for r in rows if r.bill_id == "b")
     assert names == ["<other>", "<other>", "north", "north", "south"]
+    by_all = A.allocate_bill(usage, bills).collect()
+    assert sorted(map(str, by_all)) == sorted(map(str, rows))
     with pytest.raises(ValueError):
-        A.allocate_bill(usage, bills, [])
+        A.allocate_bill(usage.filter("initial_metric_name = 'rain'"), bills)
+
+
+def test_panels_show_a_week_unless_told(usage):
+    start, end = P.panel_range(None, None)
+    assert end - start == timedelta(days=7)
+    assert P.panel_range(ts(T[0]), ts(T[1])) == (ts(T[0]), ts(T[1]))
 
 
 def test_bill_defaults_edges_and_check(spark):
