@@ -134,4 +134,27 @@ ORACLES = {
                NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND gone <= 0.6 * n_words AS kept
         FROM counts
     """,
+    "op7_repeats": """
+        WITH d AS (
+            SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+        ), strings AS (
+            SELECT doc_id, i, hash(substr(h, 2 * i + 1, 400)) AS k
+            FROM (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - 199, 0))) AS i FROM d)
+        ), repeated AS (
+            SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before
+            FROM (SELECT *, count(*) OVER (PARTITION BY k) AS c FROM strings) WHERE c > 1
+        ), runs AS (
+            SELECT doc_id, min(i) AS a, max(i) + 200 AS b
+            FROM (SELECT *, sum(CASE WHEN i - before <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM repeated)
+            GROUP BY doc_id, run
+        ), gaps AS (
+            SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS e FROM runs
+        ), cut AS (
+            SELECT doc_id, sum(b - a) AS n, count(*) AS runs, max(b) AS last, string_agg(substr(h, 2 * e + 1, 2 * (a - e)), '' ORDER BY a) AS head
+            FROM gaps JOIN d USING (doc_id) GROUP BY doc_id
+        )
+        SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(runs, 0) AS n_spans,
+               sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+        FROM d LEFT JOIN cut USING (doc_id)
+    """,
 }

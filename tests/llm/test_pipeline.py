@@ -72,7 +72,7 @@ def test_registered(spark):
     assert pipeline.ORACLE_SQL is None and "pipeline" not in entry.oracle_sql()
 
 
-@pytest.mark.parametrize("name", ["op5_warc", "op6_quality"])
+@pytest.mark.parametrize("name", ["op5_warc", "op6_quality", "op7_repeats"])
 def test_sql(spark, name):
     from oracle import compare, duck
 
