@@ -127,14 +127,28 @@ def _group_names(spark: SparkSession, pattern: str) -> list[str]:
     return [n for n in found if _compiled(spark, rf"(?:{pattern})\k<{n}>") is not None]
 
 
-def _shape_facts(spark: SparkSession, shapes) -> DataFrame:
+_FACTS = "good BOOLEAN, n_groups INT, names ARRAY<STRING>"
+
+
+def _shape_facts(spark: SparkSession, shapes) -> list[tuple]:
     """(_shape, good, n_groups, names) of each distinct shape, from the compiled pattern."""
     rows = []
     for shape in shapes:
         pattern = _compiled(spark, shape)
         groups = pattern.matcher("").groupCount() if pattern is not None else 0
         rows.append((shape, pattern is not None, groups, _group_names(spark, shape) if pattern is not None else []))
-    return spark.createDataFrame(rows, "_shape STRING, good BOOLEAN, n_groups INT, names ARRAY<STRING>")
+    return rows
+
+
+def _constant(facts: list[tuple]) -> Column:
+    """The facts of a row's shape, looked up in a constant: no job for a small rule set."""
+    if not facts:
+        return F.lit(None).cast(f"STRUCT<{_FACTS}>")
+    rows = []
+    for shape, good, n_groups, names in facts:
+        texts = F.array(*map(F.lit, names)).cast("array<string>")
+        rows += [F.lit(shape), F.struct(F.lit(good).alias("good"), F.lit(n_groups).alias("n_groups"), texts.alias("names"))]
+    return F.create_map(*rows)[F.col("_shape")]
 
 
 def compile_rules(rules: DataFrame, max_inline: int = INLINE_RULES) -> CompiledRules:
@@ -152,7 +166,7 @@ def compile_rules(rules: DataFrame, max_inline: int = INLINE_RULES) -> CompiledR
     first = shaped.limit(max_inline + 1).collect()
     if len(first) <= max_inline:
         facts = _shape_facts(spark, sorted({r._shape for r in first if r.kind != "literal"}))
-        good, rejected = _checked(shaped, facts)
+        good, rejected = _checked(shaped.withColumn("_facts", _constant(facts)))
         rows = good.withColumns({c: F.unix_micros(c) for c in instants}).collect()
         rows.sort(key=_age)
         bounds = {t for r in rows for t in (r.valid_from, r.valid_until)}
@@ -166,14 +180,13 @@ def _age(rule) -> tuple:
     return at is not None, at or 0, rule_id is not None, rule_id or ""
 
 
-def _checked(shaped: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _checked(shaped: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rules with the columns matching needs, rejected ones). A literal always compiles."""
-    joined = shaped.join(facts, "_shape", "left")
-    is_good = (F.col("kind") == "literal") | F.coalesce("good", F.lit(False))
-    names = F.coalesce("names", F.array().cast("array<string>"))
-    n_groups = F.coalesce("n_groups", F.lit(0))
+    is_good = (F.col("kind") == "literal") | F.coalesce("_facts.good", F.lit(False))
+    names = F.coalesce("_facts.names", F.array().cast("array<string>"))
+    n_groups = F.coalesce("_facts.n_groups", F.lit(0))
     regex = F.col("regex")
-    good = joined.filter(is_good).select(
+    good = shaped.filter(is_good).select(
         "rule_id",
         "creation_time",
         F.coalesce("valid_from", F.lit(EARLIEST).cast("timestamp")).alias("valid_from"),
@@ -192,14 +205,16 @@ def _checked(shaped: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame]
         "kind",
         "match_key",
     )
-    return good, joined.filter(~is_good).select("rule_id", "regex")
+    return good, shaped.filter(~is_good).select("rule_id", "regex")
 
 
 def _joined(spark: SparkSession, shaped: DataFrame) -> CompiledRules:
     shaped = written(shaped, "rules")  # one snapshot: counts and rows belong together
     shapes = shaped.filter(F.col("kind") != "literal").select("_shape").distinct()
     facts = _shape_facts(spark, (r._shape for r in shapes.toLocalIterator()))
-    good, rejected = _checked(shaped, facts)
+    table = spark.createDataFrame(facts, f"_shape STRING, {_FACTS}")
+    looked_up = table.select("_shape", F.struct("good", "n_groups", "names").alias("_facts"))
+    good, rejected = _checked(shaped.join(looked_up, "_shape", "left"))
     head_len = F.when(F.col("kind") == "head", F.length("match_key"))
     summary = good.agg(
         F.count_if(F.col("kind") == "literal").alias("n_literal"),
