@@ -30,9 +30,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: Bytes of hex letters become "h"; a long run of them is then found by plain search.
 HEX_MARKS, HEX_RUN = bytes(104 if c in b"0123456789abcdef" else 32 for c in range(256)), b"h" * 24
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-IDENTIFIER = re.compile(r"""(?<![A-Za-z0-9])(?:access[_-]?key(?:[_-]?id)?|client[_-]?id|account|user(?:name)?|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@+/_.-]{3,128})""", re.I | re.A)
-WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])")
-ENDPOINT = re.compile(r"""(?<![A-Za-z0-9])(?:[a-z][a-z0-9+]{1,15}://[^\s"'<>|]{3,256}|(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:_-]{3,128})""", re.I | re.A)
+IDENTIFIER = re.compile(r"""(?<![A-Za-z0-9])(?:access[_-]?key(?:[_-]?id)?|client[_-]?id|account|user(?:name)?|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@+/_.-]{3,})""", re.I | re.A)
+WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])")
+ENDPOINT = re.compile(r"""(?<![A-Za-z0-9])(?:[a-z][a-z0-9+]{1,15}://[^\s"'<>|]{3,}|(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:_-]{3,})""", re.I | re.A)
 BLANK = re.compile(r"\n[ \t\r]*\n")
 
 

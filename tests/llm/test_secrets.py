@@ -72,6 +72,17 @@ def test_scopes_and_reach():
     assert 2 <= len(kinds(many)) < 40  # only those in reach
 
 
+def test_long_parts_are_taken_whole():
+    """Nothing of a value of several hundred characters stays."""
+    key, name, host = WEAK * 12 + "==", "u" * 300, "https://vault.example.com/" + "path/" * 120 + "end"
+    assert kinds(f"user = maria with {key}") == [("identifier", "user = maria"), ("weak_secret", key)]
+    assert kinds(f"user = {name} with {WEAK}") == [("identifier", f"user = {name}"), ("weak_secret", WEAK)]
+    assert kinds(f"{key} at {host}") == [("weak_secret", key), ("endpoint", host)]
+    assert kinds(f"{WEAK} at host = {name}") == [("weak_secret", WEAK), ("endpoint", f"host = {name}")]
+    assert secrets.without_spans(f"a user = {name} {key} {host} b") == "a [SECRET] [SECRET] [SECRET] b"
+    assert kinds(f"user = maria {WEAK * 20_000}===") == []  # no valid end, found in linear time
+
+
 def test_redaction_keeps_the_rest(documents):
     text = f"é a token = \"{HEX}\" b user = maria {WEAK} c"
     docs = documents([text, "nothing here", None])
