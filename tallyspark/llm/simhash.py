@@ -13,10 +13,11 @@ all below it once they exceed the distance. Links leave as a spanning forest, no
 Groups beyond ``max_group`` fingerprints are cut into parts and every two parts meet in a cell.
 
 Four bits are a narrow test: texts of which 80 % of the five-word shingles are equal differ in
-about ten bits of a fingerprint over these shingles. ``similar_documents`` is for them. There, a
-fingerprint over distinct pairs of words, of which an edit touches fewer, proposes: tables of random
-bits take the place of blocks, and in each cell a text proposes its nearest one that the index
-finds. A sketch of 512 bits over the distinct shingles then decides on each proposed pair.
+about ten bits of a fingerprint over these shingles. ``similar_documents`` is for them. There, cells
+are keys over the least hashes of the shingles, which texts share as often as they share shingles,
+wherever an edit lies. Within a cell a sketch of 512 bits over the distinct shingles loosely tells
+which texts may be similar, every pair included, and links leave as a forest. Each group of possible
+links then meets once with its texts, where the shingles themselves decide.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from __future__ import annotations
 import itertools
 import math
 import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -70,23 +71,48 @@ def mixed(hashes: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-#: Longs in a sketch.
-SKETCH = 8
+#: Longs in a sketch, and standard errors by which its test is wider than the similarity.
+SKETCH, WIDER = 8, 8
+#: Least hashes in the key of a cell, and shingles that a part of a group may hold.
+LEAST, MAX_SHINGLES = 5, 1 << 22
 
 
-def sketch(text: str | None, size: int = 5, proposing: int = 2) -> tuple[int, ...]:
-    """A hash of the words with A-Z lower-cased, the proposing fingerprint, and the sketch over distinct shingles."""
-    words = (text or "").encode().lower().split()
-    joined = b" ".join(words)
-    if not words:
-        return (0,) * (2 + SKETCH)
+def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
+    """Hashes of the distinct shingles, sorted; all words are one shingle if they are fewer than its size."""
     digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(b" ".join(words[i : i + size])) for i in range(max(1, len(words) - size + 1))], np.uint64))
+
+
+def text_hash(words: list[bytes]) -> int:
+    return signed(xxhash.xxh64_intdigest(b" ".join(words))) if words else 0
+
+
+def keys_needed(similarity: float, loss: float) -> int:
+    """Keys of which two texts of that similarity share none with the probability ``loss``."""
+    met = similarity**LEAST
+    return 1 if met >= 1 else math.ceil(math.log(loss) / math.log(1 - met))
+
+
+def least_keys(shingles: np.ndarray, count: int) -> np.ndarray:
+    """Keys over the least of the shingles under random orders, LEAST orders to a key."""
+    factors = mixed(np.arange(1, count * LEAST + 1, dtype=np.uint64), 99)[:, None] | np.uint64(1)
+    least = np.full(count * LEAST, ~np.uint64(0))
+    for i in range(0, len(shingles), 1 << 12):
+        least = np.minimum(least, (shingles[i : i + (1 << 12)] * factors).min(axis=1))
+    keys = np.zeros(count, np.uint64)
+    for k, column in enumerate(least.reshape(count, LEAST).T):
+        keys = mixed(keys ^ column, k + 1)
+    return keys
 
-    def distinct(n: int) -> np.ndarray:
-        return np.unique(np.array([digest(b" ".join(words[i : i + n])) for i in range(max(1, len(words) - n + 1))], np.uint64))
 
-    shingles = distinct(size)
-    return signed(digest(joined)), majority(distinct(proposing)), *(majority(mixed(shingles, k + 1)) for k in range(SKETCH))
+def sketch(text: str | None, size: int = 5, keys: int = 1) -> tuple[int, ...]:
+    """A hash of the words with A-Z lower-cased, the number of distinct shingles, the sketch over them, and their keys."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return (0,) * (2 + SKETCH + keys)
+    shingles = shingle_hashes(words, size)
+    bits = (majority(mixed(shingles, k + 1)) for k in range(SKETCH))
+    return text_hash(words), len(shingles), *bits, *map(int, least_keys(shingles, keys).view(np.int64))
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -192,19 +218,70 @@ def _edges(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([pa.array(fp[linked]), pa.array(fp[label[linked]])], names=["a", "b"])
 
 
-def _nearest(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
-    """For each row of a cell the nearest other one within the distance, by fewest differing bits, then Gray order."""
-    for cell, fp, text in _whole_cells(batches):
-        codes, none = fp.view(np.uint64), np.iinfo(np.int64).max
-        best = np.full(len(cell), none)
-        for a, b in _links_of(cell, codes, distance):
-            differ = np.bitwise_count(codes[a] ^ codes[b]).astype(np.int64) << 32
-            np.minimum.at(best, a, differ | b)
-            np.minimum.at(best, b, differ | a)
-        found = np.flatnonzero(best != none)
-        other = text[best[found] & 0xFFFFFFFF]
-        own = text[found]
-        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(own, other)), pa.array(np.minimum(own, other))], names=["a", "b"])
+def spread(count: int, near: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The first place that each place reaches by links; ``near`` tests one place against others, and no place is left untested."""
+    label, todo = np.arange(count), np.arange(count)
+    while len(todo):
+        root, todo = todo[0], todo[1:]
+        queue = [root]
+        while queue and len(todo):
+            found = near(queue.pop(), todo)
+            if found.any():
+                label[todo[found]] = root
+                queue.extend(todo[found])
+                todo = todo[~found]
+    return label
+
+
+def _maybe_similar(batches: Iterator[pa.RecordBatch], limit: float) -> Iterator[pa.RecordBatch]:
+    """In each cell a spanning forest of all pairs whose sketches differ in no more bits than the limit."""
+    for cell, _, text, *parts in _whole_cells(batches):
+        bits = np.stack(parts, axis=1).view(np.uint64)
+        near = lambda x, others: np.bitwise_count(bits[x] ^ bits[others]).sum(axis=1, dtype=np.int64) <= limit  # noqa: B023, E731
+        start = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        sizes = np.diff(np.append(start, len(cell)))
+        first = np.repeat(start, sizes)
+        linked = near(first, np.arange(len(cell)))
+        label = np.where(linked, first, np.arange(len(cell)))
+        # With all rows near the first one, or two rows, a cell is done.
+        for a, n in zip(start, sizes):
+            if n > 2 and not linked[a : a + n].all():
+                label[a : a + n] = a + spread(n, lambda x, others: near(a + x, a + others))  # noqa: B023
+        found = np.flatnonzero(label != np.arange(len(cell)))
+        yield pa.RecordBatch.from_arrays([pa.array(text[found]), pa.array(text[label[found]])], names=["a", "b"])
+
+
+def similar_places(shingles: list[np.ndarray], similarity: float) -> np.ndarray:
+    """The first place that each place reaches by pairs of at least that Jaccard similarity, counted exactly."""
+    sizes = np.array([len(x) for x in shingles])
+    numbers = np.unique(np.concatenate(shingles), return_inverse=True)[1]
+    own = np.split(numbers, np.cumsum(sizes)[:-1])
+    mark, held = np.zeros(len(numbers), bool), (None, None, None)
+
+    def near(x: int, others: np.ndarray) -> np.ndarray:
+        nonlocal held
+        if held[0] is not others:
+            held = others, np.concatenate([own[i] for i in others]), np.concatenate([[0], np.cumsum(sizes[others])[:-1]])
+        mark[own[x]] = True
+        both = np.add.reduceat(mark[held[1]], held[2], dtype=np.int64)
+        mark[own[x]] = False
+        return both / (sizes[x] + sizes[others] - both) >= similarity
+
+    return spread(len(shingles), near)
+
+
+def _similar(batches: Iterator[pa.RecordBatch], size: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Of rows (cell, text, value) sorted by cell, a spanning forest of the similar texts in each cell."""
+    rows = (row for batch in batches for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)))
+    edges: list[tuple[int, int]] = []
+    out = lambda: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*edges) if edges else ([], []))], names=["a", "b"])
+    for _, members in itertools.groupby(rows, lambda r: r[0]):
+        texts, shingles = zip(*((text, shingle_hashes(value.as_py().encode().lower().split(), size)) for _, text, value in members))
+        edges += [(texts[i], texts[k]) for i, k in enumerate(similar_places(shingles, similarity)) if i != k]
+        if len(edges) > 10_000:
+            yield out()
+            edges = []
+    yield out()
 
 
 def tables(count: int, distance: int) -> list[int]:
@@ -237,11 +314,15 @@ def met_cells(rows: DataFrame, masks: list[int], max_group: int) -> DataFrame:
     own = [c for c in rows.columns if c != "fp"]
     keyed = rows.select(*own, "fp", F.posexplode(F.array(*(F.lit(signed(m)) for m in masks))).alias("part", "mask"))
     keyed = keyed.select(*own, "fp", F.col("part").cast("short"), F.col("fp").bitwiseAND(F.col("mask")).alias("bits"))
-    sizes = keyed.groupBy("part", "bits").count().where("count > 1")
-    cut = F.ceil(F.col("count") / max_group)
-    slot = F.pmod(F.xxhash64("fp", *own), cut)
-    met = keyed.join(sizes, ["part", "bits"]).select(*own, "fp", "part", "bits", slot.alias("own"), F.explode(F.sequence(F.lit(0), cut - 1)).alias("other"))
-    return met.select(F.xxhash64("part", "bits", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "fp", *own)
+    sizes = keyed.groupBy("part", "bits").count().where("count > 1").select("part", "bits", F.ceil(F.col("count") / max_group).alias("cut"))
+    return dealt_cells(keyed, sizes, ["fp", *own])
+
+
+def dealt_cells(keyed: DataFrame, sizes: DataFrame, own: list[str]) -> DataFrame:
+    """The rows whose part and bits are in ``sizes`` with the cell's hash; with more than one cut, once for each cell of two cuts."""
+    slot = F.pmod(F.xxhash64(*own), F.col("cut"))
+    met = keyed.join(sizes, ["part", "bits"]).select(*own, "part", "bits", slot.alias("own"), F.explode(F.sequence(F.lit(0), F.col("cut") - 1)).alias("other"))
+    return met.select(F.xxhash64("part", "bits", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), *own)
 
 
 def fingerprint_links(fps: DataFrame, distance: int = DISTANCE, max_group: int = 4096) -> DataFrame:
@@ -270,35 +351,44 @@ def _with_fingerprints(source: DataFrame, size: int) -> DataFrame:
     return map_rows(source, lambda doc_id, text: (doc_id, *fingerprint(text, size)), ["doc_id", "text"], "doc_id long, fp long")
 
 
-def similar_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "text", *, size: int = 5, similarity: float = 0.8, distance: int = 10, recall: float = 0.97, max_group: int = 4096) -> DataFrame:
+def similar_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "text", *, size: int = 5, similarity: float = 0.8, loss: float = 1e-5, max_group: int = 4096) -> DataFrame:
     """Per row: doc_id and component_id, the smallest id reached by pairs of texts that share ``similarity`` of their shingles.
 
-    Similarity is that of the sets of shingles of ``size`` words (Jaccard), estimated from sketches
-    of 512 bits, with a standard error of about 0.03; pairs at the limit count as similar. Pairs are
-    proposed through tables that meet one at ``distance - 2`` bits with the given recall. Texts of
-    equal words are always one. Null texts and texts without words are one class; null ids are never
-    the smallest.
+    Similarity is that of the sets of shingles of ``size`` words (Jaccard), counted exactly on
+    64-bit hashes; pairs at the limit count as similar. A pair at the limit is proposed but for a
+    probability of ``loss``, a closer one yet more surely. Texts of equal words are always one. Null
+    texts and texts without words are one class; null ids are never the smallest.
     """
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    parts = [f"s{i}" for i in range(SKETCH)]
-    schema = ", ".join(f"{c} long" for c in ["doc_id", "text", "fp", *parts])
-    rows = written(map_rows(source, lambda doc_id, value: (doc_id, *sketch(value, size)), ["doc_id", "text"], schema), "sketches")
-    classes = written(rows.groupBy("text", "fp", *parts).agg(F.min("doc_id").alias("least")), "classes")
-    masks = random_tables(classes.count(), distance - 2, recall)
-    cells = met_cells(classes.select("text", "fp"), masks, max_group).select("cell", "fp", "text")
-    pairs = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda b: _nearest(b, distance), "a long, b long").distinct()
-    left = classes.select(F.col("text").alias("a"), *(F.col(c).alias(f"a_{c}") for c in parts))
-    right = classes.select(F.col("text").alias("b"), *(F.col(c).alias(f"b_{c}") for c in parts))
-    bits = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in parts), F.lit(0))
+    count = keys_needed(similarity, loss)
+    parts, keys = [f"s{i}" for i in range(SKETCH)], [f"k{i}" for i in range(count)]
+    schema = ", ".join(f"{c} long" for c in ["doc_id", "text", "n", *parts, *keys])
+    rows = written(map_rows(source, lambda doc_id, value: (doc_id, *sketch(value, size, count)), ["doc_id", "text"], schema), "sketches")
+    classes = written(rows.groupBy("text", "n", *parts, *keys).agg(F.min("doc_id").alias("least")), "classes")
+    keyed = classes.where("n > 0").select("text", F.posexplode(F.array(*keys)).alias("part", "bits"))
+    sizes = keyed.groupBy("part", "bits").count().where("count > 1").select("part", "bits", F.ceil(F.col("count") / max_group).alias("cut"))
+    cells = dealt_cells(keyed, sizes, ["text"]).join(classes.select("text", *parts), "text").select("cell", F.col("s0").alias("order"), "text", *parts)
     angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    limit = 64 * SKETCH * angle + 1.64 * math.sqrt(64 * SKETCH * angle * (1 - angle))
-    close = pairs.join(left, "a").join(right, "b").where(bits <= limit).select("a", "b")
+    limit = 64 * SKETCH * angle + WIDER * math.sqrt(64 * SKETCH * angle * (1 - angle))
+    maybe = components(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda b: _maybe_similar(b, limit), "a long, b long"))
+    close = _similar_links(source, classes.select("text", "n").join(maybe.withColumnRenamed("node", "text"), "text"), size, similarity, max_group)
     roots = components(close).withColumnRenamed("node", "text")
     placed = classes.select("text", "least").join(roots, "text", "left").withColumn("root", F.coalesce("root", "text"))
     smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.select("doc_id", "text").join(placed.join(smallest, "root").select("text", "component_id"), "text").select("doc_id", "component_id")
 
 
+def _similar_links(source: DataFrame, grouped: DataFrame, size: int, similarity: float, max_group: int) -> DataFrame:
+    """(a, b): a spanning set of the exactly similar pairs within each group (text, n, root) of texts."""
+    keyed = grouped.select("text", "n", F.lit(0).alias("part"), F.col("root").alias("bits"))
+    cut = F.ceil(F.greatest(F.count("*") / max_group, F.sum("n") / MAX_SHINGLES))
+    cells = dealt_cells(keyed, keyed.groupBy("part", "bits").agg(cut.alias("cut")), ["text"])
+    wanted = written(cells, "cells")
+    texts = map_rows(source, lambda value: (text_hash((value or "").encode().lower().split()), value), ["text"], "text long, value string")
+    one = texts.join(wanted.select("text").distinct(), "text").dropDuplicates(["text"])
+    return wanted.join(one, "text").select("cell", "text", "value").repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda b: _similar(b, size, similarity), "a long, b long")
+
+
 def first_of_each(docs: DataFrame, groups: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """Of ``docs`` one row for each component of ``groups`` (doc_id, component_id), that of its smallest id.
 

@@ -155,6 +155,50 @@ def test_recall_on_the_given_table(spark):
     assert all(place[i] == i for i in alone)
 
 
+def brute_similar(texts):
+    sets = [shingles(t) for t in texts]
+    links = ((np.array([i]), np.array([j])) for i in range(len(sets)) for j in range(i + 1, len(sets)) if jaccard(sets[i], sets[j]) >= 0.8)
+    return simhash.forest(len(sets), links)
+
+
+def edited(rng, word, words, share, kind):
+    """One block of the words replaced, appended or cut."""
+    n = round(len(words) * share)
+    at = rng.randint(0, len(words) - n)
+    return {"replace": words[:at] + [word() for _ in range(n)] + words[at + n :], "append": words + [word() for _ in range(n)], "cut": words[:at] + words[at + n :]}[kind]
+
+
+@pytest.fixture(scope="module")
+def blocks():
+    """Texts, and for each one copy with a block edit, on both sides of the limit."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijk") for _ in range(rng.randint(3, 9)))
+    base = [[word() for _ in range(rng.randint(60, 400))] for _ in range(400)]
+    near = [edited(rng, word, w, rng.uniform(0.05, 0.24 if i % 3 else 0.14), ("replace", "append", "cut")[i % 3]) for i, w in enumerate(base)]
+    return [" ".join(w) for w in base + near]
+
+
+def test_block_edits_equal_brute_force(documents, blocks):
+    """Pairs from the limit on are found whatever the edit's shape."""
+    want = brute_similar(blocks)
+    rows = {r.doc_id: r.component_id for r in simhash.similar_documents(documents(blocks)).collect()}
+    linked = sum(int(want[400 + i]) == i for i in range(400))
+    assert 200 < linked < 400
+    missed = [i for i in range(800) if rows[i] != want[i] and rows[i] == i]
+    assert not missed
+
+
+def test_keys_meet_as_many_as_they_say():
+    count = simhash.keys_needed(0.8, 1e-5)
+    rng = np.random.default_rng(4)
+    shared = []
+    for _ in range(300):
+        x = rng.integers(0, 2**64, 270, dtype=np.uint64)
+        a, b = (simhash.least_keys(np.unique(y), count) for y in (x[:243], x[27:]))  # 216 of 270
+        shared.append((a == b).sum())
+    assert min(shared) > 0 and abs(np.mean(shared) / count - 0.8**simhash.LEAST) < 0.02
+
+
 @pytest.mark.parametrize("count", [10, 10**5, 10**8])
 def test_random_tables_meet_as_many_as_they_say(count):
     masks = simhash.random_tables(count, 8, 0.97)
