@@ -188,6 +188,23 @@ def test_block_edits_equal_brute_force(documents, blocks):
     assert not missed
 
 
+@pytest.mark.parametrize("max_group", [4096, 5])
+def test_close_variants_hide_no_partner(documents, max_group):
+    """Groups of variants that differ in a word, and two such groups about 0.85 apart: each is one component."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijk") for _ in range(rng.randint(3, 9)))
+    texts = []
+    for _ in range(15):
+        a = [word() for _ in range(1000)]
+        b = a[:460] + [word() for _ in range(76)] + a[536:]
+        for w in (a, b):
+            texts += [" ".join([*w[:k], word(), *w[k + 1 :]]) for k in (0, 1, 2, 999)]
+    want = brute_similar(texts)
+    assert set(want) == set(range(0, 120, 8))
+    rows = {r.doc_id: r.component_id for r in simhash.similar_documents(documents(texts), max_group=max_group).collect()}
+    assert [rows[i] for i in range(120)] == want.tolist()
+
+
 def test_keys_meet_as_many_as_they_say():
     count = simhash.keys_needed(0.8, 1e-5)
     rng = np.random.default_rng(4)
