@@ -188,6 +188,12 @@ def test_block_edits_equal_brute_force(documents, blocks):
     assert not missed
 
 
+def test_pairs_under_the_limit_stay(documents, blocks):
+    want = brute_similar(blocks)
+    rows = {r.doc_id: r.component_id for r in simhash.similar_documents(documents(blocks)).collect()}
+    assert not [i for i in range(800) if rows[i] != want[i] and rows[i] != i]
+
+
 @pytest.mark.parametrize("max_group", [4096, 5])
 def test_close_variants_hide_no_partner(documents, max_group):
     """Groups of variants that differ in a word, and two such groups about 0.85 apart: each is one component."""
