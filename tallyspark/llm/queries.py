@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import bpe, ctph, line_quality, packing, pii, repeats, secrets, simhash, url_filter, warc
+from tallyspark.llm import alignment, bpe, centroids, ctph, language, line_quality, packing, pii, repeats, secrets, simhash, url_filter, warc
 from tallyspark.llm.common import written
 
 
@@ -65,6 +65,20 @@ def op10_ctph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctph.with_next(_table(spark, sf_dir, "documents"))
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predicted(_table(spark, sf_dir, "documents"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.aligned(_table(spark, sf_dir, "documents"), vocabulary_path(), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(_table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -72,7 +86,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op2_simhash, op3_bpe, op4_packing, op5_warc, op6_quality, op7_repeats, op8_secrets, op9_urls, op10_ctph, pipeline)
+    f.__name__: f for f in (op1_pii, op2_simhash, op3_bpe, op4_packing, op5_warc, op6_quality, op7_repeats, op8_secrets, op9_urls, op10_ctph, op11_language, op12_alignment, op13_centroids, pipeline)
 }
 
 ORACLES = {
@@ -157,4 +171,56 @@ ORACLES = {
                sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
         FROM d LEFT JOIN cut USING (doc_id)
     """,
+    "op13_centroids": """
+        WITH kept AS (
+            SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS HUGEINT)) AS q
+            FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+        ), parts AS (
+            SELECT row, unnest(range(1, 65)) AS i, unnest(q) AS x FROM kept
+        ), first AS (
+            SELECT row, row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR)) NULLS LAST, q) - 1 AS cluster FROM kept
+            QUALIFY cluster < 16
+        ), places0 AS (
+            SELECT cluster, i, x FROM first JOIN parts USING (row)
+        ), near1 AS (
+            SELECT v.row, c.cluster, sum((v.x - c.x) * (v.x - c.x)) AS d FROM parts v JOIN places0 c USING (i) GROUP BY 1, 2
+        ), own1 AS (
+            SELECT row, cluster, d FROM near1 QUALIFY row_number() OVER (PARTITION BY row ORDER BY d, cluster) = 1
+        ), means1 AS (
+            SELECT cluster, i, sum(x) AS s, count(*) AS n FROM own1 JOIN parts USING (row) GROUP BY 1, 2
+        ), places1 AS (
+            SELECT p.cluster, p.i, CASE WHEN m.n IS NULL THEN p.x ELSE CAST(s - ((s % n) + n) % n AS HUGEINT) // n END AS x
+            FROM places0 p LEFT JOIN means1 m USING (cluster, i)
+        ), near2 AS (
+            SELECT v.row, c.cluster, sum((v.x - c.x) * (v.x - c.x)) AS d FROM parts v JOIN places1 c USING (i) GROUP BY 1, 2
+        ), own2 AS (
+            SELECT row, cluster, d FROM near2 QUALIFY row_number() OVER (PARTITION BY row ORDER BY d, cluster) = 1
+        ), means2 AS (
+            SELECT cluster, i, sum(x) AS s, count(*) AS n FROM own2 JOIN parts USING (row) GROUP BY 1, 2
+        ), places2 AS (
+            SELECT p.cluster, p.i, CASE WHEN m.n IS NULL THEN p.x ELSE CAST(s - ((s % n) + n) % n AS HUGEINT) // n END AS x
+            FROM places1 p LEFT JOIN means2 m USING (cluster, i)
+        ), near3 AS (
+            SELECT v.row, c.cluster, sum((v.x - c.x) * (v.x - c.x)) AS d FROM parts v JOIN places2 c USING (i) GROUP BY 1, 2
+        ), own3 AS (
+            SELECT row, cluster, d FROM near3 QUALIFY row_number() OVER (PARTITION BY row ORDER BY d, cluster) = 1
+        ), means3 AS (
+            SELECT cluster, i, sum(x) AS s, count(*) AS n FROM own3 JOIN parts USING (row) GROUP BY 1, 2
+        ), places3 AS (
+            SELECT p.cluster, p.i, CASE WHEN m.n IS NULL THEN p.x ELSE CAST(s - ((s % n) + n) % n AS HUGEINT) // n END AS x
+            FROM places2 p LEFT JOIN means3 m USING (cluster, i)
+        ), near4 AS (
+            SELECT v.row, c.cluster, sum((v.x - c.x) * (v.x - c.x)) AS d FROM parts v JOIN places3 c USING (i) GROUP BY 1, 2
+        ), own4 AS (
+            SELECT row, cluster, d FROM near4 QUALIFY row_number() OVER (PARTITION BY row ORDER BY d, cluster) = 1
+        ), inertias AS (
+            SELECT cluster, sum(d) AS s FROM own4 GROUP BY 1
+        ), digests AS (
+            SELECT cluster, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM places3 GROUP BY 1
+        )
+        SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(s AS BIGINT) AS cluster_inertia,
+               CAST((SELECT sum(s) FROM inertias) AS BIGINT) AS inertia, centroid_sha256
+        FROM own4 JOIN kept USING (row) JOIN inertias USING (cluster) JOIN digests USING (cluster)
+    """,
 }
