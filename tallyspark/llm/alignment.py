@@ -16,8 +16,11 @@ counts nor links of the corpus are ever in one task.
 from __future__ import annotations
 
 import hashlib
+import os
+import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,15 +34,22 @@ from tallyspark.llm.common import written
 #: Ends of a piece.
 PIECE = 1 << 16
 #: Bytes of text after which a block is full; it has one text at least.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Bytes of text that are tokenized at once.
 TOGETHER = 1 << 20
+#: Words whose ids a worker remembers, twice over.
+REMEMBERED = 1 << 19
+#: Texts of characters on whose kind everybody agrees; others are tokenized in one go.
+PLAIN = re.compile(r"[\x20-\x7e\t\n\r\w]*")
+#: A space between two characters that are none: a token of neither side goes over its left edge.
+CUT = re.compile(r" (?<=\S )(?=\S)")
 
 
 class Tokenizers:
     """Both tokenizers, and the bytes of their tokens. Special tokens are plain text."""
 
     def __init__(self, path_a: str, path_b: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -56,21 +66,49 @@ class Tokenizers:
         self.bytes_b = [bytes([int(self.b.id_to_piece(i)[3:-1], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode() for i in range(n)]
         self.length_a, self.length_b = (np.array(list(map(len, t)), np.int64) for t in (self.bytes_a, self.bytes_b))
         # texts of ids inside a group, and at the end of its side
-        self.words = [f"{i}{end}" for m, ends in ((len(self.bytes_a), ",|"), (n, ",;")) for end in ends for i in range(m)]
+        self.words = [f"{i}{end}".encode() for m, ends in ((len(self.bytes_a), ",|"), (n, ",;")) for end in ends for i in range(m)]
         self.first_b = 2 * len(self.bytes_a)
 
+        pieces = [self.b.id_to_piece(i) for i in range(n)]
+        self.cuts = not any(re.search("[^▁]▁", p) for p in pieces if p)  # no token of B goes over a word's start
+        self.known: tuple[dict, dict] = {}, {}  # ids of each side, as bytes
+        self.older: tuple[dict, dict] = {}, {}
+
+    def learn(self, texts: Iterable[str]) -> None:
+        """Ids of both sides of each text, as 32-bit integers; None where B does not give its bytes back.
+
+        A does so by construction: all its tokens are made of the bytes themselves.
+        """
+        if len(self.known[0]) > REMEMBERED:
+            self.older, self.known = self.known, ({}, {})
+        (known_a, known_b), (older_a, older_b) = self.known, self.older
+        new = []
+        for text in texts:
+            if text not in known_a:
+                if text in older_a:
+                    known_a[text], known_b[text] = older_a[text], older_b[text]
+                else:
+                    new.append(text)
+        spaced = [" " + t for t in new]
+        pieces = self.bytes_b.__getitem__
+        for text, raw, a, b in zip(new, spaced, self.a.encode_batch_fast(spaced, add_special_tokens=False), self.b.encode(new, num_threads=1)):
+            same = b"".join(map(pieces, b)) == raw.encode()
+            known_a[text], known_b[text] = (array("i", a.ids).tobytes(), array("i", b).tobytes()) if same else (None, None)
+
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Ids of A and B of each text; none where the text is empty or the bytes of a side are not those of space and text."""
-        none = np.zeros(0, np.int64)
-        full = [i for i, t in enumerate(texts) if t]
-        out = [(none, none)] * len(texts)
-        spaced = [" " + texts[i] for i in full]
-        in_a = [e.ids for e in self.a.encode_batch(spaced, add_special_tokens=False)]
-        in_b = self.b.encode([texts[i] for i in full], num_threads=1)
-        for i, text, a, b in zip(full, spaced, in_a, in_b):
-            raw = text.encode()
-            if b"".join(map(self.bytes_a.__getitem__, a)) == raw and b"".join(map(self.bytes_b.__getitem__, b)) == raw:
-                out[i] = np.array(a, np.int64), np.array(b, np.int64)
+        """Ids of A and B of each text; none where the text is empty or the bytes of a side are not those of space and text.
+
+        Words with the space before them are tokenized once and remembered.
+        """
+        cut = [CUT.split(t) if self.cuts and PLAIN.fullmatch(t) else [t] for t in texts]
+        self.learn(set().union(*cut) - {""})
+        none, out = np.zeros(0, np.int64), []
+        for text, chunks in zip(texts, cut):
+            try:
+                sides = [b"".join(map(k.__getitem__, chunks)) for k in self.known] if text else [b"", b""]
+            except TypeError:  # a None among them
+                sides = [b"", b""]
+            out.append(tuple(np.frombuffer(x, np.int32).astype(np.int64) if x else none for x in sides))
         return out
 
 
@@ -122,14 +160,17 @@ def links(a: np.ndarray, b: np.ndarray, piece: int = PIECE) -> tuple[np.ndarray,
     return tuple(map(np.concatenate, zip(*pieces)))
 
 
-def group_text(words: list[str], first_b: int, a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> str:
+def group_text(words: list[bytes], first_b: int, a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> bytes:
     """``a1,a2|b1;a3|b2,b3``: the ids of each group, from the places of the groups' last tokens."""
-    end_a, end_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
-    end_a[last_a], end_b[last_b] = 1, 1
-    group_a, group_b = np.cumsum(end_a) - end_a, np.cumsum(end_b) - end_b
-    order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
-    chosen = np.concatenate([a + end_a * (first_b // 2), first_b + b + end_b * ((len(words) - first_b) // 2)])[order]
-    return "".join(map(words.__getitem__, chosen.tolist()))[:-1]
+    chosen = np.empty(len(a) + len(b), np.int64)
+    after_a, after_b = last_a + 1, last_b + 1
+    word_a, word_b = a.copy(), b + first_b
+    word_a[last_a] += first_b // 2
+    word_b[last_b] += (len(words) - first_b) // 2
+    before = np.append(0, after_b[:-1])  # tokens of B in earlier groups
+    chosen[np.arange(len(a)) + np.repeat(before, np.diff(after_a, prepend=0))] = word_a
+    chosen[np.arange(len(b)) + np.repeat(after_a, np.diff(after_b, prepend=0))] = word_b
+    return b"".join(map(words.__getitem__, chosen.tolist()))[:-1]
 
 
 def _packed(numbers: np.ndarray, counts: np.ndarray) -> bytes:
@@ -157,17 +198,19 @@ def blocks(docs: DataFrame, path_a: str, path_b: str, id_column: str = "doc_id",
         if not len(a):
             return [0, 0, 0, 0, ""], np.zeros(0, np.int64)
         text = group_text(both.words, both.first_b, a, b, side_a[closes], side_b[closes])
-        digest = hashlib.sha256(text.encode()).hexdigest()
+        digest = hashlib.sha256(text).hexdigest()
         return [len(a), len(b), int(closes.sum()), len(side_a), digest], a[side_a] << 32 | b[side_b]
 
-    def block_rows(name: str, rows: list[list], keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        distinct, n = np.unique(np.concatenate(keys), return_counts=True)
-        own = [_packed(*np.unique(np.searchsorted(distinct, k), return_counts=True)) for k in keys]
-        pairs = [{"a": int(k >> 32), "b": int(k & 0xFFFFFFFF), "n": int(c)} for k, c in zip(distinct, n)]
+    def block_rows(name: str, rows: list[list], keys: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        distinct, place = np.unique(np.concatenate([k for k, _ in keys]), return_inverse=True)
+        n = np.bincount(place, np.concatenate([c for _, c in keys]), len(distinct))
+        own = [_packed(p, c) for p, (_, c) in zip(np.split(place, np.cumsum([len(k) for k, _ in keys])[:-1]), keys)]
+        listed = pa.StructArray.from_arrays([pa.array(distinct >> 32, pa.int32()), pa.array(distinct & 0xFFFFFFFF, pa.int32()), pa.array(n.astype(np.int64))], ["a", "b", "n"])
+        pairs = pa.ListArray.from_arrays(pa.array([0, len(listed)], pa.int32()), listed)
         columns = [pa.array(c, t) for c, t in zip(zip(*rows), _DOCUMENT_TYPES)]
         yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows)), *columns, pa.array(own, pa.binary()), pa.nulls(len(rows), _PAIRS)], names=NAMES)
         empty = [pa.nulls(1, t) for t in [*_DOCUMENT_TYPES, pa.binary()]]
-        yield pa.RecordBatch.from_arrays([pa.array([name]), *empty, pa.array([pairs], _PAIRS)], names=NAMES)
+        yield pa.RecordBatch.from_arrays([pa.array([name]), *empty, pairs], names=NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = held.value.get("both") or held.value.setdefault("both", Tokenizers(path_a, path_b))
@@ -179,7 +222,7 @@ def blocks(docs: DataFrame, path_a: str, path_b: str, id_column: str = "doc_id",
             for (doc_id, _), (a, b) in zip(waiting, both.encode([t or "" for _, t in waiting])):
                 row, key = aligned_text(both, a, b)
                 rows.append([doc_id, *row])
-                keys.append(key)
+                keys.append(np.unique(key, return_counts=True))
             waiting.clear()
 
         for batch in batches:

@@ -1,3 +1,4 @@
+import bisect
 import hashlib
 import random
 from collections import Counter
@@ -17,6 +18,16 @@ def both():
     return alignment.Tokenizers(A, B)
 
 
+def whole(both, text):
+    """Ids by the libraries, each text in one go."""
+    if not text:
+        return [], []
+    a, b = both.a.encode(" " + text, add_special_tokens=False).ids, both.b.encode(text)
+    raw = (" " + text).encode()
+    same = b"".join(both.bytes_a[i] for i in a) == raw and b"".join(both.bytes_b[i] for i in b) == raw
+    return (a, b) if same else ([], [])
+
+
 def spans(ids, lengths):
     out, at = [], 0
     for i in ids:
@@ -28,25 +39,26 @@ def spans(ids, lengths):
 def brute(both, rows):
     """Every A token against every B token that is not before it."""
     texts, per_doc, counts = [], [], Counter()
+    length_a, length_b = both.length_a.tolist(), both.length_b.tolist()
     for _, text in rows:
-        (a, b), = both.encode([text or ""])
-        in_a, in_b = spans(a.tolist(), both.length_a.tolist()), spans(b.tolist(), both.length_b.tolist())
+        a, b = whole(both, text)
+        in_a, in_b = spans(a, length_a), spans(b, length_b)
         start, found = 0, []
-        for (s, e), i in zip(in_a, a.tolist()):
+        for (s, e), i in zip(in_a, a):
             while start < len(in_b) and in_b[start][1] <= s:
                 start += 1
-            for (u, v), j in zip(in_b[start:], b.tolist()[start:]):
+            for (u, v), j in zip(in_b[start : start + 200], b[start : start + 200]):
                 if u >= e:
                     break
                 found.append((i, j))
         cuts = sorted({e for _, e in in_a} & {e for _, e in in_b})
-        groups = []
-        for low, high in zip([0, *cuts], cuts):
-            side = [",".join(str(i) for (s, e), i in zip(x, ids) if low <= s < high) for x, ids in ((in_a, a.tolist()), (in_b, b.tolist()))]
-            groups.append("|".join(side))
+        groups = [([], []) for _ in cuts]
+        for side, (ids, places) in enumerate(((a, in_a), (b, in_b))):
+            for i, (_, e) in zip(ids, places):
+                groups[bisect.bisect_left(cuts, e)][side].append(str(i))
         counts.update(found)
         per_doc.append((a, b, cuts, found))
-        texts.append(";".join(groups))
+        texts.append(";".join("|".join(map(",".join, g)) for g in groups))
     highest = Counter()
     for (_, j), n in counts.items():
         highest[j] = max(highest[j], n)
@@ -82,6 +94,15 @@ def test_pieces_of_any_size_give_the_same_links():
             assert [x.tolist() for x in alignment.links(a, b, piece)] == want
 
 
+def test_remembered_words_give_the_ids_of_the_whole_text(both, monkeypatch):
+    monkeypatch.setattr(alignment, "REMEMBERED", 8)
+    rng = random.Random(1)
+    parts = ["a", "The", "é", " ", "  ", "\n", "\t", "1", "12", "_", ".", "'s", "中", "\u3000", "\x85", "\x1c", "\u180e", "▁", "😀", "don't", "ﬁ", "\u0301", "<s>"]
+    for _ in range(60):
+        texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(30)]
+        assert [(a.tolist(), b.tolist()) for a, b in both.encode(texts)] == [whole(both, t) for t in texts]
+
+
 ODD = ["", None, " ", "a", "<s> </s> <|endoftext|> <0x41> <unk>", "▁ under ▁", "ünï cödé 😀 𝔘 \x00 \x1c end", "日本語のテキスト and more", "x" * 5000, " \t\n  two  spaces \r\n", "é � ​"]
 
 
