@@ -7,8 +7,14 @@ metric rows. Its rules fall in three classes, so that there may be as many as en
 * literal: the regex is a plain text, matched by an equi-join on the folded name;
 * head: the regex starts with plain text, matched by an equi-join on that head, with the
   regex as a residual;
-* open: anything else, matched by constant patterns while there are few of them and by a
-  block-partitioned join beyond that.
+* open: anything else, matched by constant patterns while there are few of them. Beyond that a
+  rule meets the names that hold a text every match of it must contain, by an equi-join on pieces
+  of text (:mod:`tallyspark.operators.factors`). Patterns without any such text, ``.*`` say, stay
+  constants, and only if they too are many, a block-partitioned join.
+
+Validity ranges become labels without meeting each other: the instants where the rules of an
+entity change are numbered, each rule's range is a few nodes of a binary tree over the numbers,
+and a range between two instants looks its rules up along its path to the root.
 """
 
 from __future__ import annotations
@@ -24,6 +30,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.maps import compute_once, empty_map, sorted_map
+from tallyspark.operators.asof import as_of
+from tallyspark.operators.factors import candidate_names, factors_column
 from tallyspark.operators.latest import latest_by_key
 from tallyspark.session import written
 
@@ -61,6 +69,8 @@ class CompiledRules:
     n_open: int = 0
     types: tuple[str, ...] = ()  # entity types that some rule is for
     open_patterns: tuple[tuple[str, str], ...] | None = None  # None: too many
+    n_wild: int = 0  # open rules without a text that every match contains
+    wild_patterns: tuple[tuple[str, str], ...] | None = None  # of those; None: too many
 
     @property
     def always_valid(self) -> bool:
@@ -204,30 +214,58 @@ def _checked(shaped: DataFrame) -> tuple[DataFrame, DataFrame]:
         ).alias("entries"),
         "kind",
         "match_key",
+        *(c for c in ("factors", "rule_row") if c in shaped.columns),
     )
     return good, shaped.filter(~is_good).select("rule_id", "regex")
 
 
+SHAPES_AT_ONCE = 4096  # shapes that the driver compiles before it writes their facts
+
+
+def _facts_table(spark: SparkSession, shapes: DataFrame) -> DataFrame:
+    """The facts of each shape. Compiled by the driver's JVM, a bounded batch at a time, each written."""
+    batch, parts = [], []
+
+    def close() -> None:
+        facts = _shape_facts(spark, batch)
+        parts.append(written(spark.createDataFrame(facts, f"_shape STRING, {_FACTS}"), "shapes"))
+        batch.clear()
+
+    for row in shapes.toLocalIterator():
+        batch.append(row._shape)
+        if len(batch) == SHAPES_AT_ONCE:
+            close()
+    if batch or not parts:
+        close()
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def _few_patterns(rules: DataFrame) -> tuple[tuple[str, str], ...] | None:
+    """Distinct (entity type, pattern) of rules; None if there are too many for constants."""
+    found = rules.select("entity_type", "full_rx").distinct().limit(INLINE_PATTERNS + 1).collect()
+    return tuple(sorted((r.entity_type, r.full_rx) for r in found)) if len(found) <= INLINE_PATTERNS else None
+
+
 def _joined(spark: SparkSession, shaped: DataFrame) -> CompiledRules:
-    shaped = written(shaped, "rules")  # one snapshot: counts and rows belong together
+    factors = F.when(F.col("kind") == "open", factors_column(F.col("regex")))
+    # one snapshot: counts and rows belong together, and a row keeps its number
+    shaped = written(shaped.withColumns({"factors": factors, "rule_row": F.monotonically_increasing_id()}), "rules")
     shapes = shaped.filter(F.col("kind") != "literal").select("_shape").distinct()
-    facts = _shape_facts(spark, (r._shape for r in shapes.toLocalIterator()))
-    table = spark.createDataFrame(facts, f"_shape STRING, {_FACTS}")
-    looked_up = table.select("_shape", F.struct("good", "n_groups", "names").alias("_facts"))
+    looked_up = _facts_table(spark, shapes).select("_shape", F.struct("good", "n_groups", "names").alias("_facts"))
     good, rejected = _checked(shaped.join(looked_up, "_shape", "left"))
     head_len = F.when(F.col("kind") == "head", F.length("match_key"))
+    is_open, has_text = F.col("kind") == "open", F.size("factors") > 0
     summary = good.agg(
         F.count_if(F.col("kind") == "literal").alias("n_literal"),
-        F.count_if(F.col("kind") == "open").alias("n_open"),
+        F.count_if(is_open).alias("n_open"),
+        F.count_if(is_open & ~has_text).alias("n_wild"),
         F.array_sort(F.collect_set(head_len)).alias("head_lengths"),
         F.array_sort(F.collect_set("entity_type")).alias("types"),
     ).first()
-    open_patterns = None
-    if summary.n_open <= INLINE_PATTERNS:
-        rows = good.filter(F.col("kind") == "open").select("entity_type", "full_rx")
-        found = rows.distinct().limit(INLINE_PATTERNS + 1).collect()
-        if len(found) <= INLINE_PATTERNS:
-            open_patterns = tuple(sorted((r.entity_type, r.full_rx) for r in found))
+    open_patterns = _few_patterns(good.filter(is_open)) if summary.n_open <= INLINE_PATTERNS else None
+    wild_patterns = None
+    if open_patterns is None and summary.n_wild:
+        wild_patterns = _few_patterns(good.filter(is_open & ~has_text))
     bounds = (
         good.select(F.explode(F.array("valid_from", "valid_until")).alias("b"))
         .distinct()
@@ -245,6 +283,8 @@ def _joined(spark: SparkSession, shaped: DataFrame) -> CompiledRules:
         n_open=summary.n_open,
         types=tuple(summary.types),
         open_patterns=open_patterns,
+        n_wild=summary.n_wild,
+        wild_patterns=wild_patterns,
     )
 
 
@@ -350,20 +390,41 @@ _MATCH = (
 def _match_open(names: DataFrame, compiled: CompiledRules) -> DataFrame:
     rules = compiled.rules.filter(F.col("kind") == "open")
     if compiled.open_patterns is not None:
-        hits = F.array(
-            *[
-                F.when((F.col("entity_type") == kind) & F.col("name").rlike(rx), F.lit(rx))
-                for kind, rx in compiled.open_patterns
-            ]
-        )
-        # outer: no filter that would test every pattern once more below
-        hit = names.withColumn("full_rx", F.explode_outer(F.array_compact(hits)))
-        # at most INLINE_PATTERNS distinct patterns were counted above
-        return hit.join(rules, ["entity_type", "full_rx"])
-    # Blocks of bounded size on the rule side, slices on the name side: each task gets one
-    # slice of names and one block of rules, whatever their total numbers.
-    blocks = -(-compiled.n_open // BLOCK_RULES)
-    rules = rules.withColumn("_block", F.pmod(F.xxhash64("rule_id"), F.lit(blocks))).withColumn(
+        return _match_constants(names, rules, compiled.open_patterns)
+    has_text = F.size("factors") > 0
+    with_text = rules.filter(has_text)
+    found = candidate_names(names, with_text, "rule_row", fold(F.col("name")))
+    parts = [found.join(with_text, ["entity_type", "rule_row"]).filter(F.regexp_like(F.col("name"), F.col("full_rx")))]
+    if compiled.n_wild:
+        wild = rules.filter(~has_text)
+        if compiled.wild_patterns is not None:
+            parts.append(_match_constants(names, wild, compiled.wild_patterns))
+        else:
+            parts.append(_match_blocks(names, wild, compiled.n_wild))
+    return functools.reduce(DataFrame.unionByName, [p.select(*_MATCH) for p in parts])
+
+
+def _match_constants(names: DataFrame, rules: DataFrame, patterns: tuple[tuple[str, str], ...]) -> DataFrame:
+    hits = F.array(
+        *[
+            F.when((F.col("entity_type") == kind) & F.col("name").rlike(rx), F.lit(rx))
+            for kind, rx in patterns
+        ]
+    )
+    # outer: no filter that would test every pattern once more below
+    hit = names.withColumn("full_rx", F.explode_outer(F.array_compact(hits)))
+    # at most INLINE_PATTERNS distinct patterns were counted
+    return hit.join(rules, ["entity_type", "full_rx"])
+
+
+def _match_blocks(names: DataFrame, rules: DataFrame, n_rules: int) -> DataFrame:
+    """Rules that nothing but the pattern itself can tell from a name's text: each is tested on each name.
+
+    Blocks of bounded size on the rule side, slices on the name side: each task gets one
+    slice of names and one block of rules, whatever their total numbers.
+    """
+    blocks = -(-n_rules // BLOCK_RULES)
+    rules = rules.withColumn("_block", F.pmod(F.xxhash64("rule_row"), F.lit(blocks))).withColumn(
         "_slice", F.explode(F.sequence(F.lit(0), F.lit(NAME_SALTS - 1)))
     )
     sliced = names.withColumn(
@@ -391,47 +452,71 @@ def expand_templates(matches: DataFrame) -> DataFrame:
     )
 
 
+def _tree_nodes(low: Column, high: Column) -> Column:
+    """Nodes (level, place) of a binary tree whose leaves are exactly low to high - 1; two a level at most."""
+    levels = F.sequence(F.lit(0), F.greatest(F.floor(F.log2(F.greatest(high, F.lit(1)))), F.lit(0)).cast("int"))
+
+    def at(level: Column) -> Column:
+        size = F.pow(F.lit(2.0), level)
+        first, last = F.ceil(low / size), F.floor(high / size)
+        node = lambda place, taken: F.when((first < last) & taken, F.struct(level.alias("level"), place.cast("bigint").alias("place")))
+        return F.array(node(first, first % 2 == 1), node(last - 1, last % 2 == 1))
+
+    return F.array_compact(F.flatten(F.transform(levels, at)))
+
+
+def _tree_path(leaf: Column, leaves: Column) -> Column:
+    """A leaf and all nodes above it that a range within ``leaves`` may use."""
+    levels = F.sequence(F.lit(0), F.floor(F.log2(F.greatest(leaves, F.lit(1)))).cast("int"))
+    return F.transform(levels, lambda level: F.struct(level.alias("level"), F.floor(leaf / F.pow(F.lit(2.0), level)).cast("bigint").alias("place")))
+
+
 def context_segments(names: DataFrame, compiled: CompiledRules) -> DataFrame:
-    """(entity_type, name, seg_from, seg_until, context): disjoint validity ranges per entity."""
+    """(entity_type, name, seg_from, seg_until, context): disjoint validity ranges per entity.
+
+    Rows grow with n log n in the n rules of an entity: ranges of rules never meet ranges between
+    instants directly. A node keeps only the newest rule of a key.
+    """
     matches = match_rules(names, compiled)
     entity = ["entity_type", "name"]
-    entries = expand_templates(matches)
+    newest = F.struct("creation_time", "rule_id")
     if compiled.always_valid:
-        pieces = entries.withColumnsRenamed({"valid_from": "seg_from", "valid_until": "seg_until"})
+        pieces = expand_templates(matches).withColumnsRenamed({"valid_from": "seg_from", "valid_until": "seg_until"})
+        winners = pieces.groupBy(*entity, "seg_from", "seg_until", "key").agg(F.max_by("value", newest).alias("value"))
     else:
-        edge = Window.partitionBy(*entity).orderBy("seg_from")
-        ranges = (
-            matches.select(*entity, F.explode(F.array("valid_from", "valid_until")).alias("seg_from"))
-            .distinct()
-            .withColumn("seg_until", F.lead("seg_from").over(edge))
-            .filter(F.col("seg_until").isNotNull())
-        )
-        inside = (F.col("valid_from") <= F.col("seg_from")) & (
-            F.col("valid_until") > F.col("seg_from")
-        )
-        pieces = _newest_always_valid(entries).join(ranges, entity).filter(inside)
-    winners = pieces.groupBy(*entity, "seg_from", "seg_until", "key").agg(
-        F.max_by("value", F.struct("creation_time", "rule_id")).alias("value")
-    )
+        winners = _winners_by_tree(written(matches, "matches"), entity, newest)
     return winners.groupBy(*entity, "seg_from", "seg_until").agg(
         sorted_map(F.map_from_entries(F.collect_list(F.struct("key", "value")))).alias("context")
     )
 
 
-def _newest_always_valid(entries: DataFrame) -> DataFrame:
-    """Drop entries that an always valid, newer entry for the same key hides at any time."""
-    always = (F.col("valid_from") == F.lit(EARLIEST).cast("timestamp")) & (
-        F.col("valid_until") == F.lit(LATEST).cast("timestamp")
+def _winners_by_tree(matches: DataFrame, entity: list[str], newest: Column) -> DataFrame:
+    """(entity, seg_from, seg_until, key, value): of each key the newest rule between two instants."""
+    span = [*entity, "valid_from", "valid_until"]
+    entries = expand_templates(matches).groupBy(*span, "key").agg(F.max_by("value", newest).alias("value"), F.max(newest).alias("age"))
+    numbered = Window.partitionBy(*entity).orderBy("at")
+    ends = (
+        matches.select(*span).distinct()
+        .select(*span, F.posexplode(F.array("valid_from", "valid_until")).alias("side", "at"))
+        .withColumn("number", F.dense_rank().over(numbered) - 1)
+    )
+    ranges = ends.groupBy(*span).agg(
+        F.max(F.when(F.col("side") == 0, F.col("number"))).alias("low"),
+        F.max(F.when(F.col("side") == 1, F.col("number"))).alias("high"),
     )
-    rank = F.struct("creation_time", "rule_id")
-    floor = entries.filter(always).groupBy("entity_type", "name", "key").agg(
-        F.max(rank).alias("_floor")
+    nodes = (
+        entries.join(ranges, span)
+        .select(*entity, "key", "value", "age", F.explode(_tree_nodes(F.col("low"), F.col("high"))).alias("node"))
+        .groupBy(*entity, "node", "key")
+        .agg(F.max_by("value", "age").alias("value"), F.max("age").alias("age"))
     )
-    return (
-        entries.join(floor, ["entity_type", "name", "key"], "left")
-        .filter(F.col("_floor").isNull() | (rank >= F.col("_floor")))
-        .drop("_floor")
+    leaves = (
+        ends.select(*entity, "at", "number").distinct()
+        .withColumns({"until": F.lead("at").over(numbered), "leaves": F.count("*").over(Window.partitionBy(*entity))})
+        .filter(F.col("until").isNotNull())
+        .select(*entity, F.col("at").alias("seg_from"), F.col("until").alias("seg_until"), F.explode(_tree_path(F.col("number"), F.col("leaves"))).alias("node"))
     )
+    return leaves.join(nodes, [*entity, "node"]).groupBy(*entity, "seg_from", "seg_until", "key").agg(F.max_by("value", "age").alias("value"))
 
 
 SPREAD = 1024  # join keys over which rows that can't match are spread
@@ -443,13 +528,20 @@ def enrich(
     at: str = "timestamp",
     context: str = "context",
     types: Sequence[str] | None = None,
+    many: bool = False,
 ) -> DataFrame:
     """Attach the context valid at column ``at``. At most one segment covers an instant, so
     the row count stays the same; entities without a match get an empty map.
 
     Entities whose type is not in ``types`` have no segments. One of them may hold a third of
-    all rows, so they are spread over keys that match nothing.
+    all rows, so they are spread over keys that match nothing. ``many`` is for entities with
+    more than a few hundred segments: rows then meet them by an as-of merge in slices of time.
     """
+    if many:
+        known = segments.withColumnRenamed("context", "_context")
+        found = as_of(metrics.drop(context), known, ["entity_type", "name"], at, "seg_from", ["seg_until", "_context"])
+        inside = F.col(at) < F.col("seg_until")
+        return found.withColumn(context, F.coalesce(F.when(inside, F.col("_context")), empty_map())).drop("seg_until", "_context")
     seg = segments.select(
         F.col("entity_type").alias("_type"),
         F.col("name").alias("_name"),
@@ -485,7 +577,7 @@ def label(
     if compiled.inline is not None:
         return _label_inline(metrics, compiled, at)
     segments = context_segments(metrics if names is None else names, compiled)
-    return enrich(metrics, segments, at, types=compiled.types)
+    return enrich(metrics, segments, at, types=compiled.types, many=compiled.boundaries is None)
 
 
 def probe_context(strings: DataFrame, compiled: CompiledRules, at: Column) -> DataFrame:

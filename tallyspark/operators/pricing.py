@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspark.operators.asof import as_of
+
 # Metric, base cost, cost factor of the sample price book.
 DEFAULT_PRICE_BOOK = (
     ("confluent_kafka_server_response_bytes", 0.0, 0.0),
@@ -40,29 +42,14 @@ def price(windowed: DataFrame, prices: DataFrame) -> DataFrame:
     )
 
 
-def price_intervals(changelog: DataFrame) -> DataFrame:
-    """Each price version with the instant from which the next one replaces it."""
-    by_time = Window.partitionBy("metric_name").orderBy("creation_time")
-    return changelog.withColumn("_until", F.lead("creation_time").over(by_time))
-
-
 def backtest_prices(windowed: DataFrame, changelog: DataFrame) -> DataFrame:
-    """Price every window by the version in force at its start."""
-    rule = price_intervals(changelog).select(
-        F.col("metric_name").alias("_metric"),
-        F.col("creation_time").alias("_from"),
-        "_until",
-        "base_cost",
-        "cost_factor",
-    )
-    start = F.col("start_time")
-    in_force = (start >= F.col("_from")) & (F.col("_until").isNull() | (start < F.col("_until")))
-    return (
-        windowed.drop("cost")
-        .join(rule, (F.col("initial_metric_name") == F.col("_metric")) & in_force, "left")
-        .withColumn("cost", F.col("base_cost") + F.col("cost_factor") * F.col("value"))
-        .drop("_metric", "_from", "_until", "base_cost", "cost_factor")
-    )
+    """Price every window by the version in force at its start; before the first one there is no cost.
+
+    A metric that holds most of the windows is spread over slices of time (:func:`as_of`).
+    """
+    versions = changelog.select(F.col("metric_name").alias("initial_metric_name"), "creation_time", F.col("base_cost").alias("_base"), F.col("cost_factor").alias("_factor"))
+    found = as_of(windowed.drop("cost"), versions, ["initial_metric_name"], "start_time", "creation_time", ["_base", "_factor"], "30 days")
+    return found.withColumn("cost", F.col("_base") + F.col("_factor") * F.col("value")).drop("_base", "_factor")
 
 
 def base_charge(facts: DataFrame, charge_per_hour: float) -> DataFrame:

@@ -48,7 +48,7 @@ def windowed_usage(
     else:
         segments = context_segments(metrics, compiled)
         labelled = split_among_principals(
-            enrich(small, segments, types=compiled.types), config, compiled, topic_segments=segments
+            enrich(small, segments, types=compiled.types, many=compiled.boundaries is None), config, compiled, topic_segments=segments
         )
     if not config.split_keys and compiled.always_valid:
         return as_windows(labelled, config)  # one label per entity: nothing left to merge

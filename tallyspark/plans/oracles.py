@@ -354,6 +354,18 @@ SELECT r_name AS region, n_name AS nation, count(*) AS n, round(sum(l_quantity),
 FROM lineitem LEFT JOIN (supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
   ON l_suppkey = s_suppkey GROUP BY ALL"""
 
+ORACLES["labelled_open_rules"] = """
+SELECT 'zone-' || (l_partkey % 500) AS zone, 'b' || (l_partkey % 1000) || '.' AS bay, count(*) AS n,
+  round(sum(l_quantity), 6) AS value FROM lineitem GROUP BY ALL"""
+
+ORACLES["labelled_rule_history"] = """
+WITH v AS (SELECT o_orderdate AS since, arg_max(o_orderpriority, lpad(o_orderkey::VARCHAR, 12, '0')) AS priority
+  FROM orders GROUP BY ALL)
+SELECT 'ledger-' || l_returnflag AS name,
+  CASE WHEN l_shipdate < since + INTERVAL 30 DAY THEN priority ELSE 'none' END AS priority,
+  count(*) AS n, round(sum(l_quantity), 6) AS value
+FROM lineitem ASOF LEFT JOIN v ON l_shipdate >= since GROUP BY ALL"""
+
 ORACLES["rejected_rules"] = """
 SELECT 'rule-' || s_suppkey AS rule_id, '(supplier-' || s_suppkey AS regex FROM supplier WHERE s_suppkey % 7 = 0"""
 

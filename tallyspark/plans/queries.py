@@ -328,6 +328,61 @@ def labelled_equal_paths(spark, sf):
     ).agg(F.count("*").alias("n"))
 
 
+def _bay_rules(spark):
+    """500 rules without a plain head; each names two bays."""
+    i = F.col("id")
+    no_time = F.lit(None).cast("timestamp")
+    return spark.range(500).select(
+        F.concat(F.lit("bay-"), i).alias("rule_id"),
+        F.lit("1992-01-01").cast("timestamp").alias("creation_time"),
+        no_time.alias("valid_from"),
+        no_time.alias("valid_until"),
+        F.lit("TOPIC").alias("entity_type"),
+        F.concat(F.lit(".*[.]BAY("), i, F.lit("[.]|"), i + 500, F.lit("[.]).*")).alias("regex"),
+        F.create_map(F.lit("zone"), F.concat(F.lit("zone-"), i), F.lit("bay"), F.lit("b$1")).alias("context"),
+    )
+
+
+@query
+def labelled_open_rules(spark, sf):
+    """500 patterns that start with anything: names meet them through the texts they require."""
+    line = M.table(spark, sf, "lineitem").select(
+        F.lit("TOPIC").alias("entity_type"),
+        F.concat(F.lit("dock.bay"), F.col("l_partkey") % 1000, F.lit("."), F.lower("l_returnflag")).alias("name"),
+        F.col("l_shipdate").alias("timestamp"),
+        F.col("l_quantity").alias("value"),
+    )
+    labelled = labels.label(line, labels.compile_rules(_bay_rules(spark)), names=line)
+    return labelled.groupBy(ctx("zone").alias("zone"), ctx("bay").alias("bay")).agg(
+        F.count("*").alias("n"), r6(F.sum("value")).alias("value")
+    )
+
+
+@query
+def labelled_rule_history(spark, sf):
+    """Every order is a version of one rule, valid for 30 days; three topics match all of them."""
+    at = F.col("o_orderdate")
+    versions = M.table(spark, sf, "orders").select(
+        F.concat(F.lit("order-"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0")).alias("rule_id"),
+        at.alias("creation_time"),
+        at.alias("valid_from"),
+        (at + F.expr("INTERVAL 30 DAYS")).alias("valid_until"),
+        F.lit("TOPIC").alias("entity_type"),
+        F.lit("ledger-.*").alias("regex"),
+        F.create_map(F.lit("priority"), F.col("o_orderpriority")).alias("context"),
+    )
+    line = M.table(spark, sf, "lineitem").select(
+        F.lit("TOPIC").alias("entity_type"),
+        F.concat(F.lit("ledger-"), "l_returnflag").alias("name"),
+        F.col("l_shipdate").alias("timestamp"),
+        F.col("l_quantity").alias("value"),
+    )
+    labelled = labels.label(line, labels.compile_rules(versions, max_inline=0))
+    return labelled.groupBy("name", F.coalesce(ctx("priority"), F.lit("none")).alias("priority")).agg(
+        F.count("*").alias("n"), r6(F.sum("value")).alias("value")
+    )
+
+
 @query
 def odd_templates(spark, sf):
     """Patterns that hide brackets in quotes or nested classes, on both paths: a template that
