@@ -4,10 +4,9 @@ Normalised lines (words with single spaces, A-Z lower-cased) are hashed. For eac
 distinct documents of a line are counted. Lines above the limit are removed, and a document that
 loses too much is rejected.
 
-Copies of one document count once. A document is told from its copies by the smallest hash among
-its *other* lines, so near copies mostly share it, while documents that have nothing else than
-the line in common mostly don't. A document of which the line is over half has no mark for it;
-all such documents together count as one.
+A document is told by a digest of its whole normalised text, so exact copies count once; near copies
+are documents of their own, and where more of them than the limit share most of their lines, those
+lines are common as any others are.
 """
 
 from __future__ import annotations
@@ -55,8 +54,8 @@ def line_hash(line: bytes) -> int:
     return int.from_bytes(hashlib.md5(line, usedforsecurity=False).digest()[:8], "big", signed=True)
 
 
-def measured(text: str | None) -> tuple[list[int], list[dict]]:
-    """The base counts of a text, and of each distinct normalised line: hash, words in all its places, and the document's mark for it."""
+def measured(text: str | None) -> tuple[list[int], int, list[dict]]:
+    """The base counts of a text, its digest, and of each distinct normalised line the hash and the words in all its places."""
     raw = (text or "").encode()
     words = raw.split()
     lines: dict[bytes, int] = {}
@@ -70,46 +69,46 @@ def measured(text: str | None) -> tuple[list[int], list[dict]]:
         seen.add(line)
         key = b" ".join(own).lower()
         lines[key] = lines.get(key, 0) + len(own)
-    hashes = {line_hash(k): n for k, n in lines.items()}
-    least = sorted(hashes)[:2]
-    other = {least[0]: least[1]} if len(least) > 1 else {h: None for h in least}
-    marks = [{"line": h, "words": n, "mark": None if 2 * n > len(words) else other.get(h, least[0])} for h, n in hashes.items()]
     chars = len(text or "") - (len(raw) - len(raw.translate(None, SPACES)))
-    return [len(words), chars, len(raw) - len(raw.translate(None, SYMBOLS)), duplicates, repeated_words(words)], marks
+    counts = [len(words), chars, len(raw) - len(raw.translate(None, SYMBOLS)), duplicates, repeated_words(words)]
+    return counts, line_hash(b" ".join(words).lower()), [{"line": line_hash(k), "words": n} for k, n in lines.items()]
 
 
 def measures(docs: DataFrame, id_column: str, text: str, host: str) -> DataFrame:
-    """(key, doc_id, host, the base counts, lines) of each row; key is a hash of id, host and text, so that equal rows share it."""
-    kinds = [pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * 5, pa.list_(pa.struct([("line", pa.int64()), ("words", pa.int64()), ("mark", pa.int64())]))]
+    """(key, doc_id, host, the base counts, document, lines) of each row; key is a 128-bit hash of id, host and text, so that equal rows share it."""
+    kinds = [pa.string(), pa.int64(), pa.string(), *[pa.int64()] * 6, pa.list_(pa.struct([("line", pa.int64()), ("words", pa.int64())]))]
+    names = ["key", "doc_id", "host", *NAMES, "document", "lines"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 rows = []
                 for key, doc_id, host_name, value in zip(*(c.to_pylist() for c in batch.slice(start, 256).columns)):
-                    counts, lines = measured(value)
-                    rows.append((key, doc_id, host_name, *counts, lines))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["key", "doc_id", "host", *NAMES, "lines"])
+                    counts, document, lines = measured(value)
+                    rows.append((key, doc_id, host_name, *counts, document, lines))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
     source = docs.select(_key(id_column, host, text).alias("key"), F.col(id_column).cast("long"), F.coalesce(F.col(host), F.lit("")), F.col(text))
-    return source.mapInArrow(run, f"key long, doc_id long, host string, {BASE}, lines array<struct<line:bigint,words:bigint,mark:bigint>>")
+    return source.mapInArrow(run, f"key string, doc_id long, host string, {BASE}, document long, lines array<struct<line:bigint,words:bigint>>")
 
 
 def _key(id_column: str, host: str, text: str):
-    return F.xxhash64(F.col(id_column), F.col(host), F.col(text))
+    parts = [F.col(id_column), F.col(host), F.col(text)]
+    return F.concat(F.hex(F.xxhash64(*parts)), F.lit("-"), F.hex(F.xxhash64(F.lit(1), *parts)))
 
 
 def judged(docs: DataFrame, id_column: str = "doc_id", text: str = "text", host: str = "source", *, max_documents: int = MAX_DOCUMENTS, max_removed: float = MAX_REMOVED) -> DataFrame:
     """(key, doc_id, base counts, base_failed, n_removed_words, kept, common): a row for each row.
 
     ``common`` has the hashes of its lines that are removed. Null texts have no words and fail;
-    null hosts are the host "". Null ids stay null. Equal rows are documents of their own, but
-    count once for a line.
+    null hosts are the host "". Null ids stay null. Equal rows have a verdict each, but texts that
+    are equal but for case and white space count once for a line.
     """
     rows = written(measures(docs, id_column, text, host), "lines")
-    lines = rows.select("key", "host", F.explode("lines").alias("l")).select("key", "host", "l.*")
-    marks = lines.select("host", "line", "mark").distinct()
-    common = marks.groupBy("host", "line").count().where(F.col("count") > max_documents).select("host", "line")
+    lines = rows.select("key", "host", "document", F.explode("lines").alias("l")).select("key", "host", "document", "l.*")
+    # an equal pair of line and document is gone before the shuffle; a very common line is counted in parts
+    own = lines.select("host", "line", "document").distinct()
+    common = own.groupBy("host", "line").count().where(F.col("count") > max_documents).select("host", "line")
     found = lines.join(common, ["host", "line"], "left_semi").groupBy("key").agg(F.collect_set(F.struct("line", "words")).alias("found"))
     removed = F.coalesce(F.aggregate("found", F.lit(0).cast("long"), lambda s, x: s + x["words"]), F.lit(0))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))

@@ -120,23 +120,15 @@ ORACLES = {
             SELECT doc_id, host, line, w FROM raw_lines WHERE len(w) > 0
         ), duplicates AS (
             SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM own_lines GROUP BY 1
-        ), hashed AS (
-            SELECT doc_id, host, md5(translate(array_to_string(w, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS full_hash, len(w) AS n FROM own_lines
         ), lines AS (
-            SELECT doc_id, host, CAST(CAST('0x' || full_hash[1:16] AS UBIGINT) AS HUGEINT) AS u, sum(n) AS words FROM hashed GROUP BY doc_id, host, full_hash
-        ), signed_lines AS (
-            SELECT doc_id, host, words, CASE WHEN u >= 9223372036854775808 THEN u - 18446744073709551616 ELSE u END AS line FROM lines
-        ), ranked AS (
-            SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS r, sum(words) OVER (PARTITION BY doc_id) AS total FROM signed_lines
-        ), least AS (
-            SELECT doc_id, min(line) AS first, min(CASE WHEN r = 2 THEN line END) AS second FROM ranked GROUP BY 1
-        ), marks AS (
-            SELECT DISTINCT host, line, CASE WHEN 2 * words > total THEN NULL WHEN line = first THEN second ELSE first END AS mark
-            FROM ranked JOIN least USING (doc_id)
+            SELECT doc_id, host, translate(array_to_string(w, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS line, sum(len(w)) AS words
+            FROM own_lines GROUP BY ALL
+        ), digests AS (
+            SELECT doc_id, md5(translate(array_to_string(w, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS document FROM d
         ), common AS (
-            SELECT host, line FROM marks GROUP BY host, line HAVING count(*) > 20
+            SELECT host, line FROM lines JOIN digests USING (doc_id) GROUP BY host, line HAVING count(DISTINCT document) > 20
         ), removed AS (
-            SELECT doc_id, sum(words) AS n FROM signed_lines JOIN common USING (host, line) GROUP BY 1
+            SELECT doc_id, sum(words) AS n FROM lines JOIN common USING (host, line) GROUP BY 1
         ), counts AS (
             SELECT d.doc_id, len(w) AS n_words, CAST(length(replace(array_to_string(w, ' '), ' ', '')) AS BIGINT) AS word_chars,
                    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
