@@ -644,13 +644,13 @@ def upsert_by_window_key(spark, sf):
 
 @query
 def stored_facts(spark, sf):
-    """Two overlapping upserts, a compaction and a third upsert; then the current rows."""
+    """Two overlapping upserts, a compaction into a fresh folder and a third upsert; then the current rows."""
     store = S.FactTable(spark, scratch_path(spark, "facts"), chunk_days=56)
     facts = M.line_facts(spark, sf)
     store.upsert(facts.withColumn("value", F.lit(-1.0)))
     early = F.col("start_time") < F.lit("2000-01-01").cast("timestamp")
     store.upsert(facts.filter(early))
-    store.compact()
+    store = store.compacted(scratch_path(spark, "facts"))
     store.upsert(facts.filter(~early))
     return store.read().select("start_time", "name", "initial_metric_name", r6("value").alias("value"))
 
@@ -661,7 +661,6 @@ def stored_facts_range(spark, sf):
     path = scratch_path(spark, "facts")
     store = S.FactTable(spark, path, chunk_days=56)
     store.upsert(M.line_facts(spark, sf))
-    store.compact()
     rows = S.FactTable(spark, path).read(datetime(1996, 1, 1), datetime(1997, 1, 1))
     return rows.groupBy("initial_metric_name").agg(
         F.count("*").alias("n"), F.min("start_time").alias("oldest"), r6(F.sum("value")).alias("value")
@@ -676,9 +675,8 @@ def stored_by_window_key(spark, sf):
     store = S.FactTable(spark, path, key=S.WINDOW_KEY)
     other = F.create_map(F.lit("was"), F.lit("before"))
     store.upsert(S.to_facts(facts.withColumn("context", other).drop("context_json").withColumn("value", F.lit(0.0))))
-    store.compact()
     store.upsert(facts.filter("initial_metric_name = 'line_A_bytes'"))
-    rows = S.FactTable(spark, path).read()
+    rows = S.FactTable(spark, path, key=S.WINDOW_KEY).read()
     return rows.groupBy("initial_metric_name", F.col("context_json").contains("before").alias("before")).agg(
         F.count("*").alias("n"), r6(F.sum("value")).alias("value")
     )
@@ -689,9 +687,8 @@ def retention_kept(spark, sf):
     """What remains after the chunks that ended before a cut-off are dropped."""
     store = S.FactTable(spark, scratch_path(spark, "retention"), chunk_days=28)
     store.upsert(M.line_facts(spark, sf))
-    store.compact()
-    store.apply_retention(datetime(1998, 6, 15))
-    return store.read().groupBy("initial_metric_name").agg(
+    kept = store.retained(datetime(1998, 6, 15), scratch_path(spark, "retention"))
+    return kept.read().groupBy("initial_metric_name").agg(
         F.count("*").alias("n"), F.min("start_time").alias("oldest"), r6(F.sum("value")).alias("value")
     )
 
@@ -1066,7 +1063,7 @@ def stream_equals_batch(spark, sf):
 @query
 def stream_in_steps(spark, sf):
     """Two runs of the stream: a window that both fill is updated, rows that come too late are
-    dropped, every batch is compacted; the newest rows of each sink, counted."""
+    dropped; the newest rows of each sink, counted."""
     base, source = scratch_path(spark, "stream"), scratch_path(spark, "arrivals")
     events = spark.read.parquet(f"{sf}/events.parquet")
     cut, early = (F.lit(t).cast("timestamp_ntz") for t in ("2024-01-15 00:30:00", "2024-01-03 00:00:00"))
@@ -1081,7 +1078,6 @@ def stream_in_steps(spark, sf):
             load_rules=lambda s: M.event_rules(s),
             load_prices=lambda s: M.event_prices(s),
             sinks=True,
-            compact_every=1,
         )
     facts = S.FactTable(spark, f"{base}/facts").read()
     key = ["start_time", "entity_type", "name", "metric", "context"]

@@ -1,12 +1,12 @@
-"""The stored fact table: append-only deltas over a compacted base, both plain Parquet."""
+"""The stored fact table: versions of rows as plain Parquet, the newest version of a key counts."""
 
 from __future__ import annotations
 
 import functools
-import json
 from collections.abc import Sequence
-from datetime import date, datetime, timedelta
+from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +17,7 @@ from tallyspark.schemas import EXPORT, FACTS
 
 UNKNOWN_TARGET = "unknown"
 WINDOW_KEY = ["start_time", "end_time", "entity_type", "initial_metric_name", "name"]
-_STORED = f"{FACTS}, version BIGINT, chunk_start DATE"
+_STORED = f"{FACTS}, version BIGINT, chunk_days INT, chunk_start DATE"
 CHUNK_DAYS = 7
 
 
@@ -146,214 +146,67 @@ def chunk_start(moment: Column, days: int) -> Column:
 
 
 def with_chunk(facts: DataFrame, days: int) -> DataFrame:
-    return facts.withColumn("chunk_start", chunk_start(F.col("start_time"), days))
+    """Adds the chunk of each row. The width goes along, so that readers need not be told."""
+    return facts.withColumns({"chunk_days": F.lit(days), "chunk_start": chunk_start(F.col("start_time"), days)})
 
 
 class FactTable:
-    """Upsert by key on plain files: by row id, or with ``key=WINDOW_KEY`` by window key.
-
-    A numbered manifest names the chunk width, the key and, for each chunk of days, the
-    generation of the base that holds it; the newest manifest counts. ``base`` has one row per
-    key, clustered by name. Each upsert adds one folder below ``delta``, which counts once it is
-    complete; writing the same version again replaces that folder, so a replayed micro-batch
-    changes nothing. Readers take the base without the keys that the deltas replace, which
-    leaves the large base unshuffled while the deltas are small, plus the newest delta row per
-    key. Nothing that a manifest names is ever overwritten.
+    """Upsert by key on Parquet folders: by row id, or with ``key=WINDOW_KEY`` by window key.
+
+    Each upsert is one folder ``version=N`` with a folder for each chunk of days; writing a version
+    again replaces its folder, so a replayed micro-batch changes nothing. Readers take the newest
+    version of each key by an aggregate and a semi-join. Compaction and retention write their
+    result as a table in a fresh folder, and the caller decides when to read from there.
     """
 
-    def __init__(
-        self,
-        spark: SparkSession,
-        path: str,
-        chunk_days: int | None = None,
-        key: Sequence[str] | None = None,
-    ):
+    def __init__(self, spark: SparkSession, path: str, chunk_days: int = CHUNK_DAYS, key: Sequence[str] = ("row_id",)):
         self.spark, self.path = spark, path.rstrip("/")
-        self.base, self.delta = f"{self.path}/base", f"{self.path}/delta"
-        stored = self._manifest()
-        self.chunk_days = stored["chunk_days"] if stored else chunk_days or CHUNK_DAYS
-        self.key = list(stored["key"] if stored else key or ["row_id"])
-        if chunk_days not in (None, self.chunk_days) or list(key or self.key) != self.key:
-            raise ValueError(f"{path} has chunks of {self.chunk_days} days and the key {self.key}")
-
-    def _fs(self, path: str):
-        jvm = self.spark._jvm
-        hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-        return hadoop_path.getFileSystem(self.spark._jsc.hadoopConfiguration()), hadoop_path
-
-    def _exists(self, path: str) -> bool:
-        fs, p = self._fs(path)
-        return fs.exists(p)
-
-    def _children(self, path: str) -> list[str]:
-        fs, p = self._fs(path)
-        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
-
-    def _delete(self, path: str) -> None:
-        fs, p = self._fs(path)
-        fs.delete(p, True)
-
-    def _manifests(self) -> list[int]:
-        names = self._children(f"{self.path}/manifest")
-        return sorted(int(n.split(".")[0]) for n in names if n.endswith(".json"))
-
-    def _manifest(self, back: int = 0) -> dict | None:
-        """The newest manifest, or the one ``back`` steps before it."""
-        numbers = self._manifests()
-        if len(numbers) <= back:
-            return None
-        fs, p = self._fs(f"{self.path}/manifest/{numbers[-1 - back]}.json")
-        stream = fs.open(p)
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
-
-    def _switch(self, chunks: dict[str, int]) -> None:
-        """A new manifest; its number exists once, so of two writers the later one fails."""
-        content = {"chunk_days": self.chunk_days, "key": self.key, "chunks": chunks}
-        number = max(self._manifests(), default=0) + 1
-        fs, p = self._fs(f"{self.path}/manifest/{number}.json")
-        stream = fs.create(p, False)
-        try:
-            stream.write(bytearray(json.dumps(content, sort_keys=True).encode()))
-        finally:
-            stream.close()
-
-    def _chunks(self, back: int = 0) -> dict[str, int]:
-        """Generation of each chunk of the base."""
-        return (self._manifest(back) or {"chunks": {}})["chunks"]
+        self.chunk_days, self.key = chunk_days, list(key)
 
-    def versions(self) -> list[int]:
-        """Versions whose folder is complete."""
-        names = [n for n in self._children(self.delta) if n.startswith("version=")]
-        done = [n for n in names if self._exists(f"{self.delta}/{n}/_SUCCESS")]
-        return sorted(int(n.split("=")[1]) for n in done)
-
-    def _empty(self) -> DataFrame:
-        return self.spark.createDataFrame([], _STORED)
-
-    def _base(self, start=None, end=None) -> DataFrame:
-        chunks = self._chunks()
-        if start is not None:
-            first = self._first_day(start)
-            chunks = {c: g for c, g in chunks.items() if c >= first}
-        if end is not None:
-            last = end.date().isoformat()
-            chunks = {c: g for c, g in chunks.items() if c <= last}
-        return self._base_of(chunks).filter(contained(start, end))
-
-    def _base_of(self, chunks: dict[str, int]) -> DataFrame:
-        if not chunks:
-            return self._empty()
-        paths = [f"{self.base}/generation={g}/chunk_start={c}" for c, g in sorted(chunks.items())]
-        rows = self.spark.read.schema(_STORED).option("basePath", self.base).parquet(*paths)
-        return rows.select(*_names(_STORED))
-
-    def _deltas(self, start=None, end=None) -> DataFrame:
-        paths = [f"{self.delta}/version={v}" for v in self.versions()]
-        if not paths:
-            return self._empty()
-        df = self.spark.read.schema(_STORED).option("basePath", self.delta).parquet(*paths)
-        # chunk_start prunes folders; start_time and end_time prune row groups
+    def versions(self, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
+        """All versions of the rows in a range, which prunes chunk folders and row groups."""
+        try:
+            rows = self.spark.read.schema(_STORED).parquet(self.path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            rows = self.spark.createDataFrame([], _STORED)
         if start is not None:
-            df = df.filter(F.col("chunk_start") >= F.lit(self._first_day(start)).cast("date"))
+            rows = rows.filter(F.date_add("chunk_start", F.col("chunk_days")) > F.to_date(instant(start)))
         if end is not None:
-            df = df.filter(F.col("chunk_start") <= F.to_date(instant(end)))
-        return df.select(*_names(_STORED)).filter(contained(start, end))
+            rows = rows.filter(F.col("chunk_start") <= F.to_date(instant(end)))
+        return rows.filter(contained(start, end))
 
-    def _first_day(self, moment: datetime) -> str:
-        day = (moment.date() - date(1970, 1, 1)).days
-        return (date(1970, 1, 1) + timedelta(days=day - day % self.chunk_days)).isoformat()
+    def newest_version(self) -> int:
+        """0 for a table without rows. Versions are folder names, so no column is read."""
+        return self.versions().agg(F.max("version")).first()[0] or 0
 
     def upsert(self, facts: DataFrame, version: int | None = None) -> int:
-        """Add rows (unique by key, as windows are) as one version, which replaces older ones."""
-        if not self._manifests():
-            self._switch({})
-        if version is None:
-            version = max(self.versions(), default=0) + 1
-        rows = with_chunk(facts.select(*_names(FACTS)), self.chunk_days)
-        # rebalance: few files per chunk, and a large chunk is split over several tasks
-        (
-            rows.hint("rebalance", "chunk_start")
-            .sortWithinPartitions("chunk_start", "name")
-            .write.mode("overwrite")
-            .partitionBy("chunk_start")
-            .parquet(f"{self.delta}/version={version}")
-        )
+        """Write rows (unique by key, as windows are) as one version, which replaces older ones."""
+        version = self.newest_version() + 1 if version is None else version
+        write_facts(facts.select(*_names(FACTS)), f"{self.path}/version={version}", "overwrite", self.chunk_days)
         return version
 
-    def _newest(self, delta: DataFrame) -> DataFrame:
-        """The newest delta row per key: a hash aggregate of versions, then an equi-join."""
-        newest = delta.groupBy(*self.key).agg(F.max("version").alias("version"))
-        return _matching(delta, newest, [*self.key, "version"], "left_semi")
-
     def read(self, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
-        """Current rows; a range reads only the chunks and row groups that may hold it."""
-        base = self._base(start, end)
-        if not self.versions():
-            return base.select(*_names(FACTS))
-        delta = self._deltas(start, end)
-        kept = _matching(base, delta, self.key, "left_anti")
-        return kept.unionByName(self._newest(delta)).select(*_names(FACTS))
-
-    def compact(self) -> None:
-        """Fold the deltas into a new generation of the chunks they touch, then switch over.
-
-        Until the manifest is there, readers see base and deltas as before; after it, deltas
-        that are left over say the same as the base. So the job may fail anywhere and run again.
-        The generations of the manifest before stay for readers that have begun.
-        """
-        versions = self.versions()
-        if not versions:
-            return
-        old = self._chunks()
-        delta = self._deltas().filter(F.col("version") <= versions[-1])
-        touched = [r[0].isoformat() for r in delta.select("chunk_start").distinct().collect()]
-        base = self._base_of({c: g for c, g in old.items() if c in touched})
-        kept = _matching(base, delta, self.key, "left_anti")
-        merged = self._newest(delta)
-        merged = merged.unionByName(kept.select(*merged.columns))
-        generation = max([*old.values(), *self._generations()], default=0) + 1
-        write_facts(merged, f"{self.base}/generation={generation}", "overwrite")
-        self._switch(old | dict.fromkeys(touched, generation))
-        for v in versions:
-            self._delete(f"{self.delta}/version={v}")
-        self._sweep()
-
-    def _generations(self) -> list[int]:
-        names = [n for n in self._children(self.base) if n.startswith("generation=")]
-        return [int(n.split("=")[1]) for n in names]
-
-    def _sweep(self) -> None:
-        """Delete the chunks that neither the newest manifest nor the one before names."""
-        live = set()
-        for back in (0, 1):
-            live |= {(g, c) for c, g in self._chunks(back).items()}
-        for g in self._generations():
-            for name in self._children(f"{self.base}/generation={g}"):
-                if name.startswith("chunk_start=") and (g, name.split("=")[1]) not in live:
-                    self._delete(f"{self.base}/generation={g}/{name}")
-            if g not in {x for x, _ in live}:
-                self._delete(f"{self.base}/generation={g}")
-
-    def apply_retention(self, cut_off: datetime) -> list[str]:
-        """Drop the chunks that ended at or before ``cut_off``; returns their names."""
-        last = (cut_off - timedelta(days=self.chunk_days)).date().isoformat()
-        chunks = self._chunks()
-        dropped = {f"chunk_start={c}" for c in chunks if c <= last}
-        if dropped:
-            self._switch({c: g for c, g in chunks.items() if c > last})
-            for c, g in chunks.items():
-                if c <= last:
-                    self._delete(f"{self.base}/generation={g}/chunk_start={c}")
-        for v in self.versions():
-            root = f"{self.delta}/version={v}"
-            for name in self._children(root):
-                if name.startswith("chunk_start=") and name.split("=")[1] <= last:
-                    self._delete(f"{root}/{name}")
-                    dropped.add(name)
-        return sorted(dropped)
+        """Current rows. The versions of a key lie in one chunk, so a range sees all of them or none."""
+        rows = self.versions(start, end)
+        newest = rows.groupBy(*self.key).agg(F.max("version").alias("version"))
+        return _matching(rows, newest, [*self.key, "version"], "left_semi").select(*_names(FACTS))
+
+    def compacted(self, path: str) -> FactTable:
+        """The current rows as the only version of a table in a fresh folder."""
+        return self._moved(self.read(), path)
+
+    def retained(self, cut_off: datetime, path: str) -> FactTable:
+        """The same without the chunks that ended at or before ``cut_off``."""
+        days = F.lit(self.chunk_days)
+        kept = F.date_add(chunk_start(F.col("start_time"), self.chunk_days), days) > F.to_date(instant(cut_off))
+        return self._moved(self.read().filter(kept), path)
+
+    def _moved(self, rows: DataFrame, path: str) -> FactTable:
+        table = FactTable(self.spark, path, self.chunk_days, self.key)
+        table.upsert(rows, max(self.newest_version(), 1))
+        return table
 
 
 def _matching(rows: DataFrame, others: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
@@ -363,21 +216,18 @@ def _matching(rows: DataFrame, others: DataFrame, keys: Sequence[str], how: str)
     return rows.join(named, functools.reduce(Column.__and__, same), how)
 
 
-def write_facts(
-    facts: DataFrame, path: str, mode: str = "append", chunk_days: int = CHUNK_DAYS
-) -> None:
-    """Chunk folders, clustered by name so that row-group ranges on it are narrow.
+def write_facts(facts: DataFrame, path: str, mode: str = "append", chunk_days: int = CHUNK_DAYS) -> None:
+    """Chunk folders, sorted by name so that row-group ranges on it are narrow.
 
-    The range partitioning splits a chunk or a name that is too large for one task.
+    Rebalancing makes few files per chunk and splits a large chunk over several tasks.
     """
-    df = facts if "chunk_start" in facts.columns else with_chunk(facts, chunk_days)
     order = ["chunk_start", "name", "start_time"]
     (
-        df.repartitionByRange(*order)
+        with_chunk(facts, chunk_days)
+        .hint("rebalance", "chunk_start")
         .sortWithinPartitions(*order)
         .write.mode(mode)
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("chunk_start")
+        .partitionBy("chunk_days", "chunk_start")
         .parquet(path)
     )
 

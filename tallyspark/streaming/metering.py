@@ -105,13 +105,11 @@ def start_windows(
     trigger: dict | None = None,
     first_version: int = 1,
     max_files: int | None = None,
-    compact_every: int = 40,
     sinks: bool = False,
 ) -> StreamingQuery:
     """Each update of a window is priced by the newest rule and upserted into ``base/facts``.
 
-    Every ``compact_every`` batches the table is compacted. With ``sinks`` each batch also
-    writes the result stream (``base/windowed``) and its table-friendly twin
+    With ``sinks`` each batch also writes the result stream (``base/windowed``) and its table-friendly twin
     (``base/table_friendly``), one folder a batch, so that a replay replaces its own.
 
     The version of an upsert follows from the batch number, so a replay replaces its own
@@ -131,10 +129,7 @@ def start_windows(
             priced = written(priced, "windows")
             write_windowed(priced, f"{base}/windowed/batch_id={batch_id}", "overwrite")
             to_table_friendly(priced).write.mode("overwrite").parquet(f"{base}/table_friendly/batch_id={batch_id}")
-        table = FactTable(session, f"{base}/facts")
-        table.upsert(to_facts(priced), first_version + batch_id)
-        if batch_id % compact_every == compact_every - 1:
-            table.compact()
+        FactTable(session, f"{base}/facts").upsert(to_facts(priced), first_version + batch_id)
 
     return (
         windowed_stream(labelled, config)

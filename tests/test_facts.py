@@ -26,22 +26,20 @@ def test_id_ignores_the_value_but_not_the_context(spark):
 
 def test_upsert_is_idempotent(spark, tmp_path):
     store = S.FactTable(spark, str(tmp_path / "f"))
-    assert store.read().count() == 0
+    assert store.read().count() == 0 and store.newest_version() == 0
     store.upsert(sample(spark))
     store.upsert(sample(spark))
     assert store.read().count() == 2
     store.upsert(sample(spark, 5.0, (1, 2)))
     want = {0: 1.0, 1: 5.0, 2: 5.0}
-    current = lambda: {r.start_time.hour: r.value for r in store.read().collect()}
-    assert current() == want
-    store.compact()
-    assert current() == want and store.versions() == []
-    store.upsert(sample(spark, 7.0, (0,)))
-    assert current() == {**want, 0: 7.0}
-    store.compact()
-    assert current() == {**want, 0: 7.0}
-    store.compact()
-    got = store.read(ts(H[1]), ts(H[3])).collect()
+    current = lambda table: {r.start_time.hour: r.value for r in table.read().collect()}
+    assert current(store) == want
+    fresh = store.compacted(str(tmp_path / "g"))
+    assert current(fresh) == want and fresh.versions().count() == 3
+    fresh.upsert(sample(spark, 7.0, (0,)))
+    assert current(fresh) == {**want, 0: 7.0} and current(store) == want
+    assert current(fresh.compacted(str(tmp_path / "h"))) == {**want, 0: 7.0}
+    got = fresh.read(ts(H[1]), ts(H[3])).collect()
     assert sorted(r.start_time.hour for r in got) == [1, 2]
 
 
@@ -49,68 +47,45 @@ def test_replayed_version_replaces_itself(spark, tmp_path):
     store = S.FactTable(spark, str(tmp_path / "f"))
     store.upsert(sample(spark, 1.0), version=3)
     store.upsert(sample(spark, 1.0), version=3)
-    assert store.versions() == [3] and store.read().count() == 2
+    assert store.newest_version() == 3 and store.versions().count() == 2 and store.read().count() == 2
 
 
-def test_compaction_leaves_other_chunks_alone(spark, tmp_path):
-    store = S.FactTable(spark, str(tmp_path / "f"), chunk_days=1)
-    rows = [(f"2024-01-0{d}T00:00:00", f"2024-01-0{d}T01:00:00", "m", d, {}, "t", "TOPIC") for d in (1, 2, 3)]
-    store.upsert(facts(spark, rows))
-    store.compact()
-    before = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "f/base/generation=1/chunk_start=2024-01-01").iterdir()}
-    store.upsert(facts(spark, rows[1:]).withColumn("value", F.lit(9.0)))
-    store.compact()
-    after = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "f/base/generation=1/chunk_start=2024-01-01").iterdir()}
-    assert before == after
-    assert sorted(r.value for r in store.read().collect()) == [1.0, 9.0, 9.0]
-    files = store.read(datetime(2024, 1, 2), datetime(2024, 1, 3)).inputFiles()
-    assert files and all("chunk_start=2024-01-02" in f or "chunk_start=2024-01-03" in f for f in files)
-
+def test_a_null_in_the_key_is_a_value(spark, tmp_path):
+    store = S.FactTable(spark, str(tmp_path / "f"), key=S.WINDOW_KEY)
+    for value in (1.0, 2.0):
+        store.upsert(sample(spark, value).withColumn("name", F.lit(None).cast("string")))
+    assert [r.value for r in store.read().collect()] == [2.0, 2.0]
 
-def test_readers_know_the_width_of_the_chunks(spark, tmp_path):
-    path = str(tmp_path / "f")
-    rows = [(f"2024-01-{d:02}T00:00:00", f"2024-01-{d:02}T01:00:00", "m", d, {}, "t", "TOPIC") for d in range(1, 29)]
-    store = S.FactTable(spark, path, chunk_days=20)
-    store.upsert(facts(spark, rows))
-    store.compact()
-    assert S.FactTable(spark, path).read(datetime(2024, 1, 9), datetime(2024, 1, 20)).count() == 11
-    with pytest.raises(ValueError):
-        S.FactTable(spark, path, chunk_days=7)
 
+def days_of_january(spark, days):
+    return facts(spark, [(f"2024-01-{d:02}T00:00:00", f"2024-01-{d:02}T01:00:00", "m", d, {}, "t", "TOPIC") for d in days])
 
-def test_a_half_written_version_does_not_count(spark, tmp_path):
-    store = S.FactTable(spark, str(tmp_path / "f"))
-    store.upsert(sample(spark, 1.0), version=1)
-    store.upsert(sample(spark, 5.0), version=2)
-    (tmp_path / "f/delta/version=2/_SUCCESS").unlink()
-    assert store.versions() == [1] and {r.value for r in store.read().collect()} == {r.value for r in sample(spark, 1.0).collect()}
 
+def test_ranges_read_only_their_chunks(spark, tmp_path):
+    store = S.FactTable(spark, str(tmp_path / "f"), chunk_days=1)
+    store.upsert(days_of_january(spark, (1, 2, 3)))
+    store.upsert(days_of_january(spark, (2, 3)).withColumn("value", F.lit(9.0)))
+    assert sorted(r.value for r in store.read().collect()) == [1.0, 9.0, 9.0]
+    plan = store.read(datetime(2024, 1, 2), datetime(2024, 1, 3))._jdf.queryExecution().executedPlan().toString()
+    scans = [x for x in plan.splitlines() if "FileScan parquet" in x]
+    assert scans and all("PartitionFilters: [" in x and "chunk_start" in x.split("PartitionFilters")[1] for x in scans)
 
-def test_compaction_that_stops_before_or_after_the_switch(spark, tmp_path, monkeypatch):
-    def stop(*_):
-        raise RuntimeError
 
-    store = S.FactTable(spark, str(tmp_path / "f"))
-    store.upsert(sample(spark, 1.0))
-    store.compact()
-    store.upsert(sample(spark, 2.0))
-    before = sorted(map(str, store.read().collect()))
-    for step in ("_switch", "_delete"):
-        with monkeypatch.context() as m:
-            m.setattr(S.FactTable, step, stop)
-            with pytest.raises(RuntimeError):
-                store.compact()
-        assert sorted(map(str, store.read().collect())) == before
-    store.compact()
-    assert sorted(map(str, store.read().collect())) == before and store.versions() == []
+def test_readers_need_not_know_the_width_of_the_chunks(spark, tmp_path):
+    path = str(tmp_path / "f")
+    S.FactTable(spark, path, chunk_days=20).upsert(days_of_january(spark, range(1, 29)))
+    assert S.FactTable(spark, path).read(datetime(2024, 1, 9), datetime(2024, 1, 20)).count() == 11
+    S.FactTable(spark, path, chunk_days=3).upsert(days_of_january(spark, range(5, 12)).withColumn("value", F.lit(0.0)))
+    rows = S.FactTable(spark, path).read(datetime(2024, 1, 9), datetime(2024, 1, 20)).collect()
+    assert len(rows) == 11 and sum(r.value == 0 for r in rows) == 3
 
 
 def test_retention_drops_whole_chunks(spark, tmp_path):
     store = S.FactTable(spark, str(tmp_path / "f"), chunk_days=1)
-    rows = [(f"2024-01-0{d}T00:00:00", f"2024-01-0{d}T01:00:00", "m", d, {}, "t", "TOPIC") for d in (1, 2, 3)]
-    store.upsert(facts(spark, rows))
-    assert store.apply_retention(datetime(2024, 1, 2)) == ["chunk_start=2024-01-01"]
-    assert sorted(r.value for r in store.read().collect()) == [2.0, 3.0]
+    store.upsert(days_of_january(spark, (1, 2, 3)))
+    kept = store.retained(datetime(2024, 1, 2), str(tmp_path / "g"))
+    assert sorted(r.value for r in kept.read().collect()) == [2.0, 3.0]
+    assert store.read().count() == 3
 
 
 def test_window_key_ignores_the_context(spark):
