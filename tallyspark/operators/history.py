@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import functools
+from collections.abc import Iterable, Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.buckets import bucket_seconds, bucket_start, range_or_default
+from tallyspark.session import written
 from tallyspark.sources.facts import contained
 
 UNKNOWN_LABEL = "unknown"
@@ -39,28 +41,35 @@ def history_series(
     A chart shape. One row cannot hold any number of points, so a longer series continues
     in further rows, numbered by ``chunk``; its points stay in order.
     """
-    points = history(facts, start, end, metrics).select("name", "start_time", "value")
-    span = _chunk_of(points, max_points)
+    points = history(facts, start, end, metrics).select("name", "start_time", "value", "row_id")
+    numbered = numbered_in_order(points, ["name"], ["start_time", "value", "row_id"])
+    chunk = F.floor(F.col("number") / max_points).alias("chunk")
     pairs = F.array_sort(F.collect_list(F.struct("start_time", "value")))
     return (
-        span.groupBy("name", "chunk")
+        numbered.groupBy("name", chunk)
         .agg(pairs.alias("_p"))
         .select("name", "chunk", F.col("_p.start_time").alias("times"), F.col("_p.value").alias("values"))
     )
 
 
-def _chunk_of(points: DataFrame, max_points: int) -> DataFrame:
-    """Cut series into runs of whole days with at most ``max_points`` rows, where days allow it."""
-    day = F.to_date("start_time")
-    per_day = points.groupBy("name", day.alias("_day")).agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(
-        Window.partitionBy("name").orderBy("_day").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    chunks = per_day.select(
-        F.col("name").alias("_name"), "_day", F.floor((before - 1) / max_points).alias("chunk")
-    )
-    joined = points.join(chunks, (F.col("name") == F.col("_name")) & (day == F.col("_day")))
-    return joined.drop("_name", "_day")
+def numbered_in_order(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows with ``number``, their place from 0 within a key in the given order.
+
+    A key of any size is spread: the rows are sorted over range partitions and written once with
+    their place there, and what a key has in earlier partitions is added. Only counts per key and
+    partition meet in a window. Rows that are equal in keys and order lie in one partition, so the
+    order should end in something that tells rows apart.
+    """
+    by = [*keys, *order]
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ordered = rows.repartitionByRange(*by).sortWithinPartitions(*by)
+    places = written(ordered.withColumns({"_part": F.spark_partition_id(), "_place": place}), "places")
+    parts = places.groupBy(*keys, "_part").agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_part").alias("_of"), (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_offset"))
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+    joined = places.join(offsets, functools.reduce(Column.__and__, same, F.col("_part") == F.col("_of")))
+    return joined.select(*rows.columns, (F.col("_place") + F.col("_offset")).alias("number"))
 
 
 def context_label(key: str, missing: str = UNKNOWN_LABEL) -> Column:

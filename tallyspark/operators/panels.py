@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.config import duration_seconds
 from tallyspark.functions.buckets import instant, range_or_default
 from tallyspark.functions.maps import canonical_json
+from tallyspark.operators.asof import as_of
 from tallyspark.operators.shares import with_group_total
 from tallyspark.session import written
 
@@ -103,22 +104,23 @@ def label_values(gauges: DataFrame, key: str) -> DataFrame:
     return gauges.filter(value.isNotNull() & (value != "")).select(value.alias("label")).distinct()
 
 
-def fill_gaps(hist: DataFrame, step: str = "1 hour") -> DataFrame:
+GRID_STEPS = 1000  # steps of a series that one row of the grid unfolds into
+
+
+def fill_gaps(hist: DataFrame, step: str = "1 hour", slice_width: str = "30 days") -> DataFrame:
     """Every step between the first and last time of a series; gaps repeat the value before.
 
-    The history is aggregated already and used twice, so it is written first.
+    A long series is spread: its grid unfolds in runs of steps, and the values before are carried
+    from slice to slice of time (:func:`as_of`). A null value is a gap. The history is aggregated
+    already and used twice, so it is written first.
     """
     hist = written(hist, "history")
+    each = F.expr(f"INTERVAL {step}")
+    run = F.expr(f"INTERVAL {step} * {GRID_STEPS}")
     bounds = hist.groupBy("name").agg(F.min("time").alias("_lo"), F.max("time").alias("_hi"))
-    grid = bounds.select(
-        "name", F.explode(F.sequence("_lo", "_hi", F.expr(f"INTERVAL {step}"))).alias("time")
-    )
-    before = (
-        Window.partitionBy("name").orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    return grid.join(hist, ["name", "time"], "left").select(
-        "name",
-        "time",
-        F.last("value", ignorenulls=True).over(before).alias("value"),
-        F.col("value").isNull().alias("is_filled"),
-    )
+    runs = bounds.select("name", "_hi", F.explode(F.sequence("_lo", "_hi", run)).alias("_from")).repartition("name", "_from")
+    last = F.least(F.col("_hi"), F.col("_from") + F.expr(f"INTERVAL {step} * {GRID_STEPS - 1}"))
+    grid = runs.select("name", F.explode(F.sequence("_from", last, each)).alias("time"))
+    known = hist.filter(F.col("value").isNotNull()).select("name", "time", "value", F.col("time").alias("_since"))
+    filled = as_of(grid, known, ["name"], "time", "time", ["value", "_since"], slice_width)
+    return filled.select("name", "time", "value", (F.col("_since").isNull() | (F.col("_since") < F.col("time"))).alias("is_filled"))

@@ -535,6 +535,13 @@ SELECT name, 0::BIGINT AS chunk, string_agg(strftime(start_time, '%Y%m%d'), ','
   string_agg(CAST(value::BIGINT AS VARCHAR), ',' ORDER BY start_time) AS "values"
 FROM lf WHERE {S_RANGE} AND initial_metric_name = 'line_R_bytes' GROUP BY name"""
 
+ORACLES["history_series_chunks"] = f"""{LF},
+p AS (SELECT region AS name, date_trunc('month', start_time)::TIMESTAMP AS moment, value FROM lf
+  WHERE {S_RANGE.replace('start_time', "date_trunc('month', start_time)::TIMESTAMP")} AND initial_metric_name = 'line_R_bytes'),
+c AS (SELECT *, (row_number() OVER (PARTITION BY name ORDER BY moment, value) - 1) // 50 AS chunk FROM p)
+SELECT name, chunk, CAST(count(*) AS INTEGER) AS n, min(moment) AS first, max(moment) AS last, round(sum(value), 6) AS value
+FROM c GROUP BY ALL"""
+
 ORACLES["history_grouped_auto"] = f"""{FACTS}
 SELECT coalesce({j('app')}, 'unknown') AS name,
   time_bucket(INTERVAL 24 HOUR, start_time, TIMESTAMP '2024-01-03') AS time, round(sum(value), 6) AS value

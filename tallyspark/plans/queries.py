@@ -838,6 +838,15 @@ def history_series(spark, sf):
     )
 
 
+@query
+def history_series_chunks(spark, sf):
+    """A day's points of one series are cut wherever the limit says, and no chunk is longer."""
+    facts = M.line_facts(spark, sf).withColumn("start_time", F.date_trunc("month", "start_time")).withColumn("name", ctx("region"))
+    rows = history.history_series(facts, M.SHIP_FROM, M.SHIP_TO, ["line_R_bytes"], max_points=50)
+    total = F.aggregate("values", F.lit(0.0), lambda s, v: s + v)
+    return rows.select("name", "chunk", F.size("times").alias("n"), F.array_min("times").alias("first"), F.array_max("times").alias("last"), r6(total).alias("value"))
+
+
 @query
 def history_grouped_auto(spark, sf):
     rows = history.history_grouped(

@@ -75,6 +75,16 @@ def test_series_continue_in_chunks(spark):
     assert [r["values"] for r in got.orderBy("chunk").collect()] == [[1, 2], [3, 4], [5]]
 
 
+def test_a_day_above_the_limit_is_cut(spark):
+    """One series of 500 points within a minute, many of them at one instant; chunks keep the order."""
+    rows = [(f"2024-01-01T00:00:{i % 7:02}", "2024-01-01T01:00:00", "m", i, {"k": str(i)}, "t", "TOPIC") for i in range(500)]
+    rows += [("2024-01-01T00:00:00", "2024-01-01T01:00:00", "m", 1, {}, "other", "TOPIC")]
+    got = HI.history_series(facts(spark, rows), ts("2024-01-01"), ts("2024-02-01"), max_points=64).orderBy("name", "chunk").collect()
+    assert [len(r["values"]) for r in got] == [1] + [64] * 7 + [52]
+    points = [p for r in got[1:] for p in zip(r.times, r["values"])]
+    assert points == sorted(points) and len({v for _, v in points}) == 500
+
+
 def test_totals_and_discovery(usage):
     totals = {r.initial_metric_name: r.total for r in HI.metric_totals(usage, ts(T[0]), ts(T[9])).collect()}
     assert totals == {"tons": 16.0, "rain": 8.0}
@@ -172,6 +182,23 @@ def test_gaps_repeat_the_value_before(spark):
     assert [(r.value, r.is_filled) for r in got] == [(1, False), (1, True), (1, True), (2, False)]
 
 
+def test_long_series_fill_over_slices(spark):
+    """30 days of one series with holes, null values and a lone point; every step is there once."""
+    from datetime import timedelta
+
+    first = ts("2024-01-01T00:00:00")
+    kept = [h for h in range(0, 24 * 90 + 1) if h % 17 in (0, 5) or h == 24 * 90]
+    rows = [("long", first + timedelta(hours=h), float(h) if h % 34 else None) for h in kept] + [("lone", first, 4.0)]
+    hist = spark.createDataFrame(rows, "name STRING, time TIMESTAMP, value DOUBLE")
+    got = {(r.name, r.time): (r.value, r.is_filled) for r in P.fill_gaps(hist, slice_width="2 days").collect()}
+    assert len(got) == 24 * 90 + 2 and got["lone", first] == (4.0, False)
+    value, known = None, {t: v for n, t, v in rows if n == "long"}
+    for h in range(24 * 90 + 1):
+        t = first + timedelta(hours=h)
+        value = value if known.get(t) is None else known[t]
+        assert got["long", t] == (value, known.get(t) is None)
+
+
 def samples(spark, rows):
     data = [(n, tags, float(v), ts(t)) for n, tags, v, t in rows]
     return spark.createDataFrame(data, "name STRING, tags MAP<STRING,STRING>, value DOUBLE, event_time TIMESTAMP")
