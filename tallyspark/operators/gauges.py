@@ -10,7 +10,7 @@ from tallyspark.functions.maps import canonical_json, explode_non_null, json_to_
 from tallyspark.session import written
 
 
-def gauge_samples(facts: DataFrame, prefix: str = "") -> DataFrame:
+def gauge_samples(facts: DataFrame, prefix: str = "", *kept: str) -> DataFrame:
     """(name, tags, value, event_time): tags are the context plus entity type = entity name,
     which wins over a context entry of the same key."""
     kind = F.lower("entity_type")
@@ -19,6 +19,7 @@ def gauge_samples(facts: DataFrame, prefix: str = "") -> DataFrame:
         put(F.col("context"), kind, F.col("name")).alias("tags"),
         "value",
         F.col("start_time").alias("event_time"),
+        *kept,
     )
 
 
@@ -31,7 +32,13 @@ def gauge_snapshot(samples: DataFrame) -> DataFrame:
     """
     keyed = samples.withColumn("tags_json", canonical_json(F.col("tags")))
     last = written(_last_value(keyed), "gauges")
-    key_sets = last.select(
+    return padded(last, last)
+
+
+def padded(series: DataFrame, every: DataFrame) -> DataFrame:
+    """``series`` (name, tags_json, value, last_seen) with the tag keys that any series of ``every`` of
+    that name has; of series that thereby become equal the newest stays."""
+    key_sets = every.select(
         "name", F.array_sort(F.map_keys(json_to_map(F.col("tags_json")))).alias("_k")
     ).distinct()
     keys = (
@@ -41,7 +48,7 @@ def gauge_snapshot(samples: DataFrame) -> DataFrame:
     )
     tags = json_to_map(F.col("tags_json"))
     wide = (
-        last.withColumn("_tags", tags)
+        series.withColumn("_tags", tags)
         .join(keys, F.col("name") == F.col("_name"))
         .withColumn(
             "tags_json",

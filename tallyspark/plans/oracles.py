@@ -747,6 +747,22 @@ ORACLES["stream_in_steps"] = f"""{FACTS}
 SELECT sink, initial_metric_name AS metric, count(*) AS n, round(sum(value), 6) AS value
 FROM facts, (VALUES ('facts'), ('table_friendly'), ('windowed')) s(sink) GROUP BY ALL"""
 
+ORACLES["live_gauges"] = f"""{FACTS},{GAUGE}
+SELECT name, tags_json, round(value, 6) AS value, last_seen FROM snap
+WHERE last_seen + INTERVAL 3630 SECOND >= (SELECT max(last_seen) FROM snap)"""
+
+# The batches are cut by event time, so the rule that comes with the third one labels what is from then on.
+ORACLES["stream_remembered_labels"] = rf"""{LAB}
+SELECT entity_type, name, {j('app')} AS app, {j('team')} AS team, {j('cost-unit')} AS cost_unit, {j('zone')} AS zone,
+  CASE WHEN event_time >= TIMESTAMP '2024-01-20' AND entity_type = 'TOPIC' AND regexp_full_match(name, '.*\.app[0-2]\..*')
+    THEN 'second' END AS epoch,
+  count(*) AS n, round(sum(value), 6) AS value FROM lab GROUP BY ALL"""
+
+ORACLES["stream_reprocessed"] = f"""{FACTS}
+SELECT start_time, entity_type, name, initial_metric_name, context_json, round(value, 6) AS value,
+  round(CASE WHEN initial_metric_name = 'svc_click_bytes' AND start_time >= TIMESTAMP '2024-01-15 10:00:00'
+    THEN 0.1 + 0.07 * value ELSE cost END, 6) AS cost FROM facts"""
+
 ORACLES["paged_files"] = ORACLES["flattened_pages"]
 
 ORACLES["split_by_default_map"] = f"""{SPLIT_FACTS}

@@ -33,6 +33,7 @@ from tallyspark.session import scratch_path
 from tallyspark.sources import facts as S
 from tallyspark.sources import raw as R
 from tallyspark.sources import rules as RU
+from tallyspark.streaming import gauges as SG
 from tallyspark.streaming import metering as ST
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1105,6 +1106,63 @@ def stream_in_steps(spark, sf):
     return functools.reduce(DataFrame.unionByName, counted)
 
 
+def _arrivals(spark, sf, *cuts):
+    """Paths of the events between the given times, written one after the other, and their stream."""
+    source = scratch_path(spark, "arrivals")
+    events = M.prepare(spark).read.parquet(f"{sf}/events.parquet")
+    at = [F.lit(c).cast("timestamp_ntz") for c in cuts]
+
+    def steps():
+        for low, high in zip([None, *at], [*at, None]):
+            rows = events if low is None else events.filter(F.col("ts") >= low)
+            (rows if high is None else rows.filter(F.col("ts") < high)).write.mode("append").parquet(source)
+            yield M.to_raw_events(spark.readStream.schema(events.schema).parquet(source))
+
+    return steps()
+
+
+@query
+def live_gauges(spark, sf):
+    """Gauges that follow the stream over three runs: those not updated for a window and half a minute are gone."""
+    base = scratch_path(spark, "stream")
+    for raw in _arrivals(spark, sf, "2024-01-10 00:30:00", "2024-01-20 00:00:00"):
+        ST.run_available(raw, base, M.EVENT_CONFIG, load_rules=M.event_rules, load_prices=M.event_prices)
+        SG.start_gauges(spark, base, M.EVENT_CONFIG, {"availableNow": True}).awaitTermination()
+    return SG.live_gauges(spark, base).select("name", "tags_json", r6("value").alias("value"), "last_seen")
+
+
+@query
+def stream_remembered_labels(spark, sf):
+    """Labels by joins over three batches, those of earlier batches remembered; a rule is new in the third."""
+    base = scratch_path(spark, "stream")
+    newer = """SELECT 'r10', TIMESTAMP'2023-12-10', NULL, NULL, 'TOPIC', '.*\\\\.app[0-2]\\\\..*', map('epoch', 'second')"""
+    for i, raw in enumerate(_arrivals(spark, sf, "2024-01-10 00:00:00", "2024-01-20 00:00:00")):
+        load = M.event_rules if i < 2 else lambda s: M.event_rules(s).union(s.sql(newer))
+        ST.start_labelling(raw, base, M.EVENT_CONFIG, load, {"availableNow": True}, remember=True, max_inline=0).awaitTermination()
+    key = lambda c: F.get_json_object("context_json", f"$['{c}']")
+    keys = [key(c).alias(c.replace("-", "_")) for c in ("app", "team", "cost-unit", "zone", "epoch")]
+    labelled = spark.read.schema(f"{ST.LABELLED}, batch_id INT").parquet(f"{base}/labelled")
+    return labelled.groupBy("entity_type", "name", *keys).agg(F.count("*").alias("n"), r6(F.sum("value")).alias("value"))
+
+
+@query
+def stream_reprocessed(spark, sf):
+    """A stream that starts anew from an instant with a corrected price and then goes on: facts from that window on have it."""
+    base = scratch_path(spark, "stream")
+    arrivals = _arrivals(spark, sf, "2024-01-20 00:00:00")
+    run = lambda raw, prices: ST.run_current(raw, base, M.EVENT_CONFIG, M.event_rules, prices)
+    corrected = lambda s: M.event_prices(s).withColumn("cost_factor", F.when(F.col("metric_name") == "svc_click_bytes", 0.07).otherwise(F.col("cost_factor")))
+    raw = next(arrivals)
+    run(raw, M.event_prices)
+    ST.reprocess_from(spark, base, M.EVENT_CONFIG, datetime(2024, 1, 15, 10, 20))
+    run(raw, corrected)
+    for raw in arrivals:
+        run(raw, corrected)
+    return S.FactTable(spark, f"{base}/facts").read().select(
+        "start_time", "entity_type", "name", "initial_metric_name", "context_json", r6("value").alias("value"), r6("cost").alias("cost")
+    )
+
+
 # -- feeders -----------------------------------------------------------------------------
 
 

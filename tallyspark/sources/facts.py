@@ -177,6 +177,11 @@ class FactTable:
             rows = rows.filter(F.col("chunk_start") <= F.to_date(instant(end)))
         return rows.filter(contained(start, end))
 
+    def changes(self, max_files: int | None = None) -> DataFrame:
+        """A stream of all versions of the rows, as they are written."""
+        reader = self.spark.readStream.schema(_STORED)
+        return (reader if max_files is None else reader.option("maxFilesPerTrigger", max_files)).parquet(self.path)
+
     def newest_version(self) -> int:
         """0 for a table without rows. Versions are folder names, so no column is read."""
         return self.versions().agg(F.max("version")).first()[0] or 0
