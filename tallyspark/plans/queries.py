@@ -1127,7 +1127,7 @@ def live_gauges(spark, sf):
     base = scratch_path(spark, "stream")
     for raw in _arrivals(spark, sf, "2024-01-10 00:30:00", "2024-01-20 00:00:00"):
         ST.run_available(raw, base, M.EVENT_CONFIG, load_rules=M.event_rules, load_prices=M.event_prices)
-        SG.start_gauges(spark, base, M.EVENT_CONFIG, {"availableNow": True}).awaitTermination()
+        SG.start_gauges(spark, base, M.EVENT_CONFIG, {"availableNow": True}, "usage_").awaitTermination()
     return SG.live_gauges(spark, base).select("name", "tags_json", r6("value").alias("value"), "last_seen")
 
 
