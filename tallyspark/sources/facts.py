@@ -194,9 +194,12 @@ class FactTable:
 
     def read(self, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
         """Current rows. The versions of a key lie in one chunk, so a range sees all of them or none."""
-        rows = self.versions(start, end)
+        return self.newest_of(self.versions(start, end))
+
+    def newest_of(self, rows: DataFrame) -> DataFrame:
+        """The newest of some versions that has all versions of a key or none."""
         newest = rows.groupBy(*self.key).agg(F.max("version").alias("version"))
-        return _matching(rows, newest, [*self.key, "version"], "left_semi").select(*_names(FACTS))
+        return matching(rows, newest, [*self.key, "version"], "left_semi").select(*_names(FACTS))
 
     def compacted(self, path: str) -> FactTable:
         """The current rows as the only version of a table in a fresh folder."""
@@ -214,7 +217,7 @@ class FactTable:
         return table
 
 
-def _matching(rows: DataFrame, others: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+def matching(rows: DataFrame, others: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     """Rows with (``left_semi``) or without (``left_anti``) a partner; a null equals a null."""
     named = others.select(*[F.col(k).alias(f"_other_{k}") for k in keys])
     same = [F.col(k).eqNullSafe(F.col(f"_other_{k}")) for k in keys]
