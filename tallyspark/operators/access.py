@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.maps import canonical_json, put
+from tallyspark.session import cut_lineage
 
 # Operation names as the access lists spell them.
 ACL_OPERATIONS = (
@@ -53,6 +54,38 @@ def acl_operations(operations: Column, legacy: Column) -> Column:
     return F.when(F.size(operations) > 0, operations).otherwise(single)
 
 
+def _scope() -> Column:
+    """Whether a rule is for any topic, a prefix or a name; null for other patterns."""
+    return (
+        F.when(F.col("resource_name") == EVERY_TOPIC, "any")
+        .when(F.upper("pattern_type") == "PREFIX", "prefix")
+        .when(F.upper("pattern_type") == "LITERAL", "literal")
+    )
+
+
+# an empty prefix covers every topic, as the wildcard does
+_GENERAL = "(scope = 'any' or (scope = 'prefix' and resource_name = ''))"
+
+
+def _named_by(names: DataFrame, rules: DataFrame) -> DataFrame:
+    """(topic, scope, resource_name) of the names with what may name them in ``rules``.
+
+    Literal rules meet the names, prefix rules the prefixes of the names, in one equi-join;
+    only the lengths that some prefix rule has are cut, and they are few.
+    """
+    prefixes = rules.filter("scope = 'prefix' and resource_name <> ''")
+    lengths = sorted(r.n for r in prefixes.select(F.length("resource_name").alias("n")).distinct().collect())
+    cuts = F.transform(
+        F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("topic")),
+        lambda n: F.struct(
+            F.lit("prefix").alias("scope"),
+            F.substring(F.col("topic"), F.lit(1), n).alias("resource_name"),
+        ),
+    )
+    whole = F.struct(F.lit("literal").alias("scope"), F.col("topic").alias("resource_name"))
+    return names.select("topic", F.inline(F.array_append(cuts, whole)))
+
+
 def _topic_rules(users: DataFrame, acls: DataFrame) -> DataFrame:
     simple = users.filter(F.col("authorization") == "simple").select("user")
     ops = acl_operations(F.col("operations"), F.col("operation"))
@@ -64,10 +97,7 @@ def _topic_rules(users: DataFrame, acls: DataFrame) -> DataFrame:
         .select(
             "user",
             "resource_name",
-            F.when(F.col("resource_name") == EVERY_TOPIC, "any")
-            .when(F.upper("pattern_type") == "PREFIX", "prefix")
-            .when(F.upper("pattern_type") == "LITERAL", "literal")
-            .alias("scope"),
+            _scope().alias("scope"),
             (is_kind("ALLOW") & covers("READ")).alias("allow_read"),
             (is_kind("DENY") & covers("READ")).alias("deny_read"),
             (is_kind("ALLOW") & covers("WRITE")).alias("allow_write"),
@@ -92,23 +122,9 @@ def _resolve(topics: DataFrame, users: DataFrame, acls: DataFrame):
     merged = rules.groupBy("user", "scope", "resource_name").agg(*flags)
     names = topics.select("topic").distinct()
 
-    # an empty prefix covers every topic, as the wildcard does
-    is_general = "scope = 'any' or (scope = 'prefix' and resource_name = '')"
-    general = merged.filter(is_general).groupBy("user").agg(*flags)
-    # Literal rules meet the names, prefix rules the prefixes of the names, in one equi-join;
-    # only the lengths that some prefix rule has are cut, and they are few.
-    prefixes = merged.filter("scope = 'prefix' and resource_name <> ''")
-    lengths = sorted(r.n for r in prefixes.select(F.length("resource_name").alias("n")).distinct().collect())
-    cuts = F.transform(
-        F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("topic")),
-        lambda n: F.struct(
-            F.lit("prefix").alias("scope"),
-            F.substring(F.col("topic"), F.lit(1), n).alias("resource_name"),
-        ),
-    )
-    whole = F.struct(F.lit("literal").alias("scope"), F.col("topic").alias("resource_name"))
-    keys = names.select("topic", F.inline(F.array_append(cuts, whole)))
-    special = keys.join(merged.filter(f"not ({is_general})"), ["scope", "resource_name"])
+    general = merged.filter(_GENERAL).groupBy("user").agg(*flags)
+    keys = _named_by(names, merged)
+    special = keys.join(merged.filter(f"not {_GENERAL}"), ["scope", "resource_name"])
     special = special.groupBy("topic", "user").agg(*flags)
 
     other = general.select(F.col("user").alias("_user"), *[F.col(f).alias(f"_{f}") for f in _FLAGS])
@@ -257,3 +273,53 @@ def recalculate(
     """All topics anew; only the rules that changed come out."""
     contexts = topic_context(topics, users, acls, config)
     return changed_rules(generate_rules(contexts, created, config), current)
+
+
+def _differing(new: DataFrame, old: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows that one side has more often than the other. One grouping; nulls equal each other."""
+    sides = [df.select(*columns, F.lit(n).alias("_side")) for df, n in ((new, 1), (old, -1))]
+    return sides[0].unionByName(sides[1]).groupBy(*columns).agg(F.sum("_side").alias("_side")).filter("_side <> 0").drop("_side")
+
+
+_ACL_COLUMNS = ["user", "rule_type", "resource_type", "resource_name", "pattern_type", "operations", "operation"]
+
+
+def touched_topics(
+    topics: DataFrame,
+    users: DataFrame,
+    acls: DataFrame,
+    old_topics: DataFrame,
+    old_users: DataFrame,
+    old_acls: DataFrame,
+) -> DataFrame:
+    """Topics of ``topics`` whose rule may differ from the one that the old tables gave.
+
+    Those are new topics, topics with other annotations, and what a changed access rule names or a
+    rule, old or new, of a changed user. A changed rule for every topic touches all of them.
+    """
+    text = lambda df: df.withColumn("annotations", canonical_json(F.col("annotations")))
+    own = _differing(text(topics), text(old_topics), ["topic", "annotations"]).select("topic")
+    people = _differing(text(users), text(old_users), ["user", "annotations", "authorization"]).select("user").distinct()
+    theirs = acls.select(*_ACL_COLUMNS).unionByName(old_acls.select(*_ACL_COLUMNS)).join(people, "user", "left_semi")
+    changed = _differing(acls, old_acls, _ACL_COLUMNS).unionByName(theirs).filter("resource_type = 'topic'")
+    scopes = cut_lineage(changed.select(_scope().alias("scope"), "resource_name").distinct())
+    names = topics.select("topic").distinct()
+    if not scopes.filter(_GENERAL).isEmpty():
+        return names
+    named = _named_by(names, scopes).join(scopes, ["scope", "resource_name"], "left_semi").select("topic")
+    return names.join(named.unionByName(own), "topic", "left_semi")
+
+
+def recalculate_changes(
+    topics: DataFrame,
+    users: DataFrame,
+    acls: DataFrame,
+    old: tuple[DataFrame, DataFrame, DataFrame],
+    current: DataFrame,
+    created: Column,
+    config: AccessConfig = AccessConfig(),
+) -> DataFrame:
+    """What ``recalculate`` gives where ``current`` are the rules of ``old`` (topics, users, access
+    lists as they were), from the touched topics alone."""
+    touched = topics.join(touched_topics(topics, users, acls, *old), "topic", "left_semi")
+    return recalculate(touched, users, acls, current, created, config)

@@ -152,3 +152,45 @@ def test_recalculation_publishes_once(spark):
     first = A.recalculate(*args, none, at)
     assert first.count() == 2
     assert A.recalculate(*args, first, at).count() == 0
+
+
+def changed(spark, seed):
+    """Two states of topics, users and access lists with a few differences, none of them for all topics."""
+    import random
+
+    rng = random.Random(seed)
+    names = [f"{a}.{b}" for a in ("bank", "bar", "bistro", "cellar") for b in ("in", "out", "ledger")]
+    scope = lambda: rng.choice([("bank.", "PREFIX"), ("b", "PREFIX"), ("bar.in", "LITERAL"), ("cellar.out", "LITERAL"), ("ba", "PREFIX")])
+    rule = lambda: (rng.choice(["ALLOW", "ALLOW", "DENY"]), *scope(), [rng.choice(["READ", "WRITE", "ALL"])], None)
+    people = [user(f"u{i}", f"g{i % 4}", [rule() for _ in range(3)]) for i in range(8)]
+    people += [user("all", "g9", [("ALLOW", "*", "LITERAL", ["READ"], None), ("DENY", "cellar", "PREFIX", ["READ"], None)])]
+    old = tables(spark, {n: {"metering-context/app": n[:2]} for n in names[1:]}, people)
+    people = list(people)
+    people[0] = (*people[0][:3], [*people[0][3][1:], rule()])
+    people[1] = (people[1][0], {GROUP: "moved"}, *people[1][2:])
+    people[2] = (*people[2][:2], "token", people[2][3])
+    people.pop(3)
+    people.append(user("new", "g1", [("ALLOW", "bistro.in", "LITERAL", ["READ"], None)]))
+    new = tables(spark, {n: {"metering-context/app": n[:2] + ("x" if n == "cellar.in" else "")} for n in names}, people)
+    return old, new
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_partial_recalculation_equals_the_full_one(spark, seed):
+    old, new = changed(spark, seed)
+    created = F.lit("2024-01-01").cast("timestamp")
+    current = A.generate_rules(A.topic_context(*old), created)
+    rows = lambda df: sorted((r.rule_id, r.regex, sorted(r.context.items())) for r in df.collect())
+    want = rows(A.recalculate(*new, current, created))
+    assert want and rows(A.recalculate_changes(*new, old, current, created)) == want
+    assert A.recalculate_changes(*new, new, A.generate_rules(A.topic_context(*new), created), created).count() == 0
+
+
+def test_only_touched_topics_are_worked_out(spark):
+    old = tables(spark, {LEDGER: {}, MENU: {}, "cellar": {}, "barn": {}}, USERS)
+    more = [*USERS, user("hal", "barons", [("ALLOW", "bar", "PREFIX", ["READ"], None)])]
+    new = tables(spark, {LEDGER: {}, MENU: {}, "cellar": {"metering-context/app": "x"}, "barn": {}}, more)
+    assert sorted(r.topic for r in A.touched_topics(*new, *old).collect()) == ["barn", "cellar"]
+    assert A.touched_topics(*new, *new).count() == 0
+    every = tables(spark, {LEDGER: {}, MENU: {}}, [*USERS, user("ivy", "g", [("DENY", "", "PREFIX", ["READ"], None)])])
+    assert A.touched_topics(*every, *old).count() == 2
