@@ -22,10 +22,10 @@ from __future__ import annotations
 import functools
 import re
 import string
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.errors import IllegalArgumentException
+from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -161,12 +161,13 @@ def _constant(facts: list[tuple]) -> Column:
     return F.create_map(*rows)[F.col("_shape")]
 
 
-def compile_rules(rules: DataFrame, max_inline: int = INLINE_RULES) -> CompiledRules:
+def compile_rules(rules: DataFrame, max_inline: int = INLINE_RULES, memory: str | None = None) -> CompiledRules:
     """Check the patterns, drop the ones that do not compile, and choose a strategy.
 
     Up to ``max_inline`` rules become constants of the plan; a BIGINT has bits for 63. Entries
     with a null value are no entries. Among rules of equal creation time the greater id is
-    newer; a null time or id is the oldest.
+    newer; a null time or id is the oldest. With a folder as ``memory`` what is compiled of a larger
+    rule set is kept there, and a later call compiles only the patterns that are new to it.
     """
     if not 0 <= max_inline <= 63:
         raise ValueError("max_inline must be from 0 to 63")
@@ -181,7 +182,7 @@ def compile_rules(rules: DataFrame, max_inline: int = INLINE_RULES) -> CompiledR
         rows.sort(key=_age)
         bounds = {t for r in rows for t in (r.valid_from, r.valid_until)}
         return CompiledRules(good, rejected, tuple(rows), tuple(sorted(bounds)))
-    return _joined(spark, shaped)
+    return _joined(spark, shaped, memory)
 
 
 def _age(rule) -> tuple:
@@ -246,12 +247,42 @@ def _few_patterns(rules: DataFrame) -> tuple[tuple[str, str], ...] | None:
     return tuple(sorted((r.entity_type, r.full_rx) for r in found)) if len(found) <= INLINE_PATTERNS else None
 
 
-def _joined(spark: SparkSession, shaped: DataFrame) -> CompiledRules:
-    factors = F.when(F.col("kind") == "open", factors_column(F.col("regex")))
+def remembered(wanted: DataFrame, compute: Callable[[DataFrame], DataFrame], path: str) -> DataFrame:
+    """``compute`` of the values of the one column of ``wanted``, kept in ``path``: only new ones are computed.
+
+    A value always gives the same row, so that rows a repeated run has written twice are one.
+    """
+    spark, (key,) = wanted.sparkSession, wanted.columns
+    try:
+        known = spark.read.schema(wanted.schema).parquet(path)
+        first, new = False, wanted.join(known, key, "left_anti")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        first, new = True, wanted
+    new = written(new, "new")  # apart from the folder that it is appended to
+    rows = compute(new)
+    if first or not new.isEmpty():
+        rows.write.mode("append").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path).dropDuplicates([key])
+
+
+def _joined(spark: SparkSession, shaped: DataFrame, memory: str | None = None) -> CompiledRules:
     # one snapshot: counts and rows belong together, and a row keeps its number
-    shaped = written(shaped.withColumns({"factors": factors, "rule_row": F.monotonically_increasing_id()}), "rules")
+    shaped = shaped.withColumn("rule_row", F.monotonically_increasing_id())
+    read_off = lambda found: found.withColumn("factors", factors_column(F.col("regex")))
+    if memory is None:
+        factors = F.when(F.col("kind") == "open", factors_column(F.col("regex")))
+        shaped = written(shaped.withColumn("factors", factors), "rules")
+    else:
+        shaped = written(shaped, "rules")
+        patterns = shaped.filter(F.col("kind") == "open").select("regex").distinct()
+        known = remembered(patterns, read_off, f"{memory}/factors").withColumn("kind", F.lit("open"))
+        shaped = shaped.join(known, ["regex", "kind"], "left")
     shapes = shaped.filter(F.col("kind") != "literal").select("_shape").distinct()
-    looked_up = _facts_table(spark, shapes).select("_shape", F.struct("good", "n_groups", "names").alias("_facts"))
+    compiled = lambda found: _facts_table(spark, found)
+    facts = compiled(shapes) if memory is None else remembered(shapes, compiled, f"{memory}/shapes")
+    looked_up = facts.select("_shape", F.struct("good", "n_groups", "names").alias("_facts"))
     good, rejected = _checked(shaped.join(looked_up, "_shape", "left"))
     head_len = F.when(F.col("kind") == "head", F.length("match_key"))
     is_open, has_text = F.col("kind") == "open", F.size("factors") > 0

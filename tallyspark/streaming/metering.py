@@ -96,14 +96,15 @@ def label_batch(
     The folder appears whole by a rename, and a replayed batch that is already there is
     skipped: the windows downstream must not read a record twice. With ``remember`` what large
     rule sets say of an entity is kept below ``out/_labels`` for the batches to come, in a folder
-    of its own for each state of the rules; folders of former states are not read again.
+    of its own for each state of the rules; folders of former states are not read again. What was
+    compiled of rules is kept below ``out/_rules``, so that a changed rule is the only one compiled.
     """
     spark = batch.sparkSession
     target = f"{out}/batch_id={batch_id}"
     if _exists(spark, target):
         return
     rules = load_rules(spark)
-    compiled = compile_rules(rules, max_inline)
+    compiled = compile_rules(rules, max_inline, f"{out}/_rules" if remember else None)
     metrics = normalize(batch, config.principal_tags)
     two_passes = compiled.inline is None
     if two_passes:

@@ -199,6 +199,35 @@ def test_many_open_rules_join_in_blocks(spark):
     assert sorted((r.name, r.rule_id) for r in got) == sorted((f"Ax{i}y", f"r{i:04}") for i in range(n))
 
 
+def test_memory_compiles_only_patterns_that_are_new(spark, tmp_path, monkeypatch):
+    compiled, plain = [], L._shape_facts
+    monkeypatch.setattr(L, "_shape_facts", lambda s, shapes: compiled.append(sorted(shapes)) or plain(s, shapes))
+    first = [
+        ("1", OLD, None, None, "TOPIC", "bank[.](\\w+)", {"k": "$1"}),
+        ("2", OLD, None, None, "TOPIC", ".*(clerk|desk)[0-9]", {"k": "$1"}),
+        ("3", OLD, None, None, "TOPIC", "broken(", {"k": "v"}),
+        ("4", OLD, None, None, "TOPIC", "lamp", {"k": "lamp"}),
+    ]
+    second = [first[0], ("2", NEW, None, None, "TOPIC", ".*(?<who>maid|cook)[0-9]", {"k": "${who}"}), *first[2:]]
+    names = spark.createDataFrame([("TOPIC", n) for n in ("bank.x", "a-desk7", "b-cook1", "lamp")], "entity_type STRING, name STRING")
+
+    def found(rows, memory):
+        rows = L.compile_rules(rules(spark, rows), 0, memory)
+        segments = L.context_segments(names, rows).select("name", "context").collect()
+        return sorted((r.name, r.context["k"]) for r in segments), [r.rule_id for r in rows.rejected.collect()]
+
+    memory = str(tmp_path / "memory")
+    for rows in (first, second, first):
+        got = found(rows, memory)
+        assert got == found(rows, None) and got[1] == ["3"]
+    in_memory = compiled[::2]  # every other call is the one without a memory
+    assert len(in_memory[0]) == 3 and in_memory[1:] == [[".*(?<who>maid|cook)[0-9]"], []]
+    factors = spark.read.parquet(f"{memory}/factors")
+    assert sorted(r.regex for r in factors.collect()) == [".*(?<who>maid|cook)[0-9]", ".*(clerk|desk)[0-9]"]
+    none = [first[3]]
+    assert found(none, str(tmp_path / "other")) == ([("lamp", "lamp")], [])
+
+
 def test_probe_answers_for_both_types(spark):
     compiled = L.compile_rules(
         rules(
