@@ -654,6 +654,18 @@ FROM t JOIN supplier ON p_brand = 'Brand#' || (s_suppkey % 25 + 1) WHERE s_suppk
 
 ORACLES["recalculated_rules"] = f"WITH {ACL} SELECT rule_id, regex FROM gen WHERE size % 3 <> 1"
 
+OLD_ACL = (
+    ACL.replace("max(p_size) AS size", "max(p_size) + CASE WHEN max(p_size) % 17 = 0 THEN 1 ELSE 0 END AS size")
+    .replace("s_suppkey % 11 = 0", "s_suppkey % 11 = 0 OR (s_suppkey % 3 = 0 AND s_suppkey % 5 IN (0, 1, 4))")
+    .replace("k % 5 = 0", "k % 5 = 0 AND k % 4 <> 1")
+    .replace("k % 5 = 1", "k % 5 = 1 AND k % 4 <> 1")
+)
+ORACLES["recalculated_changes"] = f"""
+WITH {ACL},
+before AS (WITH {OLD_ACL} SELECT rule_id, context_json FROM gen)
+SELECT gen.rule_id, regex, gen.context_json FROM gen JOIN before USING (rule_id)
+WHERE gen.context_json <> before.context_json"""
+
 ORACLES["generated_rules"] = f"WITH {ACL} SELECT rule_id, entity_type, regex, context_json FROM gen"
 
 ORACLES["changed_rules"] = f"WITH {ACL} SELECT rule_id, regex FROM gen WHERE size % 3 <> 1"
@@ -687,6 +699,8 @@ SELECT date_trunc('month', start_time)::TIMESTAMP AS period_start, initial_metri
   round(CASE WHEN initial_metric_name = 'line_N_bytes' THEN max(value) ELSE sum(value) END, 6) AS value,
   round(sum(cost), 6) AS cost FROM lf GROUP BY period_start, initial_metric_name, region"""
 
+ORACLES["rollup_maintained"] = ORACLES["rollup_monthly"]
+
 ORACLES["unclassified_entities"] = f"""{FACTS}
 SELECT entity_type, name, count(*) AS windows FROM facts GROUP BY ALL HAVING bool_and(context_json = '{{}}')"""
 

@@ -32,6 +32,7 @@ from tallyspark.schemas import RULES
 from tallyspark.session import scratch_path
 from tallyspark.sources import facts as S
 from tallyspark.sources import raw as R
+from tallyspark.sources import rollups as RO
 from tallyspark.sources import rules as RU
 from tallyspark.streaming import gauges as SG
 from tallyspark.streaming import metering as ST
@@ -1213,6 +1214,29 @@ def recalculated_rules(spark, sf):
     return rows.select("rule_id", "regex")
 
 
+@query
+def recalculated_changes(spark, sf):
+    """Rules of the topics that changed access rules, groups of users or annotations touch; no others are worked out."""
+    config = access.AccessConfig(
+        annotation_prefix=M.ANNOTATION_PREFIX, regex_prefix="(eu-1[.])?", regex_suffix="([.]copy)?"
+    )
+    created = F.lit("2024-01-02").cast("timestamp")
+    topics, users, acls = _access(spark, sf)
+    key = F.substring_index("user", "-", -1).cast("int")
+    by_name = (key % 5).isin(0, 1, 4)  # not for all topics
+    ungrouped = F.create_map().cast("map<string,string>")
+    grown = lambda v: F.when(v.cast("int") % 17 == 0, (v.cast("int") + 1).cast("string")).otherwise(v)
+    size = M.ANNOTATION_PREFIX + "size"
+    old = (
+        topics.withColumn("annotations", F.transform_values("annotations", lambda k, v: F.when(k == size, grown(v)).otherwise(v))),
+        users.withColumn("annotations", F.when((key % 3 == 0) & by_name, ungrouped).otherwise(F.col("annotations"))),
+        acls.filter(~((key % 4 == 1) & by_name)),
+    )
+    current = access.generate_rules(access.topic_context(*old, config), created, config)
+    rows = access.recalculate_changes(topics, users, acls, old, current, created, config)
+    return rows.select("rule_id", "regex", canonical_json(F.col("context")).alias("context_json"))
+
+
 def _generated(spark, sf):
     config = access.AccessConfig(
         annotation_prefix=M.ANNOTATION_PREFIX, regex_prefix="(eu-1[.])?", regex_suffix="([.]copy)?"
@@ -1302,6 +1326,20 @@ def rollup_monthly(spark, sf):
     return rows.withColumns({"value": r6("value"), "cost": r6("cost")})
 
 
+@query
+def rollup_maintained(spark, sf):
+    """Months kept up to date over three upserts; the later ones lower what maxima had been taken of."""
+    store = S.FactTable(spark, scratch_path(spark, "facts"), chunk_days=56)
+    table = RO.RollupTable(store, scratch_path(spark, "rollup"), "month", M.LINE_CONFIG, ["region"])
+    facts = M.line_facts(spark, sf)
+    early = F.col("start_time") < F.lit("1996-02-10").cast("timestamp")
+    doubled = {"value": F.col("value") * 2, "cost": F.col("cost") * 2}
+    for rows in (facts.withColumns(doubled), facts.filter(early), facts.filter(~early)):
+        store.upsert(rows)
+        table.refresh()
+    return table.read().withColumns({"value": r6("value"), "cost": r6("cost")})
+
+
 @query
 def unclassified_entities(spark, sf):
     return metering.unclassified_entities(M.event_facts(spark, sf))
