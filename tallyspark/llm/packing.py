@@ -6,8 +6,8 @@ one source do (one bitmap for each). Bins are ordered by rest, and the search go
 larger rest until a bin is compatible; else a new bin opens.
 
 Rows are dealt out by a hash to shards of about ``shard_rows`` rows that are packed on their own;
-a source or cluster with a third of all rows is spread over all shards like any other. Each shard
-leaves at most its last bins half full.
+a source or cluster with a third of all rows is spread over all shards like any other, and rows
+without an id are told apart by a number. Each shard leaves at most its last bins half full.
 """
 
 from __future__ import annotations
@@ -100,13 +100,15 @@ def packed_shard(rows: list[tuple], capacity: int, per_source: int) -> list[tupl
 def packed(items: DataFrame, *, capacity: int = CAPACITY, per_source: int = PER_SOURCE, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """PACKED rows for items (doc_id, size, cluster, source): one for each piece of each row.
 
-    Null sizes count as zero, null clusters and sources conflict with nothing. Equal rows are
-    pieces of their own, and share a cluster if it is given.
+    Null and negative sizes count as zero, null clusters and sources conflict with nothing. Equal
+    rows are pieces of their own, and share a cluster if it is given.
     """
     if capacity < 1 or per_source < 1:
         raise ValueError("capacity and per_source must be positive")
-    source = items.select(F.col("doc_id").cast("long"), F.coalesce(F.col("size").cast("long"), F.lit(0)).alias("size"), F.col("cluster").cast("string"), F.col("source").cast("string"))
-    source = written(source, "items")
+    source = items.select(F.col("doc_id").cast("long"), F.greatest(F.col("size").cast("long"), F.lit(0)).alias("size"), F.col("cluster").cast("string"), F.col("source").cast("string"))
+    # written with the items, so that a repeated task deals its rows as before
+    number = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    source = written(source.withColumn("number", number), "items")
     shards = max(1, math.ceil(source.count() / shard_rows))
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32()]
     names = [f.split()[0] for f in PACKED.split(", ")]
@@ -125,7 +127,7 @@ def packed(items: DataFrame, *, capacity: int = CAPACITY, per_source: int = PER_
         out = [(d, p, n, f"{shard}-{b}", at, offset) for d, p, n, b, at, offset in packed_shard(rows, capacity, per_source)]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, kinds)], names=names)
 
-    dealt = source.select(F.pmod(F.xxhash64("doc_id", "size", "cluster"), F.lit(shards)).alias("shard"), "*")
+    dealt = source.select(F.pmod(F.xxhash64("doc_id", "size", "cluster", "number"), F.lit(shards)).alias("shard"), *source.columns[:4])
     return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, PACKED)
 
 

@@ -69,3 +69,18 @@ def test_odd_rows(odd, spark):
     assert [(r.doc_id, r.n_tokens) for r in nulls] == [(None, 0)] * 3
     with pytest.raises(ValueError):
         packing.packed(spark.createDataFrame([], ITEMS), capacity=0)
+
+
+def test_equal_rows_without_an_id_are_spread(spark):
+    rows = [(None, 7, "same", "hot")] * 2000 + [(i, 7, None, None) for i in range(1000)]
+    got = packing.packed(spark.createDataFrame(rows, ITEMS), capacity=70, shard_rows=300).collect()
+    assert len(got) == len(rows) and all(r.n_tokens == 7 for r in got)
+    held = Counter(r.bin_id.split("-")[0] for r in got if r.doc_id is None)
+    assert len(held) == 10 and max(held.values()) < 400
+    bins = Counter(r.bin_id for r in got if r.doc_id is None)
+    assert max(bins.values()) == 1  # one cluster, so a bin for each
+
+
+def test_sizes_below_zero_count_as_zero(spark):
+    got = packing.packed(spark.createDataFrame([(1, -5, None, None), (2, None, None, None)], ITEMS)).collect()
+    assert sorted((r.doc_id, r.piece, r.n_tokens) for r in got) == [(1, 0, 0), (2, 0, 0)]
