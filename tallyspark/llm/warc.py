@@ -142,18 +142,35 @@ def written_archives(records: DataFrame, *, archive_bytes: int = 4 << 20, date:
     return records.select("page_id", "url", "payload", "size", "digest", "refers_to").mapInArrow(run, "archive string, content binary")
 
 
+def read_dictionary(raw: bytes) -> zstandard.ZstdCompressionDict:
+    """The dictionary of a frame, which may be compressed itself; ZstdError if it is not whole."""
+    if raw[:4] == ZSTD_FRAME:
+        unpack = zstandard.ZstdDecompressor().decompressobj()
+        raw = unpack.decompress(raw)
+        if not unpack.eof:
+            raise zstandard.ZstdError("it is cut off")
+    return zstandard.ZstdCompressionDict(raw)
+
+
 def frames(content: bytes) -> Iterator[tuple[bytes, str | None]]:
-    """Each frame's bytes and what is wrong with it; after a broken frame the rest can't be found."""
+    """Each frame's bytes and what is wrong with it; after a broken frame, the dictionary's too, the rest can't be found.
+
+    A cut between two frames leaves a whole archive with fewer records.
+    """
     at, dictionary = 0, None
     view = memoryview(content)
     while at < len(content):
         if len(content) - at >= 8 and (magic := struct.unpack_from("<I", content, at)[0]) in SKIPPABLE:
             size = struct.unpack_from("<I", content, at + 4)[0]
+            if at + 8 + size > len(content):
+                yield b"", f"the {'dictionary' if magic == DICTIONARY_FRAME and at == 0 else 'skippable'} frame is cut off"
+                return
             if magic == DICTIONARY_FRAME and at == 0:
-                raw = bytes(view[8 : 8 + size])
-                if raw[:4] == ZSTD_FRAME:
-                    raw = zstandard.ZstdDecompressor().decompressobj().decompress(raw)
-                dictionary = zstandard.ZstdCompressionDict(raw)
+                try:
+                    dictionary = read_dictionary(bytes(view[8 : 8 + size]))
+                except zstandard.ZstdError as e:
+                    yield b"", f"broken dictionary: {e}"
+                    return
             at += 8 + size
             continue
         unpack = zstandard.ZstdDecompressor(**({"dict_data": dictionary} if dictionary else {})).decompressobj()

@@ -69,6 +69,38 @@ def test_broken_archives_have_problems(spark):
     assert sum(r.problem is None for r in rows) == 1  # the whole record before the broken bytes
 
 
+def test_a_cut_anywhere_is_reported_unless_it_is_between_frames():
+    archive = warc.Archive(1 << 20)
+    for i in range(40):
+        archive.add(warc.record(i, f"http://h/{i}", f"<p>{i} words of a page</p>".encode() * 30, 10, "x", None, "2020-01-01T00:00:00Z"))
+    content = archive.content()
+    at = 8 + struct.unpack_from("<I", content, 4)[0]
+    borders = [0, at]
+    while at < len(content):
+        unpack = zstandard.ZstdDecompressor(dict_data=warc.read_dictionary(content[8 : borders[1]])).decompressobj()
+        unpack.decompress(content[at:])
+        at = len(content) - len(unpack.unused_data)
+        borders.append(at)
+    assert len(borders) == 42 and borders[-1] == len(content)
+    inside = sorted({b + d for b in borders for d in (1, 3, 4, 7, 8, 9)} | {borders[1] // 2} | {b - 1 for b in borders[1:]})
+    for cut in borders + [c for c in inside if c < len(content)]:
+        problems = [p for _, p in warc.frames(content[:cut])]
+        whole = sum(b <= cut for b in borders[2:])
+        assert problems[:whole] == [None] * whole
+        assert len(problems[whole:]) == (cut not in borders) and all(problems[whole:]), cut
+
+
+def test_broken_dictionaries_are_reported(spark):
+    packed = zstandard.ZstdCompressor(write_checksum=True).compress(b"words " * 500)
+    head = lambda raw: struct.pack("<II", warc.DICTIONARY_FRAME, len(raw)) + raw
+    broken = bytearray(packed)
+    broken[-1] ^= 1
+    contents = [head(packed[:-5]), head(bytes(broken)), head(packed)[:20], struct.pack("<II", 0x184D2A50, 9) + b"abc"]
+    rows = warc.read_records(spark.createDataFrame([(c,) for c in contents], "content binary")).collect()
+    assert len(rows) == 4 and all(r.problem for r in rows)
+    assert sum("dictionary" in r.problem for r in rows) == 3
+
+
 def test_odd_rows(spark):
     page = "<p>equal</p>" * 20
     rows = [(7, "u", page), (7, "u", page), (None, None, page), (None, None, None), (8, "u", page)]
