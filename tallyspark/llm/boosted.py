@@ -1,7 +1,8 @@
-"""Gradient-boosted trees trained on a bounded sample and applied as one SQL expression."""
+"""Gradient-boosted trees trained on all labelled rows and applied as one SQL expression."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -10,8 +11,12 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Of each class, a sample needs this many rows for a model.
+from tallyspark.llm.common import written
+
+#: Of each class, this many rows are needed for a model.
 LEAST_OF_CLASS = 10
+#: Bins of a feature, rows up to which the learner looks at all of them with so few bins, and the most bins.
+BINS, FEW_ROWS, MOST_BINS = 32, 10_000, 46_340
 
 
 @dataclass(frozen=True)
@@ -38,14 +43,23 @@ def bounded_sample(rows: DataFrame, key: list[str], max_rows: int) -> DataFrame:
     return rows.orderBy(F.xxhash64(*key), *key).limit(max_rows)
 
 
-def train(sample: DataFrame, features: list[str], label: str = "label", *, rounds: int = 12, depth: int = 3, seed: int = 7) -> Trees | None:
-    """Trees for a bounded sample with numeric features and a label of 0 or 1; None if a class is too rare."""
-    counts = {r[0]: r[1] for r in sample.groupBy(F.col(label).cast("int")).count().collect()}
-    if min(counts.get(0, 0), counts.get(1, 0)) < LEAST_OF_CLASS:
+def train(rows: DataFrame, features: list[str], label: str = "label", *, rounds: int = 12, depth: int = 3, seed: int = 7) -> Trees | None:
+    """Trees for all rows with numeric features and a label of 0 or 1; None if a class is too rare.
+
+    Equal rows are learned as one with their number as its weight. With more distinct ones, bins
+    are as many as make the learner read all rows for its thresholds too (their square root).
+    """
+    named = rows.select(*(F.col(f).cast("double").alias(f) for f in features), F.col(label).cast("double").alias("_label"))
+    distinct = named.groupBy("_label", *features).agg(F.count("*").cast("double").alias("_weight"))
+    distinct = written(distinct.sortWithinPartitions("_label", *features), "labelled")
+    counts = {int(r[0]): (r[1], r[2]) for r in distinct.groupBy("_label").agg(F.sum("_weight"), F.count("*")).collect()}
+    if min(counts.get(k, (0, 0))[0] for k in (0, 1)) < LEAST_OF_CLASS:
         return None
-    rows = VectorAssembler(inputCols=features, outputCol="_features").transform(sample.select(*(F.col(f).cast("double").alias(f) for f in features), F.col(label).cast("double").alias("_label")))
-    learner = GBTClassifier(featuresCol="_features", labelCol="_label", maxIter=rounds, maxDepth=depth, maxBins=32, stepSize=0.3, seed=seed, checkpointInterval=-1)
-    model = learner.fit(rows.select("_features", "_label").coalesce(1))
+    n = sum(c for _, c in counts.values())
+    bins = BINS if n <= FEW_ROWS else min(MOST_BINS, math.ceil(math.sqrt(n)))
+    vectors = VectorAssembler(inputCols=features, outputCol="_features").transform(distinct).select("_features", "_label", "_weight")
+    learner = GBTClassifier(featuresCol="_features", labelCol="_label", weightCol="_weight", maxIter=rounds, maxDepth=depth, maxBins=bins, stepSize=0.3, seed=seed, checkpointInterval=-1)
+    model = learner.fit(vectors)
     return Trees(tuple(features), tuple((w, _node(t._java_obj.rootNode())) for w, t in zip(model.treeWeights, model.trees)))
 
 

@@ -4,11 +4,11 @@ Generators with high recall propose spans that may overlap: numbers grouped like
 without a plus, long digit runs, addresses with "at" and "dot" spelled out. Trees see the format of
 a candidate and the words around it, but not the marks that make a strong pattern match: the plus
 and country code of a telephone number and the @ and dots of an address are hidden, and spelled-out ones are read
-as them. They learn, on a bounded sample, from candidates that a strong span of their kind confirms
+as them. They learn from all candidates that a strong span of their kind confirms
 and from those that a check refutes: by checksum, by a part over 255, by the number of digits, as a
 calendar date, as four numbers between dots, or as a bare run of digits that no word before it speaks of. All others have no label:
-they are what may be added. For each generator a threshold is calibrated on the labelled part of the
-sample that was held out. A chosen candidate is added unless it overlaps a span that is there
+they are what may be added. For each generator a threshold is calibrated on the labelled candidates
+of the texts that were held out, a third of them. A chosen candidate is added unless it overlaps a span that is there
 already. Texts are read once; no shuffle is needed for spans.
 """
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.boosted import bounded_sample, calibrated, train
+from tallyspark.llm.boosted import calibrated, train
 from tallyspark.llm.common import text_or_empty, written
 
 #: Strong kinds, in their order. Possessive forms match what the plain ones do, without backtracking.
@@ -38,9 +38,9 @@ HINTS = {"email": "@", "phone": r"\+[0-9]", "email_like": r"@|[(\[]at[)\]]"}
 DIGIT = "[0-9]"
 KINDS = [*BASE, *GENERATORS]
 CONTEXT = {"phone": "phone|tel|call|mobile|fax|whatsapp", "card": "card|visa|credit|debit|amex|pay", "mail": "mail|contact|write|reach", "address": r"\bip\b|address|host|server|login"}
-#: The words of context that count for a generator; others say more about the texts of the sample than about the candidate.
+#: The words of context that count for a generator; others say more about the texts at hand than about the candidate.
 OWN_WORDS = {"phone_like": "phone", "card_like": "card", "email_like": "mail", "ip_like": "address"}
-SAMPLE_ROWS, PRECISION = 6_000, 0.95
+PRECISION = 0.95
 BLOCK = 64
 #: Words and marks of an address as they are spelled out, and what they stand for.
 SPELLED = ((r"\x20?[(\[]at[)\]]\x20?", "@"), (r"\x20?[(\[]dot[)\]]\x20?", "."))
@@ -186,7 +186,7 @@ def proposed(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     return with_base.select("doc_id", "base", F.concat(*(candidates(k, F.col("base")) for k in GENERATORS)).alias("found"))
 
 
-def scanned(docs: DataFrame, id_column: str = "doc_id", text: str = "text", *, sample_rows: int = SAMPLE_ROWS, precision: float = PRECISION) -> DataFrame:
+def scanned(docs: DataFrame, id_column: str = "doc_id", text: str = "text", *, precision: float = PRECISION) -> DataFrame:
     """Per row: doc_id, counts and digest of the strong spans, and all spans as kind:start:end in code points.
 
     Null texts are empty and have no spans. Every row is answered, equal ones alike; null ids stay
@@ -195,12 +195,12 @@ def scanned(docs: DataFrame, id_column: str = "doc_id", text: str = "text", *, s
     """
     rows = written(proposed(docs, id_column, text), "candidates")
     each = rows.select("doc_id", F.explode("found").alias("c")).select("doc_id", "c.kind", "c.start", "c.end", "c.label", "c.f.*")
-    sample = written(bounded_sample(each.where("label IS NOT NULL"), ["doc_id", "kind", "start", "end"], sample_rows), "sample")
+    labelled = each.where("label IS NOT NULL")
     held_out = F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0
-    trees = train(sample.where(~held_out), FEATURES)
+    trees = train(labelled.where(~held_out), FEATURES)
     added = F.array().cast("array<struct<kind:string,start:int,end:int>>")
     if trees:
-        limits = calibrated(sample.where(held_out), F.col("kind"), trees.probability(F.col), F.col("label"), precision)
+        limits = calibrated(labelled.where(held_out), F.col("kind"), trees.probability(F.col), F.col("label"), precision)
         if limits:
             table = F.create_map(*(F.lit(x) for pair in sorted(limits.items()) for x in pair))
             chosen = F.filter("found", lambda c: ~c["taken"] & F.coalesce(c["label"] != 0, F.lit(True)) & (F.floor(trees.probability(lambda f: c["f"][f]) * 100) / 100 >= table[c["kind"]]))

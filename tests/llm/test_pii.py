@@ -94,6 +94,18 @@ def test_disguised_data_is_added_and_plain_numbers_are_not(documents):
     assert right >= 0.9 * (right + wrong), (right, wrong)
 
 
+def test_rare_confirmed_candidates_are_learned_from(documents):
+    """30 confirmed numbers among 40,000 refuted ones: all of them count."""
+    rng = random.Random(17)
+    number = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    phone = lambda: f"{rng.randint(200, 999)}-{number(3)}-{number(4)}"
+    texts = [f"call +1 {phone()} today" for _ in range(30)] + [f"call {phone()} today" for _ in range(20)]
+    texts += [" ".join(f"order {number(10)} x" for _ in range(100)) for _ in range(400)]
+    rows = {r.doc_id: r.spans for r in pii.scanned(documents(texts)).collect()}
+    assert sum(rows[i] == "phone_like:5:17" for i in range(30, 50)) >= 18
+    assert not any(rows[i] for i in range(50, 450) if not brute(texts[i]))
+
+
 def test_no_python_worker_is_used(documents):
     plan = pii.scanned(documents([t for t, _, _ in corpus(20)]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "InArrow" not in plan and "InPandas" not in plan
