@@ -38,11 +38,6 @@ class Trees:
         return F.when(feature(self.features[index]) <= threshold, self._value(left, feature)).otherwise(self._value(right, feature))
 
 
-def bounded_sample(rows: DataFrame, key: list[str], max_rows: int) -> DataFrame:
-    """At most ``max_rows`` rows, those with the smallest hash of the key: the same ones for the same rows."""
-    return rows.orderBy(F.xxhash64(*key), *key).limit(max_rows)
-
-
 def train(rows: DataFrame, features: list[str], label: str = "label", *, rounds: int = 12, depth: int = 3, seed: int = 7) -> Trees | None:
     """Trees for all rows with numeric features and a label of 0 or 1; None if a class is too rare.
 
