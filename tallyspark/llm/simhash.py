@@ -13,11 +13,12 @@ all below it once they exceed the distance. Links leave as a spanning forest, no
 Groups beyond ``max_group`` fingerprints are cut into parts and every two parts meet in a cell.
 
 Four bits are a narrow test: texts of which 80 % of the five-word shingles are equal differ in
-about ten bits of a fingerprint over these shingles. ``similar_documents`` is for them. There, cells
-are keys over the least hashes of the shingles, which texts share as often as they share shingles,
-wherever an edit lies. Within a cell a sketch of 512 bits over the distinct shingles loosely tells
-which texts may be similar, every pair included, and links leave as a forest. Each group of possible
-links then meets once with its texts, where the shingles themselves decide.
+about ten bits of a fingerprint over these shingles. ``similar_documents`` is for them. It takes the
+links of fingerprints as above and adds wider ones: a fingerprint of 512 bits (the sketch) is searched
+by the same index, in Gray order, within a margin. Tables of equal bits would be too many there, so
+cells are keys over the least hashes of the shingles, which texts share as often as they share
+shingles, wherever an edit lies. Each group of possible links then meets once with its texts, where
+the shingles themselves decide.
 """
 
 from __future__ import annotations
@@ -122,74 +123,113 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def gray_order(codes: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The order by group and, within it, Gray rank of codes of one or more words, the first word the highest."""
+    ranks, odd = [], np.zeros(len(codes), bool)
+    for word in codes.reshape(len(codes), -1).T:
+        ranks.append(np.where(odd, ~gray_rank(word), gray_rank(word)))
+        odd = odd ^ (np.bitwise_count(word) % 2 == 1)
+    return np.lexsort((*reversed(ranks), group))
+
+
 class GrayIndex:
     """Hierarchies over fingerprints sorted by group and Gray rank, one for each group, searched together.
 
-    Of a level: the bits that a node adds to what those above it share, their values, its first
-    and last child, and the last fingerprint below it.
+    A fingerprint is a long or a row of them. Of a level: the bits that a node adds to what those
+    above it share, their values, its first and last child, and the first and last fingerprint below it.
     """
 
     def __init__(self, codes: np.ndarray, group: np.ndarray) -> None:
-        self.codes, self.levels = codes, []
-        every = ~np.uint64(0)
-        mask, value, of, last = np.full(len(codes), every), codes, group, np.arange(len(codes))
+        self.codes, self.levels = codes.reshape(len(codes), -1), []
+        self.group = group
+        mask, value, of = np.full(self.codes.shape, ~np.uint64(0)), self.codes, group
+        low = high = np.arange(len(codes))
         while True:
             first_of = np.concatenate([[True], of[1:] != of[:-1]])
-            self.levels.append([mask, value, None, None, last])
+            self.levels.append([mask, value, None, low, high])
             if first_of.all():
                 break
             start = np.maximum.accumulate(np.where(first_of, np.arange(len(of)), 0))
             first = np.flatnonzero(first_of | ((np.arange(len(of)) - start) % FAN == 0))
             end = np.append(first[1:], len(of))
             shared = np.bitwise_and.reduceat(mask, first) & ~(np.bitwise_or.reduceat(value, first) ^ np.bitwise_and.reduceat(value | ~mask, first))
-            above = np.repeat(shared, end - first)
+            above = np.repeat(shared, end - first, axis=0)
             self.levels[-1][:2] = mask & ~above, value & ~above
-            mask, value, of, last = shared, value[first] & shared, of[first], last[end - 1]
+            mask, value, of, low, high = shared, value[first] & shared, of[first], low[first], high[end - 1]
             self.levels.append([first, end])
         self.roots = of
 
-    def links(self, group: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def links(self, group: np.ndarray, distance: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of places, the smaller first, within the distance and of one group."""
-        root = np.searchsorted(self.roots, group)
-        for start in range(0, len(group), 1 << 13):
-            query = np.arange(start, min(len(group), start + (1 << 13)))
-            yield from self._search(len(self.levels) - 1, query, root[query], np.zeros(len(query), np.uint8), distance)
-
-    def _search(self, level: int, query: np.ndarray, node: np.ndarray, differences: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        yield from self._from(np.arange(len(group)), distance, None)
+
+    def forest(self, distance: float) -> np.ndarray:
+        """The smallest place that each place is linked with.
+
+        Of a group the first one is asked for, then the next two, the next four and so on; a node whose
+        fingerprints are all linked with the one that asks is dropped, since they add nothing to it.
+        """
+        label = np.arange(len(self.codes))
+        first = np.concatenate([[0], np.flatnonzero(self.group[1:] != self.group[:-1]) + 1]) if len(label) else label
+        turn = np.log2(np.arange(len(label)) - np.repeat(first, np.diff(np.append(first, len(label)))) + 1).astype(int)
+        for t in range(turn.max(initial=-1) + 1):
+            edges = [(low, high) for _, _, _, low, high in self.levels[::2]]
+            kept = [(np.minimum.reduceat(label, low), np.maximum.reduceat(label, low)) for low, _ in edges]
+            for a, b in self._from(np.flatnonzero(turn == t), distance, (label.copy(), kept)):
+                merge(label, a, b)
+        return label
+
+    def _from(self, queries: np.ndarray, distance: float, known: tuple | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        root = np.searchsorted(self.roots, self.group[queries])
+        for start in range(0, len(queries), 1 << 13):
+            query = queries[start : start + (1 << 13)]
+            yield from self._search(len(self.levels) - 1, query, root[start : start + (1 << 13)], np.zeros(len(query), np.uint16), distance, known)
+
+    def _search(self, level: int, query: np.ndarray, node: np.ndarray, differences: np.ndarray, distance: float, known: tuple | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         mask, value, _, _, last = self.levels[level]
-        differences = differences + np.bitwise_count((self.codes[query] & mask[node]) ^ value[node])
-        keep = (differences <= distance) & (last[node] > query)
+        keep = last[node] > query
+        if known:
+            label, (low, high) = known[0][query], (x[node] for x in known[1][level // 2])
+            keep &= (low != label) | (high != label)
+        query, node, differences = query[keep], node[keep], differences[keep]
+        differences = differences + np.bitwise_count((self.codes[query] & mask[node]) ^ value[node]).sum(axis=1, dtype=np.uint16)
+        keep = differences <= distance
         query, node, differences = query[keep], node[keep], differences[keep]
         if level == 0:
             if len(query):
                 yield query, node
             return
         first, end = self.levels[level - 1]
-        width = FRONTIER // FAN
+        width = max(1, FRONTIER // FAN // self.codes.shape[1])
         for i in range(0, len(query), width):
             q, n, d = query[i : i + width], node[i : i + width], differences[i : i + width]
             count = end[n] - first[n]
             child = np.repeat(first[n] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-            yield from self._search(level - 2, np.repeat(q, count), child, np.repeat(d, count), distance)
+            yield from self._search(level - 2, np.repeat(q, count), child, np.repeat(d, count), distance, known)
+
+
+def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Give all that is linked, now by a and b too, the smallest place of it."""
+    while True:
+        x, y = label[a], label[b]
+        differ = x != y
+        if not differ.any():
+            return
+        np.minimum.at(label, np.maximum(x, y)[differ], np.minimum(x, y)[differ])
+        while (label[label] != label).any():
+            label[:] = label[label]
 
 
 def forest(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """The smallest place that each place is linked with, over any number of links."""
     label = np.arange(n)
     for a, b in links:
-        while True:
-            x, y = label[a], label[b]
-            differ = x != y
-            if not differ.any():
-                break
-            np.minimum.at(label, np.maximum(x, y)[differ], np.minimum(x, y)[differ])
-            while (label[label] != label).any():
-                label = label[label]
+        merge(label, a, b)
     return label
 
 
-def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Columns of rows (cell, fp, ...) sorted by cell, in groups of whole cells, each in Gray order."""
+def _whole_cells(batches: Iterator[pa.RecordBatch], words: int = 1) -> Iterator[list[np.ndarray]]:
+    """Columns of rows (cell, words of a fingerprint, ...) sorted by cell, in groups of whole cells, each in Gray order."""
     held, size = [], 0
     for batch in itertools.chain(batches, [None]):
         if batch is not None:
@@ -201,19 +241,19 @@ def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]
         cut = size if batch is None else int(np.searchsorted(columns[0], columns[0][-1]))
         held, size = [[c[cut:] for c in columns]], size - cut
         if cut:
-            order = np.lexsort((gray_rank(columns[1][:cut].view(np.uint64)), columns[0][:cut]))
+            order = gray_order(np.stack([c[:cut] for c in columns[1 : 1 + words]], axis=1).view(np.uint64), columns[0][:cut])
             yield [c[:cut][order] for c in columns]
 
 
-def _links_of(cell: np.ndarray, codes: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _labels_of(cell: np.ndarray, codes: np.ndarray, distance: float) -> np.ndarray:
     group = np.cumsum(np.concatenate([[True], cell[1:] != cell[:-1]])) - 1
-    return GrayIndex(codes, group).links(group, distance)
+    return GrayIndex(codes, group).forest(distance)
 
 
 def _edges(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
     """A spanning forest of the links in each cell."""
     for cell, fp in _whole_cells(batches):
-        label = forest(len(cell), _links_of(cell, fp.view(np.uint64), distance))
+        label = _labels_of(cell, fp.view(np.uint64), distance)
         linked = np.flatnonzero(label != np.arange(len(cell)))
         yield pa.RecordBatch.from_arrays([pa.array(fp[linked]), pa.array(fp[label[linked]])], names=["a", "b"])
 
@@ -235,18 +275,8 @@ def spread(count: int, near: Callable[[int, np.ndarray], np.ndarray]) -> np.ndar
 
 def _maybe_similar(batches: Iterator[pa.RecordBatch], limit: float) -> Iterator[pa.RecordBatch]:
     """In each cell a spanning forest of all pairs whose sketches differ in no more bits than the limit."""
-    for cell, _, text, *parts in _whole_cells(batches):
-        bits = np.stack(parts, axis=1).view(np.uint64)
-        near = lambda x, others: np.bitwise_count(bits[x] ^ bits[others]).sum(axis=1, dtype=np.int64) <= limit  # noqa: B023, E731
-        start = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-        sizes = np.diff(np.append(start, len(cell)))
-        first = np.repeat(start, sizes)
-        linked = near(first, np.arange(len(cell)))
-        label = np.where(linked, first, np.arange(len(cell)))
-        # With all rows near the first one, or two rows, a cell is done.
-        for a, n in zip(start, sizes):
-            if n > 2 and not linked[a : a + n].all():
-                label[a : a + n] = a + spread(n, lambda x, others: near(a + x, a + others))  # noqa: B023
+    for cell, *parts, text in _whole_cells(batches, SKETCH):
+        label = _labels_of(cell, np.stack(parts, axis=1).view(np.uint64), limit)
         found = np.flatnonzero(label != np.arange(len(cell)))
         yield pa.RecordBatch.from_arrays([pa.array(text[found]), pa.array(text[label[found]])], names=["a", "b"])
 
@@ -355,8 +385,9 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "t
     """Per row: doc_id and component_id, the smallest id reached by pairs of texts that share ``similarity`` of their shingles.
 
     Similarity is that of the sets of shingles of ``size`` words (Jaccard), counted exactly on
-    64-bit hashes; pairs at the limit count as similar. A pair at the limit is proposed but for a
-    probability of ``loss``, a closer one yet more surely. Texts of equal words are always one. Null
+    64-bit hashes; pairs at the limit count as similar. Links of fingerprints (those of
+    ``near_duplicates``, over shingles of ``size``) propose, and so do cells of least hashes: there a
+    pair at the limit is met but for a probability of ``loss``, a closer one yet more surely. Texts of equal words are always one. Null
     texts and texts without words are one class; null ids are never the smallest.
     """
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -367,10 +398,11 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "t
     classes = written(rows.groupBy("text", "n", *parts, *keys).agg(F.min("doc_id").alias("least")), "classes")
     keyed = classes.where("n > 0").select("text", F.posexplode(F.array(*keys)).alias("part", "bits"))
     sizes = keyed.groupBy("part", "bits").count().where("count > 1").select("part", "bits", F.ceil(F.col("count") / max_group).alias("cut"))
-    cells = dealt_cells(keyed, sizes, ["text"]).join(classes.select("text", *parts), "text").select("cell", F.col("s0").alias("order"), "text", *parts)
+    cells = dealt_cells(keyed, sizes, ["text"]).join(classes.select("text", *parts), "text").select("cell", *parts, "text")
     angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
     limit = 64 * SKETCH * angle + WIDER * math.sqrt(64 * SKETCH * angle * (1 - angle))
-    maybe = components(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda b: _maybe_similar(b, limit), "a long, b long"))
+    wide = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda b: _maybe_similar(b, limit), "a long, b long")
+    maybe = components(wide.union(_linked_texts(classes.where("n > 0").select("text", F.col("s0").alias("fp")), max_group)))
     close = _similar_links(source, classes.select("text", "n").join(maybe.withColumnRenamed("node", "text"), "text"), size, similarity, max_group)
     roots = components(close).withColumnRenamed("node", "text")
     placed = classes.select("text", "least").join(roots, "text", "left").withColumn("root", F.coalesce("root", "text"))
@@ -378,6 +410,15 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "t
     return rows.select("doc_id", "text").join(placed.join(smallest, "root").select("text", "component_id"), "text").select("doc_id", "component_id")
 
 
+def _linked_texts(texts: DataFrame, max_group: int) -> DataFrame:
+    """(a, b): a spanning set of the links between the fingerprints of ``texts`` (text, fp), as texts."""
+    nodes = written(texts.groupBy("fp").agg(F.min("text").alias("node")), "nodes")
+    same = texts.join(nodes, "fp").where("text <> node").select(F.col("text").alias("a"), F.col("node").alias("b"))
+    of = lambda side: nodes.select(F.col("fp").alias(side), F.col("node").alias(f"node_{side}"))
+    links = fingerprint_links(nodes.select("fp"), DISTANCE, max_group).join(of("a"), "a").join(of("b"), "b")
+    return same.union(links.select("node_a", "node_b"))
+
+
 def _similar_links(source: DataFrame, grouped: DataFrame, size: int, similarity: float, max_group: int) -> DataFrame:
     """(a, b): a spanning set of the exactly similar pairs within each group (text, n, root) of texts."""
     keyed = grouped.select("text", "n", F.lit(0).alias("part"), F.col("root").alias("bits"))

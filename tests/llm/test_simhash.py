@@ -77,6 +77,44 @@ def test_index_finds_what_brute_force_finds():
     assert got == want and want
 
 
+@pytest.mark.parametrize("words", [1, 8])
+def test_wide_index_links_what_brute_force_links(words):
+    """Codes of one and of eight longs, in groups with near copies: the forest has each link within the distance."""
+    rng = np.random.default_rng(words)
+    base = rng.integers(0, 2**64, (60, words), dtype=np.uint64)
+    flips = lambda n: np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (n, words, 2), dtype=np.uint64), axis=2)
+    codes = np.concatenate([base, *(base[:20] ^ flips(20) for _ in range(20))])
+    group = np.sort(rng.integers(0, 3, len(codes)))
+    order = simhash.gray_order(codes, group)
+    codes, group = codes[order], group[order]
+    limit = 2.5 * words
+    differ = np.bitwise_count(codes[:, None] ^ codes[None]).sum(axis=2)
+    met = (differ <= limit) & (group[:, None] == group[None]) & ~np.eye(len(codes), dtype=bool)
+    want = simhash.forest(len(codes), iter([np.nonzero(np.triu(met))]))
+    index = simhash.GrayIndex(codes, group)
+    assert index.forest(limit).tolist() == want.tolist() and len(set(want)) < len(want)
+    assert {(int(a), int(b)) for x, y in index.links(group, limit) for a, b in zip(x, y)} == set(zip(*map(lambda c: c.tolist(), np.nonzero(np.triu(met)))))
+
+
+def test_similar_documents_go_through_the_index(documents, monkeypatch):
+    """Fingerprint links propose by themselves, and sketches of a cell are searched in the index."""
+    import pyarrow as pa
+
+    text = " ".join(f"w{i}" for i in range(400))
+    docs = documents([text, text + " more", "other " * 60])
+    with monkeypatch.context() as m:
+        m.setattr(simhash, "dealt_cells", lambda keyed, sizes, own, f=simhash.dealt_cells: f(keyed, sizes, own) if own != ["text"] or "n" in keyed.columns else f(keyed, sizes, own).limit(0))
+        rows = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
+    assert rows == {0: 0, 1: 0, 2: 2}
+    asked = []
+    monkeypatch.setattr(simhash.GrayIndex, "forest", lambda self, distance, f=simhash.GrayIndex.forest: asked.append(self.codes.shape) or f(self, distance))
+    values = [simhash.sketch(t) for t in (text, text + " more")]
+    columns = [[7, 7], *([v[2 + k] for v in values] for k in range(simhash.SKETCH)), [v[0] for v in values]]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[f"c{i}" for i in range(len(columns))])
+    edges = [e for b in simhash._maybe_similar(iter([batch]), 145.0) for e in b.to_pylist()]
+    assert asked == [(2, simhash.SKETCH)] and len(edges) == 1
+
+
 def test_gray_rank_is_the_inverse_of_the_gray_code():
     x = np.arange(1000, dtype=np.uint64)
     assert (simhash.gray_rank(x ^ (x >> np.uint64(1))) == x).all()
