@@ -114,18 +114,26 @@ def _can(allow: str, deny: str) -> Column:
     return F.col(allow) & ~F.col(deny)
 
 
+def _digest(text: str) -> Column:
+    """Stands for a text of any length where rows meet and are grouped."""
+    return F.unhex(F.sha2(text, 256))
+
+
 def _resolve(topics: DataFrame, users: DataFrame, acls: DataFrame):
     """(by_topic, everywhere): answers for pairs some rule names, and per user the answer for
-    all other topics. ``by_topic`` also carries the user's answer elsewhere (any_*)."""
+    all other topics. ``by_topic`` also carries the user's answer elsewhere (any_*).
+
+    Pairs are many and names may be long, so pairs carry digests; the names are joined back last."""
     rules = _topic_rules(users, acls)
     flags = [F.bool_or(f).alias(f) for f in _FLAGS]
     merged = rules.groupBy("user", "scope", "resource_name").agg(*flags)
     names = topics.select("topic").distinct()
 
     general = merged.filter(_GENERAL).groupBy("user").agg(*flags)
-    keys = _named_by(names, merged)
-    special = keys.join(merged.filter(f"not {_GENERAL}"), ["scope", "resource_name"])
-    special = special.groupBy("topic", "user").agg(*flags)
+    keys = _named_by(names, merged).select(_digest("topic").alias("_name"), "scope", _digest("resource_name").alias("_resource"))
+    named = merged.filter(f"not {_GENERAL}").select("user", "scope", _digest("resource_name").alias("_resource"), *_FLAGS)
+    # dealt out by their number before they are grouped: few rules and names may make many pairs in one task
+    special = keys.join(named, ["scope", "_resource"]).repartition("_name", "user").groupBy("_name", "user").agg(*flags)
 
     other = general.select(F.col("user").alias("_user"), *[F.col(f).alias(f"_{f}") for f in _FLAGS])
     no = F.lit(False)
@@ -133,6 +141,7 @@ def _resolve(topics: DataFrame, users: DataFrame, acls: DataFrame):
         special.join(other, F.col("user") == F.col("_user"), "left")
         .withColumns({f"_{f}": F.coalesce(f"_{f}", no) for f in _FLAGS})
         .withColumns({f: F.col(f) | F.col(f"_{f}") for f in _FLAGS})
+        .join(names.withColumn("_name", _digest("topic")), "_name")
         .select(
             "topic",
             "user",

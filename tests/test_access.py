@@ -194,3 +194,20 @@ def test_only_touched_topics_are_worked_out(spark):
     assert A.touched_topics(*new, *new).count() == 0
     every = tables(spark, {LEDGER: {}, MENU: {}}, [*USERS, user("ivy", "g", [("DENY", "", "PREFIX", ["READ"], None)])])
     assert A.touched_topics(*every, *old).count() == 2
+
+
+def test_pairs_carry_no_long_names(spark):
+    """Pairs of topics and users meet and are grouped by digests, whatever the length of the names."""
+    long = "t" * 5000
+    topics = spark.createDataFrame([(long + "a", {}), (long + "b", {}), (None, {})], "topic STRING, annotations MAP<STRING, STRING>")
+    users = spark.createDataFrame([("u", {}, "simple"), ("v", {}, "simple")], "user STRING, annotations MAP<STRING, STRING>, authorization STRING")
+    rule = lambda user, kind, name, pattern: (user, kind, "topic", name, pattern, ["READ"], None)
+    acls = spark.createDataFrame(
+        [rule("u", "ALLOW", long, "PREFIX"), rule("u", "DENY", long + "b", "LITERAL"), rule("v", "ALLOW", long + "b", "LITERAL")],
+        "user STRING, rule_type STRING, resource_type STRING, resource_name STRING, pattern_type STRING, operations ARRAY<STRING>, operation STRING",
+    )
+    rows = A.topic_access(topics, users, acls)
+    assert sorted((r.topic[-1], r.user, r.can_read) for r in rows.collect()) == [("a", "u", True), ("b", "u", False), ("b", "v", True)]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    keys = [line.split("Aggregate [")[1].split("]")[0] for line in plan.splitlines() if "Aggregate [" in line]
+    assert not any("user#" in k and "topic#" in k for k in keys) and any("user#" in k and "_name#" in k for k in keys)
