@@ -155,7 +155,7 @@ class FactTable:
 
     Each upsert is one folder ``version=N`` with a folder for each chunk of days; writing a version
     again replaces its folder, so a replayed micro-batch changes nothing. Readers take the newest
-    version of each key by an aggregate and a semi-join. Compaction and retention write their
+    version of each key by an aggregate and a semi-join, in chunks that have several. Compaction and retention write their
     result as a table in a fresh folder, and the caller decides when to read from there.
     """
 
@@ -197,7 +197,23 @@ class FactTable:
         return self.newest_of(self.versions(start, end))
 
     def newest_of(self, rows: DataFrame) -> DataFrame:
-        """The newest of some versions that has all versions of a key or none."""
+        """The newest of some versions that has all versions of a key or none.
+
+        Rows of a chunk that has one version are current as they are; only the others meet. What the
+        driver gets is one row for each chunk.
+        """
+        chunks = rows.groupBy("chunk_days", "chunk_start").agg((F.min("version") < F.max("version")).alias("several")).collect()
+        several = [r.chunk_start for r in chunks if r.several]
+        if len({r.chunk_days for r in chunks}) > 1:  # a key may lie in chunks of two widths
+            return self._newest(rows)
+        if not several:
+            return rows.select(*_names(FACTS))
+        if len(several) == len(chunks):
+            return self._newest(rows)
+        meet = F.coalesce(F.col("chunk_start").isin([d for d in several if d]), F.lit(True))
+        return self._newest(rows.filter(meet)).union(rows.filter(~meet).select(*_names(FACTS)))
+
+    def _newest(self, rows: DataFrame) -> DataFrame:
         newest = rows.groupBy(*self.key).agg(F.max("version").alias("version"))
         return matching(rows, newest, [*self.key, "version"], "left_semi").select(*_names(FACTS))
 

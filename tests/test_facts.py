@@ -143,3 +143,19 @@ def test_rule_and_price_files(spark, tmp_path):
     got = {r.rule_id: r.context for r in RU.load_rules_json(spark, str(tmp_path / "rules.json")).collect()}
     assert got == {"1": {"a": "2"}, "2": {}}
     assert tuple(RU.load_prices_json(spark, str(tmp_path / "prices.json")).first()) == ("m", 0.0, 1e-10)
+
+
+def test_only_chunks_with_several_versions_meet(spark, tmp_path):
+    """A chunk with one version is read as it is; widths that differ make all rows meet."""
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    store = S.FactTable(spark, str(tmp_path / "f"))
+    day = lambda d, value: facts(spark, [(f"2024-0{d}-01T00:00:00", f"2024-0{d}-01T01:00:00", "m", value, {}, "t", "TOPIC")])
+    current = lambda table: {r.start_time.month: r.value for r in table.read().collect()}
+    store.upsert(day(1, 1).union(day(2, 1)))
+    assert "Join" not in plan(store.read()) and current(store) == {1: 1.0, 2: 1.0}
+    store.upsert(day(2, 5).union(day(3, 5)))
+    assert plan(store.read()).count("Join") == 1 and "Union" in plan(store.read())
+    assert current(store) == {1: 1.0, 2: 5.0, 3: 5.0}
+    assert "Join" not in plan(store.compacted(str(tmp_path / "g")).read())
+    S.FactTable(spark, store.path, chunk_days=28).upsert(day(1, 9))
+    assert current(store) == {1: 9.0, 2: 5.0, 3: 5.0}
