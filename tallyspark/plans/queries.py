@@ -29,7 +29,7 @@ from tallyspark.operators import (
 from tallyspark.plans import mapping as M
 from tallyspark.plans import metering
 from tallyspark.schemas import RULES
-from tallyspark.session import scratch_path
+from tallyspark.session import scratch_path, written
 from tallyspark.sources import facts as S
 from tallyspark.sources import raw as R
 from tallyspark.sources import rollups as RO
@@ -644,11 +644,16 @@ def upsert_by_window_key(spark, sf):
     return rows.select("start_time", "name", "context_json", "value")
 
 
+def _line_facts_once(spark, sf):
+    """The facts for several upserts: windows are worked out once and written, ids are made of what is read back."""
+    return S.to_facts(written(M.line_facts(spark, sf).drop("row_id", "target"), "line-facts"))
+
+
 @query
 def stored_facts(spark, sf):
     """Two overlapping upserts, a compaction into a fresh folder and a third upsert; then the current rows."""
     store = S.FactTable(spark, scratch_path(spark, "facts"), chunk_days=56)
-    facts = M.line_facts(spark, sf)
+    facts = _line_facts_once(spark, sf)
     store.upsert(facts.withColumn("value", F.lit(-1.0)))
     early = F.col("start_time") < F.lit("2000-01-01").cast("timestamp")
     store.upsert(facts.filter(early))

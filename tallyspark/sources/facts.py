@@ -3,21 +3,23 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Sequence
-from datetime import datetime
+from collections import defaultdict
+from collections.abc import Iterable, Sequence
+from datetime import date, datetime
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions.buckets import instant, range_or_default
 from tallyspark.functions.maps import canonical_json, json_to_map
 from tallyspark.operators.latest import latest_by_key
 from tallyspark.schemas import EXPORT, FACTS
+from tallyspark.session import prepare
 
 UNKNOWN_TARGET = "unknown"
 WINDOW_KEY = ["start_time", "end_time", "entity_type", "initial_metric_name", "name"]
-_STORED = f"{FACTS}, version BIGINT, chunk_days INT, chunk_start DATE"
+_STORED = f"{FACTS}, id_follows BOOLEAN, version BIGINT, chunk_days INT, chunk_start DATE"
 CHUNK_DAYS = 7
 
 
@@ -29,8 +31,7 @@ def iso_instant(moment: Column) -> Column:
     return F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
-def fact_id(df: DataFrame) -> DataFrame:
-    """Row id over everything but the value, so that a re-run replaces its own rows."""
+def _id_of_row() -> Column:
     parts = [
         iso_instant(F.col("start_time")),
         iso_instant(F.col("end_time")),
@@ -41,7 +42,12 @@ def fact_id(df: DataFrame) -> DataFrame:
         "context_json",
         "target",
     ]
-    return df.withColumn("row_id", F.sha1(F.concat(*parts)))
+    return F.sha1(F.concat(*parts))
+
+
+def fact_id(df: DataFrame) -> DataFrame:
+    """Row id over everything but the value, so that a re-run replaces its own rows."""
+    return df.withColumn("row_id", _id_of_row())
 
 
 def to_facts(windowed: DataFrame) -> DataFrame:
@@ -155,8 +161,9 @@ class FactTable:
 
     Each upsert is one folder ``version=N`` with a folder for each chunk of days; writing a version
     again replaces its folder, so a replayed micro-batch changes nothing. Readers take the newest
-    version of each key by an aggregate and a semi-join, in chunks that have several. Compaction and retention write their
-    result as a table in a fresh folder, and the caller decides when to read from there.
+    version of a chunk as it is, and of older ones, by an anti-join, the rows that no later version
+    replaces. Compaction and retention write their result as a table in a fresh folder, and the caller
+    decides when to read from there.
     """
 
     def __init__(self, spark: SparkSession, path: str, chunk_days: int = CHUNK_DAYS, key: Sequence[str] = ("row_id",)):
@@ -165,6 +172,7 @@ class FactTable:
 
     def versions(self, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
         """All versions of the rows in a range, which prunes chunk folders and row groups."""
+        prepare(self.spark)
         try:
             rows = self.spark.read.schema(_STORED).parquet(self.path)
         except AnalysisException as e:
@@ -175,12 +183,12 @@ class FactTable:
             rows = rows.filter(F.date_add("chunk_start", F.col("chunk_days")) > F.to_date(instant(start)))
         if end is not None:
             rows = rows.filter(F.col("chunk_start") <= F.to_date(instant(end)))
-        return rows.filter(contained(start, end))
+        return _with_ids(rows.filter(contained(start, end)))
 
     def changes(self, max_files: int | None = None) -> DataFrame:
         """A stream of all versions of the rows, as they are written."""
-        reader = self.spark.readStream.schema(_STORED)
-        return (reader if max_files is None else reader.option("maxFilesPerTrigger", max_files)).parquet(self.path)
+        reader = prepare(self.spark).readStream.schema(_STORED)
+        return _with_ids((reader if max_files is None else reader.option("maxFilesPerTrigger", max_files)).parquet(self.path))
 
     def newest_version(self) -> int:
         """0 for a table without rows. Versions are folder names, so no column is read."""
@@ -199,23 +207,30 @@ class FactTable:
     def newest_of(self, rows: DataFrame) -> DataFrame:
         """The newest of some versions that has all versions of a key or none.
 
-        Rows of a chunk that has one version are current as they are; only the others meet. What the
-        driver gets is one row for each chunk.
+        Rows of the newest version of a chunk are current as they are; only those of older ones meet
+        the keys of later ones. What the driver gets is one row for each chunk.
         """
-        chunks = rows.groupBy("chunk_days", "chunk_start").agg((F.min("version") < F.max("version")).alias("several")).collect()
-        several = [r.chunk_start for r in chunks if r.several]
+        span = F.min("version").alias("oldest"), F.max("version").alias("newest")
+        chunks = rows.groupBy("chunk_days", "chunk_start").agg(*span).collect()
         if len({r.chunk_days for r in chunks}) > 1:  # a key may lie in chunks of two widths
-            return self._newest(rows)
-        if not several:
+            first, last = min(r.oldest for r in chunks), max(r.newest for r in chunks)
+            chunks = [Row(chunk_start=r.chunk_start, oldest=first, newest=last) for r in chunks]
+        if all(r.oldest == r.newest for r in chunks):
             return rows.select(*_names(FACTS))
-        if len(several) == len(chunks):
-            return self._newest(rows)
-        meet = F.coalesce(F.col("chunk_start").isin([d for d in several if d]), F.lit(True))
-        return self._newest(rows.filter(meet)).union(rows.filter(~meet).select(*_names(FACTS)))
-
-    def _newest(self, rows: DataFrame) -> DataFrame:
-        newest = rows.groupBy(*self.key).agg(F.max("version").alias("version"))
-        return matching(rows, newest, [*self.key, "version"], "left_semi").select(*_names(FACTS))
+        newest = _in_versions((r.chunk_start, r.newest) for r in chunks)
+        oldest = _in_versions((r.chunk_start, r.oldest) for r in chunks)
+        return self._not_replaced(rows.filter(~newest), rows.filter(~oldest)).union(rows.filter(newest).select(*_names(FACTS)))
+
+    def _not_replaced(self, rows: DataFrame, others: DataFrame) -> DataFrame:
+        """Rows whose key has no later version among others."""
+        with_key = lambda df: df.withColumns(_short_id()) if "row_id" in self.key else df
+        keys = [k for c in self.key for k in (_short_id() if c == "row_id" else [c])]
+        names = {k: f"_other_{i}" for i, k in enumerate([*keys, "version"])}
+        others = with_key(others).select(*[F.col(k).alias(n) for k, n in names.items()])
+        later = [F.col(k).eqNullSafe(F.col(names[k])) for k in keys] + [F.col("version") < F.col(names["version"])]
+        kept = with_key(rows).drop(*(["row_id"] if "row_id" in self.key else []))
+        kept = kept.join(others, functools.reduce(Column.__and__, later), "left_anti")
+        return (kept.withColumn("row_id", _whole_id()) if "row_id" in self.key else kept).select(*_names(FACTS))
 
     def compacted(self, path: str) -> FactTable:
         """The current rows as the only version of a table in a fresh folder."""
@@ -233,6 +248,29 @@ class FactTable:
         return table
 
 
+def _in_versions(chunks: Iterable[tuple[date | None, int]]) -> Column:
+    """Rows in these (chunk, version). Both are folder names, so no other folder is read."""
+    by_version = defaultdict(list)
+    for day, version in chunks:
+        by_version[version].append(day)
+    found = F.lit(False)
+    for version, days in by_version.items():
+        day = F.coalesce(F.col("chunk_start").isin([d for d in days if d]), F.lit(None in days))
+        found = found | ((F.col("version") == version) & day)
+    return found
+
+
+def _short_id() -> dict[str, Column]:
+    """The row id in half its size where it is the text of a digest, else as it is."""
+    digest = F.unhex("row_id")
+    plain = F.coalesce(F.lower(F.hex(digest)) == F.col("row_id"), F.lit(False))
+    return {"_digest": F.when(plain, digest), "_id": F.when(~plain, F.col("row_id"))}
+
+
+def _whole_id() -> Column:
+    return F.coalesce(F.lower(F.hex("_digest")), F.col("_id"))
+
+
 def matching(rows: DataFrame, others: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     """Rows with (``left_semi``) or without (``left_anti``) a partner; a null equals a null."""
     named = others.select(*[F.col(k).alias(f"_other_{k}") for k in keys])
@@ -243,19 +281,29 @@ def matching(rows: DataFrame, others: DataFrame, keys: Sequence[str], how: str)
 def write_facts(facts: DataFrame, path: str, mode: str = "append", chunk_days: int = CHUNK_DAYS) -> None:
     """Chunk folders, sorted by name so that row-group ranges on it are narrow.
 
-    Rebalancing makes few files per chunk and splits a large chunk over several tasks.
+    Rebalancing makes few files per chunk and splits a large chunk over several tasks. Row ids,
+    which hardly compress, are not stored where they follow from the other columns.
     """
-    order = ["chunk_start", "name", "start_time"]
+    order = ["chunk_days", "chunk_start", "name", "start_time"]
+    follows = F.col("row_id").eqNullSafe(_id_of_row())
+    short = facts.withColumns({"id_follows": follows, "row_id": F.when(~follows, F.col("row_id"))})
     (
-        with_chunk(facts, chunk_days)
+        with_chunk(short, chunk_days)
         .hint("rebalance", "chunk_start")
         .sortWithinPartitions(*order)
         .write.mode(mode)
+        .option("compression", "zstd")
         .partitionBy("chunk_days", "chunk_start")
         .parquet(path)
     )
 
 
+def _with_ids(stored: DataFrame) -> DataFrame:
+    """Stored rows with the ids that were not stored; older files have all of them and no mark."""
+    made = F.when(F.col("id_follows"), _id_of_row()).otherwise(F.col("row_id"))
+    return stored.withColumn("row_id", made).drop("id_follows")
+
+
 def export_facts(
     facts: DataFrame,
     path: str,

@@ -159,3 +159,25 @@ def test_only_chunks_with_several_versions_meet(spark, tmp_path):
     assert "Join" not in plan(store.compacted(str(tmp_path / "g")).read())
     S.FactTable(spark, store.path, chunk_days=28).upsert(day(1, 9))
     assert current(store) == {1: 9.0, 2: 5.0, 3: 5.0}
+
+
+def test_the_newest_version_of_a_chunk_does_not_meet_and_ids_of_any_kind_stay(spark, tmp_path):
+    """No aggregate of all keys; ids that follow from the row are not stored, others are, a null one too."""
+    store = S.FactTable(spark, str(tmp_path / "f"))
+    rows = sample(spark, 1.0, (0, 1, 2, 3))
+    other = F.when(F.hour("start_time") == 1, "0A").when(F.hour("start_time") == 2, F.lit(None)).otherwise(F.col("row_id"))
+    rows = rows.withColumn("row_id", other)
+    store.upsert(rows)
+    store.upsert(rows.filter("hour(start_time) in (1, 2, 3)").withColumn("value", F.lit(2.0)))
+    store.upsert(rows.filter("hour(start_time) = 3").withColumn("value", F.lit(3.0)))
+    plan = store.read()._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Join") == 1
+    current = lambda table: sorted((r.start_time.hour, r.row_id, r.value) for r in table.read().collect())
+    want = [(r.start_time.hour, r.row_id, {0: 1.0, 3: 3.0}.get(r.start_time.hour, 2.0)) for r in rows.collect()]
+    assert current(store) == sorted(want)
+    assert current(store.compacted(str(tmp_path / "g"))) == sorted(want)
+    stored = spark.read.parquet(f"{store.path}/version=1")
+    assert sorted(stored.filter("row_id IS NOT NULL").select("row_id").collect()) == [("0A",)]
+    older = store.versions().filter("version = 3").select(*rows.columns)  # a folder without the mark
+    older.write.parquet(f"{store.path}/version=4/chunk_days=7/chunk_start=2023-12-28")
+    assert len(current(store)) == 4
