@@ -43,6 +43,7 @@ INLINE_PATTERNS = 128  # same for the open patterns of a larger rule set
 MAX_HEAD = 64  # longest text used as a join key
 BLOCK_RULES = 256  # open rules per block beyond INLINE_PATTERNS
 NAME_SALTS = 64  # parallel slices of the names per block
+CROWD = 50_000  # rules of one text or pattern beyond which they are dealt out
 MAX_BOUNDARIES = 256  # validity boundaries that fit into a constant array
 
 _OPEN_LOW, _OPEN_HIGH = -30610224000000000, 253402214400000000  # the same in microseconds
@@ -71,6 +72,7 @@ class CompiledRules:
     open_patterns: tuple[tuple[str, str], ...] | None = None  # None: too many
     n_wild: int = 0  # open rules without a text that every match contains
     wild_patterns: tuple[tuple[str, str], ...] | None = None  # of those; None: too many
+    crowds: tuple[tuple[str, str, str, int], ...] = ()  # (column, its value, entity type, slots) shared by over CROWD rules
 
     @property
     def always_valid(self) -> bool:
@@ -287,6 +289,7 @@ def _joined(spark: SparkSession, shaped: DataFrame, memory: str | None = None) -
     head_len = F.when(F.col("kind") == "head", F.length("match_key"))
     is_open, has_text = F.col("kind") == "open", F.size("factors") > 0
     summary = good.agg(
+        F.count("*").alias("n"),
         F.count_if(F.col("kind") == "literal").alias("n_literal"),
         F.count_if(is_open).alias("n_open"),
         F.count_if(is_open & ~has_text).alias("n_wild"),
@@ -316,9 +319,35 @@ def _joined(spark: SparkSession, shaped: DataFrame, memory: str | None = None) -
         open_patterns=open_patterns,
         n_wild=summary.n_wild,
         wild_patterns=wild_patterns,
+        crowds=_crowds(good) if summary.n > CROWD else (),
     )
 
 
+def _crowds(rules: DataFrame) -> tuple[tuple[str, str, str, int], ...]:
+    """Texts and patterns that over CROWD rules share; there are at most as many as rules over CROWD."""
+    by = F.when(F.col("kind") == "open", "full_rx").otherwise("match_key").alias("by")
+    shared = F.when(F.col("kind") == "open", F.col("full_rx")).otherwise(F.col("match_key")).alias("shared")
+    found = rules.groupBy(by, "kind", shared, "entity_type").count().filter(F.col("count") > CROWD).collect()
+    slots: dict[tuple, int] = {}
+    for r in found:
+        slots[r.by, r.shared, r.entity_type] = max(slots.get((r.by, r.shared, r.entity_type), 0), -(-r["count"] // CROWD))
+    return tuple((*key, n) for key, n in sorted(slots.items()))
+
+
+def _meet(names: DataFrame, rules: DataFrame, by: str, compiled: CompiledRules) -> DataFrame:
+    """An equi-join on entity type and ``by``. Rules that crowd one key are dealt out over slots of it, each of
+    which the names of that key visit, and there are as many partitions as slots."""
+    crowds = [c[1:] for c in compiled.crowds if c[0] == by]
+    if not crowds:
+        return names.join(rules, ["entity_type", by])
+    known = F.broadcast(names.sparkSession.createDataFrame(crowds, f"{by} STRING, entity_type STRING, _slots INT"))
+    slots, key = F.coalesce("_slots", F.lit(1)), ["entity_type", by]
+    visits = names.join(known, key, "left").withColumn("_slot", F.explode(F.sequence(F.lit(0), slots - 1))).drop("_slots")
+    dealt = rules.join(known, key, "left").withColumn("_slot", F.pmod(F.xxhash64("rule_row"), slots).cast("int")).drop("_slots")
+    parts = sum(c[-1] for c in crowds) + int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return visits.join(dealt.repartition(parts, *key, "_slot"), [*key, "_slot"]).drop("_slot")
+
+
 def validity_slot(moment: Column, compiled: CompiledRules) -> Column:
     """The last validity boundary at or before ``moment``.
 
@@ -393,7 +422,7 @@ def match_rules(names: DataFrame, compiled: CompiledRules) -> DataFrame:
     if compiled.n_literal:
         rules = compiled.rules.filter(F.col("kind") == "literal")
         keyed = names.withColumn("match_key", fold(F.col("name")))
-        parts.append(keyed.join(rules, ["entity_type", "match_key"]))
+        parts.append(_meet(keyed, rules, "match_key", compiled))
     if compiled.head_lengths:
         rules = compiled.rules.filter(F.col("kind") == "head")
         folded = fold(F.col("name"))
@@ -403,7 +432,7 @@ def match_rules(names: DataFrame, compiled: CompiledRules) -> DataFrame:
         keyed = names.withColumn(
             "match_key", F.explode(F.transform(lengths, lambda n: F.substring(folded, F.lit(1), n)))
         )
-        joined = keyed.join(rules, ["entity_type", "match_key"])
+        joined = _meet(keyed, rules, "match_key", compiled)
         parts.append(joined.filter(F.regexp_like(F.col("name"), F.col("full_rx"))))
     if compiled.n_open:
         parts.append(_match_open(names, compiled))
@@ -421,7 +450,7 @@ _MATCH = (
 def _match_open(names: DataFrame, compiled: CompiledRules) -> DataFrame:
     rules = compiled.rules.filter(F.col("kind") == "open")
     if compiled.open_patterns is not None:
-        return _match_constants(names, rules, compiled.open_patterns)
+        return _match_constants(names, rules, compiled.open_patterns, compiled)
     has_text = F.size("factors") > 0
     with_text = rules.filter(has_text)
     found = candidate_names(names, with_text, "rule_row", fold(F.col("name")))
@@ -429,13 +458,15 @@ def _match_open(names: DataFrame, compiled: CompiledRules) -> DataFrame:
     if compiled.n_wild:
         wild = rules.filter(~has_text)
         if compiled.wild_patterns is not None:
-            parts.append(_match_constants(names, wild, compiled.wild_patterns))
+            parts.append(_match_constants(names, wild, compiled.wild_patterns, compiled))
         else:
             parts.append(_match_blocks(names, wild, compiled.n_wild))
     return functools.reduce(DataFrame.unionByName, [p.select(*_MATCH) for p in parts])
 
 
-def _match_constants(names: DataFrame, rules: DataFrame, patterns: tuple[tuple[str, str], ...]) -> DataFrame:
+def _match_constants(
+    names: DataFrame, rules: DataFrame, patterns: tuple[tuple[str, str], ...], compiled: CompiledRules
+) -> DataFrame:
     hits = F.array(
         *[
             F.when((F.col("entity_type") == kind) & F.col("name").rlike(rx), F.lit(rx))
@@ -445,7 +476,7 @@ def _match_constants(names: DataFrame, rules: DataFrame, patterns: tuple[tuple[s
     # outer: no filter that would test every pattern once more below
     hit = names.withColumn("full_rx", F.explode_outer(F.array_compact(hits)))
     # at most INLINE_PATTERNS distinct patterns were counted
-    return hit.join(rules, ["entity_type", "full_rx"])
+    return _meet(hit.filter(F.col("full_rx").isNotNull()), rules, "full_rx", compiled)
 
 
 def _match_blocks(names: DataFrame, rules: DataFrame, n_rules: int) -> DataFrame:
@@ -465,9 +496,10 @@ def _match_blocks(names: DataFrame, rules: DataFrame, n_rules: int) -> DataFrame
     return joined.filter(F.regexp_like(F.col("name"), F.col("full_rx")))
 
 
-def expand_templates(matches: DataFrame) -> DataFrame:
+def expand_templates(matches: DataFrame, outer: bool = False) -> DataFrame:
     """One row per context entry, with capture groups filled in from the entity name.
 
+    With ``outer`` a rule without entries is one row without a key.
     The inner guard keeps a template that names a missing group away from the replace call.
     """
     e = F.col("_e")
@@ -478,7 +510,7 @@ def expand_templates(matches: DataFrame) -> DataFrame:
     # goes through the replace.
     value = F.when(e["ok"], filled).otherwise(e["value"])
     kept = [c for c in matches.columns if c not in ("entries", "find_rx")]
-    return matches.withColumn("_e", F.explode("entries")).select(
+    return matches.withColumn("_e", (F.explode_outer if outer else F.explode)("entries")).select(
         *kept, e["key"].alias("key"), value.alias("value")
     )
 
@@ -515,37 +547,67 @@ def context_segments(names: DataFrame, compiled: CompiledRules) -> DataFrame:
         pieces = expand_templates(matches).withColumnsRenamed({"valid_from": "seg_from", "valid_until": "seg_until"})
         winners = pieces.groupBy(*entity, "seg_from", "seg_until", "key").agg(F.max_by("value", newest).alias("value"))
     else:
-        winners = _winners_by_tree(written(matches, "matches"), entity, newest)
+        winners = _winners_by_tree(matches, entity, newest, compiled.boundaries is None)
     return winners.groupBy(*entity, "seg_from", "seg_until").agg(
         sorted_map(F.map_from_entries(F.collect_list(F.struct("key", "value")))).alias("context")
     )
 
 
-def _winners_by_tree(matches: DataFrame, entity: list[str], newest: Column) -> DataFrame:
-    """(entity, seg_from, seg_until, key, value): of each key the newest rule between two instants."""
+def _numbered(instants: DataFrame, entity: list[str]) -> DataFrame:
+    """Distinct (entity, at) with their number, the next instant and the count of the entity's.
+
+    A day is numbered on its own, after the counts of the days before it.
+    """
+    instants = instants.withColumn("_day", F.date_trunc("day", "at"))
+    whole, day = Window.partitionBy(*entity), Window.partitionBy(*entity, "_day").orderBy("at")
+    days = instants.groupBy(*entity, "_day").agg(F.count("*").alias("n"), F.min("at").alias("first")).select(
+        *entity,
+        "_day",
+        F.coalesce(F.sum("n").over(whole.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
+        F.lead("first").over(whole.orderBy("_day")).alias("next"),
+        F.sum("n").over(whole).alias("leaves"),
+    )
+    return instants.join(days, [*entity, "_day"]).select(
+        *entity,
+        "at",
+        (F.col("before") + F.row_number().over(day) - 1).alias("number"),
+        F.coalesce(F.lead("at").over(day), "next").alias("until"),
+        "leaves",
+    )
+
+
+def _winners_by_tree(matches: DataFrame, entity: list[str], newest: Column, many: bool) -> DataFrame:
+    """(entity, seg_from, seg_until, key, value): of each key the newest rule between two instants.
+
+    Of rules of one range only the newest counts, so they are written as one row a key. ``many``
+    is for instants that are too many for one window of an entity.
+    """
     span = [*entity, "valid_from", "valid_until"]
-    entries = expand_templates(matches).groupBy(*span, "key").agg(F.max_by("value", newest).alias("value"), F.max(newest).alias("age"))
-    numbered = Window.partitionBy(*entity).orderBy("at")
-    ends = (
-        matches.select(*span).distinct()
-        .select(*span, F.posexplode(F.array("valid_from", "valid_until")).alias("side", "at"))
-        .withColumn("number", F.dense_rank().over(numbered) - 1)
+    entries = written(
+        expand_templates(matches, outer=True).groupBy(*span, "key").agg(F.max_by("value", newest).alias("value"), F.max(newest).alias("age")),
+        "entries",
     )
+    ends = entries.select(*span).distinct().select(*span, F.posexplode(F.array("valid_from", "valid_until")).alias("side", "at"))
+    if many:
+        instants = _numbered(ends.select(*entity, "at").distinct(), entity)
+    else:
+        numbered = Window.partitionBy(*entity).orderBy("at")
+        instants = ends.select(*entity, "at").distinct().withColumns(
+            {"number": F.row_number().over(numbered) - 1, "until": F.lead("at").over(numbered), "leaves": F.count("*").over(Window.partitionBy(*entity))}
+        )
+    ends = ends.join(instants.select(*entity, "at", "number"), [*entity, "at"])
     ranges = ends.groupBy(*span).agg(
         F.max(F.when(F.col("side") == 0, F.col("number"))).alias("low"),
         F.max(F.when(F.col("side") == 1, F.col("number"))).alias("high"),
     )
     nodes = (
-        entries.join(ranges, span)
+        entries.filter(F.col("key").isNotNull()).join(ranges, span)
         .select(*entity, "key", "value", "age", F.explode(_tree_nodes(F.col("low"), F.col("high"))).alias("node"))
         .groupBy(*entity, "node", "key")
         .agg(F.max_by("value", "age").alias("value"), F.max("age").alias("age"))
     )
-    leaves = (
-        ends.select(*entity, "at", "number").distinct()
-        .withColumns({"until": F.lead("at").over(numbered), "leaves": F.count("*").over(Window.partitionBy(*entity))})
-        .filter(F.col("until").isNotNull())
-        .select(*entity, F.col("at").alias("seg_from"), F.col("until").alias("seg_until"), F.explode(_tree_path(F.col("number"), F.col("leaves"))).alias("node"))
+    leaves = instants.filter(F.col("until").isNotNull()).select(
+        *entity, F.col("at").alias("seg_from"), F.col("until").alias("seg_until"), F.explode(_tree_path(F.col("number"), F.col("leaves"))).alias("node")
     )
     return leaves.join(nodes, [*entity, "node"]).groupBy(*entity, "seg_from", "seg_until", "key").agg(F.max_by("value", "age").alias("value"))
 

@@ -256,3 +256,30 @@ def test_slots_keep_validity(spark):
     df = spark.createDataFrame([(ts(m),) for m in moments], "t TIMESTAMP")
     slots = [r[0] for r in df.orderBy("t").select(F.unix_micros(L.validity_slot(F.col("t"), compiled))).collect()]
     assert slots[1] == slots[2] and len(set(slots)) == 3
+
+
+def test_rules_that_crowd_one_pattern_are_dealt_out(spark, monkeypatch):
+    """Slots of a crowded text or pattern, and days that are numbered apart, give the labels of plain rules."""
+    from datetime import datetime, timedelta
+
+    at = lambda i, hours: (datetime(2024, 1, 1) + timedelta(hours=7 * i + hours)).isoformat()
+    made = [(f"r{i:03}", at(i % 150, i % 5), at(i % 150, 0), at(i % 150, 30 + i % 3), "TOPIC", rx, {"v": f"{i}", f"k{i % 3}": "x"}) for rx in ("t-.*", ".*-[ab]", "t-a") for i in range(300)]
+    some = [*made, ("none", at(0, 0), at(3, 1), at(3, 2), "TOPIC", "t-.*", {})]
+    names = spark.createDataFrame([("TOPIC", n, datetime(2024, 1, 1) + timedelta(hours=h)) for n in ("t-a", "t-b", "other-a", "u") for h in range(0, 1200, 5)], "entity_type STRING, name STRING, timestamp TIMESTAMP")
+    rows = {}
+    for crowd in (10**9, 40):
+        monkeypatch.setattr(L, "CROWD", crowd)
+        compiled = L.compile_rules(rules(spark, some), max_inline=0)
+        assert compiled.boundaries is None and len(compiled.crowds) == (0 if crowd > 40 else 3)
+        assert {c[-1] for c in compiled.crowds} <= {8}
+        segments = L.context_segments(names, compiled)
+        rows[crowd] = sorted((r.name, r.seg_from, r.seg_until, sorted(r.context.items())) for r in segments.collect())
+    assert rows[40] == rows[10**9]
+    newest = {}
+    for r in rows[40]:
+        a, b = r[1].isoformat(), r[2].isoformat()
+        hits = [m for m in some if m[2] <= a and b <= m[3] and {"t-.*": r[0][:2] == "t-", ".*-[ab]": r[0][-2:] in ("-a", "-b"), "t-a": r[0] == "t-a"}[m[5]]]
+        for m in sorted(hits, key=lambda m: (m[1], m[0])):
+            newest.setdefault(r[:3], {}).update({k: (m[1], m[0], v) for k, v in m[6].items()})
+        assert {k: v for k, v in r[3] if k != "v"} == {k: v[2] for k, v in newest[r[:3]].items() if k != "v"}
+        assert dict(r[3])["v"] == newest[r[:3]]["v"][2]
