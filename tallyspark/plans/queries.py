@@ -633,8 +633,8 @@ def _versioned_rows(spark, sf):
 @query
 def upsert_by_row_id(spark, sf):
     """Newest version per row id: rows with different contexts stay apart."""
-    rows = S.latest_by_row_id(_versioned_rows(spark, sf))
-    return rows.select("start_time", "name", "context_json", "row_id", "value")
+    rows = _versioned_rows(spark, sf).select("start_time", "name", "context_json", "row_id", "value", "version")
+    return S.latest_by_row_id(rows).drop("version")
 
 
 @query

@@ -142,7 +142,9 @@ def latest_by_window_key(versions: DataFrame, version: str = "version") -> DataF
 
 
 def latest_by_row_id(versions: DataFrame, version: str = "version") -> DataFrame:
-    return latest_by_key(versions, ["row_id"], [version])
+    short = _short_id()
+    keyed = versions.withColumns(short).drop("row_id")
+    return latest_by_key(keyed, list(short), [version]).withColumn("row_id", _whole_id()).select(*versions.columns)
 
 
 def chunk_start(moment: Column, days: int) -> Column:
