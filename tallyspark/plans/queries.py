@@ -640,8 +640,8 @@ def upsert_by_row_id(spark, sf):
 @query
 def upsert_by_window_key(spark, sf):
     """Newest version per window key: the context is not part of it."""
-    rows = S.latest_by_window_key(_versioned_rows(spark, sf))
-    return rows.select("start_time", "name", "context_json", "value")
+    rows = _versioned_rows(spark, sf).select(*S.WINDOW_KEY, "context_json", "value", "version")
+    return S.latest_by_window_key(rows).select("start_time", "name", "context_json", "value")
 
 
 def _line_facts_once(spark, sf):
