@@ -58,6 +58,32 @@ def test_gauges_widen_update_and_expire_as_the_batch_says(spark, tmp_path):
     assert step() == {one("t0"): 6.0, one("t1", "z"): 7.0}
 
 
+def test_gauges_of_many_series_share_the_keys_of_the_state(spark, tmp_path):
+    config, source, base = MeteringConfig(), tmp_path / "raw", str(tmp_path / "run")
+    load = (lambda s: rules(s, RULES), lambda s: prices(s, []))
+    number = SG.SLOTS + 500
+
+    def step():
+        ST.run_available(read_raw(spark, str(source), streaming=True), base, config, *load)
+        stream = SG.start_gauges(spark, base, config, NOW)
+        stream.awaitTermination()
+        keys = [json.loads(p.json)["stateOperators"][0]["numRowsTotal"] for p in stream.recentProgress]
+        got = SG.live_gauges(spark, base)
+        samples = G.gauge_samples(FactTable(spark, f"{base}/facts").read())
+        assert gauges_of(got) == gauges_of(G.active_gauges(G.gauge_snapshot(samples), config))
+        return max(keys), {r.tags["topic"]: r.value for r in got.collect()}
+
+    write(source, "a", [(0, f"t{i}", float(i)) for i in range(number)])
+    keys, got = step()
+    assert got == {f"t{i}": float(i) for i in range(number)}
+    assert keys <= SG.SLOTS
+    write(source, "b", [(60, f"t{i}", 2.0) for i in range(0, number, 2)])
+    assert len(step()[1]) == number
+    write(source, "c", [(121, "t2", 3.0)])  # the odd ones are gone, each out of a slot with others
+    got = step()[1]
+    assert got == {f"t{i}": 3.0 if i == 2 else 2.0 for i in range(0, number, 2)}
+
+
 def test_entities_are_matched_once_for_each_state_of_the_rules(spark, tmp_path):
     config, out = MeteringConfig(), str(tmp_path / "labelled")
     state = [RULES]
