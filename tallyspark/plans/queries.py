@@ -1063,7 +1063,7 @@ def stream_equals_batch(spark, sf):
     )
     M.prepare(spark)
     ST.run_available(
-        M.to_raw_events(source),
+        M.to_raw_events(R.spread(source)),
         base,
         M.EVENT_CONFIG,
         load_rules=lambda s: M.event_rules(s),
@@ -1088,7 +1088,7 @@ def stream_in_steps(spark, sf):
     for rows in (events.filter(F.col("ts") < cut), events.filter(F.col("ts") >= cut).unionByName(late)):
         rows.write.mode("append").parquet(source)
         ST.run_available(
-            M.to_raw_events(spark.readStream.schema(events.schema).parquet(source)),
+            M.to_raw_events(R.spread(spark.readStream.schema(events.schema).parquet(source))),
             base,
             M.EVENT_CONFIG,
             load_rules=lambda s: M.event_rules(s),
@@ -1122,7 +1122,7 @@ def _arrivals(spark, sf, *cuts):
         for low, high in zip([None, *at], [*at, None]):
             rows = events if low is None else events.filter(F.col("ts") >= low)
             (rows if high is None else rows.filter(F.col("ts") < high)).write.mode("append").parquet(source)
-            yield M.to_raw_events(spark.readStream.schema(events.schema).parquet(source))
+            yield M.to_raw_events(R.spread(spark.readStream.schema(events.schema).parquet(source)))
 
     return steps()
 
@@ -1148,7 +1148,9 @@ def stream_remembered_labels(spark, sf):
     key = lambda c: F.get_json_object("context_json", f"$['{c}']")
     keys = [key(c).alias(c.replace("-", "_")) for c in ("app", "team", "cost-unit", "zone", "epoch")]
     labelled = spark.read.schema(f"{ST.LABELLED}, batch_id INT").parquet(f"{base}/labelled")
-    return labelled.groupBy("entity_type", "name", *keys).agg(F.count("*").alias("n"), r6(F.sum("value")).alias("value"))
+    # a context is parsed once for its entity and not for each sample
+    whole = labelled.groupBy("entity_type", "name", "context_json").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
+    return whole.groupBy("entity_type", "name", *keys).agg(F.sum("n").alias("n"), r6(F.sum("value")).alias("value"))
 
 
 @query

@@ -111,3 +111,9 @@ def read_pages(spark: SparkSession, path: str, metric_name: str, group_by: str,
         F.lit(group_by).alias("group_by"),
         F.lit(cluster_id).alias("cluster_id"),
     )
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows dealt out over all cores. A file with one row group, or a topic with few partitions, comes
+    as few tasks, and to parse and label a row costs much more than to move it."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)

@@ -7,7 +7,9 @@ from helpers import prices, rules, ts
 from tallyspark import MeteringConfig
 from tallyspark.operators import gauges as G
 from tallyspark.operators.labels import compile_rules
+from tallyspark.plans import mapping as M
 from tallyspark.plans.metering import usage_facts
+from tallyspark.plans.queries import _arrivals
 from tallyspark.sources.facts import FactTable
 from tallyspark.sources.raw import read_raw
 from tallyspark.streaming import gauges as SG
@@ -142,3 +144,14 @@ def test_a_new_start_replaces_facts_from_a_window_on_and_goes_on(spark, tmp_path
     assert step(right) == {(0, "t0"): (1.0, 1.0), **third}
     batch = usage_facts(read_raw(spark, str(source)), compile_rules(load_rules(spark)), right(spark), config)
     assert sorted(r.row_id for r in batch.collect()) == sorted(r.row_id for r in FactTable(spark, f"{base}/facts").read().collect())
+
+
+def test_a_stream_of_one_file_is_labelled_by_all_cores(spark, tmp_path):
+    base, cores = str(tmp_path / "run"), spark.sparkContext.defaultParallelism
+    raw = next(_arrivals(spark, "/root/testdata/sf0.001", "2024-01-20 00:00:00"))
+    ST.start_labelling(raw, base, M.EVENT_CONFIG, M.event_rules, NOW).awaitTermination()
+    files = list((tmp_path / "run" / "labelled" / "batch_id=0").glob("*.parquet"))
+    rows = [spark.read.parquet(str(f)).count() for f in files]
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    assert sum(rows) == events.filter("ts < '2024-01-20'").count()
+    assert len(rows) == cores > 1 and max(rows) < 2 * sum(rows) / cores
